@@ -1,0 +1,24 @@
+"""Joining a large table to one row per account when an account may be very hot."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def salted_join(
+    large: DataFrame, small: DataFrame, key: str, spread_by: Column,
+    how: str = "inner", salts: int = SALTS,
+) -> DataFrame:
+    """``large`` join ``small`` on ``key``, each key spread over ``salts`` tasks.
+
+    ``small`` has one row per key, so copying it ``salts`` times is bounded; ``spread_by``
+    tells rows of one key apart. How ``small`` travels is left to the optimizer.
+    """
+    salted = large.withColumn("salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = small.withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    return salted.join(copies, [key, "salt"], how).drop("salt")
