@@ -20,8 +20,6 @@ from chainalerts.functions.json_values import first_element, node, value_map
 from chainalerts.operators.hooks import Catalog
 from chainalerts.operators.skew import salted_join
 
-NEWEST_FIRST = [F.desc("block_num"), F.desc("op_id"), F.desc("hook_ord")]
-
 
 # Request checks -----------------------------------------------------------------------
 
@@ -74,7 +72,9 @@ def _columns(op_data: bool) -> list[str]:
 
 def newest(notifications: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` rows of every account, with their rank."""
-    by_account = Window.partitionBy("account").orderBy(*NEWEST_FIRST)
+    by_account = Window.partitionBy("account").orderBy(
+        F.desc("block_num"), F.desc("op_id"), F.desc("hook_ord")
+    )
     return notifications.withColumn("rank", F.row_number().over(by_account)).where(
         F.col("rank") <= limit
     )
