@@ -1,58 +1,67 @@
-"""JSON access on operation bodies and preference payloads (Columns only)."""
+"""JSON access on operation bodies and preference payloads.
+
+Functions here and in ``text`` take and give SQL expressions as text: a whole rule then
+reaches Spark as one expression instead of hundreds of calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from chainalerts.schemas import BODY
 
 
-def value_map(body: Column) -> Column:
+def value_map(body: str = "body") -> str:
     """``body.value`` as a map of key -> scalar text or raw JSON of a nested node."""
-    return F.from_json(body, BODY)["value"]
+    return f"from_json({body}, '{BODY}').value"
 
 
-def node(value: Column, key: str) -> Column:
+def node(value: str, key: str) -> str:
     """Member ``key`` of a JSON text, whether it was a node or JSON inside a string."""
-    return F.get_json_object(value, f"$.{key}")
+    return f"get_json_object({value}, '$.{key}')"
 
 
-def string_array(value: Column) -> Column:
-    return F.from_json(value, "array<string>")
+def first_element(value: str) -> str:
+    """First element of a JSON array as text, NULL when there is none."""
+    return f"try_element_at(from_json({value}, 'array<string>'), 1)"
 
 
-def first_element(value: Column) -> Column:
-    """First element of a JSON array as text, NULL when there is none."""
-    return F.try_element_at(string_array(value), F.lit(1))
+def variant_at(document: str, path: str) -> str:
+    return f"try_variant_get({document}, '{path}', 'variant')"
 
 
-def variant_at(document: Column, path: str) -> Column:
-    return F.try_variant_get(document, path, "variant")
+# Names of JSON types by the first word of a variant's schema.
+JSON_TYPES = (
+    "map('OBJECT', 'object', 'ARRAY', 'array', 'STRING', 'string', 'BOOLEAN', 'boolean', "
+    "'VOID', 'null', 'BIGINT', 'number', 'DECIMAL', 'number', 'DOUBLE', 'number', "
+    "'FLOAT', 'number')"
+)
 
 
-def json_type(variant: Column) -> Column:
+def json_type(variant: str) -> str:
     """JSON type name of a variant: object, array, string, number, boolean or null."""
-    names = {
-        "OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean",
-        "VOID": "null", "BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number",
-        "FLOAT": "number",
-    }
-    known = F.create_map(*[F.lit(text) for pair in names.items() for text in pair])
-    return known[F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)]
+    return f"{JSON_TYPES}[regexp_extract(schema_of_variant({variant}), '^[A-Z]+', 0)]"
 
 
-def object_entries(variant: Column) -> Column:
+def object_entries(variant: str) -> str:
     """Members of a JSON object as ``ARRAY<STRUCT<key STRING, value VARIANT>>``."""
-    return F.map_entries(F.try_variant_get(variant, "$", "map<string,variant>"))
+    return f"map_entries(try_variant_get({variant}, '$', 'map<string,variant>'))"
+
+
+def bind(value: str, name: str, use: str) -> str:
+    """``use`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def fenced(frame: DataFrame, **columns: Column) -> DataFrame:
+def fenced(frame: DataFrame, **columns: str) -> DataFrame:
     """Add columns that are computed once per row.
 
     A later filter on a plain projection is pushed below it with the expression copied
     in, so costly parses would run again in every filter. Filters on the output of a
     generator stay above it.
     """
-    row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return frame.select("*", F.inline_outer(F.array(row)))
+    return frame.selectExpr("*", f"inline_outer(array({struct(**columns)}))")

@@ -1,107 +1,84 @@
-"""Text of numbers, timestamps and remarks (Columns only)."""
+"""Text of numbers, timestamps and remarks, as SQL expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from chainalerts.constants import ACCOUNT_PATTERN, MENTION_PATTERN, TIMESTAMP_FORMAT
+from chainalerts.functions.json_values import bind
 
 
-def text(*parts: Column | str) -> Column:
-    """Concatenation in which NULL prints as nothing. Plain strings are literals."""
-    return F.concat_ws("", *[
-        F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts
-    ])
+def text(*parts: str) -> str:
+    """Concatenation in which NULL prints as nothing."""
+    return f"concat_ws('', {', '.join(parts)})"
 
 
-def _strip_zeros(number: Column) -> Column:
-    return F.regexp_replace(number, r"\.?0+$", "")
+def _strip_zeros(decimal: str) -> str:
+    return f"regexp_replace(CAST({decimal} AS STRING), '[.]?0+$', '')"
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
+def float_text(value: str) -> str:
+    """Shortest text of a DOUBLE: plain from 1e-4 up to 1e15, else like ``2.5e-05``."""
+    exponent = "substring_index(java, 'E', -1)"
+    scientific = (
+        "concat(regexp_replace(substring_index(java, 'E', 1), '[.]0$', ''), 'e', "
+        f"IF(startswith({exponent}, '-'), '-', '+'), lpad(ltrim('-', {exponent}), 2, '0'))"
+    )
+    plain = _strip_zeros("try_cast(CAST(number AS STRING) AS DECIMAL(38,20))")
+    shown = (
+        "CASE WHEN number IS NULL THEN NULL WHEN number = 0 THEN '0' "
+        f"WHEN abs(number) >= 1e-4 AND abs(number) < 1e15 THEN {plain} "
+        f"ELSE {bind('CAST(number AS STRING)', 'java', scientific)} END"
+    )
+    return bind(value, "number", shown)
 
 
-def float_text(value: Column) -> Column:
-    """Shortest text of a DOUBLE: plain from 1e-4 up to 1e15, else like ``2.5e-05``."""
-    def scientific(java: Column) -> Column:
-        mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-        exponent = F.substring_index(java, "E", -1)
-        sign = F.when(exponent.startswith("-"), "-").otherwise("+")
-        digits = F.lpad(F.ltrim(exponent, F.lit("-")), 2, "0")
-        return F.concat(mantissa, F.lit("e"), sign, digits)
-
-    def shown(number: Column) -> Column:
-        size = F.abs(number)
-        return (
-            F.when(number == 0, "0")
-            .when(
-                (size >= 1e-4) & (size < 1e15),
-                _strip_zeros(number.cast("string").try_cast("decimal(38,20)").cast("string")),
-            )
-            .otherwise(bind(number.cast("string"), scientific))
-        )
-
-    return F.when(value.isNotNull(), bind(value, shown))
-
-
-def amount_text(raw: Column, divisor: Column) -> Column:
+def amount_text(raw: str, divisor: str) -> str:
     """Text of ``raw / divisor`` as a double; ``raw`` is the amount's text.
 
     Integers of up to 15 digits are printed by exact decimal arithmetic: their double
     quotient has that decimal as its shortest text. All others go through a double.
     """
-    exact = F.try_divide(raw.try_cast("decimal(15,0)"), divisor.cast("decimal(7,0)")).cast(
-        "decimal(38,6)"
+    exact = (
+        f"CAST(try_divide(try_cast({raw} AS DECIMAL(15,0)), CAST({divisor} AS DECIMAL(7,0))) "
+        "AS DECIMAL(38,6))"
     )
-    as_double = F.try_divide(raw.try_cast("double"), divisor.cast("double"))
+    by_double = float_text(f"try_divide(try_cast({raw} AS DOUBLE), CAST({divisor} AS DOUBLE))")
     # Below 1e-4 the text is scientific, so only 0 and larger numbers are plain.
-    smallest = F.lit("0.0001").cast("decimal(38,6)")
-
-    def shown(number: Column) -> Column:
-        return F.when(
-            (number == 0) | (F.abs(number) >= smallest), _strip_zeros(number.cast("string"))
-        ).otherwise(float_text(as_double))
-
-    return F.when(raw.rlike("^-?[0-9]{1,15}$"), bind(exact, shown)).otherwise(
-        float_text(as_double)
+    shown = (
+        f"IF(quotient = 0 OR abs(quotient) >= 0.0001BD, {_strip_zeros('quotient')}, {by_double})"
+    )
+    return (
+        f"CASE WHEN {raw} IS NULL THEN NULL WHEN {raw} RLIKE '^-?[0-9]{{1,15}}$' "
+        f"THEN {bind(exact, 'quotient', shown)} ELSE {by_double} END"
     )
 
 
-def cents_of_float(value: Column) -> Column:
+def cents_of_float(value: str) -> str:
     """A double stored as a number with two decimals.
 
     The double becomes a decimal of 15 significant digits first, which heals ties that
     float arithmetic misses by an ulp, and is then rounded half away from zero.
     """
-    digits = F.format_string("%.14e", value).try_cast("decimal(38,18)")
-    return F.round(digits, 2).try_cast("decimal(10,2)")
+    digits = f"try_cast(format_string('%.14e', {value}) AS DECIMAL(38,18))"
+    return f"try_cast(round({digits}, 2) AS DECIMAL(10,2))"
 
 
-def timestamp_text(ts: Column) -> Column:
-    return F.date_format(ts, TIMESTAMP_FORMAT)
+def timestamp_text(ts: str) -> str:
+    return f'date_format({ts}, "{TIMESTAMP_FORMAT}")'
 
 
-def percent_text(value: Column) -> Column:
+def percent_text(value: str) -> str:
     """Two digits, point, two digits, percent sign; hashes from 100 up."""
-    shown = F.round(value, 2)
-    return F.when(F.abs(shown) >= 100, F.concat(F.when(shown < 0, "-").otherwise(""), F.lit("##.##%"))).otherwise(
-        F.concat(
-            F.when(shown < 0, "-").otherwise(""),
-            F.format_string("%05.2f", F.abs(shown)),
-            F.lit("%"),
-        )
+    return bind(
+        f"round({value}, 2)", "shown",
+        "concat(IF(shown < 0, '-', ''), "
+        "IF(abs(shown) >= 100, '##.##', format_string('%05.2f', abs(shown))), '%')",
     )
 
 
-def mentioned_names(body: Column) -> Column:
+def mentioned_names(body: str) -> str:
     """Distinct names mentioned in a text."""
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(MENTION_PATTERN), F.lit(1)))
+    return f"array_distinct(regexp_extract_all({body}, '{MENTION_PATTERN}', 1))"
 
 
-def valid_account_name(name: Column) -> Column:
-    return name.rlike(ACCOUNT_PATTERN)
+def valid_account_name(name: str) -> str:
+    return f"{name} RLIKE '{ACCOUNT_PATTERN}'"

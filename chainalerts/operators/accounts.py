@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import DEFAULT_PREFS, PREFERENCE_ID, RETENTION_DAYS
@@ -11,8 +11,7 @@ from chainalerts.operators.hooks import literal
 from chainalerts.sources.op_log import preference_ops
 
 
-def default_prefs() -> Column:
-    return literal(DEFAULT_PREFS, "map<string,array<string>>")
+DEFAULTS = literal(DEFAULT_PREFS, "map<string,array<string>>")
 
 
 def discover(candidates: DataFrame, preference_log: DataFrame) -> DataFrame:
@@ -63,8 +62,8 @@ def current_accounts(
         F.max_by("options", F.when(F.col("op_name") == "options", pos)).alias("options"),
     )
     made = F.col("first_seen") if created_at is None else F.lit(created_at).cast("timestamp_ntz")
-    own = F.coalesce(F.col("own"), F.create_map().cast("map<string,array<string>>"))
-    kept = F.map_filter(default_prefs(), lambda module, _: ~F.map_contains_key(own, module))
+    own = "coalesce(own, CAST(map() AS MAP<STRING,ARRAY<STRING>>))"
+    kept = f"map_filter({DEFAULTS}, (module, _) -> NOT map_contains_key({own}, module))"
     return (
         discovered.join(latest, "account", "left")
         .join(updates, "account", "left")
@@ -74,7 +73,7 @@ def current_accounts(
                 F.lit("all"),
                 (made - F.expr(f"INTERVAL {RETENTION_DAYS} DAYS")).cast("string"),
             ).alias("last_reads"),
-            F.map_concat(kept, own).alias("prefs"),
+            F.expr(f"map_concat({kept}, {own})").alias("prefs"),
             F.coalesce("options", F.lit("{}")).alias("options"),
             "prefs_updated", "options_updated",
         )
@@ -86,16 +85,15 @@ def read_marks(ops: DataFrame) -> DataFrame:
 
     Taken from payloads [..., "read", ["module.code", ...]], with or without a header.
     """
-    doc = F.col("doc")
     parsed = fenced(
         preference_ops(ops, PREFERENCE_ID),
-        doc=F.try_variant_get(F.try_parse_json(F.col("v")["json"]), "$", "array<variant>"),
-        account=first_element(F.col("v")["required_posting_auths"]),
+        doc="try_variant_get(try_parse_json(v['json']), '$', 'array<variant>')",
+        account=first_element("v['required_posting_auths']"),
     )
     named = fenced(
         parsed,
-        op_name=F.try_variant_get(F.try_element_at(doc, F.lit(-2)), "$", "string"),
-        marks=F.try_variant_get(F.try_element_at(doc, F.lit(-1)), "$", "array<string>"),
+        op_name="try_variant_get(try_element_at(doc, -2), '$', 'string')",
+        marks="try_variant_get(try_element_at(doc, -1), '$', 'array<string>')",
     )
     return (
         named.where((F.col("op_name") == "read") & F.col("account").isNotNull())

@@ -51,7 +51,7 @@ def measure_changes(ops: DataFrame) -> ChangeSize:
     """One small job over the preference operations; a single row comes back."""
     per_account = (
         preference_ops(ops, PREFERENCE_ID)
-        .groupBy(first_element(F.col("v")["required_posting_auths"]).alias("account"))
+        .groupBy(F.expr(first_element("v['required_posting_auths']")).alias("account"))
         .agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("size"))
     )
     row = per_account.agg(
@@ -61,18 +61,14 @@ def measure_changes(ops: DataFrame) -> ChangeSize:
     return ChangeSize(*row)
 
 
-def position(prefix: str = ""):
-    return F.struct(
-        F.col(f"{prefix}block_num").cast("int"), F.col(f"{prefix}op_id").cast("bigint"),
-        F.col(f"{prefix}hook_ord").cast("int"),
-    )
+POSITION = "struct(int({0}block_num), bigint({0}op_id), int({0}hook_ord))"
 
 
 def intervals(changes: DataFrame) -> DataFrame:
     """Changes as (account, module, codes, opts, since, until] with both states filled."""
     by_key = Window.partitionBy("account", "module").orderBy("pos")
     so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("pos", position()).select(
+    return changes.withColumn("pos", F.expr(POSITION.format(""))).select(
         F.col("account").alias("gate_account"), "module",
         F.last("codes", ignorenulls=True).over(so_far).alias("codes"),
         F.last("opts", ignorenulls=True).over(so_far).alias("opts"),
@@ -81,15 +77,15 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 
 def asof_broadcast(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    pos = position("r.")
+    pos = POSITION.format("r.")
     return (
         rows.alias("r")
         .join(
             F.broadcast(intervals(changes)).alias("s"),
-            (F.col("r.gate_account") == F.col("s.gate_account"))
-            & (F.col("r.module") == F.col("s.module"))
-            & (pos > F.col("s.since"))
-            & (F.col("s.until").isNull() | (pos <= F.col("s.until"))),
+            F.expr(
+                "r.gate_account = s.gate_account AND r.module = s.module "
+                f"AND {pos} > s.since AND (s.until IS NULL OR {pos} <= s.until)"
+            ),
             "left",
         )
         .select("r.*", "s.codes", "s.opts")
@@ -106,7 +102,7 @@ def asof_shuffle(
 
     # What each bucket leaves behind, and the groups that need to know it. Both are
     # reduced before the shuffle; a key has at most two rows per bucket here.
-    pos = position()
+    pos = F.expr(POSITION.format(""))
     left_behind = changes.groupBy(*key, "bucket").agg(
         F.max_by("codes", F.when(F.col("codes").isNotNull(), pos)).alias("codes"),
         F.max_by("opts", F.when(F.col("opts").isNotNull(), pos)).alias("opts"),

@@ -1,9 +1,13 @@
-"""Notification handlers: an operation's value map -> its recipients.
+"""Notification handlers: an operation's values -> its recipients.
 
-A handler is a function of the parsed values and the semantics mode that returns an
-``ARRAY<RECIPIENT>`` column. All handlers become one CASE over the hook's function, so
-the log is read and parsed once whatever the number of rules. JSON nodes a handler looks
-into are declared with their fields, so each of them is parsed once per operation too.
+A handler is a function of the semantics mode that gives an SQL expression of type
+``ARRAY<RECIPIENT>``. All handlers become one CASE over the hook's function, so the log
+is read and parsed once whatever the number of rules. A handler reads:
+
+* ``v['key']``: a field's text, or the raw JSON of a node;
+* ``amount1.amount``, ``amount1.nai``, ``shown1``: raw text, asset id and printed text of
+  its first declared amount; 2 and 3 likewise;
+* ``nodes.key.field``: a field of a declared JSON node.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import (
-    ASSET_IDS, ASSETS, HBD, LINK_BASE, MAX_ACCOUNT, MAX_ASSET, MAX_MEMO, MAX_TEXT, TOKEN_TRANSFER_ID,
+    ASSET_IDS, ASSETS, HBD, LINK_BASE, MAX_ACCOUNT, MAX_ASSET, MAX_MEMO, MAX_TEXT,
+    TOKEN_TRANSFER_ID,
 )
-from chainalerts.functions.json_values import first_element
+from chainalerts.functions.json_values import bind, first_element, struct
 from chainalerts.functions.text import (
-    amount_text, bind, cents_of_float, float_text, mentioned_names, text,
+    amount_text, cents_of_float, float_text, mentioned_names, text,
 )
 
-# ``gate_account`` is whose preferences decide. ``limit_value`` is dropped when it is
+# ``gate_account`` is whose preferences decide. The row is dropped when ``limit_value`` is
 # below the account's option ``limit_key``. ``error`` rejects the row at once,
 # ``error_if_sent`` only if the preferences let it through.
 RECIPIENT = (
@@ -30,42 +35,17 @@ RECIPIENT = (
     "link: STRING, verified: BOOLEAN, limit_key: STRING, limit_value: DOUBLE, "
     "error: STRING, error_if_sent: STRING>"
 )
+NOBODY = f"CAST(array() AS ARRAY<{RECIPIENT}>)"
+NO_TEXT = "CAST(NULL AS STRING)"
 SEMANTICS = ("reference", "fixed")
-
 AMOUNT = "amount STRING, nai STRING"
 # Divisor of an amount that is printed in its own asset.
 BY_ASSET = 0
 
 
-class Values:
-    """What a handler reads of an operation.
-
-    ``v[key]`` is a field's text and ``v.node(key)`` a parsed JSON node. Of a declared
-    amount, ``raw``, ``asset`` and ``shown`` are its integer text, asset id and text.
-    """
-
-    def __init__(self, amounts: dict[str, int]):
-        self._slots = {key: slot for slot, key in enumerate(amounts, start=1)}
-
-    def __getitem__(self, key: str) -> Column:
-        return F.col("v")[key]
-
-    def node(self, key: str) -> Column:
-        return F.col("nodes")[key]
-
-    def raw(self, key: str) -> Column:
-        return F.col(f"amount{self._slots[key]}")["amount"]
-
-    def asset(self, key: str) -> Column:
-        return F.col(f"amount{self._slots[key]}")["nai"]
-
-    def shown(self, key: str) -> Column:
-        return F.col(f"shown{self._slots[key]}")
-
-
 @dataclass(frozen=True)
 class Handler:
-    function: Callable[[Values, str], Column]
+    function: Callable[[str], str]
     amounts: dict[str, int] = field(default_factory=dict)
     nodes: dict[str, str] = field(default_factory=dict)
 
@@ -75,7 +55,7 @@ _handlers: dict[str, Handler] = {}
 
 def register_handler(
     name: str,
-    function: Callable[[Values, str], Column],
+    function: Callable[[str], str],
     amounts: dict[str, int] | None = None,
     nodes: dict[str, str] | None = None,
 ) -> None:
@@ -103,13 +83,12 @@ def _chosen(functions: Iterable[str]) -> dict[str, Handler]:
     return {name: _handlers[name] for name in sorted(set(functions))}
 
 
-def _case(branches: list[tuple[str, Column]]) -> Column:
-    """CASE over the hook's function."""
-    cases = None
-    for name, column in branches:
-        matches = F.col("funct") == name
-        cases = F.when(matches, column) if cases is None else cases.when(matches, column)
-    return cases
+def _case(subject: str, branches: dict, otherwise: str = "NULL") -> str:
+    """CASE over a column; ``otherwise`` alone when there is no branch."""
+    if not branches:
+        return otherwise
+    whens = " ".join(f"WHEN '{name}' THEN {value}" for name, value in branches.items())
+    return f"CASE {subject} {whens} ELSE {otherwise} END"
 
 
 def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
@@ -126,317 +105,283 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
                 raise ValueError(f"handler {name} declares other fields for {key}")
     parsed, divisors, texts = {}, {}, {}
     if nodes:
-        parsed["nodes"] = F.struct(*[
-            F.from_json(
-                F.when(
-                    F.col("funct").isin([n for n, h in handlers.items() if key in h.nodes]),
-                    F.col("v")[key],
-                ),
+        parsed["nodes"] = struct(**{
+            key: "from_json({}, '{}')".format(
+                _case("funct", {n: f"v['{key}']" for n, h in handlers.items() if key in h.nodes}),
                 ddl,
-            ).alias(key)
+            )
             for key, ddl in sorted(nodes.items())
-        ])
+        })
     for slot in range(1, max((len(h.amounts) for h in handlers.values()), default=0) + 1):
         held = {
             name: list(handler.amounts.items())[slot - 1]
             for name, handler in handlers.items()
             if len(handler.amounts) >= slot
         }
-        amount = F.col(f"amount{slot}")
-        by_asset = F.lit(None).cast("int")
-        for asset_id, (_, divisor) in ASSETS.items():
-            by_asset = F.when(amount["nai"] == asset_id, divisor).otherwise(by_asset)
-        parsed[f"amount{slot}"] = F.from_json(
-            _case([(name, F.col("v")[key]) for name, (key, _) in held.items()]), AMOUNT
+        column = f"amount{slot}"
+        by_asset = _case(f"{column}.nai", {nai: divisor for nai, (_, divisor) in ASSETS.items()})
+        parsed[column] = "from_json({}, '{}')".format(
+            _case("funct", {name: f"v['{key}']" for name, (key, _) in held.items()}), AMOUNT
         )
-        divisors[f"divisor{slot}"] = _case([
-            (name, by_asset if divisor == BY_ASSET else F.lit(divisor))
+        divisors[f"divisor{slot}"] = _case("funct", {
+            name: divisor if divisor != BY_ASSET else by_asset
             for name, (_, divisor) in held.items()
-        ])
-        texts[f"shown{slot}"] = amount_text(amount["amount"], F.col(f"divisor{slot}"))
+        })
+        texts[f"shown{slot}"] = amount_text(f"{column}.amount", f"divisor{slot}")
     for columns in (parsed, divisors, texts):
         if columns:
-            matched = matched.withColumns(columns)
+            matched = matched.selectExpr(
+                "*", *[f"{expression} AS {name}" for name, expression in columns.items()]
+            )
     return matched
 
 
+def recipients(functions: Iterable[str], semantics: str) -> Column:
+    """The recipients of each (operation, hook), by the hook's function."""
+    if semantics not in SEMANTICS:
+        raise ValueError(f"semantics must be one of {SEMANTICS}")
+    rows = {name: h.function(semantics) for name, h in _chosen(functions).items()}
+    return F.expr(_case("funct", rows, NOBODY))
+
+
 def recipient(
-    account: Column, remark: Column, link: Column, *, gate_account: Column | None = None,
-    gate: Column | None = None, verified: Column | None = None,
-    limit_key: Column | None = None, limit_value: Column | None = None,
-    error: Column | None = None, error_if_sent: Column | None = None,
-) -> Column:
-    def null(column, kind):
-        return (F.lit(None) if column is None else column).cast(kind)
-
-    return F.struct(
-        account.alias("account"),
-        (account if gate_account is None else gate_account).alias("gate_account"),
-        (F.lit(True) if gate is None else gate).alias("gate"),
-        remark.alias("remark"),
-        link.alias("link"),
-        (F.lit(True) if verified is None else verified).alias("verified"),
-        null(limit_key, "string").alias("limit_key"),
-        null(limit_value, "double").alias("limit_value"),
-        null(error, "string").alias("error"),
-        null(error_if_sent, "string").alias("error_if_sent"),
+    account: str, remark: str, link: str, *, gate_account: str | None = None,
+    gate: str = "true", verified: str = "true", limit_key: str = NO_TEXT,
+    limit_value: str = "CAST(NULL AS DOUBLE)", error: str = NO_TEXT,
+    error_if_sent: str = NO_TEXT,
+) -> str:
+    return struct(
+        account=account, gate_account=gate_account or account, gate=gate, remark=remark,
+        link=link, verified=verified, limit_key=limit_key, limit_value=limit_value,
+        error=error, error_if_sent=error_if_sent,
     )
 
 
-def nobody() -> Column:
-    return F.array().cast(f"array<{RECIPIENT}>")
+def only_if(condition: str, row: str) -> str:
+    return f"IF({condition}, array({row}), {NOBODY})"
 
 
-def only_if(condition: Column, row: Column) -> Column:
-    return F.when(condition, F.array(row)).otherwise(nobody())
+def profile_link(name: str) -> str:
+    return text(f"'{LINK_BASE}@'", name)
 
 
-def profile_link(name: Column) -> Column:
-    return text(LINK_BASE + "@", name)
+def post_link(author: str, permlink: str) -> str:
+    return text(f"'{LINK_BASE}@'", author, "'/'", permlink)
 
 
-def post_link(author: Column, permlink: Column) -> Column:
-    return text(LINK_BASE + "@", author, "/", permlink)
+def first_error(*errors: str) -> str:
+    return f"coalesce({', '.join(errors)})"
 
 
-def _first_error(*errors: Column) -> Column:
-    return F.coalesce(*errors)
+def _longer(size: str, limit: int, what: str) -> str:
+    return f"IF({size} > {limit}, '{what} is longer than {limit}', NULL)"
 
 
-def _too_long(v: Values, limit: int, *keys: str) -> Column:
-    sizes = [F.length(v[key]) for key in keys]
-    longest = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
-    return F.when(longest > limit, f"{' or '.join(keys)} is longer than {limit}")
+def too_long(limit: int, *keys: str) -> str:
+    sizes = [f"length(v['{key}'])" for key in keys]
+    longest = f"greatest({', '.join(sizes)})" if len(sizes) > 1 else sizes[0]
+    return _longer(longest, limit, " or ".join(keys))
 
 
-def _not_number(raw: Column, what: str) -> Column:
-    return F.when(raw.isNotNull() & raw.try_cast("double").isNull(), f"{what} is not a number")
+def _unless_cast(raw: str, kind: str, message: str) -> str:
+    return f"IF({raw} IS NOT NULL AND try_cast({raw} AS {kind}) IS NULL, '{message}', NULL)"
 
 
-def _not_integer(raw: Column, what: str) -> Column:
-    return F.when(
-        raw.isNotNull() & raw.try_cast("bigint").isNull(), f"{what} is not an integer"
-    )
+def not_number(raw: str, what: str) -> str:
+    return _unless_cast(raw, "DOUBLE", f"{what} is not a number")
+
+
+def not_integer(raw: str, what: str) -> str:
+    return _unless_cast(raw, "BIGINT", f"{what} is not an integer")
 
 
 @_handler("core_transfer", {"amount": BY_ASSET})
-def transfer(v: Values, semantics: str) -> Column:
-    raw, asset = v.raw("amount"), v.asset("amount")
-    currency = F.lit(None).cast("string")
-    for asset_id, (name, _) in ASSETS.items():
-        currency = F.when(asset == asset_id, name).otherwise(currency)
-    limited = asset.isin(ASSET_IDS["HBD"], ASSET_IDS["HIVE"])
-    too_long = _first_error(
-        _too_long(v, MAX_ACCOUNT, "from", "to"),
-        F.when(F.length(asset) > MAX_ASSET, f"asset is longer than {MAX_ASSET}"),
-        _too_long(v, MAX_MEMO, "memo"),
+def transfer(semantics: str) -> str:
+    raw, asset = "amount1.amount", "amount1.nai"
+    currency = _case(asset, {nai: f"'{name}'" for nai, (name, _) in ASSETS.items()})
+    limited = f"{asset} IN ('{ASSET_IDS['HBD']}', '{ASSET_IDS['HIVE']}')"
+    overlong = first_error(
+        too_long(MAX_ACCOUNT, "from", "to"),
+        _longer(f"length({asset})", MAX_ASSET, "asset"),
+        too_long(MAX_MEMO, "memo"),
     )
     row = recipient(
-        v["to"],
-        text("you have received ", v.shown("amount"), " ", currency, " from ", v["from"]),
-        profile_link(v["from"]),
-        limit_key=F.when(limited, F.concat(F.lit("min_"), F.lower(currency))),
-        limit_value=F.when(limited, raw.try_cast("double") / 1000),
-        error=_first_error(too_long, F.when(currency.isNotNull(), _not_number(raw, "amount"))),
+        "v['to']",
+        text("'you have received '", "shown1", "' '", currency, "' from '", "v['from']"),
+        profile_link("v['from']"),
+        limit_key=f"IF({limited}, concat('min_', lower({currency})), NULL)",
+        limit_value=f"IF({limited}, try_cast({raw} AS DOUBLE) / 1000, NULL)",
+        error=first_error(
+            overlong, f"IF({currency} IS NOT NULL, {not_number(raw, 'amount')}, NULL)"
+        ),
     )
-    complete = v["from"].isNotNull() & v["to"].isNotNull() & asset.isNotNull()
-    return only_if(complete | too_long.isNotNull(), row)
+    complete = f"(v['from'] IS NOT NULL AND v['to'] IS NOT NULL AND {asset} IS NOT NULL)"
+    return only_if(f"{complete} OR {overlong} IS NOT NULL", row)
 
 
 @_handler("core_deleg", {"vesting_shares": 1_000_000})
-def delegation(v: Values, semantics: str) -> Column:
-    raw = v.raw("vesting_shares")
-    vests = (raw.try_cast("decimal(19,0)").cast("decimal(38,6)") / F.lit(1_000_000)).cast(
-        "decimal(38,6)"
-    )
-    remark = F.when(
-        raw.try_cast("bigint") > 0,
-        text(v["delegator"], " is now delegating ", vests, " VESTS to you"),
-    ).otherwise(text(v["delegator"], " removed their vesting delegation"))
-    return F.array(recipient(
-        v["delegatee"], remark, profile_link(v["delegator"]),
-        error=_first_error(
-            _too_long(v, MAX_ACCOUNT, "delegator", "delegatee"), _not_integer(raw, "amount")
+def delegation(semantics: str) -> str:
+    raw = "amount1.amount"
+    vests = f"CAST(try_cast({raw} AS DECIMAL(19,0)) / 1000000 AS DECIMAL(38,6))"
+    given = text("v['delegator']", "' is now delegating '", vests, "' VESTS to you'")
+    removed = text("v['delegator']", "' removed their vesting delegation'")
+    return "array({})".format(recipient(
+        "v['delegatee']",
+        f"IF(try_cast({raw} AS BIGINT) > 0, {given}, {removed})",
+        profile_link("v['delegator']"),
+        error=first_error(
+            too_long(MAX_ACCOUNT, "delegator", "delegatee"), not_integer(raw, "amount")
         ),
     ))
 
 
 PAYOUTS = {"hbd_payout": 1_000, "hive_payout": 1_000, "vesting_payout": 1_000_000}
+SHOWN_PAYOUTS = ("shown1", "' HBD, '", "shown2", "' HIVE, '", "shown3", "' VESTS'")
 
 
-def _payouts(v: Values) -> tuple[Column, Column]:
-    """Text of the three payouts of a reward, and what is wrong with them."""
-    hbd, hive, vests = (v.shown(key) for key in PAYOUTS)
-    wrong = _first_error(*[_not_number(v.raw(key), key) for key in PAYOUTS])
-    return text(hbd, " HBD, ", hive, " HIVE, ", vests, " VESTS"), wrong
+def _wrong_amounts(*keys: str) -> str:
+    return first_error(
+        *[not_number(f"amount{slot}.amount", key) for slot, key in enumerate(keys, start=1)]
+    )
 
 
 @_handler("core_author_reward", PAYOUTS)
-def author_reward(v: Values, semantics: str) -> Column:
-    shown, wrong = _payouts(v)
-    return F.array(recipient(
-        v["author"],
-        text("You received a reward for your post. ", shown),
-        post_link(v["author"], v["permlink"]),
-        error=_first_error(_too_long(v, MAX_ACCOUNT, "author"), _too_long(v, MAX_TEXT, "permlink")),
-        error_if_sent=wrong,
+def author_reward(semantics: str) -> str:
+    return "array({})".format(recipient(
+        "v['author']",
+        text("'You received a reward for your post. '", *SHOWN_PAYOUTS),
+        post_link("v['author']", "v['permlink']"),
+        error=first_error(too_long(MAX_ACCOUNT, "author"), too_long(MAX_TEXT, "permlink")),
+        error_if_sent=_wrong_amounts(*PAYOUTS),
     ))
 
 
 @_handler("core_comment_benefactor_reward", PAYOUTS)
-def benefactor_reward(v: Values, semantics: str) -> Column:
-    shown, wrong = _payouts(v)
-    return F.array(recipient(
-        v["benefactor"],
-        text("You received a benefactor reward from ", v["author"], ": ", shown),
-        post_link(v["author"], v["permlink"]),
-        error=_first_error(
-            _too_long(v, MAX_ACCOUNT, "benefactor", "author"), _too_long(v, MAX_TEXT, "permlink")
+def benefactor_reward(semantics: str) -> str:
+    return "array({})".format(recipient(
+        "v['benefactor']",
+        text("'You received a benefactor reward from '", "v['author']", "': '", *SHOWN_PAYOUTS),
+        post_link("v['author']", "v['permlink']"),
+        error=first_error(
+            too_long(MAX_ACCOUNT, "benefactor", "author"), too_long(MAX_TEXT, "permlink")
         ),
-        error_if_sent=wrong,
+        error_if_sent=_wrong_amounts(*PAYOUTS),
     ))
 
 
 @_handler("core_curation_reward", {"reward": 1_000_000})
-def curation_reward(v: Values, semantics: str) -> Column:
-    return F.array(recipient(
-        v["curator"],
-        text("You received a curation reward of ", v.shown("reward"), " VESTS"),
-        post_link(v["comment_author"], v["comment_permlink"]),
-        error=_too_long(v, MAX_ACCOUNT, "curator"),
-        error_if_sent=_not_number(v.raw("reward"), "reward"),
+def curation_reward(semantics: str) -> str:
+    return "array({})".format(recipient(
+        "v['curator']",
+        text("'You received a curation reward of '", "shown1", "' VESTS'"),
+        post_link("v['comment_author']", "v['comment_permlink']"),
+        error=too_long(MAX_ACCOUNT, "curator"),
+        error_if_sent=_wrong_amounts("reward"),
     ))
 
 
 @_handler("core_fill_convert_request", {"amount_in": 1_000, "amount_out": 1_000})
-def conversion(v: Values, semantics: str) -> Column:
-    given_hbd = v.asset("amount_in").eqNullSafe(HBD)
+def conversion(semantics: str) -> str:
     # The established texts name the two currencies the wrong way round.
-    hive_first = given_hbd if semantics == "reference" else ~given_hbd
-    given, got = v.shown("amount_in"), v.shown("amount_out")
-    remark = F.when(
-        hive_first, text("Successfully converted ", given, " HIVE to ", got, " HBD")
-    ).otherwise(text("Successfully converted ", given, " HBD to ", got, " HIVE"))
-    return F.array(recipient(
-        v["owner"], remark, profile_link(v["owner"]),
-        error=_too_long(v, MAX_ACCOUNT, "owner"),
-        error_if_sent=_first_error(
-            *[_not_number(v.raw(key), key) for key in ("amount_in", "amount_out")]
-        ),
+    hive_first = f"amount1.nai <=> '{HBD}'"
+    if semantics == "fixed":
+        hive_first = f"NOT ({hive_first})"
+    to_hbd = text("'Successfully converted '", "shown1", "' HIVE to '", "shown2", "' HBD'")
+    to_hive = text("'Successfully converted '", "shown1", "' HBD to '", "shown2", "' HIVE'")
+    return "array({})".format(recipient(
+        "v['owner']", f"IF({hive_first}, {to_hbd}, {to_hive})", profile_link("v['owner']"),
+        error=too_long(MAX_ACCOUNT, "owner"),
+        error_if_sent=_wrong_amounts("amount_in", "amount_out"),
     ))
 
 
-def vote_value(weight: Column, total: Column, payout: Column) -> Column:
+def vote_value(weight: str, total: str, payout: str) -> str:
     """Dollar value of a vote with two decimals: 0 if a part is 0, NULL if one is missing."""
-    share = F.try_divide(weight.cast("double"), total.cast("double"))
-    return F.when(
-        (weight == 0) | (total == 0) | (payout == 0), F.lit(0).cast("decimal(10,2)")
-    ).otherwise(cents_of_float(share * payout.cast("double") / 1000))
+    share = f"try_divide(CAST({weight} AS DOUBLE), CAST({total} AS DOUBLE))"
+    dollars = f"{share} * CAST({payout} AS DOUBLE) / 1000"
+    return (
+        f"IF({weight} = 0 OR {total} = 0 OR {payout} = 0, CAST(0 AS DECIMAL(10,2)), "
+        f"{cents_of_float(dollars)})"
+    )
 
 
 @_handler("core_vote", {"pending_payout": 1_000})
-def vote(v: Values, semantics: str) -> Column:
+def vote(semantics: str) -> str:
     raw = {
-        "weight": v["weight"], "total_vote_weight": v["total_vote_weight"],
-        "pending_payout": v.raw("pending_payout"),
+        "weight": "v['weight']", "total_vote_weight": "v['total_vote_weight']",
+        "pending_payout": "amount1.amount",
     }
-    parts = [column.try_cast("bigint") for column in raw.values()]
-    error = _first_error(
-        _too_long(v, MAX_ACCOUNT, "voter", "author"), _too_long(v, MAX_TEXT, "permlink"),
-        *[_not_integer(column, name) for name, column in raw.items()],
+    parts = [f"try_cast({column} AS BIGINT)" for column in raw.values()]
+    all_known = " AND ".join(f"{part} IS NOT NULL" for part in parts)
+    row = recipient(
+        "v['author']",
+        text("v['voter']", "' voted on your post ($'", "CAST(value AS STRING)", "')'"),
+        post_link("v['author']", "v['permlink']"),
+        gate="coalesce(value > 0.01BD, false)",
+        error=first_error(
+            too_long(MAX_ACCOUNT, "voter", "author"), too_long(MAX_TEXT, "permlink"),
+            *[not_integer(column, name) for name, column in raw.items()],
+            f"IF(value IS NULL AND {all_known}, 'value is out of range', NULL)",
+        ),
     )
-    missing = parts[0].isNull() | parts[1].isNull() | parts[2].isNull()
-
-    def row(value):
-        return recipient(
-            v["author"],
-            text(v["voter"], " voted on your post ($", value, ")"),
-            post_link(v["author"], v["permlink"]),
-            gate=F.coalesce(value > F.lit("0.01").cast("decimal(10,2)"), F.lit(False)),
-            error=_first_error(
-                error, F.when(value.isNull() & ~missing, "value is out of range")
-            ),
-        )
+    return f"array({bind(vote_value(*parts), 'value', row)})"
 
-    return F.array(bind(vote_value(*parts), row))
 
-
-def _is_reply(v: Values) -> Column:
-    return F.coalesce(
-        (F.length(v["parent_author"]) > 0) & (F.length(v["parent_permlink"]) > 0), F.lit(False)
-    )
+IS_REPLY = "coalesce(length(v['parent_author']) > 0 AND length(v['parent_permlink']) > 0, false)"
 
 
-def _comment_errors(v: Values) -> Column:
-    return _first_error(
-        _too_long(v, MAX_ACCOUNT, "parent_author", "author"),
-        _too_long(v, MAX_TEXT, "parent_permlink", "permlink"),
+def _comment_errors() -> str:
+    return first_error(
+        too_long(MAX_ACCOUNT, "parent_author", "author"),
+        too_long(MAX_TEXT, "parent_permlink", "permlink"),
     )
 
 
 @_handler("core_comment")
-def comment(v: Values, semantics: str) -> Column:
+def comment(semantics: str) -> str:
     # The established rule stores the row for the commenter and names the parent author.
-    parent, author = v["parent_author"], v["author"]
-    to, named = (author, parent) if semantics == "reference" else (parent, author)
-    error = _comment_errors(v)
-    return only_if(
-        _is_reply(v) | error.isNotNull(),
-        recipient(
-            to, text(named, " commented on your post"), post_link(author, v["permlink"]),
-            gate_account=parent, error=error,
-        ),
+    to, named = "v['author']", "v['parent_author']"
+    if semantics == "fixed":
+        to, named = named, to
+    row = recipient(
+        to, text(named, "' commented on your post'"), post_link("v['author']", "v['permlink']"),
+        gate_account="v['parent_author']", error=_comment_errors(),
     )
+    return only_if(f"{IS_REPLY} OR {_comment_errors()} IS NOT NULL", row)
 
 
 @_handler("core_mention")
-def mention(v: Values, semantics: str) -> Column:
-    author, reply, error = v["author"], _is_reply(v), _comment_errors(v)
-    names = F.array_except(mentioned_names(v["body"]), F.array(author))
-    remark = text(
-        author, " mentioned you in a ", F.when(reply, "comment").otherwise("post")
-    )
-    own = post_link(author, v["permlink"])
-    link = F.when(
-        reply,
-        text(post_link(v["parent_author"], v["parent_permlink"]), "#@", author, "/", v["permlink"]),
-    ).otherwise(own)
-    mentioned = F.coalesce(
-        F.transform(names, lambda name: recipient(name, remark, link)), nobody()
-    )
-    return F.when(
-        error.isNotNull(), F.array(recipient(author, remark, link, error=error))
-    ).otherwise(mentioned)
+def mention(semantics: str) -> str:
+    error = _comment_errors()
+    remark = text("v['author']", "' mentioned you in a '", f"IF({IS_REPLY}, 'comment', 'post')")
+    own = post_link("v['author']", "v['permlink']")
+    parent = post_link("v['parent_author']", "v['parent_permlink']")
+    in_reply = text(parent, "'#@'", "v['author']", "'/'", "v['permlink']")
+    link = f"IF({IS_REPLY}, {in_reply}, {own})"
+    body = "v['body']"
+    names = f"array_except({mentioned_names(body)}, array(v['author']))"
+    rows = f"transform({names}, name -> {recipient('name', remark, link)})"
+    failed = recipient("v['author']", remark, link, error=error)
+    return f"IF({error} IS NOT NULL, array({failed}), coalesce({rows}, {NOBODY}))"
 
 
 @_handler(
     "sm_token_transfer", json="`to` STRING, qty STRING, token STRING, memo STRING"
 )
-def token_transfer(v: Values, semantics: str) -> Column:
-    payload = v.node("json")
-    sender, to = first_element(v["required_auths"]), payload["to"]
-    qty, token = payload["qty"], payload["token"]
+def token_transfer(semantics: str) -> str:
+    to, qty, token = "nodes.json.to", "nodes.json.qty", "nodes.json.token"
+    sender = first_element("v['required_auths']")
+    shown = float_text(f"try_cast({qty} AS DOUBLE)")
     row = recipient(
         to,
-        text("you have received ", float_text(qty.try_cast("double")), " ", token, " from ", sender),
+        text("'you have received '", shown, "' '", token, "' from '", sender),
         profile_link(sender),
-        verified=F.lit(None).cast("boolean"),
-        error=_first_error(
-            F.when(F.length(sender) > MAX_ACCOUNT, f"sender is longer than {MAX_ACCOUNT}"),
-            _not_number(qty, "qty"),
-            F.when(F.length(token) > MAX_ASSET, f"token is longer than {MAX_ASSET}"),
-            F.when(F.length(payload["memo"]) > MAX_MEMO, f"memo is longer than {MAX_MEMO}"),
+        verified="CAST(NULL AS BOOLEAN)",
+        error=first_error(
+            _longer(f"length({sender})", MAX_ACCOUNT, "sender"),
+            not_number(qty, "qty"),
+            _longer(f"length({token})", MAX_ASSET, "token"),
+            _longer("length(nodes.json.memo)", MAX_MEMO, "memo"),
         ),
     )
-    return only_if((v["id"] == TOKEN_TRANSFER_ID) & to.isNotNull(), row)
-
-
-def recipients(functions: Iterable[str], semantics: str) -> Column:
-    """The recipients of each (operation, hook), by the hook's function."""
-    if semantics not in SEMANTICS:
-        raise ValueError(f"semantics must be one of {SEMANTICS}")
-    cases = _case([
-        (name, handler.function(Values(handler.amounts), semantics))
-        for name, handler in _chosen(functions).items()
-    ])
-    return nobody() if cases is None else cases.otherwise(nobody())
+    return only_if(f"v['id'] = '{TOKEN_TRANSFER_ID}' AND {to} IS NOT NULL", row)

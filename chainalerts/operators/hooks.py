@@ -10,7 +10,7 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainalerts import schemas
@@ -155,9 +155,10 @@ def _filter_text(rule) -> str:
     return rule or ""
 
 
-def literal(value, ddl: str) -> Column:
-    """A driver-held constant as a column; the optimizer folds it."""
-    return F.from_json(F.lit(json.dumps(value)), ddl)
+def literal(value, ddl: str) -> str:
+    """A driver-held constant as an expression; the optimizer folds it."""
+    text = json.dumps(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"from_json('{text}', '{ddl}')"
 
 
 def small(frame: DataFrame, rows: int) -> DataFrame:
@@ -165,13 +166,11 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_HOOKS else frame
 
 
-def passes_filter(rule: Column, values: Column) -> Column:
-    """A hook's filter is a JSON map of body field -> required text; empty passes."""
-    wanted = F.map_entries(F.from_json(rule, "map<string,string>"))
-    return (F.length(rule) == 0) | F.coalesce(
-        F.forall(wanted, lambda entry: values[entry["key"]].eqNullSafe(entry["value"])),
-        F.lit(False),
-    )
+# A hook's filter is a JSON map of body field -> required text; empty passes.
+PASSES_FILTER = (
+    "length(notif_filter) = 0 OR coalesce(forall(map_entries(from_json(notif_filter, "
+    "'map<string,string>')), wanted -> v[wanted.key] <=> wanted.value), false)"
+)
 
 
 def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
@@ -181,15 +180,15 @@ def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
     """
     chosen = catalog.notifying_hooks() if hooks is None else hooks
     types = sorted({hook.op_id for _, hook in chosen})
-    rules = catalog.hooks_frame(values.sparkSession, chosen).select(
-        F.col("module"), F.col("notif_name"), F.col("notif_code"), F.col("funct"),
-        F.col("op_id").alias("op_type_id"), F.col("notif_filter"), F.col("hook_ord"),
+    rules = catalog.hooks_frame(values.sparkSession, chosen).selectExpr(
+        "module", "notif_name", "notif_code", "funct", "op_id AS op_type_id", "notif_filter",
+        "hook_ord",
     )
     matched = values.where(F.col("op_type_id").isin(types)).join(
         small(rules, len(chosen)), "op_type_id"
     )
     if any(hook.notif_filter for _, hook in chosen):
-        matched = matched.where(passes_filter(F.col("notif_filter"), F.col("v")))
+        matched = matched.where(PASSES_FILTER)
     return matched
 
 

@@ -6,12 +6,12 @@ operation is validated as a whole before it is exploded to history rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import ALL_CODES, MAX_ACCOUNT, PREFERENCE_ID
 from chainalerts.functions.json_values import (
-    fenced, first_element, json_type, object_entries, variant_at,
+    fenced, first_element, json_type, object_entries, struct, variant_at,
 )
 from chainalerts.operators.hooks import Catalog, literal
 from chainalerts.sources.op_log import preference_ops
@@ -23,94 +23,72 @@ def envelope(values: DataFrame) -> DataFrame:
     ``valid``: [[number, string], name, object], or an object (it passes, and does
     nothing). ``effective``: valid, a known name, and the third element is there.
     """
-    payload, doc, header = F.col("v")["json"], F.col("doc"), F.col("header")
-    parsed = fenced(values, doc=F.try_parse_json(payload), items=F.json_array_length(payload))
+    name, data = variant_at("doc", "$[1]"), variant_at("doc", "$[2]")
+    parsed = fenced(
+        values, doc="try_parse_json(v['json'])", items="json_array_length(v['json'])"
+    )
     looked = fenced(
         parsed,
-        doc_type=json_type(doc),
-        header=F.try_variant_get(doc, "$[0]", "array<variant>"),
-        name_type=json_type(variant_at(doc, "$[1]")),
-        op_name=F.when(
-            json_type(variant_at(doc, "$[1]")) == "string",
-            F.try_variant_get(doc, "$[1]", "string"),
-        ),
-        data=variant_at(doc, "$[2]"),
-        data_type=json_type(variant_at(doc, "$[2]")),
+        doc_type=json_type("doc"),
+        header="try_variant_get(doc, '$[0]', 'array<variant>')",
+        name_type=json_type(name),
+        op_name=f"IF({json_type(name)} = 'string', try_variant_get(doc, '$[1]', 'string'), NULL)",
+        data=data,
+        data_type=json_type(data),
     )
     shape_ok = (
-        (F.col("items") >= 1)
-        & (F.size(header) == 2)
-        & (json_type(F.try_element_at(header, F.lit(1))) == "number")
-        & (json_type(F.try_element_at(header, F.lit(2))) == "string")
-        & ((F.col("items") < 2) | (F.col("name_type") == "string"))
-        & ((F.col("items") < 3) | (F.col("data_type") == "object"))
-    )
-    valid = F.coalesce(
-        (F.col("doc_type") == "object") | ((F.col("doc_type") == "array") & shape_ok),
-        F.lit(False),
+        "items >= 1 AND size(header) = 2 "
+        f"AND {json_type('try_element_at(header, 1)')} = 'number' "
+        f"AND {json_type('try_element_at(header, 2)')} = 'string' "
+        "AND (items < 2 OR name_type = 'string') AND (items < 3 OR data_type = 'object')"
     )
-    known = F.col("op_name").isin("enabled", "options") & (F.col("data_type") == "object")
+    valid = f"coalesce(doc_type = 'object' OR (doc_type = 'array' AND {shape_ok}), false)"
+    known = "op_name IN ('enabled', 'options') AND data_type = 'object'"
     return (
         fenced(looked, valid=valid)
-        .withColumn("effective", F.col("valid") & F.coalesce(known, F.lit(False)))
+        .selectExpr("*", f"valid AND coalesce({known}, false) AS effective")
         .drop("header", "items", "name_type", "data_type", "doc_type")
     )
 
 
-def _enabled_entries(data: Column, codes: Column) -> Column:
+def _enabled_entries(codes: str) -> str:
     """Modules of an ``enabled`` operation with ``*`` replaced by the module's codes."""
-    def entry(item):
-        listed = F.try_variant_get(item["value"], "$", "array<string>")
-        starred = F.coalesce(F.array_contains(listed, ALL_CODES), F.lit(False))
-        is_list = json_type(item["value"]) == "array"
-        known = codes[item["key"]]
-        return F.struct(
-            item["key"].alias("module"),
-            F.when(starred, known).otherwise(listed).alias("codes"),
-            # Not a list, or ``*`` of an unknown module.
-            (~is_list | (starred & known.isNull())).alias("broken"),
-            F.coalesce(
-                starred
-                | F.forall(listed, lambda code: F.coalesce(
-                    F.array_contains(F.coalesce(known, F.array().cast("array<string>")), code),
-                    F.lit(False))),
-                F.lit(False),
-            ).alias("known"),
-        )
-
-    return F.transform(object_entries(data), entry)
+    listed = "try_variant_get(entry.value, '$', 'array<string>')"
+    known = f"{codes}[entry.key]"
+    starred = f"coalesce(array_contains({listed}, '{ALL_CODES}'), false)"
+    not_a_list = f"NOT coalesce({json_type('entry.value')} = 'array', false)"
+    no_codes = "CAST(array() AS ARRAY<STRING>)"
+    each_known = (
+        f"forall({listed}, code -> coalesce(array_contains(coalesce({known}, {no_codes}), code), "
+        "false))"
+    )
+    row = struct(
+        module="entry.key",
+        codes=f"IF({starred}, {known}, {listed})",
+        # Not a list, or ``*`` of an unknown module.
+        broken=f"{not_a_list} OR ({starred} AND {known} IS NULL)",
+        known=f"coalesce({starred} OR {each_known}, false)",
+    )
+    return f"transform({object_entries('data')}, entry -> {row})"
 
 
-def _option_entries(data: Column, types: Column) -> Column:
+def _option_entries(types: str) -> str:
     """Modules of an ``options`` operation, checked against the hooks' declared types."""
-    def entry(item):
-        is_object = json_type(item["value"]) == "object"
-        codes = object_entries(item["value"])
-        declared = types[item["key"]]
-
-        def code_ok(code):
-            wanted = declared[code["key"]]
-            # An empty declaration is a known code that takes no option.
-            options = object_entries(code["value"])
-            return F.coalesce(
-                wanted.isNotNull()
-                & F.forall(options, lambda option: F.coalesce(
-                    json_type(option["value"]) == wanted[option["key"]], F.lit(False))),
-                F.lit(False),
-            )
-
-        return F.struct(
-            item["key"].alias("module"),
-            F.coalesce(
-                ~is_object
-                | F.exists(codes, lambda code: declared[code["key"]].isNotNull()
-                           & (json_type(code["value"]) != "object")),
-                F.lit(False),
-            ).alias("broken"),
-            F.coalesce(F.forall(codes, code_ok), F.lit(False)).alias("known"),
-        )
-
-    return F.transform(object_entries(data), entry)
+    codes = object_entries("entry.value")
+    wanted = f"{types}[entry.key][code.key]"
+    option_ok = f"coalesce({json_type('option.value')} = {wanted}[option.key], false)"
+    code_ok = (
+        f"coalesce({wanted} IS NOT NULL AND "
+        f"forall({object_entries('code.value')}, option -> {option_ok}), false)"
+    )
+    bad_code = f"{wanted} IS NOT NULL AND {json_type('code.value')} <> 'object'"
+    row = struct(
+        module="entry.key",
+        broken=f"coalesce({json_type('entry.value')} <> 'object', true) "
+               f"OR coalesce(exists({codes}, code -> {bad_code}), false)",
+        known=f"coalesce(forall({codes}, code -> {code_ok}), false)",
+    )
+    return f"transform({object_entries('data')}, entry -> {row})"
 
 
 def preference_log(ops: DataFrame, catalog: Catalog) -> DataFrame:
@@ -121,45 +99,31 @@ def preference_log(ops: DataFrame, catalog: Catalog) -> DataFrame:
     """
     codes = literal(catalog.codes(), "map<string,array<string>>")
     types = literal(catalog.option_types(), "map<string,map<string,map<string,string>>>")
-    named = F.col("op_name")
-    parsed = envelope(preference_ops(ops, PREFERENCE_ID))
     checked = fenced(
-        parsed,
-        account=first_element(F.col("v")["required_posting_auths"]),
-        enabled=F.when(
-            F.col("effective") & (named == "enabled"), _enabled_entries(F.col("data"), codes)
-        ),
-        options=F.when(
-            F.col("effective") & (named == "options"), _option_entries(F.col("data"), types)
-        ),
-    )
-    entries_broken = F.coalesce(
-        F.exists("enabled", lambda e: e["broken"]), F.exists("options", lambda e: e["broken"]),
-        F.lit(False),
+        envelope(preference_ops(ops, PREFERENCE_ID)),
+        account=first_element("v['required_posting_auths']"),
+        enabled=f"IF(effective AND op_name = 'enabled', {_enabled_entries(codes)}, NULL)",
+        options=f"IF(effective AND op_name = 'options', {_option_entries(types)}, NULL)",
     )
-    entries_known = F.coalesce(
-        F.forall("enabled", lambda e: e["known"]), F.forall("options", lambda e: e["known"]),
-        F.lit(False),
+    judged = fenced(
+        checked,
+        reason=f"""CASE
+            WHEN v['json'] IS NOT NULL AND doc IS NULL THEN 'malformed json'
+            WHEN length(account) > {MAX_ACCOUNT} THEN 'account is longer than {MAX_ACCOUNT}'
+            WHEN effective AND account IS NULL THEN 'no posting authority'
+            WHEN effective AND coalesce(
+                exists(enabled, e -> e.broken), exists(options, e -> e.broken), false)
+            THEN 'malformed preference data' END""",
+        all_known="coalesce(forall(enabled, e -> e.known), forall(options, e -> e.known), false)",
     )
-    reason = (
-        F.when(F.col("v")["json"].isNotNull() & F.col("doc").isNull(), "malformed json")
-        .when(F.length("account") > MAX_ACCOUNT, f"account is longer than {MAX_ACCOUNT}")
-        .when(F.col("effective") & F.col("account").isNull(), "no posting authority")
-        .when(F.col("effective") & entries_broken, "malformed preference data")
-    )
-    judged = fenced(checked, reason=reason, all_known=entries_known)
-    outcome = (
-        F.when(F.col("reason").isNotNull(), "broken")
-        .when(~F.col("valid"), "invalid")
-        .when(~F.col("effective"), "none")
-        .when(F.col("all_known"), "accepted")
-        .otherwise("rejected")
-    )
-    return judged.select(
+    return judged.selectExpr(
         "op_id", "block_num", "ts", "account", "op_name", "valid", "effective",
-        outcome.alias("outcome"), "reason",
-        F.transform("enabled", lambda e: F.struct(e["module"], e["codes"])).alias("enabled"),
-        F.when(named == "options", F.to_json("data")).alias("options"),
+        """CASE WHEN reason IS NOT NULL THEN 'broken' WHEN NOT valid THEN 'invalid'
+           WHEN NOT effective THEN 'none' WHEN all_known THEN 'accepted'
+           ELSE 'rejected' END AS outcome""",
+        "reason",
+        "transform(enabled, e -> named_struct('module', e.module, 'codes', e.codes)) AS enabled",
+        "IF(op_name = 'options', to_json(data), NULL) AS options",
     )
 
 
@@ -189,21 +153,19 @@ def state_changes(prefs: DataFrame, options: DataFrame, modules: list[str]) -> D
     An ``options`` operation replaces the document, so it sets every module: those it
     does not name get an empty map, which hides earlier options.
     """
-    document = F.from_json("options", OPTION_DOCUMENT)
-    names = F.array(*[F.lit(name) for name in modules])
-    nothing = F.create_map().cast("map<string,map<string,string>>")
-    no_codes = F.lit(None).cast("array<string>")
-    no_opts = F.lit(None).cast("map<string,map<string,string>>")
-    from_prefs = prefs.select(
-        "account", "module", "codes", no_opts.alias("opts"), "block_num", "op_id"
+    opts = "MAP<STRING,MAP<STRING,STRING>>"
+    names = ", ".join(f"'{name}'" for name in modules)
+    from_prefs = prefs.selectExpr(
+        "account", "module", "codes", f"CAST(NULL AS {opts}) AS opts", "block_num", "op_id"
     )
     from_options = (
-        options.withColumn("doc", document)
-        .select("account", "doc", "block_num", "op_id", F.explode(names).alias("module"))
-        .select(
-            "account", "module", no_codes.alias("codes"),
-            F.coalesce(F.col("doc")[F.col("module")], nothing).alias("opts"),
-            "block_num", "op_id",
+        options.selectExpr(
+            "account", f"from_json(options, '{OPTION_DOCUMENT}') AS doc", "block_num", "op_id",
+            f"explode(array({names})) AS module",
+        )
+        .selectExpr(
+            "account", "module", "CAST(NULL AS ARRAY<STRING>) AS codes",
+            f"coalesce(doc[module], CAST(map() AS {opts})) AS opts", "block_num", "op_id",
         )
     )
     return from_prefs.unionByName(from_options)

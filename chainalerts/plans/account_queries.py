@@ -179,15 +179,15 @@ def transfers(
 ) -> DataFrame:
     """Unread transfers. Amounts are compared raw, before any scaling."""
     check_currency(currency)
-    value = value_map(F.col("payload"))
+    value = value_map("payload")
     picked = _unread_of_code(
         notifications, accounts, "currency", "trn", as_of, account, min_date, max_date
     )
     if currency:
-        picked = picked.where(node(value["amount"], "nai") == ASSET_IDS[currency])
+        picked = picked.where(F.expr(node(f"{value}['amount']", "nai")) == ASSET_IDS[currency])
     if sender:
-        picked = picked.where(value["from"] == sender)
-    raw = node(value["amount"], "amount").try_cast("bigint")
+        picked = picked.where(F.expr(f"{value}['from']") == sender)
+    raw = F.expr(node(f"{value}['amount']", "amount")).try_cast("bigint")
     picked = _between(picked, raw, min_amount, max_amount)
     return newest(picked, limit).select("rank", *_columns(op_data))
 
@@ -209,15 +209,15 @@ def token_transfers(
     min_amount: float | None = None, max_amount: float | None = None,
     min_date: str | None = None, max_date: str | None = None, op_data: bool = False,
 ) -> DataFrame:
-    value = value_map(F.col("payload"))
+    value = value_map("payload")
     picked = _unread_of_code(
         notifications, accounts, "splinterlands", "trn", as_of, account, min_date, max_date
     )
     if token:
-        picked = picked.where(node(value["json"], "token") == token)
+        picked = picked.where(F.expr(node(f"{value}['json']", "token")) == token)
     if sender:
-        picked = picked.where(first_element(value["required_auths"]) == sender)
-    qty = node(value["json"], "qty").try_cast("double")
+        picked = picked.where(F.expr(first_element(f"{value}['required_auths']")) == sender)
+    qty = F.expr(node(f"{value}['json']", "qty")).try_cast("double")
     picked = _between(picked, qty, min_amount, max_amount)
     return newest(picked, limit).select("rank", *_columns(op_data))
 

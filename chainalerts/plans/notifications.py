@@ -46,11 +46,9 @@ def candidates(
         .select(*names, F.inline_outer("who"))
         .where(F.col("gate").isNotNull())
     )
-    return rows.withColumn("error", F.coalesce(
-        F.col("error"),
-        F.when(F.col("account").isNull(), "account is null"),
-        F.when(F.length("account") > MAX_ACCOUNT, f"account is longer than {MAX_ACCOUNT}"),
-    ))
+    return rows.withColumn("error", F.expr(f"""coalesce(error,
+        IF(account IS NULL, 'account is null', NULL),
+        IF(length(account) > {MAX_ACCOUNT}, 'account is longer than {MAX_ACCOUNT}', NULL))"""))
 
 
 def changes_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
@@ -74,31 +72,25 @@ def opening_state(snapshot: DataFrame) -> DataFrame:
 def with_gates(rows: DataFrame) -> DataFrame:
     """Add ``subscribed`` (preferences), ``passes`` (all gates) from the as-of state."""
     defaults = literal(DEFAULT_PREFS, "map<string,array<string>>")
-    codes = F.coalesce(F.col("codes"), defaults[F.col("module")])
-    subscribed = F.coalesce(
-        F.array_contains(codes, ALL_CODES) | F.array_contains(codes, F.col("notif_code")),
-        F.lit(False),
+    codes = f"coalesce(codes, {defaults}[module])"
+    limit = "try_cast(opts[notif_code][limit_key] AS DOUBLE)"
+    return rows.selectExpr(
+        "*",
+        f"coalesce(arrays_overlap({codes}, array('{ALL_CODES}', notif_code)), false) AS subscribed",
+    ).selectExpr(
+        "*",
+        "error IS NULL AND gate AND subscribed "
+        f"AND NOT coalesce(limit_value < {limit}, false) AS passes",
+    ).selectExpr(
+        "*",
+        f"""coalesce(error, IF(passes, coalesce(error_if_sent,
+            IF(length(remark) > {MAX_TEXT}, 'remark is longer than {MAX_TEXT}', NULL),
+            IF(length(link) > {MAX_TEXT}, 'link is longer than {MAX_TEXT}', NULL)), NULL)) AS reason""",
     )
-    limit = F.col("opts")[F.col("notif_code")][F.col("limit_key")].try_cast("double")
-    above = ~F.coalesce(F.col("limit_value") < limit, F.lit(False))
-    return rows.withColumn("subscribed", subscribed).withColumn(
-        "passes", F.col("error").isNull() & F.col("gate") & F.col("subscribed") & above
-    ).withColumn("reason", F.coalesce(
-        F.col("error"),
-        F.when(
-            F.col("passes"),
-            F.coalesce(
-                F.col("error_if_sent"),
-                F.when(F.length("remark") > MAX_TEXT, f"remark is longer than {MAX_TEXT}"),
-                F.when(F.length("link") > MAX_TEXT, f"link is longer than {MAX_TEXT}"),
-            ),
-        ),
-    ))
-
-
-def notification_key():
-    """One operation gives an account at most one row per hook."""
-    return F.concat_ws(":", "block_num", "op_id", "hook_ord", "account")
+
+
+# One operation gives an account at most one row per hook.
+NOTIFICATION_KEY = "concat_ws(':', block_num, op_id, hook_ord, account)"
 
 
 @dataclass
@@ -150,11 +142,10 @@ class AlertPlan:
         )
 
     def notifications(self) -> DataFrame:
-        sent = self.resolved().where(F.col("passes") & F.col("reason").isNull()).select(
-            notification_key().alias("notif_key"), "block_num", "op_id", "hook_ord",
-            "trx_in_block", "account", F.col("module").alias("module_name"), "notif_code",
-            F.col("ts").alias("created"), "remark", F.col("body").alias("payload"), "link",
-            "verified", F.to_date("ts").alias("created_date"),
+        sent = self.resolved().where("passes AND reason IS NULL").selectExpr(
+            f"{NOTIFICATION_KEY} AS notif_key", "block_num", "op_id", "hook_ord",
+            "trx_in_block", "account", "module AS module_name", "notif_code", "ts AS created",
+            "remark", "body AS payload", "link", "verified", "to_date(ts) AS created_date",
         )
         if self.transactions is None:
             sent = sent.withColumn("trx_id", F.lit(None).cast("binary"))

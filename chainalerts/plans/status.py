@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import HEALTH_MAX_BLOCKS, HEALTH_MAX_SECONDS
-from chainalerts.functions.text import text
 
 
 def preload_progress(next_block: Column, first: int, last: int) -> Column:
@@ -67,10 +66,10 @@ def health(status: DataFrame, head_block: int | Column, now: str | Column) -> Da
         "health",
         F.when(~F.col("state_preloaded"), "BAD - State not preloaded.")
         .when(F.col("block_num") == 0, "BAD - System not ready.")
-        .when(behind > HEALTH_MAX_BLOCKS, text("BAD - ", behind, " blocks behind... "))
+        .when(behind > HEALTH_MAX_BLOCKS, F.concat(F.lit("BAD - "), behind.cast("string"), F.lit(" blocks behind... ")))
         .when(
             seconds > HEALTH_MAX_SECONDS,
-            text("BAD - ", _seconds_text(seconds), " seconds behind..."),
+            F.concat(F.lit("BAD - "), _seconds_text(seconds), F.lit(" seconds behind...")),
         )
         .otherwise("GOOD"),
     )

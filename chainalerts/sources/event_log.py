@@ -6,19 +6,19 @@ that all of the engine can be run and checked on data at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from chainalerts.constants import (
-    HBD, OP_AUTHOR_REWARD, OP_BENEFACTOR_REWARD, OP_COMMENT, OP_CONVERSION,
-    OP_CURATION_REWARD, OP_CUSTOM_JSON, OP_DELEGATION, OP_TRANSFER, OP_VOTE,
-    PREFERENCE_ID, TOKEN_TRANSFER_ID,
-)
+from chainalerts.constants import HBD, PREFERENCE_ID, TOKEN_TRANSFER_ID
 
 HIVE = "@@000000021"
 VESTS = "@@000000037"
 UNKNOWN = "@@000000099"
 
+# Operation types by event type; errors stand for five types by ``event_id mod 5``.
+OP_TYPE = """CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 72 WHEN 'view' THEN 1
+    WHEN 'signup' THEN 18 ELSE CASE event_id % 5 WHEN 0 THEN 40 WHEN 1 THEN 51 WHEN 2 THEN 63
+    WHEN 3 THEN 52 ELSE 50 END END"""
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; one that lies in fewer files than there are cores is spread first."""
@@ -27,169 +27,128 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table if len(table.inputFiles()) >= cores else table.repartition(cores)
 
 
-def _amount(raw: Column, asset: Column | str, precision: int = 3) -> Column:
-    nai = F.lit(asset) if isinstance(asset, str) else asset
-    return F.struct(
-        raw.cast("string").alias("amount"), F.lit(precision).alias("precision"), nai.alias("nai")
+def _amount(raw: str, asset: str, precision: int = 3) -> str:
+    return (
+        f"named_struct('amount', CAST({raw} AS STRING), 'precision', {precision}, 'nai', {asset})"
     )
 
 
-def _body(name: str, **fields: Column) -> Column:
-    value = F.struct(*[column.alias(key.rstrip("_")) for key, column in fields.items()])
-    return F.to_json(F.struct(F.lit(f"{name}_operation").alias("type"), value.alias("value")))
-
-
-def _custom_json(auths: str, signer: Column, identifier: str, payload: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return _body(
-        "custom_json",
-        required_auths=F.array(signer) if auths == "active" else none,
-        required_posting_auths=F.array(signer) if auths == "posting" else none,
-        id=F.lit(identifier),
-        json=payload,
-    )
+def _body(name: str, fields: dict[str, str]) -> str:
+    value = ", ".join(f"'{key}', {expression}" for key, expression in fields.items())
+    return f"to_json(named_struct('type', '{name}_operation', 'value', named_struct({value})))"
 
 
-def _preference_payload(choice: Column, k: Column) -> Column:
+def _bodies() -> dict[int, str]:
+    """Operation type -> its body as an SQL expression."""
+    permlink = "concat('p', event_id)"
+    payouts = {
+        "hbd_payout": _amount("cents", f"'{HBD}'"), "hive_payout": _amount("0", f"'{HIVE}'"),
+        "vesting_payout": _amount("cents", f"'{VESTS}'", 6),
+    }
+    asset = (
+        f"CASE event_id % 4 WHEN 0 THEN '{HBD}' WHEN 1 THEN '{HIVE}' WHEN 2 THEN '{VESTS}' "
+        f"ELSE '{UNKNOWN}' END"
+    )
+    none = "CAST(array() AS ARRAY<STRING>)"
+    is_token = "event_id % 10 = 9"
+    token_payload = "to_json(named_struct('to', u, 'qty', value, 'token', 'DEC', 'memo', ''))"
+    return {
+        1: _body("comment", {
+            "parent_author": "IF(k < 50, u, '')",
+            "parent_permlink": "IF(k < 50, concat('p', k), 'tag')",
+            "author": "p", "permlink": "concat('c', event_id)", "title": "''",
+            "body": "concat('hi @', u, ', it is @', p, ' writing to @', u, '; ask a@mail', "
+                    "k % 10, '.org')",
+            "json_metadata": "'{}'",
+        }),
+        2: _body("transfer", {
+            "from": "p", "to": "u", "amount": _amount("cents * 10", asset), "memo": "''",
+        }),
+        18: _body("custom_json", {
+            "required_auths": f"IF({is_token}, array(p), {none})",
+            "required_posting_auths": f"IF({is_token}, {none}, array(u))",
+            "id": f"IF({is_token}, '{TOKEN_TRANSFER_ID}', '{PREFERENCE_ID}')",
+            "json": f"IF({is_token}, {token_payload}, {_preference_payload()})",
+        }),
+        40: _body("delegate_vesting_shares", {
+            "delegator": "p", "delegatee": "u",
+            "vesting_shares": _amount("IF(k < 20, 0, cents * 10000)", f"'{VESTS}'", 6),
+        }),
+        50: _body("fill_convert_request", {
+            "owner": "u", "requestid": "event_id",
+            "amount_in": _amount("cents", f"IF(k % 2 = 1, '{HIVE}', '{HBD}')"),
+            "amount_out": _amount("cents", f"IF(k % 2 = 1, '{HBD}', '{HIVE}')"),
+        }),
+        51: _body("author_reward", {
+            "author": "u", "permlink": permlink, **payouts,
+            "curators_vesting_payout": _amount("0", f"'{VESTS}'", 6),
+            "payout_must_be_claimed": "true",
+        }),
+        52: _body("curation_reward", {
+            "curator": "u", "reward": _amount("cents", f"'{VESTS}'", 6),
+            "comment_author": "p", "comment_permlink": permlink,
+            "payout_must_be_claimed": "true",
+        }),
+        63: _body("comment_benefactor_reward", {
+            "benefactor": "u", "author": "p", "permlink": permlink, **payouts,
+        }),
+        72: _body("effective_comment_vote", {
+            "voter": "p", "author": "u", "permlink": permlink, "weight": "k",
+            "total_vote_weight": "100", "pending_payout": _amount("cents", f"'{HBD}'"),
+        }),
+    }
+
+
+def _preference_payload() -> str:
     """Text of the preference payload by ``event_id mod 10``."""
-    header = '[[1,"app/1.0"],'
-    limits = F.concat(
-        F.lit(header + '"options",{"currency":{"trn":{"min_hbd":'), k.cast("string"),
-        F.lit(',"min_hive":'), (k / 2).cast("string"), F.lit("}}}]"),
-    )
-    wrong_type = F.concat(
-        F.lit(header + '"options",{"currency":{"trn":{"min_hbd":"'), k.cast("string"),
-        F.lit('"}}}]'),
-    )
+    def op(name: str, data: str) -> str:
+        return f"""concat('[[1,"app/1.0"],"{name}",', {data}, ']')"""
+
+    limits = """concat('{"currency":{"trn":{"min_hbd":', k, ',"min_hive":', k / 2, '}}}')"""
+    as_text = """concat('{"currency":{"trn":{"min_hbd":"', k, '"}}}')"""
+    enabled = {
+        2: """'{"currency":["*"],"social":["vot"]}'""",
+        3: """'{"currency":[]}'""",
+        4: """'{"social":["com","men"],"currency":["del","arw"]}'""",
+        5: """'{"currency":["zzz"],"social":["vot"]}'""",
+    }
+    whens = " ".join(f"WHEN {rest} THEN {op('enabled', data)}" for rest, data in enabled.items())
+    trn = """'{"currency":["trn"]}'"""
     return (
-        F.when(choice <= 1, header + '"enabled",{"currency":["trn"]}]')
-        .when(choice == 2, header + '"enabled",{"currency":["*"],"social":["vot"]}]')
-        .when(choice == 3, header + '"enabled",{"currency":[]}]')
-        .when(choice == 4,
-              header + '"enabled",{"social":["com","men"],"currency":["del","arw"]}]')
-        .when(choice == 5, header + '"enabled",{"currency":["zzz"],"social":["vot"]}]')
-        .when(choice == 6, limits)
-        .when(choice == 7, wrong_type)
-        .otherwise('["enabled",{"currency":["*"]}]')
+        f"CASE event_id % 10 WHEN 0 THEN {op('enabled', trn)} WHEN 1 THEN {op('enabled', trn)} "
+        f"{whens} WHEN 6 THEN {op('options', limits)} WHEN 7 THEN {op('options', as_text)} "
+        """ELSE '["enabled",{"currency":["*"]}]' END"""
     )
 
 
 def ops_from_events(source: DataFrame) -> DataFrame:
     """The ``ops`` table: op_id, op_type_id, block_num, ts, trx_in_block, body."""
-    event_id = F.col("event_id")
-    named = source.select(
-        "event_id", "ts", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        (F.col("value").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"),
-        F.concat(F.lit("u"), (F.col("user_id") + 1000).cast("string")).alias("u"),
-        "user_id",
-    ).withColumn(
-        "p", F.concat(F.lit("u"), (F.col("user_id") + 1001 + F.col("k")).cast("string"))
-    )
-    k, cents, u, p = F.col("k"), F.col("cents"), F.col("u"), F.col("p")
-    event_text = event_id.cast("string")
-    permlink = F.concat(F.lit("p"), event_text)
-    kind = event_id % 5
-    asset = (
-        F.when(event_id % 4 == 0, HBD).when(event_id % 4 == 1, HIVE)
-        .when(event_id % 4 == 2, VESTS).otherwise(UNKNOWN)
-    )
-    reply = k < 50
-
-    transfer = _body("transfer", from_=p, to=u, amount=_amount(cents * 10, asset), memo=F.lit(""))
-    vote = _body(
-        "effective_comment_vote", voter=p, author=u, permlink=permlink, weight=k,
-        total_vote_weight=F.lit(100), pending_payout=_amount(cents, HBD),
-    )
-    comment = _body(
-        "comment",
-        parent_author=F.when(reply, u).otherwise(""),
-        parent_permlink=F.when(reply, F.concat(F.lit("p"), k.cast("string"))).otherwise("tag"),
-        author=p,
-        permlink=F.concat(F.lit("c"), event_text),
-        title=F.lit(""),
-        body=F.concat(
-            F.lit("hi @"), u, F.lit(", it is @"), p, F.lit(" writing to @"), u,
-            F.lit("; ask a@mail"), (k % 10).cast("string"), F.lit(".org"),
-        ),
-        json_metadata=F.lit("{}"),
-    )
-    delegation = _body(
-        "delegate_vesting_shares", delegator=p, delegatee=u,
-        vesting_shares=_amount(F.when(k < 20, F.lit(0)).otherwise(cents * 10000), VESTS, 6),
-    )
-    author_reward = _body(
-        "author_reward", author=u, permlink=permlink, hbd_payout=_amount(cents, HBD),
-        hive_payout=_amount(F.lit(0), HIVE), vesting_payout=_amount(cents, VESTS, 6),
-        curators_vesting_payout=_amount(F.lit(0), VESTS, 6), payout_must_be_claimed=F.lit(True),
-    )
-    benefactor_reward = _body(
-        "comment_benefactor_reward", benefactor=u, author=p, permlink=permlink,
-        hbd_payout=_amount(cents, HBD), hive_payout=_amount(F.lit(0), HIVE),
-        vesting_payout=_amount(cents, VESTS, 6),
-    )
-    curation_reward = _body(
-        "curation_reward", curator=u, reward=_amount(cents, VESTS, 6),
-        comment_author=p, comment_permlink=permlink, payout_must_be_claimed=F.lit(True),
-    )
-    odd = k % 2 == 1
-    conversion = _body(
-        "fill_convert_request", owner=u, requestid=event_id,
-        amount_in=_amount(cents, F.when(odd, HIVE).otherwise(HBD)),
-        amount_out=_amount(cents, F.when(odd, HBD).otherwise(HIVE)),
-    )
-    choice = event_id % 10
-    token_payload = F.to_json(F.struct(
-        u.alias("to"), F.col("value").alias("qty"), F.lit("DEC").alias("token"),
-        F.lit("").alias("memo"),
-    ))
-    signup = F.when(
-        choice == 9, _custom_json("active", p, TOKEN_TRANSFER_ID, token_payload)
-    ).otherwise(_custom_json("posting", u, PREFERENCE_ID, _preference_payload(choice, k)))
-
-    op_type = (
-        F.when(F.col("event_type") == "purchase", OP_TRANSFER)
-        .when(F.col("event_type") == "click", OP_VOTE)
-        .when(F.col("event_type") == "view", OP_COMMENT)
-        .when(F.col("event_type") == "signup", OP_CUSTOM_JSON)
-        .when(kind == 0, OP_DELEGATION)
-        .when(kind == 1, OP_AUTHOR_REWARD)
-        .when(kind == 2, OP_BENEFACTOR_REWARD)
-        .when(kind == 3, OP_CURATION_REWARD)
-        .otherwise(OP_CONVERSION)
-    )
-    body = (
-        F.when(F.col("event_type") == "purchase", transfer)
-        .when(F.col("event_type") == "click", vote)
-        .when(F.col("event_type") == "view", comment)
-        .when(F.col("event_type") == "signup", signup)
-        .when(kind == 0, delegation)
-        .when(kind == 1, author_reward)
-        .when(kind == 2, benefactor_reward)
-        .when(kind == 3, curation_reward)
-        .otherwise(conversion)
+    named = source.selectExpr(
+        "event_id", "ts", "event_type", "value", "user_id",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents",
+        f"CAST({OP_TYPE} AS SMALLINT) AS op_type_id",
+    ).selectExpr(
+        "*", "concat('u', 1000 + user_id) AS u", "concat('u', 1001 + user_id + k) AS p"
     )
-    return named.select(
-        event_id.alias("op_id"),
-        op_type.cast("smallint").alias("op_type_id"),
-        F.floor(event_id / 10).cast("int").alias("block_num"),
-        F.col("ts"),
-        F.when(op_type < 50, (event_id % 10).cast("int")).alias("trx_in_block"),
-        body.alias("body"),
+    whens = " ".join(f"WHEN {op} THEN {body}" for op, body in _bodies().items())
+    return named.selectExpr(
+        "event_id AS op_id", "op_type_id", "CAST(event_id DIV 10 AS INT) AS block_num", "ts",
+        "IF(op_type_id < 50, CAST(event_id % 10 AS INT), NULL) AS trx_in_block",
+        f"CASE op_type_id {whens} END AS body",
     )
 
 
 def transactions_from_events(source: DataFrame) -> DataFrame:
     """One transaction per operation that has one; hash = md5 of the event id text."""
-    ops = ops_from_events(source)
-    return ops.where(F.col("trx_in_block").isNotNull()).select(
-        "block_num", "trx_in_block",
-        F.unhex(F.md5(F.col("op_id").cast("string"))).alias("trx_hash"),
+    return source.where(f"{OP_TYPE} < 50").selectExpr(
+        "CAST(event_id DIV 10 AS INT) AS block_num", "CAST(event_id % 10 AS INT) AS trx_in_block",
+        "unhex(md5(CAST(event_id AS STRING))) AS trx_hash",
     )
 
 
 def blocks_from_events(source: DataFrame) -> DataFrame:
-    return source.select(F.floor(F.col("event_id") / 10).cast("int").alias("num")).distinct()
+    return source.selectExpr("CAST(event_id DIV 10 AS INT) AS num").distinct()
 
 
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def with_transactions(ops: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def parse_values(ops: DataFrame) -> DataFrame:
     """Parse each body once; handlers read the map ``v``."""
-    return ops.withColumn("v", value_map(F.col("body")))
+    return ops.withColumn("v", F.expr(value_map()))
 
 
 def preference_ops(ops: DataFrame, preference_id: str) -> DataFrame:
@@ -113,7 +113,7 @@ def preference_ops(ops: DataFrame, preference_id: str) -> DataFrame:
     likely = ops.where(
         (F.col("op_type_id") == OP_CUSTOM_JSON) & F.col("body").contains(preference_id)
     )
-    return fenced(likely, v=value_map(F.col("body"))).where(F.col("v")["id"] == preference_id)
+    return fenced(likely, v=value_map()).where(F.col("v")["id"] == preference_id)
 
 
 def filter_operations(ops: DataFrame, first: int, last: int, wanted: dict[str, str]) -> DataFrame:
@@ -122,7 +122,7 @@ def filter_operations(ops: DataFrame, first: int, last: int, wanted: dict[str, s
     Transfers take ``from`` or else ``to``; custom_json takes ``id``.
     """
     kinds = []
-    value = value_map(F.col("body"))
+    value = F.expr(value_map())
     sender_or_recipient = next((key for key in ("from", "to") if key in wanted), None)
     if sender_or_recipient:
         kinds.append(

@@ -419,7 +419,7 @@ def notifications_fixed(spark, sf_dir):
 @query("mentions_documents")
 def mentions_documents(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return documents.select("doc_id", F.explode(mentioned_names(F.col("text"))).alias("name"))
+    return documents.select("doc_id", F.explode(F.expr(mentioned_names("text"))).alias("name"))
 
 
 @query("notif_retained")
@@ -545,7 +545,7 @@ def system_status(spark, sf_dir):
         *_long("block_num", "latest_op_id"), "block_time", "last_updated", "sync_enabled",
         "state_preloaded",
         (F.col("state_preload_progress") * 163_840).cast("decimal(18,4)").alias("progress"),
-        timestamp_text(F.col("block_time")).alias("block_time_text"),
+        F.expr(timestamp_text("block_time")).alias("block_time_text"),
     )
 
 
@@ -578,9 +578,9 @@ def account_name_valid(spark, sf_dir):
     )
     names = events(spark, sf_dir).select(F.explode(forms).alias("name"))
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mentioned = documents.select(F.explode(mentioned_names(F.col("text"))).alias("name"))
+    mentioned = documents.select(F.explode(F.expr(mentioned_names("text"))).alias("name"))
     return names.unionByName(mentioned).distinct().select(
-        "name", valid_account_name(F.col("name")).alias("valid")
+        "name", F.expr(valid_account_name("name")).alias("valid")
     )
 
 
@@ -588,13 +588,13 @@ def account_name_valid(spark, sf_dir):
 def formatted_columns(spark, sf_dir):
     cents = (F.col("value").cast("decimal(18,2)") * 100).cast("bigint")
     oldest = F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir).withColumn("cents", cents.cast("string")).select(
         "event_id",
-        timestamp_text(F.col("ts")).alias("ts_text"),
-        percent_text(F.col("value")).alias("percent_text"),
-        amount_text(cents.cast("string"), F.lit(1_000)).alias("thousandths"),
-        amount_text(cents.cast("string"), F.lit(1_000_000)).alias("millionths"),
-        float_text(F.col("value")).alias("value_text"),
+        F.expr(timestamp_text("ts")).alias("ts_text"),
+        F.expr(percent_text("value")).alias("percent_text"),
+        F.expr(amount_text("cents", "1000")).alias("thousandths"),
+        F.expr(amount_text("cents", "1000000")).alias("millionths"),
+        F.expr(float_text("value")).alias("value_text"),
         F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("ts")), oldest).alias("read_until"),
     )
 
