@@ -34,21 +34,21 @@ def float_text(value: str) -> str:
 def amount_text(raw: str, divisor: str) -> str:
     """Text of ``raw / divisor`` as a double; ``raw`` is the amount's text.
 
-    Integers of up to 15 digits are printed by exact decimal arithmetic: their double
-    quotient has that decimal as its shortest text. All others go through a double.
+    For integers of up to 15 digits the double's shortest text is the exact decimal, so
+    the point is put into the digits (thousandths, or millionths from 1e-4 up). All other
+    amounts go through a double.
     """
-    exact = (
-        f"CAST(try_divide(try_cast({raw} AS DECIMAL(15,0)), CAST({divisor} AS DECIMAL(7,0))) "
-        "AS DECIMAL(38,6))"
+    decimals = f"IF({divisor} = 1000, 3, 6)"
+    digits = f"lpad({raw}, greatest(length({raw}), {decimals} + 1), '0')"
+    pointed = (
+        f"concat(left({digits}, length({digits}) - {decimals}), '.', right({digits}, {decimals}))"
     )
     by_double = float_text(f"try_divide(try_cast({raw} AS DOUBLE), CAST({divisor} AS DOUBLE))")
-    # Below 1e-4 the text is scientific, so only 0 and larger numbers are plain.
-    shown = (
-        f"IF(quotient = 0 OR abs(quotient) >= 0.0001BD, {_strip_zeros('quotient')}, {by_double})"
-    )
     return (
-        f"CASE WHEN {raw} IS NULL THEN NULL WHEN {raw} RLIKE '^-?[0-9]{{1,15}}$' "
-        f"THEN {bind(exact, 'quotient', shown)} ELSE {by_double} END"
+        f"CASE WHEN {raw} IS NULL OR {divisor} IS NULL THEN NULL "
+        f"WHEN {divisor} IN (1000, 1000000) AND {raw} RLIKE '^(0|[1-9][0-9]{{0,14}})$' "
+        f"AND ({divisor} = 1000 OR {raw} = '0' OR length({raw}) > 2) "
+        f"THEN rtrim('.', rtrim('0', {pointed})) ELSE {by_double} END"
     )
 
 

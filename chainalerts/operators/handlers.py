@@ -7,7 +7,8 @@ is read and parsed once whatever the number of rules. A handler reads:
 * ``v['key']``: a field's text, or the raw JSON of a node;
 * ``amount1.amount``, ``amount1.nai``, ``shown1``: raw text, asset id and printed text of
   its first declared amount; 2 and 3 likewise;
-* ``nodes.key.field``: a field of a declared JSON node.
+* ``nodes.key.field``: a field of a declared JSON node;
+* its own computed columns by name, each of them worked out once.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from chainalerts.constants import (
     ASSET_IDS, ASSETS, HBD, LINK_BASE, MAX_ACCOUNT, MAX_ASSET, MAX_MEMO, MAX_TEXT,
     TOKEN_TRANSFER_ID,
 )
-from chainalerts.functions.json_values import bind, first_element, struct
+from chainalerts.functions.json_values import first_element, struct
 from chainalerts.functions.text import (
     amount_text, cents_of_float, float_text, mentioned_names, text,
 )
@@ -48,6 +49,7 @@ class Handler:
     function: Callable[[str], str]
     amounts: dict[str, int] = field(default_factory=dict)
     nodes: dict[str, str] = field(default_factory=dict)
+    computed: dict[str, str] = field(default_factory=dict)
 
 
 _handlers: dict[str, Handler] = {}
@@ -58,19 +60,23 @@ def register_handler(
     function: Callable[[str], str],
     amounts: dict[str, int] | None = None,
     nodes: dict[str, str] | None = None,
+    computed: dict[str, str] | None = None,
 ) -> None:
     """Make ``name`` usable as a hook's function.
 
     ``amounts`` maps keys of the value that hold an amount to the divisor its text needs
     (``BY_ASSET``: that of its asset). ``nodes`` maps other keys to the fields (DDL) read
-    from them. Both may be JSON nodes or JSON inside a string.
+    from them. Both may be JSON nodes or JSON inside a string. ``computed`` maps column
+    names of the handler's own to expressions over these.
     """
-    _handlers[name] = Handler(function, dict(amounts or {}), dict(nodes or {}))
+    _handlers[name] = Handler(
+        function, dict(amounts or {}), dict(nodes or {}), dict(computed or {})
+    )
 
 
-def _handler(name: str, amounts: dict[str, int] | None = None, **nodes: str):
+def _handler(name: str, **declared):
     def add(function):
-        register_handler(name, function, amounts, nodes)
+        register_handler(name, function, **declared)
         return function
 
     return add
@@ -128,6 +134,11 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
             for name, (_, divisor) in held.items()
         })
         texts[f"shown{slot}"] = amount_text(f"{column}.amount", f"divisor{slot}")
+    for name, handler in handlers.items():
+        for column, expression in handler.computed.items():
+            if column in texts:
+                raise ValueError(f"handler {name} computes {column} a second time")
+            texts[column] = f"IF(funct = '{name}', {expression}, NULL)"
     for columns in (parsed, divisors, texts):
         if columns:
             matched = matched.selectExpr(
@@ -195,7 +206,7 @@ def not_integer(raw: str, what: str) -> str:
     return _unless_cast(raw, "BIGINT", f"{what} is not an integer")
 
 
-@_handler("core_transfer", {"amount": BY_ASSET})
+@_handler("core_transfer", amounts={"amount": BY_ASSET})
 def transfer(semantics: str) -> str:
     raw, asset = "amount1.amount", "amount1.nai"
     currency = _case(asset, {nai: f"'{name}'" for nai, (name, _) in ASSETS.items()})
@@ -219,7 +230,7 @@ def transfer(semantics: str) -> str:
     return only_if(f"{complete} OR {overlong} IS NOT NULL", row)
 
 
-@_handler("core_deleg", {"vesting_shares": 1_000_000})
+@_handler("core_deleg", amounts={"vesting_shares": 1_000_000})
 def delegation(semantics: str) -> str:
     raw = "amount1.amount"
     vests = f"CAST(try_cast({raw} AS DECIMAL(19,0)) / 1000000 AS DECIMAL(38,6))"
@@ -245,7 +256,7 @@ def _wrong_amounts(*keys: str) -> str:
     )
 
 
-@_handler("core_author_reward", PAYOUTS)
+@_handler("core_author_reward", amounts=PAYOUTS)
 def author_reward(semantics: str) -> str:
     return "array({})".format(recipient(
         "v['author']",
@@ -256,7 +267,7 @@ def author_reward(semantics: str) -> str:
     ))
 
 
-@_handler("core_comment_benefactor_reward", PAYOUTS)
+@_handler("core_comment_benefactor_reward", amounts=PAYOUTS)
 def benefactor_reward(semantics: str) -> str:
     return "array({})".format(recipient(
         "v['benefactor']",
@@ -269,7 +280,7 @@ def benefactor_reward(semantics: str) -> str:
     ))
 
 
-@_handler("core_curation_reward", {"reward": 1_000_000})
+@_handler("core_curation_reward", amounts={"reward": 1_000_000})
 def curation_reward(semantics: str) -> str:
     return "array({})".format(recipient(
         "v['curator']",
@@ -280,7 +291,7 @@ def curation_reward(semantics: str) -> str:
     ))
 
 
-@_handler("core_fill_convert_request", {"amount_in": 1_000, "amount_out": 1_000})
+@_handler("core_fill_convert_request", amounts={"amount_in": 1_000, "amount_out": 1_000})
 def conversion(semantics: str) -> str:
     # The established texts name the two currencies the wrong way round.
     hive_first = f"amount1.nai <=> '{HBD}'"
@@ -305,26 +316,30 @@ def vote_value(weight: str, total: str, payout: str) -> str:
     )
 
 
-@_handler("core_vote", {"pending_payout": 1_000})
+VOTE = {
+    "weight": "v['weight']", "total_vote_weight": "v['total_vote_weight']",
+    "pending_payout": "amount1.amount",
+}
+VOTE_PARTS = [f"try_cast({raw} AS BIGINT)" for raw in VOTE.values()]
+
+
+@_handler(
+    "core_vote", amounts={"pending_payout": 1_000},
+    computed={"vote_dollars": vote_value(*VOTE_PARTS)},
+)
 def vote(semantics: str) -> str:
-    raw = {
-        "weight": "v['weight']", "total_vote_weight": "v['total_vote_weight']",
-        "pending_payout": "amount1.amount",
-    }
-    parts = [f"try_cast({column} AS BIGINT)" for column in raw.values()]
-    all_known = " AND ".join(f"{part} IS NOT NULL" for part in parts)
-    row = recipient(
+    all_known = " AND ".join(f"{part} IS NOT NULL" for part in VOTE_PARTS)
+    return "array({})".format(recipient(
         "v['author']",
-        text("v['voter']", "' voted on your post ($'", "CAST(value AS STRING)", "')'"),
+        text("v['voter']", "' voted on your post ($'", "CAST(vote_dollars AS STRING)", "')'"),
         post_link("v['author']", "v['permlink']"),
-        gate="coalesce(value > 0.01BD, false)",
+        gate="coalesce(vote_dollars > 0.01BD, false)",
         error=first_error(
             too_long(MAX_ACCOUNT, "voter", "author"), too_long(MAX_TEXT, "permlink"),
-            *[not_integer(column, name) for name, column in raw.items()],
-            f"IF(value IS NULL AND {all_known}, 'value is out of range', NULL)",
+            *[not_integer(raw, name) for name, raw in VOTE.items()],
+            f"IF(vote_dollars IS NULL AND {all_known}, 'value is out of range', NULL)",
         ),
-    )
-    return f"array({bind(vote_value(*parts), 'value', row)})"
+    ))
 
 
 IS_REPLY = "coalesce(length(v['parent_author']) > 0 AND length(v['parent_permlink']) > 0, false)"
@@ -366,7 +381,7 @@ def mention(semantics: str) -> str:
 
 
 @_handler(
-    "sm_token_transfer", json="`to` STRING, qty STRING, token STRING, memo STRING"
+    "sm_token_transfer", nodes={"json": "`to` STRING, qty STRING, token STRING, memo STRING"}
 )
 def token_transfer(semantics: str) -> str:
     to, qty, token = "nodes.json.to", "nodes.json.qty", "nodes.json.token"
