@@ -16,19 +16,26 @@ def _strip_zeros(decimal: str) -> str:
 
 
 def float_text(value: str) -> str:
-    """Shortest text of a DOUBLE: plain from 1e-4 up to 1e15, else like ``2.5e-05``."""
-    exponent = "substring_index(java, 'E', -1)"
+    """Shortest text of a DOUBLE: plain from 1e-4 up to 1e15, else like ``2.5e-05``.
+
+    The shortest of 15, 16 and 17 significant digits that gives the same double again.
+    """
+    fifteen, sixteen, seventeen = (f"format_string('%.{n}e', number)" for n in (14, 15, 16))
+    shortest = (
+        f"CASE WHEN CAST({fifteen} AS DOUBLE) = number THEN {fifteen} "
+        f"WHEN CAST({sixteen} AS DOUBLE) = number THEN {sixteen} ELSE {seventeen} END"
+    )
     scientific = (
-        "concat(regexp_replace(substring_index(java, 'E', 1), '[.]0$', ''), 'e', "
-        f"IF(startswith({exponent}, '-'), '-', '+'), lpad(ltrim('-', {exponent}), 2, '0'))"
+        "concat(rtrim('.', rtrim('0', substring_index(sci, 'e', 1))), 'e', "
+        "substring_index(sci, 'e', -1))"
     )
-    plain = _strip_zeros("try_cast(CAST(number AS STRING) AS DECIMAL(38,20))")
-    shown = (
+    plain = _strip_zeros("try_cast(sci AS DECIMAL(38,20))")
+    shown = f"IF(abs(number) >= 1e-4 AND abs(number) < 1e15, {plain}, {scientific})"
+    return bind(
+        value, "number",
         "CASE WHEN number IS NULL THEN NULL WHEN number = 0 THEN '0' "
-        f"WHEN abs(number) >= 1e-4 AND abs(number) < 1e15 THEN {plain} "
-        f"ELSE {bind('CAST(number AS STRING)', 'java', scientific)} END"
+        f"ELSE {bind(shortest, 'sci', shown)} END",
     )
-    return bind(value, "number", shown)
 
 
 def amount_text(raw: str, divisor: str) -> str:

