@@ -21,6 +21,9 @@ ALL_CODES = "*"
 PREFERENCE_ID = "gns"
 TOKEN_TRANSFER_ID = "sm_token_transfer"
 
+# Function of the hook that takes preference operations; it sends nothing.
+PREFERENCE_FUNCTION = "core_gns"
+
 # Operation types the rules look at.
 OP_COMMENT = 1
 OP_TRANSFER = 2

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainalerts import schemas
-from chainalerts.constants import MODULE_PATTERN, RULES
+from chainalerts.constants import MODULE_PATTERN, PREFERENCE_FUNCTION, RULES
 
 BROADCAST_HOOKS = 10_000
-PREFERENCE_FUNCTION = "core_gns"
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.operators.hooks import Catalog
+from chainalerts.operators.preferences import preference_log
 from chainalerts.plans.notifications import AlertPlan, changes_of
 from chainalerts.sources.op_log import scan_ops
 from chainalerts.sources.sinks import stage, write_notifications
@@ -22,18 +23,17 @@ def latest_state(changes: DataFrame) -> DataFrame:
 
 def preload_state(ops: DataFrame, catalog: Catalog, first: int, last: int) -> DataFrame:
     """Replay only the preference operations of ``first..last`` (both included)."""
-    return latest_state(changes_of(scan_ops(ops, first, last), catalog))
+    log = preference_log(scan_ops(ops, first, last), catalog)
+    return latest_state(changes_of(log, catalog))
 
 
 def run_batch(plan: AlertPlan, path: str) -> None:
     """Write notifications and rejects of a log.
 
-    Where the as-of lookup has to shuffle, candidates are staged first: they are needed
-    twice, and a lost executor then repeats a read of them instead of the parsing.
+    The log is parsed once: candidates and preference operations go to the shared folder
+    first, then every later step (and every retry after a lost executor) reads those.
     """
-    size = plan.change_size()
-    if size is None or not size.fits_broadcast():
-        plan.stage(stage(plan.candidates(), "candidates"))
-    write_notifications(plan.notifications(), f"{path}/notifications")
-    plan.rejects().write.mode("append").parquet(f"{path}/rejects")
-
+    plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
+    resolved = plan.resolved()
+    write_notifications(plan.notifications(resolved), f"{path}/notifications")
+    plan.rejects(resolved).write.mode("append").parquet(f"{path}/rejects")

@@ -51,9 +51,8 @@ def candidates(
         IF(length(account) > {MAX_ACCOUNT}, 'account is longer than {MAX_ACCOUNT}', NULL))"""))
 
 
-def changes_of(ops: DataFrame, catalog: Catalog) -> DataFrame:
-    """State changes of a log; none when the preference hook is off."""
-    log = preference_log(ops, catalog)
+def changes_of(log: DataFrame, catalog: Catalog) -> DataFrame:
+    """State changes of a preference log; none when the preference hook is off."""
     changes = state_changes(pref_history(log), option_history(log), sorted(catalog.modules))
     order = catalog.preference_order()
     if order is None:
@@ -109,19 +108,27 @@ class AlertPlan:
     def __post_init__(self):
         if self.asof not in ASOF_WAYS:
             raise ValueError(f"asof must be one of {ASOF_WAYS}")
-        self._staged: DataFrame | None = None
+        self._candidates: DataFrame | None = None
+        self._log: DataFrame | None = None
 
-    def stage(self, candidates_frame: DataFrame) -> None:
-        """Use candidates written earlier, so the log is parsed only once."""
-        self._staged = candidates_frame
+    def use(self, candidates_frame: DataFrame, log: DataFrame) -> None:
+        """Use candidates and a preference log kept earlier, so ops are parsed only once."""
+        self._candidates, self._log = candidates_frame, log
 
     def candidates(self) -> DataFrame:
-        if self._staged is not None:
-            return self._staged
+        if self._candidates is not None:
+            return self._candidates
         return candidates(self.ops, self.catalog, self.semantics, self.hooks)
 
+    def preference_log(self) -> DataFrame:
+        return self._log if self._log is not None else preference_log(self.ops, self.catalog)
+
+    def own_changes(self) -> DataFrame:
+        """State changes made by the operations of this plan."""
+        return changes_of(self.preference_log(), self.catalog)
+
     def changes(self) -> DataFrame:
-        own = changes_of(self.ops, self.catalog)
+        own = self.own_changes()
         if self.snapshot is None:
             return own
         return own.unionByName(opening_state(self.snapshot))
@@ -141,8 +148,9 @@ class AlertPlan:
             asof_state(self.candidates(), self.changes(), size, self.bucket_blocks)
         )
 
-    def notifications(self) -> DataFrame:
-        sent = self.resolved().where("passes AND reason IS NULL").selectExpr(
+    def notifications(self, resolved: DataFrame | None = None) -> DataFrame:
+        rows = self.resolved() if resolved is None else resolved
+        sent = rows.where("passes AND reason IS NULL").selectExpr(
             f"{NOTIFICATION_KEY} AS notif_key", "block_num", "op_id", "hook_ord",
             "trx_in_block", "account", "module AS module_name", "notif_code", "ts AS created",
             "remark", "body AS payload", "link", "verified", "to_date(ts) AS created_date",
@@ -154,14 +162,15 @@ class AlertPlan:
             sent = sent.join(hashes, ["block_num", "trx_in_block"], "left")
         return sent.select(*NOTIF_COLUMNS)
 
-    def rejects(self) -> DataFrame:
+    def rejects(self, resolved: DataFrame | None = None) -> DataFrame:
         """Rows an error keeps out, with the reason, instead of aborting the run."""
-        handled = self.resolved().where(F.col("reason").isNotNull()).select(
-            "block_num", "op_id", "notif_name", "account", "reason"
+        rows = self.resolved() if resolved is None else resolved
+        columns = ["block_num", "op_id", "notif_name", "account", "reason"]
+        handled = rows.where("reason IS NOT NULL").select(*columns)
+        preferences = (
+            self.preference_log().where("reason IS NOT NULL")
+            .withColumn("notif_name", F.lit(PREFERENCE_ID)).select(*columns)
         )
-        preferences = preference_log(self.ops, self.catalog).where(
-            F.col("reason").isNotNull()
-        ).select("block_num", "op_id", F.lit(PREFERENCE_ID).alias("notif_name"), "account", "reason")
         return handled.unionByName(preferences)
 
     def fail_on_rejects(self) -> None:

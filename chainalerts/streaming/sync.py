@@ -22,14 +22,14 @@ from pyspark.sql.streaming.query import StreamingQuery
 from chainalerts import schemas
 from chainalerts.operators.hooks import Catalog
 from chainalerts.plans.jobs import latest_state
-from chainalerts.plans.notifications import AlertPlan, changes_of
+from chainalerts.plans.notifications import AlertPlan
 from chainalerts.sources.op_log import final_ops, scan_ops
 
+# ``state_from`` is the first batch whose state files are needed to know the state now.
 PROGRESS = (
-    "batch_id BIGINT, first_block INT, last_block INT, block_time TIMESTAMP_NTZ, "
-    "ops BIGINT, full_state BOOLEAN"
+    "first_block INT, last_block INT, block_time TIMESTAMP_NTZ, ops BIGINT, state_from BIGINT"
 )
-STATE_ROWS = schemas.STATE + ", written BIGINT, batch_id BIGINT"
+STATE_ROWS = schemas.STATE + ", written BIGINT"
 
 
 def publish_range(
@@ -91,47 +91,43 @@ class AlertStream:
 
     def process(self, ops: DataFrame, batch_id: int) -> None:
         spark = ops.sparkSession
-        # A micro-batch is a bounded number of blocks, so it can be kept while in use.
-        ops = ops.persist()
-        try:
-            self._process(spark, ops, batch_id)
-        finally:
-            ops.unpersist()
-
-    def _process(self, spark: SparkSession, ops: DataFrame, batch_id: int) -> None:
         heads = ops.agg(
             F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block"),
             F.max_by("ts", F.struct("block_num", "op_id")).alias("block_time"),
             F.count("*").alias("ops"),
         ).first()
-        done = self._progress_before(spark, batch_id)
-        last_done = done[-1]["last_block"] if done else None
+        before = self._progress_of(spark, batch_id - 1) if batch_id else None
+        last_done = before["last_block"] if before else None
         if heads["ops"] and last_done is not None and heads["first_block"] <= last_done:
             raise ValueError(
                 f"block {heads['first_block']} comes after block {last_done} was processed"
             )
-        state = self._state_before(spark, done)
         plan = AlertPlan(
-            ops, self.catalog, self._transactions_of(heads), state, self.semantics,
+            ops, self.catalog, self._transactions_of(heads),
+            self._state_before(spark, batch_id, before), self.semantics, asof="shuffle",
         )
-        candidates = plan.candidates().persist()
-        plan.stage(candidates)
+        # A micro-batch is a bounded number of blocks, so its rows can be kept in use.
+        kept = [plan.candidates().persist(), plan.preference_log().persist()]
+        plan.use(*kept)
         try:
-            self._write(plan.notifications(), "notifications", batch_id)
-            self._write(plan.rejects(), "rejects", batch_id)
+            verdicts = plan.resolved().where("passes OR reason IS NOT NULL").persist()
+            kept.append(verdicts)
+            self._write(plan.notifications(verdicts), "notifications", batch_id)
+            self._write(plan.rejects(verdicts), "rejects", batch_id)
+            full = (batch_id + 1) % self.compact_every == 0
+            state = latest_state(plan.changes() if full else plan.own_changes())
+            self._write(
+                state.withColumn("written", F.lit(batch_id).cast("bigint")), "state", batch_id
+            )
         finally:
-            candidates.unpersist()
-        full = (batch_id + 1) % self.compact_every == 0
-        changes = changes_of(ops, self.catalog)
-        if full:
-            changes = plan.changes()
-        self._write(
-            latest_state(changes).withColumn("written", F.lit(batch_id).cast("bigint")),
-            "state", batch_id,
+            for frame in kept:
+                frame.unpersist()
+        row = (
+            heads["first_block"], heads["last_block"] if heads["ops"] else last_done,
+            heads["block_time"], heads["ops"],
+            batch_id if full else before["state_from"] if before else 0,
         )
-        row = (batch_id, heads["first_block"], heads["last_block"] if heads["ops"] else last_done,
-               heads["block_time"], heads["ops"], full)
-        self._write(spark.createDataFrame([row], PROGRESS).drop("batch_id"), "progress", batch_id)
+        self._write(spark.createDataFrame([row], PROGRESS), "progress", batch_id)
 
     def _transactions_of(self, heads) -> DataFrame | None:
         if self.transactions is None or not heads["ops"]:
@@ -141,35 +137,35 @@ class AlertStream:
     def _write(self, frame: DataFrame, table: str, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{self.out}/{table}/batch_id={batch_id}")
 
-    def _progress_before(self, spark: SparkSession, batch_id: int) -> list:
-        """Completed batches before this one, one small row each since the last full state."""
-        if batch_id == 0:
-            return []
-        rows = read_progress(spark, self.out).where(F.col("batch_id") < batch_id)
-        since = rows.where("full_state").agg(F.coalesce(F.max("batch_id"), F.lit(0))).first()[0]
-        return rows.where(F.col("batch_id") >= since).orderBy("batch_id").collect()
+    def _progress_of(self, spark: SparkSession, batch_id: int):
+        return spark.read.schema(PROGRESS).parquet(
+            f"{self.out}/progress/batch_id={batch_id}"
+        ).first()
 
-    def _state_before(self, spark: SparkSession, done: list) -> DataFrame | None:
-        """Account state after the completed batches: last full state plus what changed."""
+    def _state_before(self, spark: SparkSession, batch_id: int, before) -> DataFrame | None:
+        """Account state after the earlier batches: last full state plus what changed."""
+        columns = ["account", "module", "codes", "opts"]
         parts = None
-        if done:
-            paths = [f"{self.out}/state/batch_id={row['batch_id']}" for row in done]
-            written = spark.read.schema(STATE_ROWS).parquet(*paths)
-            parts = written.select(
-                "account", "module", "codes", "opts",
-                F.col("written").cast("int").alias("block_num"), F.lit(0).alias("op_id"),
+        if before is not None:
+            paths = [
+                f"{self.out}/state/batch_id={earlier}"
+                for earlier in range(before["state_from"], batch_id)
+            ]
+            parts = spark.read.schema(STATE_ROWS).parquet(*paths).select(
+                *columns, F.col("written").alias("block_num"), F.lit(0).alias("op_id")
             )
-        if self.initial_state is not None and not (done and done[0]["full_state"]):
+        # The first batch's files hold only its own changes, so the opening state is added
+        # until a full state has been written.
+        if self.initial_state is not None and (before is None or before["state_from"] == 0):
             opening = self.initial_state.select(
-                "account", "module", "codes", "opts",
-                F.lit(-1).alias("block_num"), F.lit(0).alias("op_id"),
+                *columns, F.lit(-1).cast("bigint").alias("block_num"), F.lit(0).alias("op_id")
             )
             parts = opening if parts is None else parts.unionByName(opening)
         return None if parts is None else latest_state(parts)
 
 
 def read_progress(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(PROGRESS).parquet(f"{out}/progress")
+    return spark.read.schema(PROGRESS + ", batch_id BIGINT").parquet(f"{out}/progress")
 
 
 def read_output(spark: SparkSession, out: str) -> DataFrame:
