@@ -231,7 +231,7 @@ def all_oracles() -> dict[str, str]:
         "range_split": "WITH " + EVENTS + """, b AS (SELECT min(block) AS f, max(block) AS l FROM ev),
             r AS (SELECT CASE WHEN n = 1 THEN f ELSE f + (n - 1) * 100 + 1 END AS range_first,
                          least(f + n * 100, l) AS range_last
-                  FROM b, range(1, 1000000000) t(n) WHERE n <= greatest((l - f + 99) // 100, 1))
+                  FROM (SELECT f, l, unnest(range(1, greatest((l - f + 99) // 100, 1) + 1)) AS n FROM b))
             SELECT range_first, range_last, (SELECT count(*) FROM ev WHERE block BETWEEN range_first AND range_last) AS ops
             FROM r""",
         "hook_registry": "WITH " + EVENTS + "," + HOOKS + """ SELECT module, notif_name, code AS notif_code,
