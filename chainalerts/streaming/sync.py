@@ -32,13 +32,21 @@ PROGRESS = (
 STATE_ROWS = schemas.STATE + ", written BIGINT"
 
 
+RANGES = "first INT, last INT"
+
+
+def _range_path(landing: str, first: int) -> str:
+    return f"{landing}/data/range={first:012d}"
+
+
 def publish_range(
     ops: DataFrame, landing: str, first: int, last: int, irreversible_block: int
 ) -> int:
-    """Publish the final blocks of ``first..last`` as one file; the last block published.
+    """Publish the final blocks of ``first..last``; gives the last block published.
 
-    A range of a thousand blocks of bounded size is one file of moderate size. Ranges
-    have to be published in order: the stream takes files by their time.
+    The operations may lie in any number of files. One small file that names the range is
+    written after them; the stream follows those, so it never sees part of a range.
+    Ranges have to be published in order: the stream takes files by their time.
     """
     last = min(last, irreversible_block)
     if last < first:
@@ -47,11 +55,11 @@ def publish_range(
     (
         final_ops(scan_ops(ops, first, last), irreversible_block)
         .select(*columns)
-        .coalesce(1)
-        .sortWithinPartitions("block_num", "op_id")
         .write.mode("overwrite")
-        .parquet(f"{landing}/range={first:012d}")
+        .parquet(_range_path(landing, first))
     )
+    named = ops.sparkSession.createDataFrame([(first, last)], RANGES)
+    named.coalesce(1).write.mode("overwrite").json(f"{landing}/ranges/range={first:012d}")
     return last
 
 
@@ -76,19 +84,28 @@ class AlertStream:
         if self.is_allowed is not None and not self.is_allowed():
             return None
         source = (
-            spark.readStream.schema(schemas.OPS)
+            spark.readStream.schema(RANGES)
             .option("maxFilesPerTrigger", self.ranges_per_batch)
             .option("recursiveFileLookup", True)
-            .parquet(self.landing)
+            .json(f"{self.landing}/ranges")
         )
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
         return (
-            source.writeStream.foreachBatch(self.process)
+            source.writeStream.foreachBatch(self.follow)
             .option("checkpointLocation", self.checkpoint)
             .trigger(**trigger)
             .start()
         )
 
+    def follow(self, ranges: DataFrame, batch_id: int) -> None:
+        """One micro-batch: the operations of the few ranges that were published."""
+        firsts = [row["first"] for row in ranges.orderBy("first").collect()]
+        reader = ranges.sparkSession.read.schema(schemas.OPS)
+        if firsts:
+            self.process(
+                reader.parquet(*[_range_path(self.landing, first) for first in firsts]), batch_id
+            )
+
     def process(self, ops: DataFrame, batch_id: int) -> None:
         spark = ops.sparkSession
         heads = ops.agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -606,7 +607,7 @@ def stream_notifications(spark, sf_dir):
     """The whole log published in four block ranges and followed as a stream."""
     ops = event_ops(spark, sf_dir)
     last = ops.agg(F.max("block_num")).first()[0]
-    folder = f"{shared_folder(spark)}/stream-{spark.sparkContext.applicationId}-{id(ops)}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     size = last // 4 + 1
     for first in range(0, last + 1, size):
         publish_range(ops, f"{folder}/landing", first, first + size - 1, last)

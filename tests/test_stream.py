@@ -61,4 +61,4 @@ def test_only_final_blocks_are_published(spark, log):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     assert publish_range(log, folder, 1, 9, 3) == 3
     assert publish_range(log, folder, 4, 9, 3) == 3
-    assert spark.read.option("recursiveFileLookup", True).parquet(folder).count() == 4
+    assert spark.read.parquet(f"{folder}/data").count() == 4
