@@ -194,18 +194,27 @@ def _block_links(size: int, percent: int):
     return run
 
 
-def linked(documents: DataFrame, size: int, percent: int, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep`, n_shingles, node and label (the least node of its component; both null
-    for empty sets) of every document."""
-    threshold, base = percent / 100, documents
-    every = written(signatures(base.withColumns({
-        "__t1": F.xxhash64(text_col), "__t2": F.xxhash64(F.lit(1), F.col(text_col))}),
-        size, threshold, [*keep, "__t1", "__t2"], text_col), "signatures")
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row's key (r1, r2: id and text) and its text's (t1, t2)."""
+    one, text, id_ = F.lit(1), F.col(text_col), F.col(id_col)
+    return documents.select(
+        id_.alias("__id"), F.xxhash64(id_, text).alias("__r1"), F.xxhash64(one, text, id_).alias("__r2"),
+        F.xxhash64(text).alias("__t1"), F.xxhash64(one, text).alias("__t2"), text.alias("__body"))
+
+
+def linked(documents: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__id, __r1, __r2 (the row's key), n_shingles and label (the least node of the row's
+    component; null for an empty set) of every document, as a table."""
+    threshold, keys = percent / 100, ["__id", "__r1", "__r2"]
+    keyed = _keyed(documents, id_col, text_col)
+    every = written(signatures(keyed, size, threshold, [*keys, "__t1", "__t2"], "__body"), "signatures")
     # One row per class, with one of its texts' hashes.
     classes = every.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.struct(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))).alias("t"), F.first("bands").alias("bands"))
     buckets = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    stars = buckets.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    # Each side of a join with hot keys is written: then Spark can split the hot ones.
+    stars = buckets.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    stars = written(stars.filter("n > 1"), "stars")
     members = written(buckets.join(stars, ["band", "hash"]), "buckets")
     # Candidate classes and their texts.
     chosen = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "bands", "t.t1", "t.t2")
@@ -221,8 +230,9 @@ def linked(documents: DataFrame, size: int, percent: int, keep: list[str], text_
     # Buckets of three or more classes in different components.
     labelled = members.filter("n > 2").join(labels, "node", "left").select(
         "node", "band", "hash", "n", F.coalesce("label", "node").alias("label"))
+    labelled = written(labelled, "labelled")
     open_ = labelled.groupBy("band", "hash").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
-    rest = labelled.join(open_.select("band", "hash"), ["band", "hash"], "left_semi")
+    rest = labelled.join(written(open_.select("band", "hash"), "open"), ["band", "hash"], "left_semi")
     # Blocks of a bucket, and every pair of blocks to both of its members.
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("blocks", count).withColumn("side", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
@@ -232,20 +242,44 @@ def linked(documents: DataFrame, size: int, percent: int, keep: list[str], text_
     more = rest.groupBy("band", "hash", "i", "j").applyInPandas(_block_links(size, percent), "a binary, b binary")
     links = links.unionAll(more)
     labels = written(components(links), "labels")
-    return every.join(labels, "node", "left").select(
-        *keep, "n_shingles", "node", F.coalesce("label", "node").alias("label"))
+    labelled = every.join(labels, "node", "left").select(
+        *keys, "n_shingles", F.coalesce("label", "node").alias("label"))
+    return written(labelled, "linked")
 
 
 def near_duplicates(
     documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id, n_shingles, component_id and kept of every document."""
-    rows = written(linked(documents, size, percent, [id_col], text_col), "linked")
-    least = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min(id_col).alias("component_id"))
-    return rows.join(least, "label", "left").select(
-        id_col, "n_shingles",
-        F.when(F.col("label").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
+    rows = linked(documents, size, percent, id_col, text_col)
+    least = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("__id").alias("component_id"))
+    rows = rows.join(written(least, "least"), "label", "left")
+    component = F.when(F.col("label").isNull(), F.col("__id")).otherwise(F.col("component_id"))
+    return rows.select(F.col("__id").alias(id_col), "n_shingles", component.alias("component_id"),
+                       component.eqNullSafe(F.col("__id")).alias("kept"))
+
+
+def deduplicated(
+    documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One document of each component (the least id; of equal rows one) and all with empty sets,
+    with their own columns."""
+    rows = linked(documents, size, percent, id_col, text_col).filter(F.col("label").isNotNull())
+    key = F.struct(F.col("__id").isNull().alias("n"), "__id", "__r1", "__r2")
+    stay = written(rows.groupBy("label").agg(F.min(key).alias("stay")), "stay")
+    lost = rows.join(stay, "label").filter(~key.eqNullSafe(F.col("stay"))).select("__r1", "__r2").distinct()
+    again = rows.groupBy("__r1", "__r2").agg(F.count("*").alias("__copies")).filter("__copies > 1")
+    lost = lost.select("*", F.lit(1).cast("long").alias("__copies"), F.lit(True).alias("__lost"))
+    again = again.select("*", F.lit(False).alias("__lost"))
+    marks = lost.unionAll(again).groupBy("__r1", "__r2").agg(F.max("__lost").alias("__lost"))
+    marks = written(marks, "marks").withColumnsRenamed({"__r1": "__m1", "__r2": "__m2"})
+    id_, text = F.col(id_col), F.col(text_col)
+    keyed = documents.withColumns({"__r1": F.xxhash64(id_, text), "__r2": F.xxhash64(F.lit(1), text, id_)})
+    marked = keyed.join(marks, (F.col("__r1") == F.col("__m1")) & (F.col("__r2") == F.col("__m2")), "left")
+    kept = marked.filter(F.col("__lost").isNull()).drop("__r1", "__r2", "__m1", "__m2", "__lost")
+    # Equal rows of which one stays: they are few, and each class of them is one row's size.
+    repeated = marked.filter(~F.col("__lost")).dropDuplicates(["__r1", "__r2"])
+    return kept.unionAll(repeated.drop("__r1", "__r2", "__m1", "__m2", "__lost"))
 
 
 def op9_circulant_minhash(spark, sf_dir: str) -> DataFrame:

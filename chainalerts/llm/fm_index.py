@@ -289,12 +289,14 @@ def contamination(
     return result.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that the contamination rule leaves, with their own columns."""
+def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that the contamination rule leaves, as they are."""
     names = documents.columns
-    found = contamination(documents.withColumn("__body", F.col(options.get("text_col", "text"))), benchmark,
-                          keep=("__body", *names), **options)
-    return found.filter(~contaminated(F.col("n_words"), F.col("n_hit"))).select(*names)
+    own = {f"__d{i}": F.col(name) for i, name in enumerate(names)}
+    rows = documents.select(*[c.alias(k) for k, c in own.items()], F.col(text_col).alias("__body"))
+    found = contamination(rows, benchmark, keep=tuple(own), text_col="__body", **options)
+    found = found.filter(~contaminated(F.col("n_words"), F.col("n_hit")))
+    return found.select(*[F.col(k).alias(name) for k, name in zip(own, names)])
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:

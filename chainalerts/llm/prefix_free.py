@@ -283,7 +283,9 @@ def repeated_starts(
     if not GRAM <= reach <= min(255, length - GRAM + 1):
         raise ValueError("reach is at most 255, and a string holds that many rolling values")
     parsed = parse(documents, length, reach, id_col, text_col)
-    twice = parsed.groupBy("context").agg(F.count("*").alias("c")).filter("c > 1").select("context")
+    # Each side of a join with hot keys is written or has an exchange of its own: then Spark can
+    # split the hot ones.
+    twice = written(parsed.groupBy("context").agg(F.count("*").alias("c")).filter("c > 1").select("context"), "twice")
     shared = written(parsed.join(twice, "context", "left_semi"), "parse")
     words = shared.groupBy("context", "phrase").agg(
         F.count("*").alias("total"), F.min(F.struct("r1", "place")).alias("p"))
@@ -292,7 +294,8 @@ def repeated_starts(
     whole = shared.join(often, ["context", "phrase"], "left_semi")
     whole = whole.withColumns(_unpacked(F.col("place"))).select(*FOUND)
     # Contexts of several phrases of which one occurs once.
-    sizes = words.groupBy("context").agg(F.count("*").alias("m"), F.min("total").alias("least")).filter("m > 1 and least = 1")
+    sizes = words.groupBy("context").agg(F.count("*").alias("m"), F.min("total").alias("least"))
+    sizes = written(sizes.filter("m > 1 and least = 1"), "sizes")
     some = words.join(sizes.select("context", "m"), "context").withColumns(_unpacked(F.col("place")))
     lists = some.groupBy("r1", "r2").agg(F.collect_list(
         F.struct("context", "phrase", "r1", "place", "m", "lead", "first", "n")).alias("phrases"))
@@ -304,7 +307,8 @@ def repeated_starts(
         _order(length), "r1 long, r2 long, first long, n long")
     strings = spelled.filter(F.col("m") > GROUP).mapInArrow(
         _strings(length), "context long, string long, r1 long, r2 long, first long")
-    again = strings.groupBy("context", "string").agg(F.count("*").alias("c")).filter("c > 1").select("context", "string")
+    again = strings.groupBy("context", "string").agg(F.count("*").alias("c")).filter("c > 1")
+    again = written(again.select("context", "string"), "strings")
     hot = strings.join(again, ["context", "string"], "left_semi").select("r1", "r2", "first", F.lit(1).cast("long").alias("n"))
     return whole.unionAll(found).unionAll(hot)
 

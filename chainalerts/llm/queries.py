@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from chainalerts.llm import host_rules, line_runs, packing, secrets, url_rules
+from chainalerts.llm import (
+    circulant_minhash, fm_index, host_rules, language_crf, line_runs, packing, prefix_free, secrets,
+    site_style_tree, url_rules,
+)
 
 QUERIES = {
+    "op1_site_style_tree": site_style_tree.op1_site_style_tree,
     "op2_line_runs": line_runs.op2_line_runs,
+    "op3_language_crf": language_crf.op3_language_crf,
     "op4_binary_packing": packing.op4_binary_packing,
+    "op5_fm_decontamination": fm_index.op5_fm_decontamination,
     "op6_host_quality": host_rules.op6_host_quality,
+    "op7_prefix_free": prefix_free.op7_prefix_free,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_circulant_minhash": circulant_minhash.op9_circulant_minhash,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 ORACLES = {
