@@ -109,12 +109,14 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over a sequence of numbers 0..symbols."""
+    """Backward search over a sequence of numbers 0..symbols. Inside they are one higher, and a
+    single 0 ends the sequence, so that the order of suffixes is that of rotations."""
 
     def __init__(self, text: np.ndarray, symbols: int, sample: int = SAMPLE):
+        text, symbols = np.append(text + 1, 0), symbols + 1
         self.n, self.bits = len(text), max(1, int(symbols).bit_length())
         order = suffix_array(text, symbols)
-        transform = text[order - 1]  # the first suffix's predecessor is the last symbol
+        transform = text[order - 1]  # the whole sequence follows its end
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols + 1))])
         self.ones, self.zeros = [], []
         level = transform
@@ -161,7 +163,7 @@ class FMIndex:
         for column in range(rows.shape[1] - 1, -1, -1):
             symbol = rows[alive, column]
             longer = symbol > 0
-            step, symbol = alive[longer], symbol[longer]
+            step, symbol = alive[longer], symbol[longer] + 1
             low[step] = self.before[symbol] + self.rank(symbol, low[step])
             high[step] = self.before[symbol] + self.rank(symbol, high[step])
             alive = alive[low[alive] < high[alive]]

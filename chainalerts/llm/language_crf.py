@@ -154,7 +154,7 @@ class Model:
     def posteriors(self, words: Words, data: np.ndarray) -> np.ndarray:
         steps = Steps(*chains(words, data))
         result = np.empty((len(words.which), len(self.labels)), np.float32)
-        if len(result):
+        if len(result) and self.labels:
             local = self.emissions(words)[words.which[steps.word]]
             result[steps.word] = forward_backward(local, np.exp(self.transition), steps)
         return result
