@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainalerts.constants import DEFAULT_PREFS, PREFERENCE_ID, RETENTION_DAYS
 from chainalerts.functions.json_values import fenced, first_element
-from chainalerts.operators.hooks import literal
+from chainalerts.operators.hooks import Catalog, literal
 from chainalerts.sources.op_log import preference_ops
 
 
@@ -39,18 +39,24 @@ def discover(candidates: DataFrame, preference_log: DataFrame) -> DataFrame:
 
 
 def current_accounts(
-    discovered: DataFrame, preference_log: DataFrame, created_at: str | None = None
+    discovered: DataFrame, preference_log: DataFrame, catalog: Catalog,
+    created_at: str | None = None,
 ) -> DataFrame:
     """The accounts table: last_reads, prefs, options and when they were updated.
 
+    As in the alerts, preferences do not apply while the preference hook is off, and of the
+    modules an account names those of the catalog count: a row holds no more than these.
     ``last_reads.all`` starts 30 days before the account's row was made: at its first
     reference, or at ``created_at`` when a log is replayed later.
     """
     pos = F.struct("block_num", "op_id")
     accepted = preference_log.where(F.col("outcome") == "accepted")
+    if catalog.preference_order() is None:
+        accepted = accepted.where(F.lit(False))
     enabled = accepted.where(F.col("op_name") == "enabled")
     latest = (
         enabled.select("account", F.explode("enabled").alias("e"), pos.alias("pos"))
+        .where(F.col("e.module").isin(sorted(catalog.modules)))
         .groupBy("account", "e.module")
         .agg(F.max_by("e.codes", "pos").alias("codes"))
         .groupBy("account")
@@ -80,11 +86,14 @@ def current_accounts(
     )
 
 
-def read_marks(ops: DataFrame) -> DataFrame:
-    """Latest ``read`` mark per account and ``module.code``.
+def read_marks(ops: DataFrame, catalog: Catalog) -> DataFrame:
+    """Latest ``read`` mark per account and ``module.code``, or per account and ``all``.
 
     Taken from payloads [..., "read", ["module.code", ...]], with or without a header.
+    Pairs that no hook has, and NULL, are passed over: an account's marks are at most as
+    many as there are hooks.
     """
+    known = sorted({f"{hook.module}.{hook.notif_code}" for hook in catalog.hooks} | {"all"})
     parsed = fenced(
         preference_ops(ops, PREFERENCE_ID),
         doc="try_variant_get(try_parse_json(v['json']), '$', 'array<variant>')",
@@ -98,19 +107,21 @@ def read_marks(ops: DataFrame) -> DataFrame:
     return (
         named.where((F.col("op_name") == "read") & F.col("account").isNotNull())
         .select("account", F.explode("marks").alias("pair"), "ts")
+        .where(F.col("pair").isin(known))
         .groupBy("account", "pair")
         .agg(F.max("ts").alias("read_at"))
     )
 
 
 def with_read_marks(accounts: DataFrame, marks: DataFrame) -> DataFrame:
-    """Put read marks into ``last_reads`` next to ``all``."""
+    """Put read marks into ``last_reads``; a mark replaces the entry of its key."""
     by_account = marks.groupBy("account").agg(
         F.map_from_entries(
             F.collect_list(F.struct("pair", F.col("read_at").cast("string").alias("at")))
         ).alias("marks")
     )
-    nothing = F.create_map().cast("map<string,string>")
+    marks = F.coalesce("marks", F.create_map().cast("map<string,string>"))
+    others = F.map_filter("last_reads", lambda key, _: ~F.map_contains_key(marks, key))
     return accounts.join(by_account, "account", "left").withColumn(
-        "last_reads", F.map_concat("last_reads", F.coalesce("marks", nothing))
+        "last_reads", F.map_concat(others, marks)
     ).drop("marks")

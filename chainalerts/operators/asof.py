@@ -1,102 +1,31 @@
 """The account state as of a position of the log.
 
 A position is (block_num, op_id, hook_ord). Every candidate row gets the codes and the
-options its gate account had just before. Two ways give the same rows:
+options its gate account had just before.
 
-* ``broadcast``: the changes become validity intervals and are broadcast; the log side
-  is not shuffled at all. Only for changes of a proven size.
-* ``shuffle``: rows are spread by (account, module, block bucket), so an account that
-  holds a third of the log is split over as many groups as the log has buckets. What an
-  earlier bucket left behind is carried in as one row per group.
+Rows are spread by (account, module, bucket of operation ids), so an account that holds a
+third of the log is split over as many groups as the log has buckets, however many
+operations a block has. What an earlier bucket left behind is carried in as one row per
+group. The way is the same for logs of any size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainalerts.constants import PREFERENCE_ID, SYNC_BLOCKS
-from chainalerts.functions.json_values import first_element
-from chainalerts.sources.op_log import preference_ops
-
-# A broadcast is allowed up to these sizes of the preference log (see ``ChangeSize``).
-MAX_BROADCAST_OPS = 500_000
-MAX_BROADCAST_BYTES = 64 << 20
-MAX_BROADCAST_PER_ACCOUNT = 256
-
-
-@dataclass(frozen=True)
-class ChangeSize:
-    """Size of a preference log: operations, bytes of bodies, most of one account.
-
-    History rows hold parts of the bodies, so the bytes bound them from above.
-    """
-
-    ops: int
-    text_bytes: int
-    per_account: int
-
-    def fits_broadcast(self) -> bool:
-        return (
-            self.ops <= MAX_BROADCAST_OPS
-            and self.text_bytes <= MAX_BROADCAST_BYTES
-            and self.per_account <= MAX_BROADCAST_PER_ACCOUNT
-        )
-
-
-def measure_changes(ops: DataFrame) -> ChangeSize:
-    """One small job over the preference operations; a single row comes back."""
-    per_account = (
-        preference_ops(ops, PREFERENCE_ID)
-        .groupBy(F.expr(first_element("v['required_posting_auths']")).alias("account"))
-        .agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("size"))
-    )
-    row = per_account.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)),
-        F.coalesce(F.max("n"), F.lit(0)),
-    ).first()
-    return ChangeSize(*row)
-
-
+BUCKET_OPS = 20_000
 POSITION = "struct(int({0}block_num), bigint({0}op_id), int({0}hook_ord))"
 
 
-def intervals(changes: DataFrame) -> DataFrame:
-    """Changes as (account, module, codes, opts, since, until] with both states filled."""
-    by_key = Window.partitionBy("account", "module").orderBy("pos")
-    so_far = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("pos", F.expr(POSITION.format(""))).select(
-        F.col("account").alias("gate_account"), "module",
-        F.last("codes", ignorenulls=True).over(so_far).alias("codes"),
-        F.last("opts", ignorenulls=True).over(so_far).alias("opts"),
-        F.col("pos").alias("since"), F.lead("pos").over(by_key).alias("until"),
-    )
-
-
-def asof_broadcast(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    pos = POSITION.format("r.")
-    return (
-        rows.alias("r")
-        .join(
-            F.broadcast(intervals(changes)).alias("s"),
-            F.expr(
-                "r.gate_account = s.gate_account AND r.module = s.module "
-                f"AND {pos} > s.since AND (s.until IS NULL OR {pos} <= s.until)"
-            ),
-            "left",
-        )
-        .select("r.*", "s.codes", "s.opts")
-    )
-
+def asof_state(rows: DataFrame, changes: DataFrame, bucket_ops: int = BUCKET_OPS) -> DataFrame:
+    """Add ``codes`` and ``opts`` of (gate_account, module) before each row's position.
 
-def asof_shuffle(
-    rows: DataFrame, changes: DataFrame, bucket_blocks: int = SYNC_BLOCKS
-) -> DataFrame:
+    Operation ids grow with the position, as the log's order says.
+    """
     key = ["gate_account", "module"]
-    bucket = F.floor(F.col("block_num") / F.lit(bucket_blocks)).alias("bucket")
+    bucket = F.floor(F.col("op_id") / F.lit(bucket_ops)).alias("bucket")
     rows = rows.select("*", bucket)
     changes = changes.withColumnRenamed("account", "gate_account").select("*", bucket)
 
@@ -140,16 +69,3 @@ def asof_shuffle(
         .where("is_row")
         .drop("is_row", "bucket")
     )
-
-
-def asof_state(
-    rows: DataFrame, changes: DataFrame, size: ChangeSize | None = None,
-    bucket_blocks: int = SYNC_BLOCKS,
-) -> DataFrame:
-    """Add ``codes`` and ``opts`` of (gate_account, module) before each row's position.
-
-    Without a measured size, or beyond the limits, the shuffled way is taken.
-    """
-    if size is not None and size.fits_broadcast():
-        return asof_broadcast(rows, changes)
-    return asof_shuffle(rows, changes, bucket_blocks)

@@ -1,7 +1,7 @@
 """The rule catalog: hooks, modules, dispatch of operations to hooks.
 
-A catalog is configuration read from a few files, so the driver holds it; its size is
-known, and it is broadcast only while it is small.
+A catalog is configuration read from a few files, so the driver holds it. Its frames are
+local rows of a known size; how they travel is left to Spark.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from chainalerts import schemas
 from chainalerts.constants import MODULE_PATTERN, PREFERENCE_FUNCTION, RULES
 
-BROADCAST_HOOKS = 10_000
-
 
 @dataclass(frozen=True)
 class Hook:
@@ -160,11 +158,6 @@ def literal(value, ddl: str) -> str:
     return f"from_json('{text}', '{ddl}')"
 
 
-def small(frame: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a rule frame while the number of its rows is small."""
-    return F.broadcast(frame) if rows <= BROADCAST_HOOKS else frame
-
-
 # A hook's filter is a JSON map of body field -> required text; empty passes.
 PASSES_FILTER = (
     "length(notif_filter) = 0 OR coalesce(forall(map_entries(from_json(notif_filter, "
@@ -183,9 +176,7 @@ def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
         "module", "notif_name", "notif_code", "funct", "op_id AS op_type_id", "notif_filter",
         "hook_ord",
     )
-    matched = values.where(F.col("op_type_id").isin(types)).join(
-        small(rules, len(chosen)), "op_type_id"
-    )
+    matched = values.where(F.col("op_type_id").isin(types)).join(rules, "op_type_id")
     if any(hook.notif_filter for _, hook in chosen):
         matched = matched.where(PASSES_FILTER)
     return matched

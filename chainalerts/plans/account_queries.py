@@ -16,9 +16,8 @@ from pyspark.sql.window import Window
 from chainalerts.constants import (
     ACCOUNT_PATTERN, ASSET_IDS, MAX_LIMIT, RETENTION_DAYS,
 )
-from chainalerts.functions.json_values import first_element, node, value_map
+from chainalerts.functions.json_values import fenced, first_element, node, value_map
 from chainalerts.operators.hooks import Catalog
-from chainalerts.operators.skew import salted_join
 
 
 # Request checks -----------------------------------------------------------------------
@@ -60,10 +59,21 @@ def check_currency(currency: str | None) -> str | None:
     return currency
 
 
+def check_sender(sender: str | None) -> str | None:
+    return check_name(sender) if sender else sender
+
+
 def check_date(date: str | None) -> str | None:
     return date.replace("T", " ") if date else date
 
 
+def _asked(account: str | None, limit: int = MAX_LIMIT) -> tuple[str | None, int]:
+    """The account (``@name`` or ``name``) and the limit of a request, checked."""
+    if account is not None:
+        account = check_account(account) if "@" in account else check_name(account)
+    return account, check_limit(limit)
+
+
 # Shapes -------------------------------------------------------------------------------
 
 def _columns(op_data: bool) -> list[str]:
@@ -87,8 +97,12 @@ def _of(frame: DataFrame, account: str | None) -> DataFrame:
 def latest_notifications(
     notifications: DataFrame, account: str | None = None, module: str | None = None,
     code: str | None = None, limit: int = MAX_LIMIT, op_data: bool = False,
+    catalog: Catalog | None = None,
 ) -> DataFrame:
     """Newest notifications; ``limit`` 0 gives all of them in no order."""
+    account, limit = _asked(account, limit)
+    check_module(catalog or Catalog.default(), module)
+    check_code(code)
     picked = _of(notifications, account)
     if module:
         picked = picked.where(F.col("module_name") == module)
@@ -132,11 +146,12 @@ def created_after_read(
     notifications: DataFrame, accounts: DataFrame, threshold: Column
 ) -> DataFrame:
     """Rows created after a per-account threshold; accounts without one have no rows."""
-    limits = accounts.select("account", threshold.alias("read_until"))
-    return salted_join(
-        notifications, limits, "account",
-        F.struct("block_num", "op_id", "hook_ord"),
-    ).where(F.col("created") > F.col("read_until")).drop("read_until")
+    # Dealt anew, the accounts' side has an exchange of its own: then Spark splits an
+    # account that is hot on the other side into as many tasks as its rows need.
+    limits = accounts.select("account", threshold.alias("read_until")).hint("rebalance")
+    return notifications.join(limits, "account").where(
+        F.col("created") > F.col("read_until")
+    ).drop("read_until")
 
 
 def read_threshold(module: str, code: str, as_of: str) -> Column:
@@ -150,6 +165,7 @@ def read_threshold(module: str, code: str, as_of: str) -> Column:
 def _unread_of_code(
     notifications, accounts, module, code, as_of, account, min_date, max_date
 ) -> DataFrame:
+    min_date, max_date = check_date(min_date), check_date(max_date)
     picked = _of(notifications, account).where(
         (F.col("module_name") == module) & (F.col("notif_code") == code)
     )
@@ -178,16 +194,19 @@ def transfers(
     min_date: str | None = None, max_date: str | None = None, op_data: bool = False,
 ) -> DataFrame:
     """Unread transfers. Amounts are compared raw, before any scaling."""
+    account, limit = _asked(account, limit)
     check_currency(currency)
-    value = value_map("payload")
+    check_sender(sender)
     picked = _unread_of_code(
         notifications, accounts, "currency", "trn", as_of, account, min_date, max_date
     )
+    if currency or sender or min_amount or max_amount:
+        picked = fenced(picked, paid=value_map("payload"))
     if currency:
-        picked = picked.where(F.expr(node(f"{value}['amount']", "nai")) == ASSET_IDS[currency])
+        picked = picked.where(F.expr(node("paid['amount']", "nai")) == ASSET_IDS[currency])
     if sender:
-        picked = picked.where(F.expr(f"{value}['from']") == sender)
-    raw = F.expr(node(f"{value}['amount']", "amount")).try_cast("bigint")
+        picked = picked.where(F.col("paid")["from"] == sender)
+    raw = F.expr(node("paid['amount']", "amount")).try_cast("bigint")
     picked = _between(picked, raw, min_amount, max_amount)
     return newest(picked, limit).select("rank", *_columns(op_data))
 
@@ -197,6 +216,7 @@ def votes(
     limit: int = MAX_LIMIT, min_date: str | None = None, max_date: str | None = None,
     op_data: bool = False,
 ) -> DataFrame:
+    account, limit = _asked(account, limit)
     picked = _unread_of_code(
         notifications, accounts, "social", "vot", as_of, account, min_date, max_date
     )
@@ -209,15 +229,18 @@ def token_transfers(
     min_amount: float | None = None, max_amount: float | None = None,
     min_date: str | None = None, max_date: str | None = None, op_data: bool = False,
 ) -> DataFrame:
-    value = value_map("payload")
+    account, limit = _asked(account, limit)
+    check_sender(sender)
     picked = _unread_of_code(
         notifications, accounts, "splinterlands", "trn", as_of, account, min_date, max_date
     )
+    if token or sender or min_amount or max_amount:
+        picked = fenced(picked, paid=value_map("payload"))
     if token:
-        picked = picked.where(F.expr(node(f"{value}['json']", "token")) == token)
+        picked = picked.where(F.expr(node("paid['json']", "token")) == token)
     if sender:
-        picked = picked.where(F.expr(first_element(f"{value}['required_auths']")) == sender)
-    qty = F.expr(node(f"{value}['json']", "qty")).try_cast("double")
+        picked = picked.where(F.expr(first_element("paid['required_auths']")) == sender)
+    qty = F.expr(node("paid['json']", "qty")).try_cast("double")
     picked = _between(picked, qty, min_amount, max_amount)
     return newest(picked, limit).select("rank", *_columns(op_data))
 
@@ -238,6 +261,7 @@ def unread_counts(notifications: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def unread_count(notifications: DataFrame, accounts: DataFrame, account: str) -> DataFrame:
     """One row for one account; an unknown account counts 0."""
+    account, _ = _asked(account)
     counted = unread_counts(_of(notifications, account), _of(accounts, account))
     return counted.agg(F.coalesce(F.sum("unread"), F.lit(0).cast("bigint")).alias("unread"))
 
@@ -245,18 +269,23 @@ def unread_count(notifications: DataFrame, accounts: DataFrame, account: str) ->
 def preferences(
     accounts: DataFrame, account: str | None = None, module: str | None = None
 ) -> DataFrame:
-    """prefs and prefs_updated; with a module, its list where the account has it."""
-    picked = _of(accounts, account)
+    """prefs and prefs_updated. With a module, ``prefs`` is its list; an account that does
+    not have it gets all of its preferences in ``all_prefs`` instead."""
+    picked = _of(accounts, _asked(account)[0])
     if module is None:
         return picked.select("account", "prefs", "prefs_updated")
-    return picked.select("account", F.col("prefs")[module].alias("prefs"), "prefs_updated")
+    own = F.col("prefs")[module]
+    return picked.select(
+        "account", own.alias("prefs"), "prefs_updated",
+        F.when(~F.map_contains_key("prefs", F.lit(module)), F.col("prefs")).alias("all_prefs"),
+    )
 
 
 def options(
     accounts: DataFrame, account: str | None = None, module: str | None = None
 ) -> DataFrame:
     """options and options_updated; with a module, that part of the document."""
-    picked = _of(accounts, account)
+    picked = _of(accounts, _asked(account)[0])
     if module is None:
         return picked.select("account", "options", "options_updated")
     part = F.from_json("options", "map<string,string>")[module]
@@ -266,7 +295,7 @@ def options(
 def enabled_pairs(accounts: DataFrame, account: str | None = None) -> DataFrame:
     """One row per enabled ``module:code``."""
     return (
-        _of(accounts, account)
+        _of(accounts, _asked(account)[0])
         .select("account", F.explode("prefs").alias("module", "codes"))
         .select("account", "module", F.explode("codes").alias("code"))
         .select("account", F.concat_ws(":", "module", "code").alias("pair"))

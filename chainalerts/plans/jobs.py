@@ -24,7 +24,7 @@ def latest_state(changes: DataFrame) -> DataFrame:
 def preload_state(ops: DataFrame, catalog: Catalog, first: int, last: int) -> DataFrame:
     """Replay only the preference operations of ``first..last`` (both included)."""
     log = preference_log(scan_ops(ops, first, last), catalog)
-    return latest_state(changes_of(log, catalog))
+    return latest_state(changes_of(log, catalog, preload=True))
 
 
 def run_batch(plan: AlertPlan, path: str) -> None:
@@ -34,6 +34,6 @@ def run_batch(plan: AlertPlan, path: str) -> None:
     first, then every later step (and every retry after a lost executor) reads those.
     """
     plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
-    resolved = plan.resolved()
+    resolved = stage(plan.resolved().where("passes OR reason IS NOT NULL"), "resolved")
     write_notifications(plan.notifications(resolved), f"{path}/notifications")
     plan.rejects(resolved).write.mode("append").parquet(f"{path}/rejects")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import (
-    ALL_CODES, DEFAULT_PREFS, MAX_ACCOUNT, MAX_TEXT, PREFERENCE_ID, SYNC_BLOCKS,
+    ALL_CODES, DEFAULT_PREFS, MAX_ACCOUNT, MAX_TEXT, PREFERENCE_ID,
 )
-from chainalerts.operators.asof import ChangeSize, asof_state, measure_changes
+from chainalerts.operators.asof import BUCKET_OPS, asof_state
 from chainalerts.operators.handlers import parse_declared, recipients
 from chainalerts.operators.hooks import Catalog, dispatch, literal
 from chainalerts.operators.preferences import (
@@ -27,7 +27,6 @@ NOTIF_COLUMNS = [
     "notif_key", "block_num", "op_id", "hook_ord", "trx_id", "account", "module_name",
     "notif_code", "created", "remark", "payload", "link", "verified", "created_date",
 ]
-ASOF_WAYS = ("auto", "broadcast", "shuffle")
 
 
 def candidates(
@@ -51,13 +50,18 @@ def candidates(
         IF(length(account) > {MAX_ACCOUNT}, 'account is longer than {MAX_ACCOUNT}', NULL))"""))
 
 
-def changes_of(log: DataFrame, catalog: Catalog) -> DataFrame:
-    """State changes of a preference log; none when the preference hook is off."""
+def changes_of(log: DataFrame, catalog: Catalog, preload: bool = False) -> DataFrame:
+    """State changes of a preference log, of the catalog's modules.
+
+    A sync applies none while the preference hook is off. A preload does not look at the
+    flag: it calls the preference handler whatever it says.
+    """
     changes = state_changes(pref_history(log), option_history(log), sorted(catalog.modules))
+    changes = changes.where(F.col("module").isin(sorted(catalog.modules)))
     order = catalog.preference_order()
-    if order is None:
+    if order is None and not preload:
         return changes.withColumn("hook_ord", F.lit(0)).where(F.lit(False))
-    return changes.withColumn("hook_ord", F.lit(order))
+    return changes.withColumn("hook_ord", F.lit(order or 0))
 
 
 def opening_state(snapshot: DataFrame) -> DataFrame:
@@ -101,13 +105,10 @@ class AlertPlan:
     transactions: DataFrame | None = None
     snapshot: DataFrame | None = None
     semantics: str = "reference"
-    asof: str = "auto"
-    bucket_blocks: int = SYNC_BLOCKS
+    bucket_ops: int = BUCKET_OPS
     hooks: list | None = None
 
     def __post_init__(self):
-        if self.asof not in ASOF_WAYS:
-            raise ValueError(f"asof must be one of {ASOF_WAYS}")
         self._candidates: DataFrame | None = None
         self._log: DataFrame | None = None
 
@@ -133,20 +134,9 @@ class AlertPlan:
             return own
         return own.unionByName(opening_state(self.snapshot))
 
-    def change_size(self) -> ChangeSize | None:
-        """Measured size when a broadcast is considered at all."""
-        if self.asof == "shuffle" or self.snapshot is not None:
-            return None
-        return measure_changes(self.ops)
-
     def resolved(self) -> DataFrame:
         """Candidates with the state they met and the verdict of every gate."""
-        size = self.change_size()
-        if self.asof == "broadcast" and not size.fits_broadcast():
-            raise ValueError(f"preference log too large to broadcast: {size}")
-        return with_gates(
-            asof_state(self.candidates(), self.changes(), size, self.bucket_blocks)
-        )
+        return with_gates(asof_state(self.candidates(), self.changes(), self.bucket_ops))
 
     def notifications(self, resolved: DataFrame | None = None) -> DataFrame:
         rows = self.resolved() if resolved is None else resolved

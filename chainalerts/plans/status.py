@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainalerts.constants import HEALTH_MAX_BLOCKS, HEALTH_MAX_SECONDS
+from chainalerts.functions.text import percent_text
 
 
 def preload_progress(next_block: Column, first: int, last: int) -> Column:
@@ -42,7 +43,7 @@ def system_status(
         F.lit(sync_enabled).alias("sync_enabled"),
         preloaded.alias("state_preloaded"),
         progress.alias("state_preload_progress"),
-    )
+    ).withColumn("state_preload_progress_text", F.expr(percent_text("state_preload_progress")))
 
 
 def sync_allowed(status: DataFrame) -> DataFrame:
@@ -75,9 +76,13 @@ def health(status: DataFrame, head_block: int | Column, now: str | Column) -> Da
     )
 
 
-def module_progress(notifications: DataFrame, modules: DataFrame) -> DataFrame:
-    """State row per module except core: what it processed last, and its flag."""
-    latest = notifications.groupBy(F.col("module_name").alias("module")).agg(
+def module_progress(processed: DataFrame, modules: DataFrame) -> DataFrame:
+    """State row per module except core: what it processed last, and its flag.
+
+    ``processed`` holds the operations that were dispatched to the module's hooks, whether
+    or not an alert came of them.
+    """
+    latest = processed.groupBy("module").agg(
         F.max("op_id").alias("latest_op_id"), F.max("block_num").alias("latest_block_num")
     )
     return (

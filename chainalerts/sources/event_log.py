@@ -7,7 +7,9 @@ that all of the engine can be run and checked on data at hand.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
 
+from chainalerts import schemas
 from chainalerts.constants import HBD, PREFERENCE_ID, TOKEN_TRANSFER_ID
 
 HIVE = "@@000000021"
@@ -20,11 +22,15 @@ OP_TYPE = """CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 72 WHEN 'v
     WHEN 3 THEN 52 ELSE 50 END END"""
 
 
+# How many tasks read the events, where one file cannot be split further; a setting of the
+# session, as split sizes are. Without it the files' own splits are the tasks.
+READ_TASKS = "spark.chainalerts.readTasks"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table; one that lies in fewer files than there are cores is spread first."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
+    tasks = spark.conf.get(READ_TASKS, None)
+    return table.repartition(int(tasks)) if tasks else table
 
 
 def _amount(raw: str, asset: str, precision: int = 3) -> str:
@@ -121,6 +127,63 @@ def _preference_payload() -> str:
     )
 
 
+def _read_payload() -> str:
+    """Read marks by ``event_id div 10 mod 6``: known and unknown pairs, ``all``, NULL."""
+    marks = ["""'["read",["currency.trn"]]'""", """'["read",["all"]]'""",
+             """'["read",[null,"social.vot"]]'""", """'["read",["foo.bar","currency.trn"]]'""",
+             """'[[1,"app"],"read",["social.vot","social.vot"]]'""", """'["read",[null]]'"""]
+    whens = " ".join(f"WHEN {rest} THEN {payload}" for rest, payload in enumerate(marks))
+    return f"CASE event_id DIV 10 % 6 {whens} END"
+
+
+def read_mark_ops(source: DataFrame) -> DataFrame:
+    """Preference operations that mark as read, one for each sign-up event."""
+    signups = source.where("event_type = 'signup'").selectExpr(
+        "event_id", "ts", "concat('u', 1000 + user_id) AS u")
+    body = _body("custom_json", {
+        "required_auths": "CAST(array() AS ARRAY<STRING>)", "required_posting_auths": "array(u)",
+        "id": f"'{PREFERENCE_ID}'", "json": _read_payload(),
+    })
+    return signups.selectExpr(
+        "event_id AS op_id", "CAST(18 AS SMALLINT) AS op_type_id",
+        "CAST(event_id DIV 10 AS INT) AS block_num", "ts",
+        "CAST(event_id % 10 AS INT) AS trx_in_block", f"{body} AS body",
+    )
+
+
+def _sample_value(name: str, kind: DataType) -> str:
+    """A value for a documented field, of its type, from the event."""
+    if isinstance(kind, StructType):
+        if kind.names == ["amount", "precision", "nai"]:
+            return _amount("cents", f"'{HIVE}'")
+        inner = ", ".join(f"'{f.name}', {_sample_value(f.name, f.dataType)}" for f in kind)
+        return f"named_struct({inner})"
+    if isinstance(kind, ArrayType):
+        return f"array({_sample_value(name, kind.elementType)})"
+    if isinstance(kind, BooleanType):
+        return "event_id % 2 = 0"
+    return f"concat('{name}', event_id)" if isinstance(kind, StringType) else "event_id"
+
+
+def documented_ops_from_events(source: DataFrame) -> DataFrame:
+    """A log of every documented operation type, by ``event_id`` modulo their number."""
+    kinds = sorted(schemas.OPERATIONS)
+    whens, types = [], []
+    for rest, op in enumerate(kinds):
+        name, ddl = schemas.OPERATIONS[op]
+        fields = {f.name: _sample_value(f.name, f.dataType) for f in StructType.fromDDL(ddl)}
+        whens.append(f"WHEN {rest} THEN {_body(name, fields)}")
+        types.append(f"WHEN {rest} THEN {op}")
+    kind = f"event_id % {len(kinds)}"
+    return source.selectExpr(
+        "event_id", "ts", "CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents",
+    ).selectExpr(
+        "event_id AS op_id", f"CAST(CASE {kind} {' '.join(types)} END AS SMALLINT) AS op_type_id",
+        "CAST(event_id DIV 10 AS INT) AS block_num", "ts", "CAST(NULL AS INT) AS trx_in_block",
+        f"CASE {kind} {' '.join(whens)} END AS body",
+    )
+
+
 def ops_from_events(source: DataFrame) -> DataFrame:
     """The ``ops`` table: op_id, op_type_id, block_num, ts, trx_in_block, body."""
     named = source.selectExpr(

@@ -9,48 +9,46 @@ from pyspark.sql import functions as F
 
 from chainalerts import schemas
 from chainalerts.constants import OP_CUSTOM_JSON, OP_TRANSFER, START_DISTANCE_BLOCKS
-from chainalerts.functions.json_values import fenced, value_map
+from chainalerts.functions.json_values import fenced, node, value_map
 
 BLOCK_BUCKET = 100_000
 
 
-def block_bucket(block_num: Column, size: int = BLOCK_BUCKET) -> Column:
-    return F.floor(block_num / F.lit(size)).cast("int")
-
-
 def write_ops(ops: DataFrame, path: str, bucket: int = BLOCK_BUCKET) -> None:
-    """Land a log: one directory per block bucket, files sorted for min/max skipping."""
+    """Land a log: one directory per block bucket, files sorted for min/max skipping.
+
+    A directory is named by its bucket's first and last block, so a reader needs to know
+    nothing of ``bucket``, and logs landed with different sizes can lie side by side.
+    """
+    first = F.floor(F.col("block_num") / F.lit(bucket)) * bucket
     (
-        ops.withColumn("block_bucket", block_bucket(F.col("block_num"), bucket))
-        .hint("rebalance", "block_bucket")
-        .sortWithinPartitions("block_bucket", "op_type_id", "block_num", "op_id")
-        .write.partitionBy("block_bucket")
+        ops.withColumn("bucket_first", first.cast("int"))
+        .withColumn("bucket_last", (first + (bucket - 1)).cast("int"))
+        .hint("rebalance", "bucket_first")
+        .sortWithinPartitions("bucket_first", "op_type_id", "block_num", "op_id")
+        .write.partitionBy("bucket_first", "bucket_last")
         .mode("overwrite")
         .parquet(path)
     )
 
 
 def read_ops(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.OPS + ", block_bucket INT").parquet(path)
+    return spark.read.schema(schemas.OPS + ", bucket_first INT, bucket_last INT").parquet(path)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRANSACTIONS).parquet(path)
 
 
-def scan_ops(
-    ops: DataFrame, first: int, last: int, bucket: int = BLOCK_BUCKET
-) -> DataFrame:
+def scan_ops(ops: DataFrame, first: int, last: int) -> DataFrame:
     """Operations of blocks ``first..last``, both ends included.
 
-    Over a landed log the same range is put on ``block_bucket``, so whole directories
-    are pruned. The order stays a key (block_num, op_id); nothing is sorted here.
+    Over a landed log whole directories are pruned by the blocks in their names. The
+    order stays a key (block_num, op_id); nothing is sorted here.
     """
     picked = ops.where(F.col("block_num").between(first, last))
-    if "block_bucket" in ops.columns:
-        picked = picked.where(
-            F.col("block_bucket").between(first // bucket, last // bucket)
-        )
+    if "bucket_first" in ops.columns:
+        picked = picked.where((F.col("bucket_first") <= last) & (F.col("bucket_last") >= first))
     return picked
 
 
@@ -85,6 +83,41 @@ def typed_ops(ops: DataFrame, op_type_id: int) -> DataFrame:
     )
 
 
+def documented_ops(ops: DataFrame, shown: dict[int, tuple[str, str | None]]) -> DataFrame:
+    """Operations of many documented types in one scan, each body parsed once.
+
+    ``shown`` names per type a text field and an amount field (or None): they become
+    ``actor`` and ``amount`` (the raw integer). ``n_fields`` counts the documented fields
+    that are there. What differs by type is a lookup by the operation's type.
+    """
+    def by_type(values: dict, kind: str) -> str:
+        whens = " ".join(
+            f"WHEN {op} THEN {value}" for op, value in values.items() if value is not None
+        )
+        return f"CASE op_type_id {whens} END" if whens else f"CAST(NULL AS {kind})"
+
+    names, keys, actors, amounts = {}, {}, {}, {}
+    for op, (actor, amount) in shown.items():
+        name, ddl = schemas.OPERATIONS[op]
+        fields = ", ".join(f"'{field}'" for field in _field_names(ddl))
+        names[op], keys[op] = f"'{name}'", f"array({fields})"
+        actors[op] = f"v['{actor}']"
+        amounts[op] = f"v['{amount}']" if amount else None
+    picked = fenced(ops.where(F.col("op_type_id").isin(list(shown))), v=value_map())
+    found = f"size(map_filter(v, (k, x) -> x IS NOT NULL AND array_contains({by_type(keys, 'ARRAY<STRING>')}, k)))"
+    return picked.selectExpr(
+        "op_id", "block_num", f"{by_type(names, 'STRING')} AS op_name",
+        f"CAST({found} AS BIGINT) AS n_fields", f"{by_type(actors, 'STRING')} AS actor",
+        f"try_cast({node(by_type(amounts, 'STRING'), 'amount')} AS BIGINT) AS amount",
+    )
+
+
+def _field_names(ddl: str) -> list[str]:
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl).names
+
+
 def _as_struct(ddl: str) -> str:
     """``a INT, b STRING`` as the inside of ``STRUCT<...>``."""
     from pyspark.sql.types import StructType
@@ -105,15 +138,13 @@ def parse_values(ops: DataFrame) -> DataFrame:
 
 
 def preference_ops(ops: DataFrame, preference_id: str) -> DataFrame:
-    """custom_json operations with the preference id.
+    """custom_json operations with the preference id; the type test reaches the scan.
 
-    The type test reaches the parquet scan; the text test before it skips parsing
-    most of the other custom_json bodies.
+    The id is compared after parsing: in the raw text it may be written with escapes.
     """
-    likely = ops.where(
-        (F.col("op_type_id") == OP_CUSTOM_JSON) & F.col("body").contains(preference_id)
+    return fenced(ops.where(F.col("op_type_id") == OP_CUSTOM_JSON), v=value_map()).where(
+        F.col("v")["id"] == preference_id
     )
-    return fenced(likely, v=value_map()).where(F.col("v")["id"] == preference_id)
 
 
 def filter_operations(ops: DataFrame, first: int, last: int, wanted: dict[str, str]) -> DataFrame:
@@ -167,19 +198,21 @@ def start_block(irreversible_block: int) -> int:
     return irreversible_block - START_DISTANCE_BLOCKS
 
 
-def block_ranges(bounds: DataFrame, size: int) -> DataFrame:
-    """Split ``first..last`` of each row into ranges.
+def block_ranges(spark: SparkSession, first: int, last: int, size: int) -> DataFrame:
+    """Split ``first..last`` into ranges, one row each, made in parallel.
 
     The first range holds size + 1 values, later ones ``size``; the last one is cut.
     """
-    span = F.col("last") - F.col("first")
-    count = F.greatest(F.ceil(span / F.lit(size)), F.lit(1))
-    return (
-        bounds.withColumn("n", F.explode(F.sequence(F.lit(1).cast("bigint"), count)))
-        .select(
-            F.when(F.col("n") == 1, F.col("first"))
-            .otherwise(F.col("first") + (F.col("n") - 1) * size + 1)
-            .alias("range_first"),
-            F.least(F.col("first") + F.col("n") * size, F.col("last")).alias("range_last"),
-        )
+    count = max(-(-(last - first) // size), 1)
+    n, size_ = F.col("id"), F.lit(size)
+    return spark.range(1, count + 1).select(
+        F.when(n == 1, F.lit(first)).otherwise(F.lit(first) + (n - 1) * size_ + 1)
+        .cast("bigint").alias("range_first"),
+        F.least(F.lit(first) + n * size_, F.lit(last)).cast("bigint").alias("range_last"),
     )
+
+
+def range_of_block(block_num: Column, first: int, size: int) -> Column:
+    """First block of the range (as ``block_ranges`` makes them) that a block lies in."""
+    n = F.greatest(F.ceil((block_num - F.lit(first)) / F.lit(size)), F.lit(1))
+    return F.when(n == 1, F.lit(first)).otherwise(F.lit(first) + (n - 1) * size + 1).cast("bigint")

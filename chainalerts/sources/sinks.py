@@ -1,8 +1,7 @@
-"""Writing notifications, and staging frames that are used more than once."""
+"""Writing notifications, staging frames that are used more than once, files by name."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it.
-
-    Only a local session, where one machine does all, may fall back to a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="chainalerts-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """The folder that driver and executors share, as the session names it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named.rstrip("/")
 
 
 def stage(frame: DataFrame, name: str) -> DataFrame:
@@ -33,11 +27,11 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
 def write_notifications(notifications: DataFrame, path: str, mode: str = "append") -> None:
     """Append notifications, one directory per day, sorted by account within files.
 
-    The rebalance splits days or accounts that are too large for one task, and the sort
-    lets a reader of one account skip most row groups.
+    Rows are dealt by day, so a day is one file until Spark splits one that is too large
+    for a task; the sort lets a reader of one account skip most row groups.
     """
     (
-        notifications.hint("rebalance", "created_date", "account")
+        notifications.hint("rebalance", "created_date")
         .sortWithinPartitions("created_date", "account", "block_num", "op_id", "hook_ord")
         .write.partitionBy("created_date")
         .mode(mode)
@@ -47,3 +41,33 @@ def write_notifications(notifications: DataFrame, path: str, mode: str = "append
 
 def read_notifications(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("created_date", F.col("created_date").cast("date"))
+
+
+def _located(spark: SparkSession, path: str):
+    """A path and the file system it lies in, whichever that is."""
+    located = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return located.getFileSystem(spark._jsc.hadoopConfiguration()), located
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, located = _located(spark, path)
+    return system.exists(located)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with a name of its own, such as a rule file."""
+    system, located = _located(spark, path)
+    out = system.create(located, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob pattern finds."""
+    system, located = _located(spark, pattern)
+    return [status.getPath().toString() for status in system.globStatus(located) or ()]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    system, located = _located(spark, path)
+    system.delete(located, True)

@@ -1,29 +1,37 @@
 """Following the log: micro-batches of final block ranges around the batch plan.
 
 Layout below ``out``:
-  notifications/batch_id=N   rows of micro-batch N
+  opening/state, opening/done             what a preload left, and its range (written last)
+  notifications/batch_id=N/created_date=D rows of micro-batch N
   rejects/batch_id=N
-  state/batch_id=N           account state changed by N (all of it where N was compacted)
-  progress/batch_id=N        last block of N; written last
+  state/batch_id=N                        account state changed by N (all of it where N was
+                                          compacted)
+  progress/batch_id=N                     block range of N; written last
 
-A replay of N reads the state up to N-1 and overwrites the directories of N, so it
-changes nothing. No file is shared between batches.
+Ranges have to follow each other without a gap. A replay of N reads the state up to N-1 and
+overwrites the directories of N, so it changes nothing. No file is shared between batches.
+Days older than the retention are dropped as whole directories.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from chainalerts import schemas
+from chainalerts.constants import RETENTION_DAYS
 from chainalerts.operators.hooks import Catalog
-from chainalerts.plans.jobs import latest_state
-from chainalerts.plans.notifications import AlertPlan
+from chainalerts.operators.retention import retained_notifications
+from chainalerts.plans.jobs import latest_state, preload_state
+from chainalerts.plans.notifications import AlertPlan, opening_state
+from chainalerts.plans.status import system_status
 from chainalerts.sources.op_log import final_ops, scan_ops
+from chainalerts.sources.sinks import drop_folder, exists, folders, stage, write_notifications
 
 # ``state_from`` is the first batch whose state files are needed to know the state now.
 PROGRESS = (
@@ -74,14 +82,34 @@ class AlertStream:
     semantics: str = "reference"
     ranges_per_batch: int = 1
     compact_every: int = 20
-    is_allowed: Callable[[], bool] | None = None
+    sync_enabled: bool = True
+    preload: bool = False
+
+    def prepare(self, ops: DataFrame, first: int, last: int) -> None:
+        """Preload the account state of ``first..last``; the stream then begins after it."""
+        preload_state(ops, self.catalog, first, last).write.mode("overwrite").parquet(
+            f"{self.out}/opening/state"
+        )
+        heads = self._heads(scan_ops(ops, first, last))
+        self._write_row(ops.sparkSession, (first, last, heads["block_time"], heads["ops"], 0), "opening/done")
+
+    def status(self, spark: SparkSession, as_of: str, wanted: tuple[int, int]) -> DataFrame:
+        """System status of a stream that has to preload ``wanted`` first."""
+        done = self._row(spark, f"{self.out}/opening/done")
+        processed = spark.createDataFrame(
+            [] if done is None else [(done["last_block"], done["ops"], done["block_time"])],
+            "block_num INT, op_id BIGINT, ts TIMESTAMP_NTZ",
+        )
+        return system_status(processed, as_of, wanted, self.sync_enabled)
 
     def start(self, spark: SparkSession, every: str | None = None) -> StreamingQuery | None:
         """Start following; without ``every`` it stops when it has caught up.
 
-        Resumes after the last completed batch. Does not start while the gate is shut.
+        Resumes after the last completed batch. Does not start while the gate is shut: if
+        syncing is off, or if the state it needs has not been preloaded.
         """
-        if self.is_allowed is not None and not self.is_allowed():
+        loaded = not self.preload or exists(spark, f"{self.out}/opening/done/_SUCCESS")
+        if not (loaded and self.sync_enabled):
             return None
         source = (
             spark.readStream.schema(RANGES)
@@ -99,52 +127,61 @@ class AlertStream:
 
     def follow(self, ranges: DataFrame, batch_id: int) -> None:
         """One micro-batch: the operations of the few ranges that were published."""
-        firsts = [row["first"] for row in ranges.orderBy("first").collect()]
-        reader = ranges.sparkSession.read.schema(schemas.OPS)
-        if firsts:
-            self.process(
-                reader.parquet(*[_range_path(self.landing, first) for first in firsts]), batch_id
-            )
-
-    def process(self, ops: DataFrame, batch_id: int) -> None:
+        rows = sorted((row["first"], row["last"]) for row in ranges.collect())
+        if not rows:
+            return
+        for (_, last), (first, _) in zip(rows, rows[1:]):
+            _follows(last, first)
+        paths = [_range_path(self.landing, first) for first, _ in rows]
+        ops = ranges.sparkSession.read.schema(schemas.OPS).parquet(*paths)
+        self.process(ops, batch_id, (rows[0][0], rows[-1][1]))
+
+    def process(
+        self, ops: DataFrame, batch_id: int, blocks: tuple[int, int] | None = None
+    ) -> None:
+        """Process the operations of the block range ``blocks`` (else: of their own blocks)."""
         spark = ops.sparkSession
-        heads = ops.agg(
+        heads = self._heads(ops)
+        if blocks is None:
+            blocks = (heads["first_block"], heads["last_block"])
+        before = self._row(spark, f"{self.out}/progress/batch_id={batch_id - 1}") if batch_id else (
+            self._row(spark, f"{self.out}/opening/done") if self.preload else None)
+        if before is not None:
+            _follows(before["last_block"], blocks[0])
+        earlier = self._earlier_state(spark, batch_id, before)
+        plan = AlertPlan(ops, self.catalog, self._transactions_of(heads), semantics=self.semantics)
+        plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
+        if earlier is not None:
+            # Only what the batch's accounts left behind takes part in it. The accounts are
+            # a table, so Spark knows their size and spreads them where it can.
+            asked = plan.candidates().select(F.col("gate_account").alias("account")).distinct()
+            asked = stage(asked, "accounts")
+            plan.snapshot = latest_state(earlier.join(asked, "account", "left_semi"))
+        resolved = stage(plan.resolved().where("passes OR reason IS NOT NULL"), "resolved")
+        write_notifications(
+            plan.notifications(resolved), f"{self.out}/notifications/batch_id={batch_id}", "overwrite"
+        )
+        self._write(plan.rejects(resolved), "rejects", batch_id)
+        full = (batch_id + 1) % self.compact_every == 0
+        state = plan.own_changes()
+        if full and earlier is not None:
+            state = state.unionByName(opening_state(latest_state(earlier)))
+        self._write(
+            latest_state(state).withColumn("written", F.lit(batch_id).cast("bigint")),
+            "state", batch_id,
+        )
+        time = heads["block_time"] or (before["block_time"] if before else None)
+        if full and time is not None:
+            expire(spark, self.out, str(time))
+        since = batch_id if full else before["state_from"] if before else 0
+        self._write_row(spark, (*blocks, time, heads["ops"], since), f"progress/batch_id={batch_id}")
+
+    def _heads(self, ops: DataFrame):
+        return ops.agg(
             F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block"),
             F.max_by("ts", F.struct("block_num", "op_id")).alias("block_time"),
             F.count("*").alias("ops"),
         ).first()
-        before = self._progress_of(spark, batch_id - 1) if batch_id else None
-        last_done = before["last_block"] if before else None
-        if heads["ops"] and last_done is not None and heads["first_block"] <= last_done:
-            raise ValueError(
-                f"block {heads['first_block']} comes after block {last_done} was processed"
-            )
-        plan = AlertPlan(
-            ops, self.catalog, self._transactions_of(heads),
-            self._state_before(spark, batch_id, before), self.semantics, asof="shuffle",
-        )
-        # A micro-batch is a bounded number of blocks, so its rows can be kept in use.
-        kept = [plan.candidates().persist(), plan.preference_log().persist()]
-        plan.use(*kept)
-        try:
-            verdicts = plan.resolved().where("passes OR reason IS NOT NULL").persist()
-            kept.append(verdicts)
-            self._write(plan.notifications(verdicts), "notifications", batch_id)
-            self._write(plan.rejects(verdicts), "rejects", batch_id)
-            full = (batch_id + 1) % self.compact_every == 0
-            state = latest_state(plan.changes() if full else plan.own_changes())
-            self._write(
-                state.withColumn("written", F.lit(batch_id).cast("bigint")), "state", batch_id
-            )
-        finally:
-            for frame in kept:
-                frame.unpersist()
-        row = (
-            heads["first_block"], heads["last_block"] if heads["ops"] else last_done,
-            heads["block_time"], heads["ops"],
-            batch_id if full else before["state_from"] if before else 0,
-        )
-        self._write(spark.createDataFrame([row], PROGRESS), "progress", batch_id)
 
     def _transactions_of(self, heads) -> DataFrame | None:
         if self.transactions is None or not heads["ops"]:
@@ -154,40 +191,64 @@ class AlertStream:
     def _write(self, frame: DataFrame, table: str, batch_id: int) -> None:
         frame.write.mode("overwrite").parquet(f"{self.out}/{table}/batch_id={batch_id}")
 
-    def _progress_of(self, spark: SparkSession, batch_id: int):
-        return spark.read.schema(PROGRESS).parquet(
-            f"{self.out}/progress/batch_id={batch_id}"
-        ).first()
+    def _write_row(self, spark: SparkSession, row: tuple, table: str) -> None:
+        frame = spark.createDataFrame([row], PROGRESS).coalesce(1)
+        frame.write.mode("overwrite").parquet(f"{self.out}/{table}")
 
-    def _state_before(self, spark: SparkSession, batch_id: int, before) -> DataFrame | None:
-        """Account state after the earlier batches: last full state plus what changed."""
+    def _row(self, spark: SparkSession, path: str):
+        if not exists(spark, f"{path}/_SUCCESS"):
+            return None
+        return spark.read.schema(PROGRESS).parquet(path).first()
+
+    def _earlier_state(self, spark: SparkSession, batch_id: int, before) -> DataFrame | None:
+        """What earlier batches wrote of account states, as changes with their batch as time:
+        from the last full state on; before there is one, from the opening state on."""
         columns = ["account", "module", "codes", "opts"]
-        parts = None
-        if before is not None:
-            paths = [
-                f"{self.out}/state/batch_id={earlier}"
-                for earlier in range(before["state_from"], batch_id)
+        parts = []
+        since = before["state_from"] if before else 0
+        paths = [f"{self.out}/state/batch_id={earlier}" for earlier in range(since, batch_id)]
+        if paths:
+            parts.append(spark.read.schema(STATE_ROWS).parquet(*paths).select(
+                *columns, F.col("written").alias("block_num"), F.lit(0).cast("bigint").alias("op_id")
+            ))
+        if since == 0:
+            opening = [] if self.initial_state is None else [self.initial_state]
+            if self.preload:
+                opening.append(spark.read.schema(schemas.STATE).parquet(f"{self.out}/opening/state"))
+            parts += [
+                frame.select(*columns, F.lit(order - 9).cast("bigint").alias("block_num"),
+                             F.lit(0).cast("bigint").alias("op_id"))
+                for order, frame in enumerate(opening)
             ]
-            parts = spark.read.schema(STATE_ROWS).parquet(*paths).select(
-                *columns, F.col("written").alias("block_num"), F.lit(0).alias("op_id")
-            )
-        # The first batch's files hold only its own changes, so the opening state is added
-        # until a full state has been written.
-        if self.initial_state is not None and (before is None or before["state_from"] == 0):
-            opening = self.initial_state.select(
-                *columns, F.lit(-1).cast("bigint").alias("block_num"), F.lit(0).alias("op_id")
-            )
-            parts = opening if parts is None else parts.unionByName(opening)
-        return None if parts is None else latest_state(parts)
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _follows(last: int, first: int) -> None:
+    if first <= last:
+        raise ValueError(f"block {first} comes after block {last} was processed")
+    if first > last + 1:
+        raise ValueError(f"blocks {last + 1} to {first - 1} are missing")
+
+
+def expire(spark: SparkSession, out: str, as_of: str) -> int:
+    """Drop the days of the output that lie wholly before the retention; gives their number."""
+    oldest = datetime.datetime.fromisoformat(as_of) - datetime.timedelta(days=RETENTION_DAYS)
+    old = [
+        path for path in folders(spark, f"{out}/notifications/batch_id=*/created_date=*")
+        if path.rsplit("created_date=", 1)[1] < str(oldest.date())
+    ]
+    for path in old:
+        drop_folder(spark, path)
+    return len(old)
 
 
 def read_progress(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(PROGRESS + ", batch_id BIGINT").parquet(f"{out}/progress")
 
 
-def read_output(spark: SparkSession, out: str) -> DataFrame:
-    """All notifications of a stream, each key once even if a checkpoint was lost."""
+def read_output(spark: SparkSession, out: str, as_of: str | None = None) -> DataFrame:
+    """All notifications of a stream; with ``as_of`` those within the retention then."""
     rows = spark.read.schema(schemas.NOTIFICATIONS + ", batch_id BIGINT").parquet(
         f"{out}/notifications"
-    )
-    return rows.drop("batch_id").dropDuplicates(["notif_key"])
+    ).drop("batch_id")
+    return rows if as_of is None else retained_notifications(rows, as_of)

@@ -204,6 +204,37 @@ hit AS (SELECT e.*, CAST(h.hook_ord AS BIGINT) AS hook_ord, h.module, h.notif_na
 """
 
 
+# Marks of the sign-up events by ``event_id div 10 mod 6``.
+READ_MARKS = "WITH " + EVENTS + """,
+marks AS (
+  SELECT u AS account, pair, max(ts) AS read_at FROM (
+    SELECT u, ts, unnest(CASE block % 6 WHEN 0 THEN ['currency.trn'] WHEN 1 THEN ['all'] WHEN 2 THEN ['social.vot']
+      WHEN 3 THEN ['currency.trn'] WHEN 4 THEN ['social.vot'] ELSE [] END) AS pair
+    FROM ev WHERE event_type = 'signup') GROUP BY 1, 2)"""
+
+# The documented operation types in order, their number of fields, their first
+# text field, and whether they have an amount.
+DOCUMENTED = """comment 7 parent_author 0; transfer 4 from 1; transfer_to_vesting 3 from 1; withdraw_vesting 2 account 1;
+limit_order_create 6 owner 1; limit_order_cancel 2 owner 0; feed_publish 2 publisher 0; convert 3 owner 1;
+account_create 8 creator 1; account_update 4 account 0; witness_update 5 owner 1; account_witness_vote 3 account 0;
+account_witness_proxy 2 account 0; delete_comment 2 author 0; custom_json 4 id 0; comment_options 7 author 1;
+set_withdraw_vesting_route 4 from_account 0; claim_account 3 creator 1; create_claimed_account 8 creator 0;
+request_account_recovery 4 recovery_account 0; recover_account 4 account_to_recover 0;
+change_recovery_account 3 account_to_recover 0; transfer_to_savings 4 from 1; transfer_from_savings 5 from 1;
+cancel_transfer_from_savings 2 from 0; claim_reward_balance 4 account 1; delegate_vesting_shares 3 delegator 1;
+witness_set_properties 3 owner 0; account_update2 4 account 0; update_proposal_votes 4 voter 0;
+collateralized_convert 3 owner 1; recurrent_transfer 7 from 1; fill_convert_request 4 owner 1; author_reward 7 author 1;
+curation_reward 5 curator 1; comment_benefactor_reward 6 benefactor 1; vote 6 voter 1"""
+
+
+def _documented() -> str:
+    rows = [entry.split() for entry in DOCUMENTED.split(";")]
+    values = ", ".join(f"({i}, '{n}', {k}, '{a}', {m})" for i, (n, k, a, m) in enumerate(rows))
+    return "WITH " + EVENTS + f""" SELECT event_id AS op_id, name AS op_name, n::BIGINT AS n_fields,
+        actor || event_id AS actor, CASE WHEN m = 1 THEN cents END AS amount
+        FROM ev JOIN (VALUES {values}) d(i, name, n, actor, m) ON event_id % {len(rows)} = i"""
+
+
 def all_oracles() -> dict[str, str]:
     sql = {
         "ops_range": "WITH " + EVENTS + """ SELECT event_id AS op_id, CAST(op AS BIGINT) AS op_type_id,
@@ -319,11 +350,9 @@ def all_oracles() -> dict[str, str]:
         "options": REFERENCED + """ SELECT account, CAST(lim AS DECIMAL(10,1)) AS min_hbd,
             CAST(CAST(lim AS DECIMAL(10,1)) / 2 AS DECIMAL(10,1)) AS min_hive, options_updated FROM acc""",
         "enabled_pairs": REFERENCED + """ SELECT account, module || ':' || unnest(codes) AS pair FROM merged""",
-        "module_progress": NOTIF + """ SELECT m.module, m.category AS module_category, m.enabled,
-            max(n.op_id) AS latest_op_id, max(n.block_num) AS latest_block_num
-            FROM (VALUES ('currency', 'Currency', true), ('social', 'Social', true),
-                         ('splinterlands', 'Splinterlands', false)) m(module, category, enabled)
-            LEFT JOIN notif n ON n.module_name = m.module GROUP BY ALL""",
+        "module_progress": DISPATCHED + """ SELECT module, category AS module_category, true AS enabled,
+            max(event_id) AS latest_op_id, max(block) AS latest_block_num
+            FROM hit WHERE module <> 'core' GROUP BY ALL""",
         "system_status": "WITH " + EVENTS + f""" SELECT max(block) AS block_num, max(event_id) AS latest_op_id,
             arg_max(ts, event_id) AS block_time, {AS_OF} AS last_updated, true AS sync_enabled,
             false AS state_preloaded, CAST(max(block) + 1 AS DECIMAL(18,4)) AS progress,
@@ -346,6 +375,43 @@ def all_oracles() -> dict[str, str]:
             {_decimal('cents', 2)} AS value_text,
             CASE WHEN event_id % 2 = 0 THEN ts ELSE {AS_OF} - INTERVAL 30 DAYS END AS read_until FROM ev""",
     }
+    preloaded = sql["state_preload"]
+    ranges = sql["range_split"]
+    marks = READ_MARKS + " SELECT account, pair, read_at FROM marks"
+    sql |= {
+        "landed_range": "WITH " + EVENTS + """ SELECT event_id AS op_id, block AS block_num, ts AS created
+            FROM ev WHERE block BETWEEN 20 AND 61""",
+        "range_split_late": ranges.replace("FROM ev)", "FROM ev WHERE block >= 57)", 1),
+        "preload_core_off": preloaded, "state_preload_escaped": preloaded,
+        "hooks_from_files": sql["hook_dispatch"],
+        "notifications_written": sql["notifications_all"],
+        "stream_resumed": f"""{NOTIF} SELECT {SHOWN} FROM notif, (SELECT max(block) AS l FROM ev)
+            WHERE block_num > l // 3 AND block_num <= l - 7""",
+        "stream_retained": sql["notif_retained"],
+        "verification_repeated": f"""{TOKENS} SELECT notif_key, account,
+            op_id % 3 <> 1 AS verified FROM notif WHERE hook_ord = 11""",
+        "rejects": "WITH " + EVENTS + """ SELECT block AS block_num, event_id AS op_id,
+            'core_transfer' AS notif_name, repeat('u', 20) || u[2:] AS account, 'from or to is longer than 16' AS reason
+            FROM ev WHERE op = 2 AND event_id % 7 = 3
+            UNION ALL SELECT block, event_id, 'gns', u, 'malformed json' FROM ev WHERE op = 18 AND event_id % 10 = 0""",
+        "custom_handler": "WITH " + EVENTS + """ SELECT block || ':' || event_id || ':8:' || p AS notif_key,
+            block AS block_num, event_id AS op_id, 8::BIGINT AS hook_ord, NULL::VARCHAR AS trx_id, p AS account,
+            'custom' AS module_name, 'str' AS notif_code, ts AS created, 'you voted with ' || k AS remark,
+            'https://hive.blog/@' || u AS link, true AS verified FROM ev WHERE op = 72 AND k >= 90""",
+        "typed_ops_documented": _documented(),
+        "read_marks": marks,
+        "transfers_unread_by_code": _ranked(
+            f"""hook_ord = 4 AND created > coalesce((SELECT read_at FROM marks m
+                WHERE m.account = notif.account AND pair = 'currency.trn'), {AS_OF} - INTERVAL 30 DAYS)""",
+            50, NOTIF + READ_MARKS.replace("WITH " + EVENTS, "", 1)),
+        "unread_counts_marked": f"""{NOTIF}{READ_MARKS.replace("WITH " + EVENTS, "", 1)}, known AS (
+            SELECT account FROM cand UNION SELECT gate FROM cand UNION SELECT u FROM sg WHERE c < 8)
+            SELECT account, count(n.account) AS unread FROM known LEFT JOIN
+            (SELECT n.account FROM notif n LEFT JOIN marks m ON m.account = n.account AND m.pair = 'all'
+             WHERE created > coalesce(m.read_at, {AS_OF} - INTERVAL 30 DAYS)) n USING (account)
+            GROUP BY account""",
+        "preferences_module_absent": REFERENCED + " SELECT account, NULL::VARCHAR AS prefs, prefs AS all_prefs FROM acc",
+    }
     hook_of = {
         "notif_transfer": 4, "notif_delegation": 6, "notif_author_reward": 2,
         "notif_benefactor_reward": 3, "notif_curation_reward": 5, "notif_convert": 7,

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
+from chainalerts import schemas
 from chainalerts.functions.text import (
-    amount_text, float_text, mentioned_names, percent_text, timestamp_text,
+    amount_text, float_text, mentioned_names, percent_text, text, timestamp_text,
     valid_account_name,
 )
 from chainalerts.operators import hooks as rules
-from chainalerts.operators.accounts import current_accounts, discover
+from chainalerts.operators.accounts import (
+    current_accounts, discover, read_marks, with_read_marks,
+)
+from chainalerts.operators.handlers import (
+    only_if, profile_link, recipient, register_handler,
+)
 from chainalerts.operators.hooks import Catalog, dispatch
 from chainalerts.operators.preferences import (
     OPTION_DOCUMENT, option_history, pref_history, preference_log,
@@ -23,16 +30,18 @@ from chainalerts.operators.retention import retained_blocks, retained_notificati
 from chainalerts.operators.verification import apply_verifications, pending_verifications
 from chainalerts.plans import account_queries as ask
 from chainalerts.plans import status as state
-from chainalerts.plans.jobs import preload_state
+from chainalerts.plans.jobs import preload_state, run_batch
 from chainalerts.plans.notifications import AlertPlan, candidates
 from chainalerts.sources import op_log
 from chainalerts.sources.event_log import (
-    blocks_from_events, event_ops, event_transactions, events,
+    blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
+    read_mark_ops,
 )
-from chainalerts.sources.sinks import shared_folder
-from chainalerts.streaming.sync import AlertStream, publish_range, read_output
+from chainalerts.sources.sinks import read_notifications, shared_folder, write_text
+from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
 
 LAST_BLOCK = 2**31 - 1
+AMOUNT_TYPE = "struct<amount:string,precision:int,nai:string>"
 AS_OF = "2024-02-10 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -64,13 +73,13 @@ def _plan(spark, sf_dir, **options) -> AlertPlan:
     )
 
 
-def _token_state(spark, sf_dir) -> DataFrame:
-    """Accounts that switched the token module on before the log begins."""
+def _all_codes_state(spark, sf_dir, module: str) -> DataFrame:
+    """Accounts that switched a module on before the log begins."""
     users = events(spark, sf_dir).select(
         F.concat(F.lit("u"), (F.col("user_id") + 1000).cast("string")).alias("account")
     ).distinct()
     return users.select(
-        "account", F.lit("splinterlands").alias("module"), F.array(F.lit("*")).alias("codes"),
+        "account", F.lit(module).alias("module"), F.array(F.lit("*")).alias("codes"),
         F.lit(None).cast("map<string,map<string,string>>").alias("opts"),
     )
 
@@ -78,7 +87,7 @@ def _token_state(spark, sf_dir) -> DataFrame:
 def _token_plan(spark, sf_dir) -> AlertPlan:
     chosen = [item for item in Catalog.default().notifying_hooks()
               if item[1].funct == "sm_token_transfer"]
-    return _plan(spark, sf_dir, hooks=chosen, snapshot=_token_state(spark, sf_dir))
+    return _plan(spark, sf_dir, hooks=chosen, snapshot=_all_codes_state(spark, sf_dir, "splinterlands"))
 
 
 def _shown(notifications: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ def _shown(notifications: DataFrame) -> DataFrame:
 def _accounts(spark, sf_dir, created_at=None) -> DataFrame:
     ops, catalog = event_ops(spark, sf_dir), Catalog.default()
     log = preference_log(ops, catalog)
-    return current_accounts(discover(candidates(ops, catalog), log), log, created_at)
+    return current_accounts(discover(candidates(ops, catalog), log), log, catalog, created_at)
 
 
 # Log ----------------------------------------------------------------------------------
@@ -141,15 +150,29 @@ def typed_ops(spark, sf_dir):
         51: ("author", "vesting_payout"), 52: ("curator", "reward"),
         63: ("benefactor", "hbd_payout"), 72: ("voter", "pending_payout"),
     }
-    parts = [
-        op_log.typed_ops(ops, op_type).select(
-            "op_id", "op_name", F.col(actor).alias("actor"),
-            (F.col(f"{amount}.amount").try_cast("bigint") if amount
-             else F.lit(None).cast("bigint")).alias("amount"),
-        )
-        for op_type, (actor, amount) in fields.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return op_log.documented_ops(ops, fields).select("op_id", "op_name", "actor", "amount")
+
+
+@query("typed_ops_documented")
+def typed_ops_documented(spark, sf_dir):
+    """Every documented operation type, in one scan."""
+    ops = documented_ops_from_events(events(spark, sf_dir))
+    shown = {
+        op: (next((f.name for f in fields if f.dataType == StringType()), fields.names[0]),
+             next((f.name for f in fields if f.dataType.simpleString() == AMOUNT_TYPE), None))
+        for op, fields in (
+            (op, StructType.fromDDL(ddl)) for op, (_, ddl) in schemas.OPERATIONS.items())
+    }
+    return op_log.documented_ops(ops, shown).select("op_id", "op_name", "n_fields", "actor", "amount")
+
+
+@query("landed_range")
+def landed_range(spark, sf_dir):
+    """A middle range of a log landed in buckets far smaller than the default."""
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    op_log.write_ops(event_ops(spark, sf_dir), folder, bucket=7)
+    picked = op_log.scan_ops(op_log.read_ops(spark, folder), 20, 61)
+    return picked.select(*_long("op_id", "block_num"), F.col("ts").alias("created"))
 
 
 @query("ops_with_trx")
@@ -165,18 +188,22 @@ def ops_with_trx(spark, sf_dir):
 @query("range_split")
 def range_split(spark, sf_dir):
     """Block ranges of the whole log with the operations each of them holds."""
-    ops = event_ops(spark, sf_dir).select("block_num")
-    size = 100
-    bounds = ops.agg(
-        F.min("block_num").cast("bigint").alias("first"),
-        F.max("block_num").cast("bigint").alias("last"),
-    )
-    ranges = op_log.block_ranges(bounds, size)
+    return _range_split(event_ops(spark, sf_dir))
+
+
+@query("range_split_late")
+def range_split_late(spark, sf_dir):
+    """The same of a log that begins at block 57."""
+    return _range_split(op_log.scan_ops(event_ops(spark, sf_dir), 57, LAST_BLOCK))
+
+
+def _range_split(ops: DataFrame, size: int = 100) -> DataFrame:
+    ops = ops.select("block_num")
+    first, last = ops.agg(F.min("block_num"), F.max("block_num")).first()
+    ranges = op_log.block_ranges(ops.sparkSession, first, last, size)
     # A block's range follows from its number, so the counts need no range join.
-    number = F.greatest(F.ceil((F.col("block_num")) / F.lit(size)), F.lit(1))
     counts = ops.groupBy(
-        F.when(number == 1, F.lit(0)).otherwise((number - 1) * size + 1).cast("bigint")
-        .alias("range_first")
+        op_log.range_of_block(F.col("block_num"), first, size).alias("range_first")
     ).agg(F.count("*").alias("ops"))
     return ranges.join(counts, "range_first", "left").select(
         "range_first", "range_last", F.coalesce("ops", F.lit(0).cast("bigint")).alias("ops")
@@ -219,6 +246,18 @@ def hook_dispatch(spark, sf_dir):
     )
 
 
+@query("hooks_from_files")
+def hooks_from_files(spark, sf_dir):
+    """Dispatch by a catalog read from rule files, one per module."""
+    folder = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    for module, entries in rules.RULES.items():
+        write_text(spark, f"{folder}/{module}/hooks.json", json.dumps(entries))
+    write_text(spark, f"{folder}/Not-A-Module/hooks.json", "{}")
+    return _dispatched(spark, sf_dir, Catalog.read(spark, folder)).select(
+        *_long("op_id", "hook_ord"), "module", "notif_name", "notif_code"
+    )
+
+
 @query("hook_dispatch_disabled")
 def hook_dispatch_disabled(spark, sf_dir):
     catalog = Catalog.default().set_enabled("social", False)
@@ -356,7 +395,27 @@ def accounts_current(spark, sf_dir):
 
 @query("state_preload")
 def state_preload(spark, sf_dir):
-    left = preload_state(event_ops(spark, sf_dir), Catalog.default(), 0, LAST_BLOCK)
+    return _preloaded(event_ops(spark, sf_dir), Catalog.default())
+
+
+@query("preload_core_off")
+def preload_core_off(spark, sf_dir):
+    """A preload does not look at the flag of the module whose hook it replays."""
+    return _preloaded(event_ops(spark, sf_dir), Catalog.default().set_enabled("core", False))
+
+
+@query("state_preload_escaped")
+def state_preload_escaped(spark, sf_dir):
+    """The same log with the preference id written with an escape in every other body."""
+    escaped = F.regexp_replace("body", '"gns"', r'"\\u0067ns"')
+    ops = event_ops(spark, sf_dir).withColumn(
+        "body", F.when(F.col("op_id") % 2 == 0, escaped).otherwise(F.col("body"))
+    )
+    return _preloaded(ops, Catalog.default())
+
+
+def _preloaded(ops: DataFrame, catalog: Catalog) -> DataFrame:
+    left = preload_state(ops, catalog, 0, LAST_BLOCK)
     return left.select(
         "account", "module", _joined("codes").alias("codes"),
         F.col("opts").isNotNull().alias("has_options"),
@@ -367,7 +426,7 @@ def state_preload(spark, sf_dir):
 @query("asof_prefs")
 def asof_prefs(spark, sf_dir):
     """The state every candidate met, by the shuffled as-of lookup."""
-    resolved = _plan(spark, sf_dir, asof="shuffle").resolved()
+    resolved = _plan(spark, sf_dir).resolved()
     return resolved.select(
         *_long("op_id", "hook_ord"), "account", "gate_account", "subscribed",
         F.col("opts")["trn"]["min_hbd"].cast("decimal(10,1)").alias("min_hbd"), "passes",
@@ -407,8 +466,56 @@ def notifications_all(spark, sf_dir):
 
 @query("notifications_shuffled")
 def notifications_shuffled(spark, sf_dir):
-    """The same rows by the way that works for a preference log of any size."""
-    return _shown(_plan(spark, sf_dir, asof="shuffle").notifications())
+    """The same rows with small buckets of the as-of lookup, so that much is carried."""
+    return _shown(_plan(spark, sf_dir, bucket_ops=500).notifications())
+
+
+@query("notifications_written")
+def notifications_written(spark, sf_dir):
+    """The batch job's output, read back from its day directories."""
+    folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    run_batch(_plan(spark, sf_dir), folder)
+    return _shown(read_notifications(spark, f"{folder}/notifications"))
+
+
+def faulty_ops(ops: DataFrame) -> DataFrame:
+    """A log in which some recipients are too long and some preference payloads broken."""
+    long_name = F.regexp_replace("body", '"to":"u', '"to":"' + "u" * 20)
+    broken = F.regexp_replace("body", r'"json":"\[\[', '"json":"[[[')
+    return ops.withColumn(
+        "body", F.when((F.col("op_type_id") == 2) & (F.col("op_id") % 7 == 3), long_name)
+        .when((F.col("op_type_id") == 18) & (F.col("op_id") % 10 == 0), broken)
+        .otherwise(F.col("body"))
+    )
+
+
+@query("rejects")
+def rejects(spark, sf_dir):
+    plan = AlertPlan(faulty_ops(event_ops(spark, sf_dir)))
+    return plan.rejects().select(*_long("block_num", "op_id"), "notif_name", "account", "reason")
+
+
+def strong_vote(semantics: str) -> str:
+    """A handler of a user's own: the voter, for weights from 90 on, by the author's gate."""
+    row = recipient(
+        "v['voter']", text("'you voted with '", "v['weight']"), profile_link("v['author']"),
+        gate_account="v['author']",
+    )
+    return only_if("coalesce(try_cast(v['weight'] AS INT) >= 90, false)", row)
+
+
+@query("custom_handler")
+def custom_handler(spark, sf_dir):
+    register_handler("strong_vote", strong_vote)
+    catalog = Catalog.default().register({"custom": {
+        "enabled": True, "module_category": "Custom",
+        "strong": {"op_id": 72, "description": "Strong votes", "function": "custom.strong_vote",
+                   "notif_code": "str", "filter": "", "options": {}},
+    }})
+    chosen = [item for item in catalog.notifying_hooks() if item[1].module == "custom"]
+    plan = _plan(spark, sf_dir, catalog=catalog, hooks=chosen,
+                 snapshot=_all_codes_state(spark, sf_dir, "custom"))
+    return _shown(plan.notifications())
 
 
 @query("notifications_fixed")
@@ -451,6 +558,20 @@ def verification_applied(spark, sf_dir):
     return apply_verifications(rows, answers).select("notif_key", "account", "verified")
 
 
+@query("verification_repeated")
+def verification_repeated(spark, sf_dir):
+    """Answers that come several times: equal ones, and ones that disagree."""
+    rows = _token_plan(spark, sf_dir).notifications()
+    rest = F.split("notif_key", ":")[1].cast("bigint") % 3
+    pending = pending_verifications(rows)
+    answers = pending.select("notif_key", F.explode(
+        F.when(rest == 0, F.array(F.lit(True), F.lit(True)))
+        .when(rest == 1, F.array(F.lit(True), F.lit(False)))
+        .otherwise(F.array(F.lit(None).cast("boolean"), F.lit(True)))
+    ).alias("answer"))
+    return apply_verifications(rows, answers).select("notif_key", "account", "verified")
+
+
 # Account questions --------------------------------------------------------------------
 
 def _ranked(frame: DataFrame) -> DataFrame:
@@ -507,6 +628,44 @@ def unread_counts(spark, sf_dir):
     )
 
 
+def _marked_accounts(spark, sf_dir) -> DataFrame:
+    marks = read_marks(read_mark_ops(events(spark, sf_dir)), Catalog.default())
+    return with_read_marks(_accounts(spark, sf_dir, AS_OF), marks)
+
+
+@query("read_marks")
+def read_marks_query(spark, sf_dir):
+    found = read_marks(read_mark_ops(events(spark, sf_dir)), Catalog.default())
+    return found.select("account", "pair", "read_at")
+
+
+@query("transfers_unread_by_code")
+def transfers_unread_by_code(spark, sf_dir):
+    """Transfers after the account's own read mark of that code, where it has one."""
+    return _ranked(ask.transfers(
+        _plan(spark, sf_dir).notifications(), _marked_accounts(spark, sf_dir), AS_OF,
+    ))
+
+
+@query("unread_counts_marked")
+def unread_counts_marked(spark, sf_dir):
+    """Unread counts where some accounts have marked all as read."""
+    return ask.unread_counts(
+        _plan(spark, sf_dir).notifications(), _marked_accounts(spark, sf_dir)
+    )
+
+
+@query("preferences_module_absent")
+def preferences_module_absent(spark, sf_dir):
+    """A module that most accounts do not have: all of their preferences instead."""
+    own = ask.preferences(_accounts(spark, sf_dir), module="splinterlands")
+    shown = F.transform(
+        F.array_sort(F.map_entries("all_prefs")),
+        lambda e: F.concat(e["key"], F.lit(":"), _joined(e["value"])),
+    )
+    return own.select("account", _joined("prefs").alias("prefs"), F.array_join(shown, ";").alias("all_prefs"))
+
+
 @query("preferences")
 def preferences(spark, sf_dir):
     own = ask.preferences(_accounts(spark, sf_dir), module="currency")
@@ -532,9 +691,10 @@ def enabled_pairs(spark, sf_dir):
 
 @query("module_progress")
 def module_progress(spark, sf_dir):
-    catalog = Catalog.default().set_enabled("splinterlands", False)
+    """Progress by the operations each module's hooks were called for."""
+    catalog = Catalog.default()
     return state.module_progress(
-        _plan(spark, sf_dir).notifications(), catalog.modules_frame(spark)
+        _dispatched(spark, sf_dir, catalog), catalog.modules_frame(spark)
     ).select("module", "module_category", "enabled", *_long("latest_op_id", "latest_block_num"))
 
 
@@ -552,20 +712,21 @@ def system_status(spark, sf_dir):
 
 @query("health")
 def health(spark, sf_dir):
-    ops = event_ops(spark, sf_dir)
-    status = state.system_status(ops, AS_OF)
-    preloading = state.system_status(ops, AS_OF, preload_range=(0, LAST_BLOCK))
-    block, time = F.col("block_num"), F.date_trunc("second", "block_time").cast("timestamp_ntz")
-    cases = {
-        "preloading": state.health(preloading, block, time),
-        "behind": state.health(status, block + 31, time),
-        "late": state.health(status, block + 30, time + F.expr("INTERVAL 61 SECONDS")),
-        "good": state.health(status, block + 30, time + F.expr("INTERVAL 60 SECONDS")),
-    }
-    return reduce(DataFrame.unionByName, [
-        frame.select(F.lit(name).alias("case"), *_long("block_num"), "health")
-        for name, frame in cases.items()
-    ])
+    status = state.system_status(event_ops(spark, sf_dir), AS_OF)
+    # Blocks and seconds behind, and whether the state is loaded, of each case.
+    cases = {"preloading": (0, 0, False), "behind": (31, 0, True), "late": (30, 61, True),
+             "good": (30, 60, True)}
+    status = status.withColumn("given", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(blocks).alias("blocks"),
+                 F.lit(seconds).alias("seconds"), F.lit(loaded).alias("loaded"))
+        for name, (blocks, seconds, loaded) in cases.items()
+    ]))).withColumn("state_preloaded", F.col("given.loaded"))
+    time = F.date_trunc("second", "block_time").cast("timestamp_ntz")
+    judged = state.health(
+        status, F.col("block_num") + F.col("given.blocks"),
+        time + F.make_dt_interval(secs=F.col("given.seconds")),
+    )
+    return judged.select(F.col("given.name").alias("case"), *_long("block_num"), "health")
 
 
 # Scalar functions ---------------------------------------------------------------------
@@ -602,18 +763,59 @@ def formatted_columns(spark, sf_dir):
 
 # Streaming ----------------------------------------------------------------------------
 
+def _stream(spark, sf_dir, folder: str, **options) -> AlertStream:
+    return AlertStream(
+        f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint",
+        transactions=event_transactions(spark, sf_dir), **options,
+    )
+
+
+def _last_block(ops: DataFrame) -> int:
+    return ops.agg(F.max("block_num")).first()[0]
+
+
 @query("stream_notifications")
 def stream_notifications(spark, sf_dir):
     """The whole log published in four block ranges and followed as a stream."""
     ops = event_ops(spark, sf_dir)
-    last = ops.agg(F.max("block_num")).first()[0]
+    last = _last_block(ops)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     size = last // 4 + 1
     for first in range(0, last + 1, size):
         publish_range(ops, f"{folder}/landing", first, first + size - 1, last)
-    stream = AlertStream(
-        f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint",
-        transactions=event_transactions(spark, sf_dir),
-    )
+    _stream(spark, sf_dir, folder).start(spark).awaitTermination()
+    return _shown(read_output(spark, f"{folder}/out"))
+
+
+@query("stream_resumed")
+def stream_resumed(spark, sf_dir):
+    """Preload, follow, stop, replay a batch, go on with another stream object; blocks that
+    are not final yet are never published."""
+    ops = event_ops(spark, sf_dir)
+    last = _last_block(ops)
+    final, loaded = last - 7, last // 3
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = _stream(spark, sf_dir, folder, preload=True, compact_every=2)
+    if stream.start(spark) is not None:
+        raise RuntimeError("the gate is open before the preload")
+    stream.prepare(ops, 0, loaded)
+    half = (loaded + last) // 2
+    publish_range(ops, f"{folder}/landing", loaded + 1, half, final)
     stream.start(spark).awaitTermination()
+    stream.process(op_log.scan_ops(ops, loaded + 1, half), 0, (loaded + 1, half))
+    publish_range(ops, f"{folder}/landing", half + 1, last, final)
+    again = _stream(spark, sf_dir, folder, preload=True, compact_every=2)
+    again.start(spark).awaitTermination()
     return _shown(read_output(spark, f"{folder}/out"))
+
+
+@query("stream_retained")
+def stream_retained(spark, sf_dir):
+    """A stream's output after expiry: old days are gone, the oldest day is cut on reading."""
+    ops = event_ops(spark, sf_dir)
+    last = _last_block(ops)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    publish_range(ops, f"{folder}/landing", 0, last, last)
+    _stream(spark, sf_dir, folder).start(spark).awaitTermination()
+    expire(spark, f"{folder}/out", AS_OF)
+    return _shown(read_output(spark, f"{folder}/out", AS_OF))

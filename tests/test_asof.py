@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chainalerts.operators.asof import ChangeSize, asof_state, measure_changes
+from chainalerts.operators.asof import asof_state
 from chainalerts.plans.notifications import AlertPlan
 from tests.conftest import enabled, transfer
 
@@ -42,16 +42,15 @@ def replay(rows, changes):
     return expected
 
 
-def test_both_ways_equal_a_replay(spark):
+def test_equals_a_replay(spark):
     for seed in (1, 2):
         rows, changes = random_log(seed)
         expected = replay(rows, changes)
         left = spark.createDataFrame(
             rows, "gate_account string, module string, block_num int, op_id bigint, hook_ord int")
         right = spark.createDataFrame(changes, CHANGES)
-        small = ChangeSize(1, 1, 1)
-        for size, bucket in ((small, 1), (None, 1), (None, 7), (None, 1000)):
-            got = asof_state(left, right, size, bucket).collect()
+        for bucket in (1, 7, 100, 10_000):
+            got = asof_state(left, right, bucket).collect()
             assert len(got) == len(rows)
             assert {r["op_id"]: (r["codes"], r["opts"]) for r in got} == expected
 
@@ -62,23 +61,18 @@ def test_state_within_one_block(make_ops):
         (5, 2, transfer("alice")), (5, 18, enabled("alice", {"currency": ["trn"]}, text=True)),
         (5, 2, transfer("alice")), (5, 2, transfer("unseen")),
     ])
-    for way in ("broadcast", "shuffle"):
-        got = AlertPlan(ops, asof=way).notifications().orderBy("op_id").collect()
+    for bucket in (1, 10_000):
+        got = AlertPlan(ops, bucket_ops=bucket).notifications().orderBy("op_id").collect()
         assert [row["op_id"] for row in got] == [0, 4, 5]
 
 
-def test_broadcast_only_within_its_limits(make_ops):
-    assert ChangeSize(10, 1000, 5).fits_broadcast()
-    assert not ChangeSize(10**7, 1000, 5).fits_broadcast()
-    assert not ChangeSize(10, 1 << 30, 5).fits_broadcast()
-    assert not ChangeSize(10**4, 1000, 10**4).fits_broadcast()
-    ops = make_ops([(n, 18, enabled("alice", {"currency": []})) for n in range(300)])
-    size = measure_changes(ops)
-    assert (size.ops, size.per_account) == (300, 300)
-    assert not size.fits_broadcast()
-    plan = AlertPlan(ops.unionByName(make_ops([(400, 2, transfer("alice"))], 1000)))
-    text = plan.resolved()._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" in text and plan.notifications().count() == 0
+def test_planning_runs_no_job(spark, make_ops):
+    ops = make_ops([(1, 2, transfer("alice"))])
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    text = AlertPlan(ops).notifications()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in text and "Broadcast" not in text
+    assert len(tracker.getJobIdsForGroup()) == before
 
 
 def test_snapshot_is_the_opening_state(spark, make_ops):

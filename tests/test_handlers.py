@@ -57,8 +57,8 @@ def test_transfer_limits(make_ops):
         (2, 18, preference("alice", [[1, "a"], "options", {"social": {}}])),
         (3, 2, transfer("alice", raw="1")),
     ])
-    for way in ("broadcast", "shuffle"):
-        rows = AlertPlan(ops, asof=way).notifications().collect()
+    for bucket in (2, 10_000):
+        rows = AlertPlan(ops, bucket_ops=bucket).notifications().collect()
         assert sorted(r["op_id"] for r in rows) == [1, 4, 5, 7]
 
 

@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainalerts import schemas
+from chainalerts.operators.accounts import current_accounts, discover
 from chainalerts.operators.hooks import Catalog, category_catalog, module_catalog
+from chainalerts.operators.preferences import preference_log
 from chainalerts.operators.retention import retained_blocks, retained_notifications
 from chainalerts.operators.verification import apply_verifications, pending_verifications
 from chainalerts.plans import account_queries as ask
 from chainalerts.plans.jobs import preload_state, run_batch
-from chainalerts.plans.notifications import AlertPlan
+from chainalerts.plans.notifications import AlertPlan, candidates
 from chainalerts.plans.status import health, sync_allowed, system_status
 from chainalerts.sources import op_log
 from chainalerts.sources.event_log import event_ops, event_transactions
@@ -66,16 +68,31 @@ def test_core_module_off_ignores_preferences(make_ops):
     off = Catalog.default().set_enabled("core", False)
     assert AlertPlan(ops).notifications().count() == 0
     assert AlertPlan(ops, off).notifications().count() == 1
+    # A preload replays preferences whatever the flag; current accounts follow the alerts.
+    assert preload_state(ops, off, 1, 2).count() == 1
+    log = preference_log(ops, off)
+    for catalog, codes in ((Catalog.default(), []), (off, ["trn"])):
+        row = current_accounts(discover(candidates(ops, catalog), log), log, catalog).first()
+        assert row["prefs"]["currency"] == codes
+
+
+def test_escaped_preference_id(make_ops):
+    body = json.dumps({"type": "x", "value": enabled("alice", {"currency": []})})
+    assert '"gns"' in body
+    ops = make_ops([(1, 18, body.replace('"gns"', '"\\u0067ns"')), (2, 2, transfer("alice"))])
+    assert preference_log(ops, Catalog.default()).count() == 1
+    assert AlertPlan(ops).notifications().count() == 0
 
 
 def test_landed_log_is_pruned(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     op_log.write_ops(event_ops(spark, SF), folder, bucket=10)
     ops = op_log.read_ops(spark, folder)
-    part = op_log.scan_ops(ops, 15, 34, bucket=10)
-    assert part.count() == 200
+    part = op_log.scan_ops(ops, 15, 34)
+    assert part.count() == 200 and op_log.scan_ops(ops, 0, 99).count() == 1000
+    assert preload_state(ops, Catalog.default(), 0, 99).count() == 53
     plan = part.where("op_type_id = 2")._jdf.queryExecution().executedPlan().toString()
-    assert "block_bucket" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "bucket_last" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
     assert "IsNotNull(op_type_id)" in plan.split("PushedFilters:")[1]
 
 
@@ -98,8 +115,12 @@ def test_every_documented_type_parses(make_ops, spark):
 
 def test_range_split(spark):
     def split(first, last, size):
-        frame = spark.createDataFrame([(first, last)], "first bigint, last bigint")
-        return [tuple(r) for r in op_log.block_ranges(frame, size).orderBy("range_first").collect()]
+        ranges = op_log.block_ranges(spark, first, last, size).orderBy("range_first")
+        blocks = spark.range(first, last + 1).select(
+            op_log.range_of_block(F.col("id"), first, size).alias("r")).distinct()
+        found = [tuple(r) for r in ranges.collect()]
+        assert sorted(r["r"] for r in blocks.collect()) == [a for a, _ in found]
+        return found
 
     assert split(0, 10, 4) == [(0, 4), (5, 8), (9, 10)]
     assert split(0, 8, 4) == [(0, 4), (5, 8)]
@@ -108,10 +129,13 @@ def test_range_split(spark):
 
 def test_batch_job_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    for way in ("broadcast", "shuffle"):
-        plan = AlertPlan(event_ops(spark, SF), transactions=event_transactions(spark, SF), asof=way)
+    for way in ("new", "again"):
+        plan = AlertPlan(event_ops(spark, SF), transactions=event_transactions(spark, SF))
         run_batch(plan, f"{folder}/{way}")
         written = read_notifications(spark, f"{folder}/{way}/notifications")
+        files = written.withColumn("file", F.input_file_name()).groupBy("created_date").agg(
+            F.count_distinct("file").alias("n"))
+        assert {r["n"] for r in files.collect()} == {1}
         assert written.count() == 640
         assert written.where("trx_id IS NULL").select("notif_code").distinct().count() > 0
         plan_text = retained_notifications(written, "2024-02-10 00:00:00")._jdf.queryExecution()
@@ -137,10 +161,13 @@ def test_verification(spark, make_ops):
         [("a", None, None), ("b", None, None), ("c", None, True), ("d", None, None)],
         "notif_key string, trx_id binary, verified boolean")
     answers = spark.createDataFrame(
-        [("a", True), ("b", None), ("c", False)], "notif_key string, answer boolean")
+        [("a", True), ("a", True), ("b", None), ("c", False), ("d", True), ("d", False)],
+        "notif_key string, answer boolean")
     assert pending_verifications(rows).count() == 3
-    got = {r["notif_key"]: r["verified"] for r in apply_verifications(rows, answers).collect()}
-    assert got == {"a": True, "b": None, "c": True, "d": None}
+    answered = apply_verifications(rows, answers).collect()
+    assert len(answered) == 4
+    assert {r["notif_key"]: r["verified"] for r in answered} == {
+        "a": True, "b": None, "c": True, "d": False}
 
 
 def test_retention(spark):
@@ -160,6 +187,7 @@ def test_status_and_health(spark, make_ops):
     loading = system_status(ops, now, preload_range=(1, 201))
     assert verdict(loading, 130, now) == "BAD - State not preloaded."
     assert loading.first()["state_preload_progress"] == 50.0
+    assert loading.first()["state_preload_progress_text"] == "50.00%"
     assert not sync_allowed(loading).first()["allowed"] and sync_allowed(status).first()["allowed"]
     assert op_log.start_block(1_000_000) == 798_400
 
@@ -177,7 +205,7 @@ def test_request_checks():
 
 
 def test_account_questions(spark, make_ops):
-    ops = make_ops([(block, 2, transfer("alice", raw=str(1000 * block))) for block in range(1, 9)])
+    ops = make_ops([(block, 2, transfer("alice", "bobby", str(1000 * block))) for block in range(1, 9)])
     notes = AlertPlan(ops).notifications()
     newest = ask.latest_notifications(notes, "alice", limit=2).orderBy("rank").collect()
     assert [r["remark"].split()[3] for r in newest] == ["8", "7"]
@@ -189,9 +217,21 @@ def test_account_questions(spark, make_ops):
     as_of = "2024-01-02 00:00:00"
     assert ask.unread_counts(notes, accounts).first()["unread"] == 4
     pick = lambda **how: ask.transfers(notes, accounts, as_of, **how).count()
-    assert pick() == 8 and pick(limit=0) == 0 and pick(sender="bob") == 8 and pick(sender="x") == 0
+    assert pick() == 8 and pick(limit=0) == 0 and pick(sender="bobby") == 8 and pick(sender="nobody") == 0
     assert pick(currency="HIVE") == 0 and pick(min_amount=2000, max_amount=3000) == 2
     assert pick(min_amount=0) == 8 and pick(min_date="2024-01-01 00:00:24") == 1
+    # Every question checks what it is asked.
+    assert pick(limit=900) == 8 and ask.latest_notifications(notes, "@alice", limit=900).count() == 8
+    for bad in (lambda: pick(limit="5"), lambda: pick(sender="Bob"), lambda: pick(currency="EUR"),
+                lambda: pick(account="x"), lambda: ask.latest_notifications(notes, "@x"),
+                lambda: ask.latest_notifications(notes, module="core"),
+                lambda: ask.latest_notifications(notes, code="abcd"),
+                lambda: ask.votes(notes, accounts, as_of, account="UPPER"),
+                lambda: ask.token_transfers(notes, accounts, as_of, limit=None),
+                lambda: ask.preferences(accounts, "no"), lambda: ask.options(accounts, "no"),
+                lambda: ask.enabled_pairs(accounts, "@"), lambda: ask.unread_count(notes, accounts, "")):
+        with pytest.raises(ValueError):
+            bad()
     # The window over accounts is cut to the limit before its shuffle.
     plan = ask.latest_notifications(notes, limit=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2

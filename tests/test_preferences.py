@@ -114,7 +114,7 @@ def test_accounts(spark, make_ops):
         (8, 18, preference("alice", ["read", ["currency.trn"]])),
     ])
     log = preference_log(ops, CATALOG)
-    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log)
+    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log, CATALOG)
     rows = {row["account"]: row for row in accounts.collect()}
     # A rejected operation still makes the account known, a bad envelope does not.
     assert set(rows) == {"alice", "carol"}
@@ -135,8 +135,8 @@ def test_read_marks_move_questions(spark, make_ops):
         (3, 2, transfer("carol", raw="3000")),
     ])
     log = preference_log(ops, CATALOG)
-    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log)
-    marked = with_read_marks(accounts, read_marks(ops))
+    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log, CATALOG)
+    marked = with_read_marks(accounts, read_marks(ops, CATALOG))
     notes = AlertPlan(ops).notifications()
     as_of = "2024-01-02 00:00:00"
     count = lambda accounts: {
@@ -146,3 +146,27 @@ def test_read_marks_move_questions(spark, make_ops):
         ("alice", "you have received 2 HBD from bob"), ("carol", "you have received 3 HBD from bob")}
     assert ask.unread_count(notes, accounts, "alice").first()["unread"] == 2
     assert ask.unread_count(notes, accounts, "nobody").first()["unread"] == 0
+
+
+def test_read_marks_cannot_stop_a_run(make_ops):
+    ops = make_ops([
+        (1, 18, preference("alice", ["read", ["all"]])), (2, 18, preference("alice", ["read", [None]])),
+        (3, 18, preference("alice", ["read", ["no.such", "social.vot", "social.vot"]])),
+        (4, 18, preference("bob", ["read", "all"])), (5, 18, preference("bob", ["read"])),
+        (6, 18, enabled("alice", {f"unknown{n}": [] for n in range(50)})),
+    ])
+    log = preference_log(ops, CATALOG)
+    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log, CATALOG)
+    marked = with_read_marks(accounts, read_marks(ops, CATALOG)).collect()
+    assert {r["account"]: set(r["last_reads"]) for r in marked} == {"alice": {"all", "social.vot"}}
+    assert marked[0]["last_reads"]["all"] == "2024-01-01 00:00:03"
+    assert set(marked[0]["prefs"]) == {"social", "currency"}
+
+
+def test_module_that_an_account_does_not_have(make_ops):
+    ops = make_ops([(1, 18, enabled("alice", {"splinterlands": ["trn"]})), (2, 2, transfer("carol"))])
+    log = preference_log(ops, CATALOG)
+    accounts = current_accounts(discover(candidates(ops, CATALOG), log), log, CATALOG)
+    rows = {r["account"]: r for r in ask.preferences(accounts, module="splinterlands").collect()}
+    assert rows["alice"]["prefs"] == ["trn"] and rows["alice"]["all_prefs"] is None
+    assert rows["carol"]["prefs"] is None and set(rows["carol"]["all_prefs"]) == {"social", "currency"}

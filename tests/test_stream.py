@@ -3,7 +3,11 @@ import tempfile
 import pytest
 
 from chainalerts.plans.notifications import AlertPlan
-from chainalerts.streaming.sync import AlertStream, publish_range, read_output, read_progress
+from chainalerts.plans.status import sync_allowed
+from chainalerts.sources.sinks import exists, folders
+from chainalerts.streaming.sync import (
+    AlertStream, expire, publish_range, read_output, read_progress,
+)
 from tests.conftest import enabled, preference, transfer
 
 
@@ -48,12 +52,65 @@ def test_stream_equals_batch(spark, log):
     assert read_progress(spark, f"{folder}/out").count() == 4
     with pytest.raises(ValueError, match="after block 9"):
         stream.process(log.where("block_num = 9"), 4)
+    with pytest.raises(ValueError, match="blocks 10 to 11 are missing"):
+        stream.process(log.where("false"), 4, (12, 13))
+
+
+def test_a_gap_stops_the_stream(spark, log):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    for first, last in ((1, 2), (5, 6)):
+        publish_range(log, f"{folder}/landing", first, last, 9)
+    stream = AlertStream(f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", ranges_per_batch=2)
+    with pytest.raises(Exception, match="blocks 3 to 4 are missing"):
+        stream.start(spark).awaitTermination()
+    assert not exists(spark, f"{folder}/out/notifications")
+
+
+def test_empty_ranges_are_no_gap(spark, log):
+    quiet = log.where("block_num NOT IN (3, 4, 9)")
+    folder, _ = follow(spark, quiet, [(1, 2), (3, 4), (5, 8), (9, 9)])
+    rows = read_progress(spark, f"{folder}/out").orderBy("batch_id").collect()
+    assert [(r["first_block"], r["last_block"], r["ops"]) for r in rows] == [
+        (1, 2, 3), (3, 4, 0), (5, 8, 5), (9, 9, 0)]
+    assert keys(read_output(spark, f"{folder}/out")) == keys(AlertPlan(quiet).notifications())
+
+
+def test_preload_gate_and_resume(spark, log):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    def new(**options):
+        return AlertStream(f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint",
+                           preload=True, compact_every=2, **options)
+
+    as_of, wanted = "2024-01-01 00:05:00", (1, 3)
+    assert new().start(spark) is None
+    assert not sync_allowed(new().status(spark, as_of, wanted)).first()["allowed"]
+    new().prepare(log, *wanted)
+    assert sync_allowed(new().status(spark, as_of, wanted)).first()["allowed"]
+    assert not sync_allowed(new(sync_enabled=False).status(spark, as_of, wanted)).first()["allowed"]
+    assert new(sync_enabled=False).start(spark) is None
+    publish_range(log, f"{folder}/landing", 4, 6, 9)
+    new().start(spark).awaitTermination()
+    publish_range(log, f"{folder}/landing", 7, 9, 9)
+    new().start(spark).awaitTermination()
+    whole = [r["notif_key"] for r in AlertPlan(log).notifications().where("block_num > 3").collect()]
+    assert keys(read_output(spark, f"{folder}/out")) == sorted(whole)
+
+
+def test_old_days_are_dropped(spark, log):
+    folder, _ = follow(spark, log, [(1, 9)])
+    out = f"{folder}/out"
+    assert expire(spark, out, "2024-01-31 00:00:00") == 0
+    assert len(keys(read_output(spark, out))) == 4
+    # Within the oldest day the rows are cut on reading: blocks 1 and 6 to 9, three seconds each.
+    assert len(keys(read_output(spark, out, "2024-01-31 00:00:10"))) == 3
+    assert expire(spark, out, "2024-02-01 00:00:00") == 1
+    assert not folders(spark, f"{out}/notifications/batch_id=*/created_date=*")
 
 
 def test_one_batch_and_gate(spark, log):
     folder, _ = follow(spark, log, [(1, 4), (5, 9)], ranges_per_batch=2)
     assert keys(read_output(spark, f"{folder}/out")) == keys(AlertPlan(log).notifications())
-    shut = AlertStream(f"{folder}/landing", f"{folder}/o2", f"{folder}/c2", is_allowed=lambda: False)
+    shut = AlertStream(f"{folder}/landing", f"{folder}/o2", f"{folder}/c2", sync_enabled=False)
     assert shut.start(spark) is None
 
 
