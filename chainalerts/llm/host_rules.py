@@ -122,7 +122,8 @@ def host_verdicts(
 
 
 def judged(measured: DataFrame, host_col: str, **options) -> DataFrame:
-    """Join the hosts' verdicts back; adds kept."""
+    """Join the hosts' verdicts back; adds kept. The measures are taken once and written."""
+    measured = written(measured, "measures")
     rejected = host_verdicts(measured, host_col, **options).filter("host_rejected")
     rejected = written(rejected.select(F.col("host").alias("__host"), F.lit(True).alias("__rejected")), "hosts")
     return measured.join(rejected, F.col(host_col) == F.col("__host"), "left").withColumn(
@@ -135,10 +136,16 @@ def op6_host_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(documents: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
+    """The documents that the rules keep, with their own columns. They are written once with
+    their base verdict, so the measures are not taken again."""
     names = documents.columns
-    measured = measures(documents.withColumn("__body", F.col(text_col)), ["__body", *names], "__body")
-    return judged(measured, host_col, **options).filter("kept").select(*names)
+    own = {f"__d{i}": F.col(name) for i, name in enumerate(names)}
+    measured = documents.select(*[c.alias(k) for k, c in own.items()], F.col(text_col).alias("__body"), F.col(host_col).alias("__host"))
+    measured = measures(measured, [*own, "__host"], "__body").select(*own, "__host", "base_failed")
+    measured = written(measured, "measures")
+    rejected = host_verdicts(measured, "__host", **options).filter("host_rejected").select(F.col("host").alias("__host"))
+    kept = measured.filter(~F.col("base_failed")).join(written(rejected, "hosts"), "__host", "left_anti")
+    return kept.select(*[F.col(k).alias(name) for k, name in zip(own, names)])
 
 
 ORACLE = r"""
