@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import table, work_folder
+from chainalerts.llm.common import table, work_folder, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -99,11 +99,14 @@ class LineRuns:
         """(h1, h2) of the keys found in at least min_docs documents of all batches."""
         if not self.runs():
             return self.spark.createDataFrame([], "h1 long, h2 long")
-        return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
+        # Written, so that a join with them has its own exchange, whose hot keys Spark can split.
+        return written(self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2"), "frequent")
 
 
 def drop_lines(documents: DataFrame, frequent: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents with `text_col` shortened, and n_lines, n_dropped (long)."""
+    """The documents with `text_col` shortened, and n_lines, n_dropped (long), which replace
+    columns of that name."""
+    documents = documents.drop("n_lines", "n_dropped")
     row = (F.xxhash64(F.col(id_col), F.col(text_col)).alias("__r1"),
            F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("__r2"))
     lines = documents.select(*row, F.posexplode(lines_of(F.col(text_col))).alias("__at", "__line"))
