@@ -5,9 +5,10 @@ what remains, one piece for each binary digit, longest first. Each piece is a se
 own whose length is a power of two: pieces of equal length form a bucket and batch without
 padding, and no sequence crosses documents.
 
-Ids come from the named vocabulary. A text is cut before every single space between two plain
-characters: the vocabulary's word pattern always begins a new token there, so the parts can be
-encoded apart, and each distinct part is encoded once in a while (MEMORY parts per task).
+Ids are those of the named `tokenizers` file. Its vocabulary also exists as ranks, for a library
+that encodes several times as fast; the two agree on text below U+0280 (whose letters all Unicode
+versions class alike) without special tokens or very long white space, and such texts take the
+fast way. All others are encoded by `tokenizers` itself.
 
 Nothing is shuffled. Sequence ids are unique: the task's number in the upper bits, the row's in
 the lower; run again on the same files they are the same. `write_buckets` puts each length into a
@@ -17,8 +18,8 @@ empty table gives no rows; other input columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,73 +28,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import chunks, table
+from chainalerts.llm.common import chunks, table, text_bytes
 
-MEMORY = 300_000
-# Before a space that stands between two characters of which neither is white space by any
-# reading (Python's \s holds all of Unicode's; the others were white space once).
-_CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
-
-
-class _Parts(dict):
-    """Numbers of parts; unknown ones get the next number and wait for encoding."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> int:
-        number = self[part] = len(self)
-        self.new.append(part)
-        return number
+# Bytes that begin a character from U+0280 on, and those of white space (with bytes that occur in
+# longer ones): more than GAP of the latter in a row are left to `tokenizers`.
+_OTHER, _BLANK, GAP = 0xCA, np.zeros(256, bool), 200
+_BLANK[[*range(0x21), 0x85, 0xA0, 0xC2]] = True
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks_path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # A part must not hold a piece of a special token's text: those texts are encoded whole.
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.parts, self.ids = _Parts(), np.zeros(0, np.uint32)
-        self.firsts = np.zeros(1, np.int64)
-
-    def _learn(self) -> None:
-        if not self.parts.new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.parts.new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        more = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, more])
-        self.firsts = np.concatenate([self.firsts, self.firsts[-1] + np.cumsum(lengths)])
-        self.parts.new = []
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > MEMORY:
-            self._forget()
-        cut, lookup = [], self.parts.__getitem__
-        for text in texts:
-            if self.special and self.special.search(text):
-                cut.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, raw: np.ndarray, text: str) -> bool:
+        if not self.fast or len(raw) and raw.max() >= _OTHER or any(t in text for t in self.special):
+            return False
+        solid = np.flatnonzero(~_BLANK[raw])
+        return len(raw) <= GAP or len(solid) > 0 and int(np.diff(solid, prepend=-1, append=len(raw)).max()) <= GAP
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        data, ends = text_bytes(column)
+        result: list = [None] * len(column)
+        slow = []
+        for row, text in enumerate(column.to_pylist()):
+            text = text or ""
+            if self._plain(data[ends[row]:ends[row + 1]], text):
+                result[row] = np.array(self.fast.encode_ordinary(text), np.uint32)
             else:
-                pieces = _CUT.split(text)
-                # The space that a cut takes away belongs to the part after it.
-                pieces[1:] = [" " + p for p in pieces[1:]]
-                cut.append(list(map(lookup, pieces)))
-        self._learn()
-        result = []
-        for numbers in cut:
-            if isinstance(numbers, list):
-                at = np.array(numbers, np.int64)
-                first, n = self.firsts[at], self.firsts[at + 1] - self.firsts[at]
-                ends = np.cumsum(n)
-                numbers = self.ids[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
-            result.append(numbers)
+                slow.append((row, text))
+        if slow:
+            found = self.tokenizer.encode_batch_fast([t for _, t in slow], add_special_tokens=False)
+            for (row, _), ids in zip(slow, found):
+                result[row] = np.array(ids.ids, np.uint32)
         return result
 
 
@@ -110,7 +89,7 @@ def pieces_of(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def pack(
-    documents: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1,
+    documents: DataFrame, tokenizer_path: str, ranks_path: str | None = None, length: int = 2048, end_id: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens, sequence_id
@@ -124,11 +103,11 @@ def pack(
         T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, ranks_path)
         for batch in batches:
             for part in chunks(batch, "__text"):
                 rows, starts, lengths, ids, totals = [], [], [], [], []
-                for row, found in enumerate(encoder.encode(part.column("__text").to_pylist())):
+                for row, found in enumerate(encoder.encode(part.column("__text"))):
                     raw = np.append(found, np.uint32(end_id)).astype("<u4").tobytes()
                     n = len(raw) // 4
                     for start, size in pieces_of(n, length):
@@ -156,11 +135,11 @@ def digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
                          "sequence_id", "offset")
 
 
-def tokenizer_file() -> str:
+def tokenizer_files() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op4_binary_packing(spark, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), tokenizer_file()))
+    return digest(pack(table(spark, sf_dir, "documents"), *tokenizer_files()))

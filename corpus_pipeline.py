@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, packing.tokenizer_file()))
+    return packing.digest(packing.pack(docs, *packing.tokenizer_files()))
 
 
 STAGES = [

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -11,18 +12,23 @@ from chainalerts.llm import packing as P
 
 @pytest.fixture(scope="module")
 def plain():
-    return Tokenizer.from_file(P.tokenizer_file())
+    return Tokenizer.from_file(P.tokenizer_files()[0])
 
 
-def test_parts_encode_like_the_whole(plain):
+def test_both_ways_agree(plain):
     random.seed(1)
     alphabet = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "23", "中", "\u00a0", "\u2028", "\u200b", "\x1c",
                 "\u180e", "\ufeff", "\u0085", "😀", "<|endoftext|>", "the", " the", "-", "\r\n", "\u3000"]
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 40))) for _ in range(3000)] + ["", " ", "a" * 5000]
-    encoder = P.Encoder(P.tokenizer_file())
-    for text, ids in zip(texts, encoder.encode(texts)):
+    texts += [chr(i) + " a" + chr(i) * 2 + " 1" + chr(i) for i in range(1, 0x300)]
+    texts += [" " * 300 + "a", "a" + "\n" * 300, "a" + " \u00a0" * 300 + "b", " " * 200, " " * 201, "a" + " " * 100_000]
+    encoder = P.Encoder(*P.tokenizer_files())
+    column = pa.array(texts)
+    assert 500 < sum(encoder._plain(np.frombuffer(t.encode(), np.uint8), t) for t in texts) < len(texts) - 500
+    for text, ids in zip(texts, encoder.encode(column)):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
-    assert [x.tolist() for x in encoder.encode(texts[:5])] == [plain.encode(t, add_special_tokens=False).ids for t in texts[:5]]
+    alone = P.Encoder(P.tokenizer_files()[0])
+    assert [x.tolist() for x in alone.encode(column[:50])] == [x.tolist() for x in encoder.encode(column[:50])]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 15, 16, 17, 1000, 2048, 2049, 5000])
@@ -36,7 +42,7 @@ def test_pieces(n):
 
 def test_round_trip(make_documents, edges, texts, plain, tmp_path):
     rows = [*edges, *[(100 + i, t) for i, t in texts.items()]]
-    pieces = P.pack(make_documents(rows), P.tokenizer_file())
+    pieces = P.pack(make_documents(rows), *P.tokenizer_files())
     got = pieces.collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and all(r["offset"] == 0 for r in got)
     for r in P.digest(pieces).limit(50).collect():
@@ -58,6 +64,6 @@ def test_round_trip(make_documents, edges, texts, plain, tmp_path):
 
 
 def test_empty_and_refusal(make_documents):
-    assert P.pack(make_documents([]), P.tokenizer_file()).count() == 0
+    assert P.pack(make_documents([]), *P.tokenizer_files()).count() == 0
     with pytest.raises(ValueError):
-        P.pack(make_documents([]), P.tokenizer_file(), length=1000)
+        P.pack(make_documents([]), *P.tokenizer_files(), length=1000)
