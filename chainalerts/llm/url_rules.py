@@ -68,6 +68,7 @@ PATTERN_RULES = (
     Rule("block", pattern=r"(?:[^\n]*[.-])?spam-farm[.-]", literals=("spam", "farm")),
     Rule("block", pattern=r"(?:[^\n]*[.-])?(?:cheap|discount)-pills[.-]", literals=("pills",)),
     Rule("block", pattern=r"(?:[^\n]*[.-])?(?:online|best)-casino[.-]", literals=("casino",)),
+    Rule("block", pattern=r"(?:[^\n]*[.-])?(?:free|online)-bets[.-]", literals=("bets",)),
 )
 
 
@@ -170,6 +171,6 @@ j AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host || chr(10), '(^|[.-])(spam-farm|cheap-pills|discount-pills|online-casino|best-casino)[.-]') THEN 'block'
+  WHEN regexp_matches(host || chr(10), '(^|[.-])(spam-farm|cheap-pills|discount-pills|online-casino|best-casino|free-bets|online-bets)[.-]') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM j"""
