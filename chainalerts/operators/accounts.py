@@ -17,7 +17,8 @@ DEFAULTS = literal(DEFAULT_PREFS, "map<string,array<string>>")
 def discover(candidates: DataFrame, preference_log: DataFrame) -> DataFrame:
     """Every account an operation refers to, with its first reference.
 
-    A preference operation refers to its signer even if its data is rejected later.
+    A preference operation refers to its signer even if its data is rejected later. The
+    candidates may be those without texts: only their names and places are read.
     """
     when = ["ts", "block_num", "op_id"]
     named = candidates.where(F.col("error").isNull()).select(

@@ -147,11 +147,24 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
     return matched
 
 
-def recipients(functions: Iterable[str], semantics: str) -> Column:
-    """The recipients of each (operation, hook), by the hook's function."""
+# Whether ``recipient`` puts remarks and links into its rows.
+_texts_wanted = True
+
+
+def recipients(functions: Iterable[str], semantics: str, texts: bool = True) -> Column:
+    """The recipients of each (operation, hook), by the hook's function.
+
+    Without ``texts`` remarks and links are NULL, so neither they nor the amounts printed in
+    them are made.
+    """
+    global _texts_wanted
     if semantics not in SEMANTICS:
         raise ValueError(f"semantics must be one of {SEMANTICS}")
-    rows = {name: h.function(semantics) for name, h in _chosen(functions).items()}
+    _texts_wanted = texts
+    try:
+        rows = {name: h.function(semantics) for name, h in _chosen(functions).items()}
+    finally:
+        _texts_wanted = True
     return F.expr(_case("funct", rows, NOBODY))
 
 
@@ -161,6 +174,8 @@ def recipient(
     limit_value: str = "CAST(NULL AS DOUBLE)", error: str = NO_TEXT,
     error_if_sent: str = NO_TEXT,
 ) -> str:
+    if not _texts_wanted:
+        remark = link = NO_TEXT
     return struct(
         account=account, gate_account=gate_account or account, gate=gate, remark=remark,
         link=link, verified=verified, limit_key=limit_key, limit_value=limit_value,

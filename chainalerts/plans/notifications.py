@@ -30,16 +30,20 @@ NOTIF_COLUMNS = [
 
 
 def candidates(
-    ops: DataFrame, catalog: Catalog, semantics: str = "reference", hooks=None
+    ops: DataFrame, catalog: Catalog, semantics: str = "reference", hooks=None,
+    texts: bool = True,
 ) -> DataFrame:
-    """(operation, hook, recipient) rows before preferences are looked at."""
+    """(operation, hook, recipient) rows before preferences are looked at.
+
+    Without ``texts`` they tell who is referred to, and carry no remarks and links.
+    """
     chosen = catalog.notifying_hooks() if hooks is None else hooks
     functions = [hook.funct for _, hook in chosen]
     matched = parse_declared(dispatch(parse_values(ops), catalog, chosen), functions)
     names = ["block_num", "op_id", "hook_ord", "module", "notif_name", "notif_code", "ts",
              "trx_in_block", "body"]
     rows = (
-        matched.select(*names, recipients(functions, semantics).alias("who"))
+        matched.select(*names, recipients(functions, semantics, texts).alias("who"))
         # The outer form keeps the optimizer from testing the array's size below the
         # generator, which would build it twice. ``gate`` is NULL only for no recipient.
         .select(*names, F.inline_outer("who"))

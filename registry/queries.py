@@ -101,7 +101,8 @@ def _shown(notifications: DataFrame) -> DataFrame:
 def _accounts(spark, sf_dir, created_at=None) -> DataFrame:
     ops, catalog = event_ops(spark, sf_dir), Catalog.default()
     log = preference_log(ops, catalog)
-    return current_accounts(discover(candidates(ops, catalog), log), log, catalog, created_at)
+    named = discover(candidates(ops, catalog, texts=False), log)
+    return current_accounts(named, log, catalog, created_at)
 
 
 # Log ----------------------------------------------------------------------------------
@@ -374,7 +375,7 @@ def option_history_query(spark, sf_dir):
 @query("accounts_discovered")
 def accounts_discovered(spark, sf_dir):
     ops, catalog = event_ops(spark, sf_dir), Catalog.default()
-    found = discover(candidates(ops, catalog), preference_log(ops, catalog))
+    found = discover(candidates(ops, catalog, texts=False), preference_log(ops, catalog))
     return found.select("account", "first_seen", *_long("first_block", "first_op_id"))
 
 
