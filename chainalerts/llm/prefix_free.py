@@ -19,7 +19,7 @@ Parse: a row per phrase and document, of hashes and places, without text.
    one sort by what follows the trigger, with the common length of neighbours, and, byte by byte
    to the left of the trigger, the classes of equal phrase suffixes. A string is repeated if a
    phrase of its class agrees in the rest of the `length` bytes. A context of more than GROUP
-   phrases is not put into one task: its strings are counted one by one, by hash.
+   phrases is not put into one task: see `refine`.
 
 Scale: shuffles carry 20 to 40 bytes a phrase (about 50 bytes of text); compressed text moves
 twice, to spell phrases and to meet its spans. Nothing is gathered but a document's own places.
@@ -34,6 +34,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,28 +255,73 @@ def _order(length: int):
     return run
 
 
-def _strings(length: int):
-    """Every string of the phrases, as hash."""
+WIDTHS = (32, 8, 2, 1)
+
+
+def _node_keys(length: int, width: int):
+    """Of nodes, the starts of a phrase whose distance to the trigger lies in [low, low + width):
+    `shared`, a hash of what all their strings hold, and `whole`, one of all that they hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "body", 1 << 20):
                 data, ends = text_bytes(part.column("body"))
+                lead, low = part.column("lead").to_numpy(), part.column("low").to_numpy()
                 n = np.diff(ends) - length + 1
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = ends[row] + start
-                one = Rolling(data).hashes(at, at + length)
-                place = part.column("place").to_numpy().view(np.uint64)[row]
-                first = (place & np.uint64(0xFFFFFFFF)).astype(np.int64) + start
-                rows = pa.array(row)
+                trigger = ends[:-1] + lead
+                nearest = np.maximum(low, lead - n + 1)
+                furthest = np.minimum(low + width - 1, lead)
+                rolling = Rolling(data)
+                shared = rolling.hashes(trigger - low, trigger + length - (low + width - 1))
+                whole = mix(rolling.hashes(trigger - furthest, trigger + length - nearest)
+                            ^ mix((furthest * 1024 + nearest).astype(np.uint64)))
+                shared = mix(shared ^ mix(low.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("context").take(rows), pa.array(one.view(np.int64)), part.column("r1").take(rows),
-                     pa.array((place >> np.uint64(48)).astype(np.int64)), pa.array(first)],
-                    ["context", "string", "r1", "r2", "first"])
+                    [*part.columns, pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)),
+                     pa.array(lead - furthest), pa.array(furthest - nearest + 1)],
+                    [*part.schema.names, "shared", "whole", "at", "count"])
 
     return run
 
 
+def refine(phrases: DataFrame, length: int, reach: int) -> DataFrame:
+    """Repeated strings of contexts that have too many phrases for one task: (r1, r2, first, n).
+
+    The starts of a phrase are split by their distance to the trigger into nodes of ever fewer.
+    If another phrase holds all that a node's strings hold, all of them are repeated; if none
+    holds what they share, none is; else the node is split. Of nodes that hold the same and are
+    settled, one goes on as their partner (`known`), as long as others share with it. A level
+    counts its nodes by hash, pre-aggregated, so a context of any size is spread over all tasks,
+    and a phrase has a few nodes a level."""
+    kind = "context long, r1 long, place long, lead long, body binary, low long, known boolean"
+    nodes, above, found = phrases.select(
+        "context", "r1", "place", "lead", "body", F.lit(0).cast("long").alias("low"), F.lit(False).alias("known")), reach, []
+    for width in WIDTHS:
+        # Children of a node that hold starts of the phrase.
+        starts = F.octet_length("body") - (length - 1)
+        low = F.explode(F.sequence(F.col("low"), F.col("low") + (above - 1), F.lit(width).cast("long")))
+        nodes = nodes.withColumn("low", low).filter(
+            (F.col("low") <= F.col("lead")) & (F.col("low") + width > F.col("lead") - starts + 1))
+        nodes = written(nodes.select("context", "r1", "place", "lead", "body", "low", "known"), "nodes")
+        keyed = nodes.mapInArrow(
+            _node_keys(length, width), f"{kind}, shared long, whole long, at long, count long")
+        marks = []
+        for key in ("shared", "whole"):
+            twice = keyed.groupBy("context", key).agg(F.count("*").alias("c"), F.min("known").alias("k"))
+            twice = twice.filter("c > 1 and not k")
+            marks.append(written(twice.select("context", key, F.lit(True).alias(f"{key}_again")), f"nodes-{key}"))
+        judged = keyed
+        for key, mark in zip(("shared", "whole"), marks):
+            judged = judged.join(mark, ["context", key], "left")
+        judged = written(judged.filter("shared_again").select(
+            "context", "r1", "place", "lead", "body", "low", "known", "whole", "at", "count", "whole_again"), "judged")
+        found.append(judged.filter("whole_again and not known").withColumns(_unpacked(F.col("place"))).select(
+            "r1", "r2", (F.col("first") + F.col("at")).alias("first"), F.col("count").alias("n")))
+        settled = judged.filter("whole_again or known").dropDuplicates(["context", "low", "whole"])
+        nodes = judged.filter("whole_again is null and not known").unionAll(settled.withColumn("known", F.lit(True)))
+        above = width
+    return reduce(DataFrame.unionAll, found)
+
+
 def repeated_starts(
     documents: DataFrame, length: int = LENGTH, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -305,11 +351,7 @@ def repeated_starts(
     spelled = written(spelled.mapInArrow(_spell(length), kind).drop_duplicates(["context", "phrase"]), "spelled")
     found = spelled.filter(F.col("m") <= GROUP).repartition("context").sortWithinPartitions("context").mapInArrow(
         _order(length), "r1 long, r2 long, first long, n long")
-    strings = spelled.filter(F.col("m") > GROUP).mapInArrow(
-        _strings(length), "context long, string long, r1 long, r2 long, first long")
-    again = strings.groupBy("context", "string").agg(F.count("*").alias("c")).filter("c > 1")
-    again = written(again.select("context", "string"), "strings")
-    hot = strings.join(again, ["context", "string"], "left_semi").select("r1", "r2", "first", F.lit(1).cast("long").alias("n"))
+    hot = refine(spelled.filter(F.col("m") > GROUP), length, reach)
     return whole.unionAll(found).unionAll(hot)
 
 
