@@ -113,8 +113,19 @@ def _unpacked(place: Column) -> dict[str, Column]:
             "n": F.shiftrightunsigned(place, 32).bitwiseAND(F.lit(0xFF)), "first": place.bitwiseAND(F.lit(0xFFFFFFFF))}
 
 
+def _repeated_within(row: np.ndarray, context: np.ndarray, phrase: np.ndarray) -> dict[int, list[int]]:
+    """Of phrases that their document has several times: first index -> the others."""
+    key = mix(context * _FACTOR + mix(phrase ^ mix(row.astype(np.uint64))))
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    groups: dict[int, list[int]] = {}
+    for i in np.flatnonzero(count[inverse] > 1).tolist():
+        groups.setdefault(int(inverse[i]), []).append(i)
+    return {at[0]: at[1:] for at in groups.values()}
+
+
 def parse(documents: DataFrame, length: int, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """(context, phrase, r1, place) of every phrase of every document."""
+    """(context, phrase, r1, place, more) of every phrase of every document; `more` has the other
+    places of a phrase that the document has several times, so periodic text is one row."""
     source = documents.filter(F.octet_length(text_col) >= length).select(
         *_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
 
@@ -135,12 +146,20 @@ def parse(documents: DataFrame, length: int, reach: int, id_col: str, text_col:
                 r2 = part.column("r2").to_numpy()[rows].astype(np.uint64)
                 place = (((r2 << np.uint64(8) | lead.astype(np.uint64)) << np.uint64(8) | n.astype(np.uint64))
                          << np.uint64(32) | first.astype(np.uint64))
+                again = _repeated_within(rows, context, phrase)
+                stays, more = np.ones(len(rows), bool), [None] * len(rows)
+                for i, others in again.items():
+                    stays[others] = False
+                    more[i] = place[others].view(np.int64).tolist()
+                stays = np.flatnonzero(stays)
+                more = pa.array(more, pa.list_(pa.int64())).take(pa.array(stays)) if again else pa.nulls(
+                    len(stays), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(x.view(np.int64)) for x in (context, phrase)],
-                     part.column("r1").take(pa.array(rows, pa.int64())), pa.array(place.view(np.int64))],
-                    ["context", "phrase", "r1", "place"])
+                    [*[pa.array(x[stays].view(np.int64)) for x in (context, phrase)],
+                     part.column("r1").take(pa.array(rows[stays], pa.int64())), pa.array(place[stays].view(np.int64)), more],
+                    ["context", "phrase", "r1", "place", "more"])
 
-    return source.mapInArrow(run, "context long, phrase long, r1 long, place long")
+    return source.mapInArrow(run, "context long, phrase long, r1 long, place long, more array<long>")
 
 
 def _packed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -301,9 +320,9 @@ def refine(phrases: DataFrame, length: int, reach: int) -> DataFrame:
         low = F.explode(F.sequence(F.col("low"), F.col("low") + (above - 1), F.lit(width).cast("long")))
         nodes = nodes.withColumn("low", low).filter(
             (F.col("low") <= F.col("lead")) & (F.col("low") + width > F.col("lead") - starts + 1))
-        nodes = written(nodes.select("context", "r1", "place", "lead", "body", "low", "known"), "nodes")
-        keyed = nodes.mapInArrow(
-            _node_keys(length, width), f"{kind}, shared long, whole long, at long, count long")
+        nodes = nodes.select("context", "r1", "place", "lead", "body", "low", "known")
+        keyed = written(nodes.mapInArrow(
+            _node_keys(length, width), f"{kind}, shared long, whole long, at long, count long"), "nodes")
         marks = []
         for key in ("shared", "whole"):
             twice = keyed.groupBy("context", key).agg(F.count("*").alias("c"), F.min("known").alias("k"))
@@ -331,14 +350,16 @@ def repeated_starts(
     parsed = parse(documents, length, reach, id_col, text_col)
     # Each side of a join with hot keys is written or has an exchange of its own: then Spark can
     # split the hot ones.
-    twice = written(parsed.groupBy("context").agg(F.count("*").alias("c")).filter("c > 1").select("context"), "twice")
+    times = 1 + F.coalesce(F.array_size("more"), F.lit(0)).cast("long")
+    twice = written(parsed.groupBy("context").agg(F.sum(times).alias("c")).filter("c > 1").select("context"), "twice")
     shared = written(parsed.join(twice, "context", "left_semi"), "parse")
     words = shared.groupBy("context", "phrase").agg(
-        F.count("*").alias("total"), F.min(F.struct("r1", "place")).alias("p"))
+        F.sum(times).alias("total"), F.min(F.struct("r1", "place")).alias("p"))
     words = written(words.select("context", "phrase", "total", "p.*"), "dictionary")
     often = words.filter("total > 1").select("context", "phrase")
     whole = shared.join(often, ["context", "phrase"], "left_semi")
-    whole = whole.withColumns(_unpacked(F.col("place"))).select(*FOUND)
+    places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>")))
+    whole = whole.select("r1", F.explode(places).alias("place")).withColumns(_unpacked(F.col("place"))).select(*FOUND)
     # Contexts of several phrases of which one occurs once.
     sizes = words.groupBy("context").agg(F.count("*").alias("m"), F.min("total").alias("least"))
     sizes = written(sizes.filter("m > 1 and least = 1"), "sizes")
