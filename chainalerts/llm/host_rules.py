@@ -52,16 +52,15 @@ def measures(documents: DataFrame, keep: list[str], text_col: str = "text") -> D
     hashes = F.transform(F.col("__words"), lambda w: F.xxhash64(w))
     step = fenced(step, __h=F.when(F.col("__n") >= 3, hashes))
     last = F.col("__n") - 2
-    window = F.transform(
-        F.arrays_zip(F.slice("__h", 1, last).alias("a"), F.slice("__h", 2, last).alias("b"),
-                     F.slice("__h", 3, last).alias("c")),
-        lambda w: F.xxhash64(w["a"], w["b"], w["c"]),
+    window = F.zip_with(
+        F.zip_with(F.slice("__h", 1, last), F.slice("__h", 2, last), lambda a, b: F.xxhash64(a, b)),
+        F.slice("__h", 3, last), lambda ab, c: F.xxhash64(ab, c),
     )
     step = fenced(step, __windows=F.when(F.col("__n") >= 3, window))
-    step = fenced(step, __twice=F.array_distinct(_repeats(F.array_sort("__windows"))))
+    step = fenced(step, __twice=F.array_distinct(_repeats(F.sort_array("__windows"))))
     # Of the texts that have such windows: their places in order. A window covers three words,
     # fewer if the next place is nearer.
-    numbered = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    numbered = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     step = fenced(step, __sorted=F.when(F.size("__twice") > 0, numbered))
     n = F.col("__n") - 2
     none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i"))
@@ -71,7 +70,7 @@ def measures(documents: DataFrame, keep: list[str], text_col: str = "text") -> D
         F.arrays_zip(F.col("__sorted").alias("x"), before.alias("p"), after.alias("q")),
         lambda z: F.when((z["x"]["h"] == z["p"]["h"]) | (z["x"]["h"] == z["q"]["h"]), z["x"]["i"]),
     ))
-    step = fenced(step, __places=F.when(F.col("__sorted").isNotNull(), F.array_sort(places)))
+    step = fenced(step, __places=F.when(F.col("__sorted").isNotNull(), F.sort_array(places)))
     count = F.size("__places")
     gaps = F.zip_with(
         F.slice("__places", 2, F.greatest(count - 1, F.lit(0))),
