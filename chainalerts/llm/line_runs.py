@@ -3,9 +3,11 @@
 Documents come in batches. A batch's run holds, for every line key in it, the key's 128-bit hash
 and the number of its documents, sorted by hash. Runs have levels: a new run is level 0; `fanout`
 runs of a level are compacted into one of the next, by adding the numbers of equal hashes, so a
-hash is rewritten only as often as there are levels (LSM tree). `fresh_lines` merge-anti-joins a
-batch against the runs: what the store has seen stays out. `frequent` merges all runs and gives
-the keys of at least `min_docs` documents; `drop_lines` anti-joins the documents' lines with them.
+hash is rewritten only as often as there are levels (LSM tree). Compaction closes the keys that
+have reached `min_docs` documents: they leave the runs for a table of their own. Each new batch is
+anti-joined with the closed keys (and, by `fresh_lines`, with all runs) before it adds its own, so
+what is known to be frequent is not counted again. `frequent` merges what is still open and gives
+all keys of at least `min_docs` documents; `drop_lines` removes them from the documents.
 
 A run is a Parquet table in the shared folder, range-partitioned and sorted by hash. Which runs
 are live is in the store's list on the driver, one entry per run.
@@ -54,24 +56,28 @@ def key_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class LineRuns:
-    """The store of runs. `fanout` runs of one level become one of the next."""
+    """The store of runs. `fanout` runs of one level become one of the next; keys of `min_docs`
+    documents are closed then."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        if fanout < 2:
-            raise ValueError("fanout is at least 2")
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
+        if fanout < 2 or min_docs < 1:
+            raise ValueError("fanout is at least 2, min_docs at least 1")
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[str]] = []
+        self.closed: list[str] = []
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = work_folder(self.spark, f"run-{level}")
+    def _write(self, run: DataFrame, name: str) -> str:
+        path = work_folder(self.spark, name)
         run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        return path
+
+    def _put(self, path: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
     def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 long, h2 long, n_docs long"
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*paths)
 
     def _merged(self, paths: list[str]) -> DataFrame:
         return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
@@ -80,27 +86,37 @@ class LineRuns:
         return [path for level in self.levels for path in level]
 
     def add(self, documents: DataFrame, text_col: str = "text") -> None:
-        """Add a batch's run, then compact full levels."""
-        self._write(key_counts(documents, text_col), 0)
+        """Add a batch's run of the keys that are not closed, then compact full levels."""
+        run = key_counts(documents, text_col)
+        if self.closed:
+            run = run.join(self._read(self.closed), ["h1", "h2"], "left_anti")
+        self._put(self._write(run, "run-0"), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
+            merged = self._read([self._write(self._merged(self.levels[level]), f"merged-{level}")])
+            self.levels[level] = []
+            done = F.col("n_docs") >= self.min_docs
+            self.closed.append(self._write(merged.filter(done), "closed"))
+            self._put(self._write(merged.filter(~done), f"run-{level + 1}"), level + 1)
             level += 1
 
     def fresh_lines(self, documents: DataFrame, text_col: str = "text") -> DataFrame:
-        """(h1, h2, n_docs) of the batch's keys that no run holds yet: for feeding batches one
-        after another."""
-        batch = key_counts(documents, text_col)
-        return batch if not self.runs() else batch.join(
-            self._read(self.runs()).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        """(h1, h2, n_docs) of the batch's keys that the store has not seen yet: for a feed that
+        keeps the first of equal lines only."""
+        batch, seen = key_counts(documents, text_col), self.runs() + self.closed
+        return batch.join(self._read(seen), ["h1", "h2"], "left_anti") if seen else batch
 
-    def frequent(self, min_docs: int) -> DataFrame:
+    def frequent(self) -> DataFrame:
         """(h1, h2) of the keys found in at least min_docs documents of all batches."""
-        if not self.runs():
+        open_ = self.runs()
+        found = self._merged(open_).filter(F.col("n_docs") >= self.min_docs) if open_ else None
+        if self.closed:
+            closed = self._read(self.closed)
+            found = closed if found is None else found.unionAll(closed)
+        if found is None:
             return self.spark.createDataFrame([], "h1 long, h2 long")
         # Written, so that a join with them has its own exchange, whose hot keys Spark can split.
-        return written(self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2"), "frequent")
+        return written(found.select("h1", "h2"), "frequent")
 
 
 def drop_lines(documents: DataFrame, frequent: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -146,19 +162,20 @@ def _shorten(text_col: str):
 
 
 def line_dedup(
-    documents: DataFrame, min_docs: int = 10, batches: int = 1, text_col: str = "text", id_col: str = "doc_id"
+    documents: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2,
+    text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """Feed the documents to a store in batches (by id hash) and drop the frequent lines."""
-    store = LineRuns(documents.sparkSession)
+    store = LineRuns(documents.sparkSession, min_docs, fanout)
     for number in range(batches):
         mine = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(batches)) == number
         store.add(documents if batches == 1 else documents.filter(mine), text_col)
-    return drop_lines(documents, store.frequent(min_docs), text_col, id_col)
+    return drop_lines(documents, store.frequent(), text_col, id_col)
 
 
 def op2_line_runs(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup(documents, min_docs=10, batches=2)
+    kept = line_dedup(documents, min_docs=10)
     text = F.coalesce("text", F.lit(""))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 

@@ -27,29 +27,41 @@ def digest(frame):
                   for r in frame.collect())
 
 
-@pytest.mark.parametrize("batches", [1, 5])
-def test_line_dedup(make_documents, edges, texts, batches):
+@pytest.mark.parametrize("batches, fanout", [(1, 4), (5, 2)])
+def test_line_dedup(make_documents, edges, texts, batches, fanout):
     rows = [*edges, *[(100 + i, t) for i, t in texts.items()],
             *[(1000 + i, f"own {i}\n  ÉCOLE Common \r\nécole common\n\n x") for i in range(12)]]
-    got = L.line_dedup(make_documents(rows), 10, batches)
+    got = L.line_dedup(make_documents(rows), 10, batches, fanout)
     assert digest(got) == brute(rows, 10)
     assert [c for c in got.columns if c not in ("n_lines", "n_dropped")] == make_documents([]).columns
 
 
 def test_levels_and_fresh_lines(spark, make_documents):
-    store = L.LineRuns(spark, fanout=2)
-    for i in range(5):
+    store = L.LineRuns(spark, min_docs=4, fanout=2)
+    for i in range(6):
         store.add(make_documents([(i, f"every\nonly {i}\nsome {i % 2}")]))
-    # Five runs by two: 4 compacted twice, 1 at the start.
-    assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert store.frequent(5).count() == 1 and store.frequent(2).count() == 3
-    assert store.fresh_lines(make_documents([(9, "every\nnew\nsome 1")])).count() == 1
+    # Six runs by two: the first four compacted twice, the last two once.
+    assert [len(x) for x in store.levels] == [0, 1, 1]
+    # "every" was closed with its fourth document and not counted after that.
+    assert [r["n_docs"] for r in store._read(store.closed).collect()] == [4]
     counts = sorted(r["n_docs"] for r in store._merged(store.runs()).collect())
-    assert counts == [1] * 5 + [2, 3, 5]
-    with pytest.raises(ValueError):
-        L.LineRuns(spark, 1)
+    assert counts == [1] * 6 + [3, 3]
+    assert store.frequent().count() == 1
+    assert store.fresh_lines(make_documents([(9, "every\nnew\nsome 1")])).count() == 1
+    for wrong in ((4, 1), (0, 2)):
+        with pytest.raises(ValueError):
+            L.LineRuns(spark, *wrong)
+
+
+def test_keys_that_close_at_different_times(spark, make_documents):
+    rows = [(i, f"{'early' if i < 12 else 'late'}\nall\nrare {i % 7}") for i in range(24)]
+    store = L.LineRuns(spark, min_docs=10, fanout=2)
+    for i in range(0, 24, 3):
+        store.add(make_documents(rows[i:i + 3]))
+    got = L.drop_lines(make_documents(rows), store.frequent())
+    assert digest(got) == brute(rows, 10)
 
 
 def test_empty(spark, make_documents):
     assert L.line_dedup(make_documents([])).count() == 0
-    assert L.LineRuns(spark).frequent(1).count() == 0
+    assert L.LineRuns(spark, 1).frequent().count() == 0
