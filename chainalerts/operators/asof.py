@@ -19,13 +19,18 @@ BUCKET_OPS = 20_000
 POSITION = "struct(int({0}block_num), bigint({0}op_id), int({0}hook_ord))"
 
 
-def asof_state(rows: DataFrame, changes: DataFrame, bucket_ops: int = BUCKET_OPS) -> DataFrame:
+def asof_state(
+    rows: DataFrame, changes: DataFrame, bucket_ops: int = BUCKET_OPS,
+    places: DataFrame | None = None,
+) -> DataFrame:
     """Add ``codes`` and ``opts`` of (gate_account, module) before each row's position.
 
-    Operation ids grow with the position, as the log's order says.
+    Operation ids grow with the position, as the log's order says. ``places`` may give the
+    rows' gate_account, module and op_id from a cheaper plan than theirs.
     """
     key = ["gate_account", "module"]
     bucket = F.floor(F.col("op_id") / F.lit(bucket_ops)).alias("bucket")
+    asked = (rows if places is None else places).select(*key, bucket)
     rows = rows.select("*", bucket)
     changes = changes.withColumnRenamed("account", "gate_account").select("*", bucket)
 
@@ -36,7 +41,7 @@ def asof_state(rows: DataFrame, changes: DataFrame, bucket_ops: int = BUCKET_OPS
         F.max_by("codes", F.when(F.col("codes").isNotNull(), pos)).alias("codes"),
         F.max_by("opts", F.when(F.col("opts").isNotNull(), pos)).alias("opts"),
     )
-    groups = rows.select(*key, "bucket").distinct()
+    groups = asked.distinct()
     earlier = (
         Window.partitionBy(*key).orderBy("bucket", "kind")
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -147,25 +147,24 @@ def option_history(log: DataFrame) -> DataFrame:
 OPTION_DOCUMENT = "map<string,map<string,map<string,string>>>"
 
 
-def state_changes(prefs: DataFrame, options: DataFrame, modules: list[str]) -> DataFrame:
-    """Both histories on one key (account, module), for the as-of lookup.
+def state_changes(log: DataFrame, modules: list[str]) -> DataFrame:
+    """Both histories on one key (account, module), for the as-of lookup, in one pass.
 
     An ``options`` operation replaces the document, so it sets every module: those it
     does not name get an empty map, which hides earlier options.
     """
-    opts = "MAP<STRING,MAP<STRING,STRING>>"
+    opts, codes = "MAP<STRING,MAP<STRING,STRING>>", "ARRAY<STRING>"
     names = ", ".join(f"'{name}'" for name in modules)
-    from_prefs = prefs.selectExpr(
-        "account", "module", "codes", f"CAST(NULL AS {opts}) AS opts", "block_num", "op_id"
+    enabled = struct(module="e.module", codes="e.codes", opts=f"CAST(NULL AS {opts})")
+    replaced = struct(
+        module="m", codes=f"CAST(NULL AS {codes})", opts=f"coalesce(doc[m], CAST(map() AS {opts}))"
     )
-    from_options = (
-        options.selectExpr(
-            "account", f"from_json(options, '{OPTION_DOCUMENT}') AS doc", "block_num", "op_id",
-            f"explode(array({names})) AS module",
-        )
-        .selectExpr(
-            "account", "module", "CAST(NULL AS ARRAY<STRING>) AS codes",
-            f"coalesce(doc[module], CAST(map() AS {opts})) AS opts", "block_num", "op_id",
-        )
+    read = fenced(
+        log.where(F.col("outcome") == "accepted"),
+        doc=f"IF(op_name = 'options', from_json(options, '{OPTION_DOCUMENT}'), NULL)",
     )
-    return from_prefs.unionByName(from_options)
+    return read.selectExpr(
+        "account", "block_num", "op_id",
+        f"inline(IF(op_name = 'enabled', transform(enabled, e -> {enabled}), "
+        f"transform(array({names}), m -> {replaced})))",
+    ).select("account", "module", "codes", "opts", "block_num", "op_id")

@@ -18,9 +18,7 @@ from chainalerts.constants import (
 from chainalerts.operators.asof import BUCKET_OPS, asof_state
 from chainalerts.operators.handlers import parse_declared, recipients
 from chainalerts.operators.hooks import Catalog, dispatch, literal
-from chainalerts.operators.preferences import (
-    option_history, pref_history, preference_log, state_changes,
-)
+from chainalerts.operators.preferences import preference_log, state_changes
 from chainalerts.sources.op_log import parse_values
 
 NOTIF_COLUMNS = [
@@ -60,7 +58,7 @@ def changes_of(log: DataFrame, catalog: Catalog, preload: bool = False) -> DataF
     A sync applies none while the preference hook is off. A preload does not look at the
     flag: it calls the preference handler whatever it says.
     """
-    changes = state_changes(pref_history(log), option_history(log), sorted(catalog.modules))
+    changes = state_changes(log, sorted(catalog.modules))
     changes = changes.where(F.col("module").isin(sorted(catalog.modules)))
     order = catalog.preference_order()
     if order is None and not preload:
@@ -125,6 +123,12 @@ class AlertPlan:
             return self._candidates
         return candidates(self.ops, self.catalog, self.semantics, self.hooks)
 
+    def places(self) -> DataFrame:
+        """Whose state is asked for and where: the candidates without their texts."""
+        if self._candidates is not None:
+            return self._candidates
+        return candidates(self.ops, self.catalog, self.semantics, self.hooks, texts=False)
+
     def preference_log(self) -> DataFrame:
         return self._log if self._log is not None else preference_log(self.ops, self.catalog)
 
@@ -140,7 +144,9 @@ class AlertPlan:
 
     def resolved(self) -> DataFrame:
         """Candidates with the state they met and the verdict of every gate."""
-        return with_gates(asof_state(self.candidates(), self.changes(), self.bucket_ops))
+        return with_gates(
+            asof_state(self.candidates(), self.changes(), self.bucket_ops, self.places())
+        )
 
     def notifications(self, resolved: DataFrame | None = None) -> DataFrame:
         rows = self.resolved() if resolved is None else resolved
