@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from chainalerts.llm.common import LOWER, SPACE, chunks, mix, shingles, span_hashes, table, text_bytes, word_spans, written
 from chainalerts.llm.components import components
 
-POINTS, ROWS, MISS, BLOCK = 1 << 20, 7, 1e-6, 256
+POINTS, ROWS, MISS, BLOCK = 1 << 20, 6, 1e-6, 256
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -208,38 +208,41 @@ def linked(documents: DataFrame, size: int, percent: int, id_col: str = "doc_id"
     threshold, keys = percent / 100, ["__id", "__r1", "__r2"]
     keyed = _keyed(documents, id_col, text_col)
     every = written(signatures(keyed, size, threshold, [*keys, "__t1", "__t2"], "__body"), "signatures")
-    # One row per class, with one of its texts' hashes.
+    # One row per class, with one of its texts' hashes. Candidates go by a short name, the first
+    # 64 bits of the node: should two nodes share it, both are compared.
+    short = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
     classes = every.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min(F.struct(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))).alias("t"), F.first("bands").alias("bands"))
-    buckets = classes.select("node", F.posexplode("bands").alias("band", "hash"))
+        F.min(F.struct(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"))).alias("t"), F.first("bands").alias("bands")).withColumn("name", short)
+    buckets = classes.select("name", F.posexplode("bands").alias("band", "hash"))
     # Each side of a join with hot keys is written: then Spark can split the hot ones.
-    stars = buckets.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    stars = buckets.groupBy("hash").agg(F.min("name").alias("least"), F.count("*").alias("n"))
     stars = written(stars.filter("n > 1"), "stars")
-    members = written(buckets.join(stars, ["band", "hash"]), "buckets")
+    members = written(buckets.join(stars, "hash"), "buckets")
     # Candidate classes and their texts.
-    chosen = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "bands", "t.t1", "t.t2")
+    chosen = classes.join(members.select("name").distinct(), "name", "left_semi").select("node", "bands", "t.t1", "t.t2")
     texts = _compressed(documents.filter(F.col(text_col).isNotNull()), text_col)
     chosen = chosen.join(texts, ["t1", "t2"]).groupBy("node").agg(F.first("bands").alias("bands"), F.first("z").alias("z"))
-    chosen = written(chosen, "candidates")
-    pairs = members.filter(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    packed = chosen.select("node", "z")
-    pairs = pairs.join(packed.withColumnRenamed("node", "a"), "a").join(
-        packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "z", "zb")
+    chosen = written(chosen.withColumn("name", short), "candidates")
+    pairs = members.filter(F.col("name") != F.col("least")).select("name", "least").distinct()
+    pairs = pairs.join(chosen.select("name", F.col("node").alias("a"), "z"), "name").join(
+        chosen.select(F.col("name").alias("least"), F.col("node").alias("b"), F.col("z").alias("zb")), "least")
+    pairs = pairs.select("a", "b", "z", "zb")
     links = written(pairs.mapInArrow(_star_links(size, percent), "a binary, b binary"), "links")
     labels = written(components(links), "labels")
     # Buckets of three or more classes in different components.
-    labelled = members.filter("n > 2").join(labels, "node", "left").select(
+    named = written(chosen.select("name", "node").join(labels, "node", "left"), "named")
+    labelled = members.filter("n > 2").join(named, "name").select(
         "node", "band", "hash", "n", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "labelled")
-    open_ = labelled.groupBy("band", "hash").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
-    rest = labelled.join(written(open_.select("band", "hash"), "open"), ["band", "hash"], "left_semi")
+    open_ = labelled.groupBy("hash").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m")
+    rest = labelled.join(written(open_.select("hash"), "open"), "hash", "left_semi")
     # Blocks of a bucket, and every pair of blocks to both of its members.
     count = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", count).withColumn("side", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("blocks", count).withColumn("side", F.pmod(F.xxhash64("node", "hash"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("node", "label", "band", "hash", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    rest = rest.join(chosen, "node")
-    more = rest.groupBy("band", "hash", "i", "j").applyInPandas(_block_links(size, percent), "a binary, b binary")
+    rest = rest.join(chosen.drop("name"), "node")
+    more = rest.groupBy("hash", "i", "j").applyInPandas(_block_links(size, percent), "a binary, b binary")
     links = links.unionAll(more)
     labels = written(components(links), "labels")
     labelled = every.join(labels, "node", "left").select(
@@ -275,7 +278,8 @@ def deduplicated(
     marks = written(marks, "marks").withColumnsRenamed({"__r1": "__m1", "__r2": "__m2"})
     id_, text = F.col(id_col), F.col(text_col)
     keyed = documents.withColumns({"__r1": F.xxhash64(id_, text), "__r2": F.xxhash64(F.lit(1), text, id_)})
-    marked = keyed.join(marks, (F.col("__r1") == F.col("__m1")) & (F.col("__r2") == F.col("__m2")), "left")
+    # One way at any size: the texts move once, to meet their marks.
+    marked = keyed.join(marks.hint("merge"), (F.col("__r1") == F.col("__m1")) & (F.col("__r2") == F.col("__m2")), "left")
     kept = marked.filter(F.col("__lost").isNull()).drop("__r1", "__r2", "__m1", "__m2", "__lost")
     # Equal rows of which one stays: they are few, and each class of them is one row's size.
     repeated = marked.filter(~F.col("__lost")).dropDuplicates(["__r1", "__r2"])
