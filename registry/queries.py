@@ -171,7 +171,7 @@ def typed_ops_documented(spark, sf_dir):
 def landed_range(spark, sf_dir):
     """A middle range of a log landed in buckets far smaller than the default."""
     folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
-    op_log.write_ops(event_ops(spark, sf_dir), folder, bucket=7)
+    op_log.write_ops(event_ops(spark, sf_dir), folder, bucket=37)
     picked = op_log.scan_ops(op_log.read_ops(spark, folder), 20, 61)
     return picked.select(*_long("op_id", "block_num"), F.col("ts").alias("created"))
 
