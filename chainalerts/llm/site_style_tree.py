@@ -6,7 +6,11 @@ down). A node with text has content features, the texts of its blocks: its conte
 node has presentation styles, the sequences of its children's styles (repetitions as one): its
 presentation importance is the entropy of these, as only real content varies. The composite
 importance of a branch is the mean of its nodes', weighted by their number and by GAMMA for each
-step down. Branches below `least` go from every page of the host.
+step down. A branch below `least` goes from every page of the host if each node in it is below;
+of one that holds a node of higher importance only the low branches and the low own text go.
+Pages of equal content (their marked article, else all their blocks) count once, so that a host
+of copies has no low article. A branch that holds a page's article stays there, and so does an
+article of which most would go.
 
 Importance needs pages to compare, and menus of words differ from page to page like an article
 does. So two rules of presentation stand beside it: elements whose tag or class names a role that
@@ -22,12 +26,13 @@ Spark broadcasts if its own limit allows; else the join is a shuffle by host. HT
 twice and not moved in the first case. Paths deeper than DEPTH are cut, so styles are bounded.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; equal
-rows count as pages each and get equal texts; unclosed or stray tags are read as browsers would
+rows count as one page of the tree and get equal texts; unclosed or stray tags are read as browsers would
 roughly; an empty table gives no rows. Other input columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
@@ -93,11 +98,11 @@ class _Open:
         self.children: list[str] = []
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, tuple[str, ...]]]]:
-    """Blocks (path, text, whether inside an article) outside elements with a role, and the inner
-    nodes (path, styles of their children), in page order."""
-    stack = [_Open("", "", False, False, True)]
-    blocks: list[tuple[str, str, bool]] = []
+def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[str, ...]]]]:
+    """Blocks (path, text, path of the article around it or "") outside elements with a role, and
+    the inner nodes (path, styles of their children), in page order."""
+    stack = [_Open("", "", False, "", True)]
+    blocks: list[tuple[str, str, str]] = []
     nodes: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
 
@@ -164,13 +169,12 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, tuple
         parent = stack[-1]
         above = next(e for e in reversed(stack) if e.block)
         article = above.article
-        role = _role(name, attributes, article)
+        role = _role(name, attributes, bool(article))
         dead = parent.dead or role or name in UNSEEN
         if name in ("article", "main") and not role:
             # Neither may stand in a menu or footer: those were not closed.
             dead = any(e.dead and e.tag not in ("nav", "footer", "header") for e in stack)
-            article = not dead
-            if article:
+            if not dead:
                 for e in stack:
                     e.dead = False
         if name in BLOCKS:
@@ -178,6 +182,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, tuple
             if not above.children or above.children[-1] != label:
                 above.children.append(label)
             path = f"{above.path}/{label}" if above.path.count("/") < DEPTH else above.path
+            if name in ("article", "main"):
+                article = "" if dead else article or path
             stack.append(_Open(name, path, dead, article, True))
         else:
             stack.append(_Open(name, above.path, dead, article, False))
@@ -191,18 +197,41 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, tuple
     return blocks, nodes
 
 
+def _main(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The blocks of the articles, where a page marks any."""
+    return [b for b in blocks if b[2]] or blocks
+
+
 def main_blocks(page: str | None) -> list[tuple[str, str]]:
     """(path, text) of a page's blocks that no role rule removes."""
-    blocks, _ = parse(page or "")
-    marked = any(inside for _, _, inside in blocks)
-    return [(path, text) for path, text, inside in blocks if inside or not marked]
+    return [(path, text) for path, text, _ in _main(parse(page or "")[0])]
+
+
+def _held(page: str | None, gone: frozenset[str]) -> list[str]:
+    """The texts of a page's main blocks without the host's low branches (`path/`) and the low own
+    text of nodes (`path`)."""
+    blocks = _main(parse(page or "")[0])
+    if not gone:
+        return [text for _, text, _ in blocks]
+
+    def low(path: str, article: str) -> bool:
+        # Branches from the article's own up hold it.
+        ends = [i for i in range(1, len(path)) if path[i] == "/"] + [len(path)]
+        return path in gone or any(f"{path[:i]}/" in gone for i in ends if i > len(article))
+
+    keep = [not low(path, article) for path, _, article in blocks]
+    inside = [(len(text), k) for (_, text, article), k in zip(blocks, keep) if article]
+    if 2 * sum(n for n, k in inside if not k) > sum(n for n, _ in inside):
+        keep = [k or bool(article) for (_, _, article), k in zip(blocks, keep)]
+    return [text for (_, text, _), k in zip(blocks, keep) if k]
 
 
 CONTENT, STYLE, PAGES = 0, 1, 2
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, c, l): how often a feature is in a page's node, and c ln c."""
+    """(host, page, path, kind, feature, c, l): how often a feature is in a page's node, and c ln c.
+    `page` is a hash of the page's main blocks."""
     for batch in batches:
         rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
@@ -210,21 +239,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Counter((path, CONTENT, text) for path, text, _ in blocks)
             found += Counter((path, STYLE, "|".join(children)) for path, children in nodes)
             found += Counter({(path, PAGES, ""): 1 for path, _, _ in found})
-            rows += [(host, path, kind, what, c) for (path, kind, what), c in found.items()]
-        host, path, kind, what, c = zip(*rows) if rows else ((), (), (), (), ())
+            content = "\n".join(f"{path}\n{text}" for path, text, _ in _main(blocks)).encode("utf-8", "surrogatepass")
+            name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+            rows += [(host, name, path, kind, what, c) for (path, kind, what), c in found.items()]
+        host, name, path, kind, what, c = zip(*rows) if rows else ((), (), (), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(what, pa.string()),
+            [pa.array(host, pa.string()), pa.array(name, pa.int64()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(what, pa.string()),
              pa.array(c, pa.int64()), pa.array([n * math.log(n) for n in c], pa.float64())],
-            ["host", "path", "kind", "what", "c", "l"])
+            ["host", "page", "path", "kind", "what", "c", "l"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes (host, path) of all hosts with n (their number), pages and importance. `pages` has
-    host and html."""
+    """Nodes (host, path) of all hosts with n (their number), pages of different content, importance,
+    own (the node's alone) and highest (of all nodes' own in the branch). `pages` has host and html."""
     rows = pages.select("host", "html").mapInArrow(
-        _features, "host string, path string, kind int, what string, c long, l double")
-    each = rows.select("host", "path", "kind", F.xxhash64("what").alias("feature"), "c", "l").groupBy(
-        "host", "path", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("l").alias("l"))
+        _features, "host string, page long, path string, kind int, what string, c long, l double")
+    # Copies of a page are one; most meet in the map tasks.
+    once = rows.select("host", "page", "path", "kind", F.xxhash64("what").alias("feature"), "c", "l").groupBy(
+        "host", "page", "path", "kind", "feature").agg(F.max("c").alias("c"), F.max("l").alias("l"))
+    each = once.groupBy("host", "path", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("l").alias("l"))
     # Entropy over pages of one content feature; of a node's styles it is that over styles.
     nodes = each.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == PAGES, F.col("c"))).alias("pages"),
@@ -247,10 +280,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
     above = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("d")), "/")
     weight = F.col("n") * F.pow(F.lit(GAMMA), depth - F.col("d"))
     return shares.select(
-        "host", above.alias("path"), weight.alias("w"), (weight * F.col("own")).alias("x"),
+        "host", above.alias("path"), weight.alias("w"), (weight * F.col("own")).alias("x"), F.col("own").alias("highest"),
+        F.when(depth == F.col("d"), F.col("own")).alias("own"),
         F.when(depth == F.col("d"), F.col("pages")).alias("pages"), F.when(depth == F.col("d"), F.col("n")).alias("n"),
     ).groupBy("host", "path").agg(
-        F.max("n").alias("n"), F.max("pages").alias("pages"), (F.sum("x") / F.sum("w")).alias("importance"))
+        F.max("n").alias("n"), F.max("pages").alias("pages"), F.max("own").alias("own"),
+        F.max("highest").alias("highest"), (F.sum("x") / F.sum("w")).alias("importance"))
 
 
 def extract(
@@ -262,18 +297,17 @@ def extract(
         F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host_of(F.col(url_col)).alias("host"),
         F.col(html_col).cast("string").alias("html"))
     low = style_tree(source).filter((F.col("importance") < least) & (F.col("pages") >= min_pages))
+    # Text outside all elements has no branch.
+    low = low.select("host", F.when(
+        (F.col("highest") < least) & (F.col("path") != ""), F.concat("path", F.lit("/"))).when(F.col("own") < least, F.col("path")).alias("low"))
     # A host's branches to remove are at most its styles, of which min_pages pages have each one.
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low-importance")
+    low = written(low.groupBy("host").agg(F.collect_set("low").alias("low")), "low-importance")
     rows = source.join(low, "host", "left").select("__id", "__url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, gone in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
-                gone = tuple(gone or ())
-                texts.append("\n".join(
-                    text for path, text in main_blocks(page)
-                    if not any(path == g or path.startswith(f"{g}/") for g in gone)))
+            texts = ["\n".join(_held(page, frozenset(gone or ())))
+                     for page, gone in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__url", "text"])
 
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType())])

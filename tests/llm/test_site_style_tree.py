@@ -54,6 +54,29 @@ def test_repeated_rows_and_equal_articles(spark):
     assert [r["text"] for r in S.extract(pages).collect()] == ["Released under a license."] * 2
 
 
+def _texts(spark, html):
+    pages = spark.createDataFrame([(i, f"http://h.example.com/{i}", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in S.extract(pages).collect()}
+
+
+def test_copies_and_wrappers_keep_the_article(spark):
+    story = "<p>Story {0} has its text.</p><p>More of {0}.</p>"
+    want = "Story {0} has its text.\nMore of {0}."
+    # A mirrored page, and many copies of a few.
+    assert set(_texts(spark, [f"<body><div>{story.format(1)}</div></body>"] * 20).values()) == {want.format(1)}
+    got = _texts(spark, [f"<body><article>{story.format(i % 5)}</article></body>" for i in range(200)])
+    assert all(t == want.format(i % 5) for i, t in got.items())
+    # Copies of a marked article between other words.
+    got = _texts(spark, [f"<body><div>Menu {i}</div><main>{story.format(i % 12)}</main></body>" for i in range(240)])
+    assert all(t == want.format(i % 12) for i, t in got.items())
+    # Wrappers are the same on every page; the low branch beside the article goes, the article does not.
+    for tag in ("article", "section"):
+        deep = "<body><div><div><div><div><{1}><p>Only {0}</p></{1}><ul><li>About us</li><li>Contact</li></ul></div></div></div></div></body>"
+        assert _texts(spark, [deep.format(i, tag) for i in range(30)]) == {i: f"Only {i}" for i in range(30)}
+    # Text outside all elements that is on every page takes nothing with it.
+    assert _texts(spark, [f"Welcome<p>Only {i}</p>" for i in range(30)]) == {i: f"Only {i}" for i in range(30)}
+
+
 def test_query(spark):
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op1_site_style_tree"](spark, SF).collect():
