@@ -14,8 +14,10 @@ article of which most would go.
 
 Importance needs pages to compare, and menus of words differ from page to page like an article
 does. So two rules of presentation stand beside it: elements whose tag or class names a role that
-is not content (ROLES) have importance 0, and where a page marks its article (`article`, `main`)
-only that counts. A branch is judged from MIN_PAGES pages on; roles are judged on each page.
+is not content (ROLE_TAGS, ROLE_ARIA, ROLE_WORDS) have importance 0, and where a page marks its
+article (`article`, `main`) only that counts. A class or id names a role by a whole name, on block
+elements only, and not where it stands around the page's article: an element of role that holds
+the only article counts as a wrapper, and the article and the text outside of roles are kept. A branch is judged from MIN_PAGES pages on; roles are judged on each page.
 
 A block is a run of text that no block element's start or end interrupts. Character references
 are decoded, white space becomes one space, blocks are joined by a line feed.
@@ -38,6 +40,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,12 +65,14 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-ROLE_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
+ROLE_TAGS = frozenset("nav footer aside menu dialog fieldset search".split())
 ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription share sharing social breadcrumb "
     "breadcrumbs sidebar menu nav navbar navigation footer masthead comment comments reply replies respond disqus related "
     "recommended widget login signup pagination pager toolbar topbar skip".split())
+# Roles that hold articles of their own: other readers' or other pages'.
+LIST_WORDS = frozenset("comment comments reply replies respond disqus related recommended".split())
 ROLE_ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TAG = re.compile(
@@ -78,32 +83,58 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 def _role(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is no content by its tag, ARIA role or class."""
+    """Whether an element is no content by its tag or ARIA role."""
     if tag in ROLE_TAGS or attributes.get("role", "").lower() in ROLE_ARIA:
         return True
-    if tag == "header":
-        return not inside  # an article's own header holds its title
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    if not named.strip():
-        return False
-    words = set(re.split(r"[^a-z]+", named))
-    return bool(words & ROLE_WORDS) or ("header" in words and tag not in ("h1", "h2", "h3") and not inside)
+    return tag == "header" and not inside  # an article's own header holds its title
+
+
+@lru_cache(1 << 14)
+def _names(named: str) -> frozenset[str]:
+    """The role words of classes and ids: of a hyphenated name only if each part is one."""
+    found = [{part for part in re.split("[^a-z]+", name) if part} for name in named.lower().split()]
+    return frozenset().union(*[parts for parts in found if parts <= ROLE_WORDS or parts == {"header"}])
+
+
+def _named(tag: str, attributes: dict[str, str], inside: bool) -> frozenset[str]:
+    """The words by which an element is no content unless the page's article is in it."""
+    if tag == "form":
+        return frozenset([tag])
+    if tag not in BLOCKS or tag in ("html", "body", "main") or not ("class" in attributes or "id" in attributes):
+        return frozenset()
+    words = _names(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    if tag == "article":
+        return words & LIST_WORDS
+    return words - {"header"} if inside or tag in ("h1", "h2", "h3") else words
 
 
 class _Open:
-    __slots__ = ("tag", "path", "dead", "article", "children", "block")
+    __slots__ = ("tag", "path", "dead", "article", "children", "block", "roles", "around")
 
-    def __init__(self, tag, path, dead, article, block):
+    def __init__(self, tag, path, dead, article, block, roles, around):
         self.tag, self.path, self.dead, self.article, self.block = tag, path, dead, article, block
+        self.roles, self.around = roles, around  # numbers of named roles it is in; those its nearest article is in
         self.children: list[str] = []
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[str, ...]]]]:
-    """Blocks (path, text, path of the article around it or "") outside elements with a role, and
-    the inner nodes (path, styles of their children), in page order."""
-    stack = [_Open("", "", False, "", True)]
-    blocks: list[tuple[str, str, str]] = []
-    nodes: list[tuple[str, tuple[str, ...]]] = []
+def _wrappers(blocks: list[tuple], lists: set[int]) -> frozenset[int]:
+    """The named roles that hold the page's article: none if an article is outside of them; those
+    that hold articles of their own only if the page has no other text."""
+    articles = [around for _, _, article, roles, around in blocks if article and roles == around]
+    if not all(articles):
+        return frozenset()
+    held = frozenset().union(*[around for around in articles if not around & lists])
+    return held if held or any(not b[3] for b in blocks) else frozenset().union(*articles)
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str, tuple[str, ...]]]]:
+    """Blocks (path, text, path of the article around it or "", whether main text) outside elements
+    with a role, and the inner nodes (path, styles of their children), in page order."""
+    none: frozenset[int] = frozenset()
+    stack = [_Open("", "", False, "", True, none, none)]
+    blocks: list[tuple[str, str, str, frozenset[int], frozenset[int]]] = []
+    nodes: list[tuple[str, tuple[str, ...], frozenset[int]]] = []
+    n_roles, lists = 0, set()
     pieces: list[str] = []
 
     def flush() -> None:
@@ -112,7 +143,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text and not any(e.dead for e in stack):
-                blocks.append((top.path, text, top.article))
+                blocks.append((top.path, text, top.article, top.roles, top.around))
 
     def text(raw: str) -> None:
         if raw and not stack[-1].dead:
@@ -124,7 +155,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[
         while len(stack) > to:
             e = stack.pop()
             if e.children and e.block and not e.dead:
-                nodes.append((e.path, tuple(e.children)))
+                nodes.append((e.path, tuple(e.children), e.roles))
 
     at = 0
     while True:
@@ -171,6 +202,12 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[
         article = above.article
         role = _role(name, attributes, bool(article))
         dead = parent.dead or role or name in UNSEEN
+        roles, around = above.roles, above.around
+        if not dead and (words := _named(name, attributes, bool(article))):
+            roles |= {n_roles}
+            if words & LIST_WORDS:
+                lists.add(n_roles)
+            n_roles += 1
         if name in ("article", "main") and not role:
             # Neither may stand in a menu or footer: those were not closed.
             dead = any(e.dead and e.tag not in ("nav", "footer", "header") for e in stack)
@@ -183,10 +220,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[
                 above.children.append(label)
             path = f"{above.path}/{label}" if above.path.count("/") < DEPTH else above.path
             if name in ("article", "main"):
-                article = "" if dead else article or path
-            stack.append(_Open(name, path, dead, article, True))
+                article, around = ("", none) if dead else (article or path, roles)
+            stack.append(_Open(name, path, dead, article, True, roles, around))
         else:
-            stack.append(_Open(name, above.path, dead, article, False))
+            stack.append(_Open(name, above.path, dead, article, False, roles, around))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             stack.pop()
@@ -194,23 +231,27 @@ def parse(page: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, tuple[
     text(page[at:])
     flush()
     close(1)
-    return blocks, nodes
+    held = _wrappers(blocks, lists)
+    left = [b for b in blocks if b[3] <= held]
+    marked = any(article for _, _, article, _, _ in left)
+    return [(path, text, article, bool(article) or not marked or bool(held) and not roles)
+            for path, text, article, roles, _ in left], [(path, children) for path, children, roles in nodes if roles <= held]
 
 
-def _main(blocks: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """The blocks of the articles, where a page marks any."""
-    return [b for b in blocks if b[2]] or blocks
+def _main(page: str | None) -> list[tuple[str, str, str]]:
+    """(path, text, path of the article) of a page's blocks that no role rule removes."""
+    return [b[:3] for b in parse(page or "")[0] if b[3]]
 
 
 def main_blocks(page: str | None) -> list[tuple[str, str]]:
     """(path, text) of a page's blocks that no role rule removes."""
-    return [(path, text) for path, text, _ in _main(parse(page or "")[0])]
+    return [(path, text) for path, text, _ in _main(page)]
 
 
 def _held(page: str | None, gone: frozenset[str]) -> list[str]:
     """The texts of a page's main blocks without the host's low branches (`path/`) and the low own
     text of nodes (`path`)."""
-    blocks = _main(parse(page or "")[0])
+    blocks = _main(page)
     if not gone:
         return [text for _, text, _ in blocks]
 
@@ -236,10 +277,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             blocks, nodes = parse(page or "")
-            found = Counter((path, CONTENT, text) for path, text, _ in blocks)
+            found = Counter((path, CONTENT, text) for path, text, _, _ in blocks)
             found += Counter((path, STYLE, "|".join(children)) for path, children in nodes)
             found += Counter({(path, PAGES, ""): 1 for path, _, _ in found})
-            content = "\n".join(f"{path}\n{text}" for path, text, _ in _main(blocks)).encode("utf-8", "surrogatepass")
+            content = "\n".join(f"{path}\n{text}" for path, text, _, main in blocks if main).encode("utf-8", "surrogatepass")
             name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
             rows += [(host, name, path, kind, what, c) for (path, kind, what), c in found.items()]
         host, name, path, kind, what, c = zip(*rows) if rows else ((), (), (), (), (), ())

@@ -28,6 +28,26 @@ def test_blocks(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html class=nav><body class='has-sidebar menu'><p>x</p></body></html>", "x"),
+    ("<body class=has-sidebar><article><p>x</p></article></body>", "x"), ("<body class=menu-open><main>x</main>", "x"),
+    ("<div id=page class=no-sidebar><h1>t</h1><p>x</p></div>", "t\nx"), ("<article class='post comments-open'>x</article>", "x"),
+    ("<main class=sidebar id=menu><p>x</p></main>", "x"), ("<p class=share-price>up</p><p>x <span class=notice>y</span></p>", "up\nx y"),
+    # A role around the page's article is none; one beside or in it is.
+    ("<div class=sidebar><div class=ad>buy</div><article>x<div class=ad>buy</div></article></div>", "x"),
+    ("<div class=widget><p>top</p><main>x</main></div><div class=ad>buy</div><nav>n</nav>", "x"),
+    ("<main><div class=menu><article>x</article></div></main>", "x"), ("<main>x<div class=menu><article>m</article></div></main>", "x"),
+    ("<form><div>top</div><article>x<form>f</form></article></form>", "x"), ("<form>f</form><p>x</p>", "x"),
+    ("<div class=sidebar><article>teaser</article></div><article>x</article>", "x"),
+    ("<div class=sidebar><article>teaser</article></div><div>story</div>", "teaser\nstory"),
+    ("<div class=story>x</div><ol id=comments><li><article class=comment>c</article></ol>", "x"),
+    ("<article>x<ol id=comments><li><article>c</article></ol></article>", "x"), ("<article class=comment>c</article>", "c"),
+    ("<div class='ad-banner'>b</div><div class='x sidebar'>s</div><div id=comments>c</div><div class=header>h</div>x", "x"),
+])
+def test_roles_spare_the_article(page, want):
+    assert text(page) == want
+
+
 def _site(n, host="h.example.com"):
     return [(i, f"http://{host}/{i}", f"<body><div class=top>Welcome to the site</div><div class=story><p>Story {i} has its text {i * 7}."
              f"</p><p>More {i}.</p></div><div class=bottom>All rights reserved</div></body>") for i in range(n)]
