@@ -15,7 +15,9 @@ article of which most would go.
 Importance needs pages to compare, and menus of words differ from page to page like an article
 does. So two rules of presentation stand beside it: elements whose tag or class names a role that
 is not content (ROLE_TAGS, ROLE_ARIA, ROLE_WORDS) have importance 0, and where a page marks its
-article (`article`, `main`) only that counts. A class or id names a role by a whole name, on block
+article (`article`, `main`) that counts, with the headings right before it; text outside of it
+counts where its node was judged and has importance HIGH, or where one of its blocks is STORY
+characters long and longer than the article, which is a teaser then. A class or id names a role by a whole name, on block
 elements only, and not where it stands around the page's article: an element of role that holds
 the only article counts as a wrapper, and the article and the text outside of roles are kept. A branch is judged from MIN_PAGES pages on; roles are judged on each page.
 
@@ -51,6 +53,7 @@ from chainalerts.llm.common import table, written
 from chainalerts.llm.url_rules import host_of
 
 GAMMA, LEAST, MIN_PAGES, DEPTH = 0.9, 0.2, 10, 24
+HIGH, STORY = 0.5, 80
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -65,6 +68,7 @@ CLOSES = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLE_TAGS = frozenset("nav footer aside menu dialog fieldset search".split())
 ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
@@ -135,6 +139,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str,
     blocks: list[tuple[str, str, str, frozenset[int], frozenset[int]]] = []
     nodes: list[tuple[str, tuple[str, ...], frozenset[int]]] = []
     n_roles, lists = 0, set()
+    ahead: list[int] = []  # headings since the last other block or role
+    titles: set[int] = set()
     pieces: list[str] = []
 
     def flush() -> None:
@@ -143,6 +149,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str,
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text and not any(e.dead for e in stack):
+                if top.tag in HEADINGS:
+                    ahead.append(len(blocks))
+                else:
+                    ahead.clear()
                 blocks.append((top.path, text, top.article, top.roles, top.around))
 
     def text(raw: str) -> None:
@@ -208,10 +218,13 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str,
             if words & LIST_WORDS:
                 lists.add(n_roles)
             n_roles += 1
+        if role or roles != above.roles:
+            ahead.clear()
         if name in ("article", "main") and not role:
             # Neither may stand in a menu or footer: those were not closed.
             dead = any(e.dead and e.tag not in ("nav", "footer", "header") for e in stack)
             if not dead:
+                titles.update(ahead)
                 for e in stack:
                     e.dead = False
         if name in BLOCKS:
@@ -232,10 +245,11 @@ def parse(page: str) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str,
     flush()
     close(1)
     held = _wrappers(blocks, lists)
-    left = [b for b in blocks if b[3] <= held]
-    marked = any(article for _, _, article, _, _ in left)
-    return [(path, text, article, bool(article) or not marked or bool(held) and not roles)
-            for path, text, article, roles, _ in left], [(path, children) for path, children, roles in nodes if roles <= held]
+    left = [(*b, i in titles) for i, b in enumerate(blocks) if b[3] <= held]
+    n_article = sum(len(text) for _, text, article, *_ in left if article)
+    teaser = any(not article and len(text) >= max(STORY, n_article) for _, text, article, *_ in left)
+    return [(path, text, article, bool(article) or title or teaser or not n_article or bool(held) and not roles)
+            for path, text, article, roles, _, title in left], [(path, children) for path, children, roles in nodes if roles <= held]
 
 
 def _main(page: str | None) -> list[tuple[str, str, str]]:
@@ -248,10 +262,10 @@ def main_blocks(page: str | None) -> list[tuple[str, str]]:
     return [(path, text) for path, text, _ in _main(page)]
 
 
-def _held(page: str | None, gone: frozenset[str]) -> list[str]:
-    """The texts of a page's main blocks without the host's low branches (`path/`) and the low own
-    text of nodes (`path`)."""
-    blocks = _main(page)
+def _held(page: str | None, gone: frozenset[str], high: frozenset[str]) -> list[str]:
+    """The texts of a page's main blocks and of nodes of high importance, without the host's low
+    branches (`path/`) and the low own text of nodes (`path`)."""
+    blocks = [b[:3] for b in parse(page or "")[0] if b[3] or b[0] in high]
     if not gone:
         return [text for _, text, _ in blocks]
 
@@ -267,7 +281,7 @@ def _held(page: str | None, gone: frozenset[str]) -> list[str]:
     return [text for (_, text, _), k in zip(blocks, keep) if k]
 
 
-CONTENT, STYLE, PAGES = 0, 1, 2
+CONTENT, STYLE, PAGES, OUTSIDE = 0, 1, 2, 3
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +294,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Counter((path, CONTENT, text) for path, text, _, _ in blocks)
             found += Counter((path, STYLE, "|".join(children)) for path, children in nodes)
             found += Counter({(path, PAGES, ""): 1 for path, _, _ in found})
+            found += Counter({(path, OUTSIDE, ""): 1 for path, _, _, main in blocks if not main})
             content = "\n".join(f"{path}\n{text}" for path, text, _, main in blocks if main).encode("utf-8", "surrogatepass")
             name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
             rows += [(host, name, path, kind, what, c) for (path, kind, what), c in found.items()]
@@ -292,41 +307,51 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """Nodes (host, path) of all hosts with n (their number), pages of different content, importance,
-    own (the node's alone) and highest (of all nodes' own in the branch). `pages` has host and html."""
+    own (the node's alone), outer (that of text outside of articles, if any) and highest (of all
+    nodes' own in the branch). `pages` has host and html."""
     rows = pages.select("host", "html").mapInArrow(
         _features, "host string, page long, path string, kind int, what string, c long, l double")
     # Copies of a page are one; most meet in the map tasks.
     once = rows.select("host", "page", "path", "kind", F.xxhash64("what").alias("feature"), "c", "l").groupBy(
-        "host", "page", "path", "kind", "feature").agg(F.max("c").alias("c"), F.max("l").alias("l"))
-    each = once.groupBy("host", "path", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("l").alias("l"))
+        "host", "page", "path", "kind", "feature").agg(
+        F.max("c").alias("c"), F.max("l").alias("l"), F.count("*").alias("copies"))
+    each = once.groupBy("host", "path", "kind", "feature").agg(
+        F.sum("c").alias("c"), F.sum("l").alias("l"), F.sum("copies").alias("copies"), F.count("*").alias("once"))
     # Entropy over pages of one content feature; of a node's styles it is that over styles.
     nodes = each.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == PAGES, F.col("c"))).alias("pages"),
         F.count(F.when(F.col("kind") == CONTENT, 1)).alias("features"),
         F.sum(F.when(F.col("kind") == CONTENT, F.log("c") - F.col("l") / F.col("c"))).alias("entropy"),
         F.sum(F.when(F.col("kind") == CONTENT, F.col("c"))).alias("n_content"),
+        F.count(F.when(F.col("kind") == OUTSIDE, 1)).alias("outside"),
+        F.sum(F.when(F.col("kind") == PAGES, F.col("copies"))).alias("copies"),
+        F.sum(F.when(F.col("kind") == CONTENT, F.col("copies"))).alias("content_copies"),
+        F.sum(F.when(F.col("kind") == CONTENT, F.col("once"))).alias("content_once"),
         F.sum(F.when(F.col("kind") == STYLE, F.col("c"))).alias("n_style"),
         F.sum(F.when(F.col("kind") == STYLE, F.col("c") * F.log("c"))).alias("style_l"),
     )
     scale = F.log(F.greatest("pages", F.lit(2)).cast("double"))
     content = F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.col("entropy") / F.col("features") / scale)
     style = F.when(F.col("pages") <= 1, 1.0).otherwise((F.log("n_style") - F.col("style_l") / F.col("n_style")) / scale)
+    # Texts of a page beside those of one of its copies: text that changes around the same article
+    # is not its.
+    steady = F.col("content_copies") / F.col("copies") / (F.col("content_once") / F.col("pages"))
     own = nodes.select(
-        "host", "path", F.col("pages").alias("pages"),
+        "host", "path", F.when(F.col("outside") > 0, content * F.least(steady, F.lit(1.0))).alias("outer"), F.col("pages").alias("pages"),
         F.coalesce("n_content", "n_style").alias("n"), F.coalesce(content, style, F.lit(1.0)).alias("own"))
     # Every node gives its share to itself and to the nodes above it.
     depth = F.size(F.split("path", "/"))
     shares = own.select(
-        "host", "path", "n", "own", "pages", F.explode(F.sequence(F.lit(2), depth)).alias("d"))
+        "host", "path", "n", "own", "outer", "pages", F.explode(F.sequence(F.lit(2), depth)).alias("d"))
     above = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("d")), "/")
     weight = F.col("n") * F.pow(F.lit(GAMMA), depth - F.col("d"))
     return shares.select(
         "host", above.alias("path"), weight.alias("w"), (weight * F.col("own")).alias("x"), F.col("own").alias("highest"),
-        F.when(depth == F.col("d"), F.col("own")).alias("own"),
+        F.when(depth == F.col("d"), F.col("own")).alias("own"), F.when(depth == F.col("d"), F.col("outer")).alias("outer"),
         F.when(depth == F.col("d"), F.col("pages")).alias("pages"), F.when(depth == F.col("d"), F.col("n")).alias("n"),
     ).groupBy("host", "path").agg(
         F.max("n").alias("n"), F.max("pages").alias("pages"), F.max("own").alias("own"),
-        F.max("highest").alias("highest"), (F.sum("x") / F.sum("w")).alias("importance"))
+        F.max("outer").alias("outer"), F.max("highest").alias("highest"), (F.sum("x") / F.sum("w")).alias("importance"))
 
 
 def extract(
@@ -337,18 +362,20 @@ def extract(
     source = pages.select(
         F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host_of(F.col(url_col)).alias("host"),
         F.col(html_col).cast("string").alias("html"))
-    low = style_tree(source).filter((F.col("importance") < least) & (F.col("pages") >= min_pages))
     # Text outside all elements has no branch.
-    low = low.select("host", F.when(
-        (F.col("highest") < least) & (F.col("path") != ""), F.concat("path", F.lit("/"))).when(F.col("own") < least, F.col("path")).alias("low"))
-    # A host's branches to remove are at most its styles, of which min_pages pages have each one.
-    low = written(low.groupBy("host").agg(F.collect_set("low").alias("low")), "low-importance")
-    rows = source.join(low, "host", "left").select("__id", "__url", "html", "low")
+    low = F.when(F.col("importance") < least, F.when(
+        (F.col("highest") < least) & (F.col("path") != ""), F.concat("path", F.lit("/"))).when(F.col("own") < least, F.col("path")))
+    high = F.when(F.col("outer") >= HIGH, F.col("path"))
+    judged = style_tree(source).filter(F.col("pages") >= min_pages).select("host", low.alias("low"), high.alias("high"))
+    # A host's branches to remove or to add are at most its styles, of which min_pages pages have each one.
+    judged = judged.filter(F.col("low").isNotNull() | F.col("high").isNotNull()).groupBy("host").agg(
+        F.collect_set("low").alias("low"), F.collect_set("high").alias("high"))
+    rows = source.join(written(judged, "importance"), "host", "left").select("__id", "__url", "html", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["\n".join(_held(page, frozenset(gone or ())))
-                     for page, gone in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+            texts = ["\n".join(_held(page, frozenset(gone or ()), frozenset(more or ()))) for page, gone, more in zip(
+                *[batch.column(c).to_pylist() for c in ("html", "low", "high")])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__url", "text"])
 
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("text", T.StringType())])

@@ -97,6 +97,21 @@ def test_copies_and_wrappers_keep_the_article(spark):
     assert _texts(spark, [f"Welcome<p>Only {i}</p>" for i in range(30)]) == {i: f"Only {i}" for i in range(30)}
 
 
+def test_text_outside_of_the_article(spark):
+    long = "The story of the page, told at length in a block of its own that is more than any teaser of it."
+    assert text("<h1>t</h1><h2>u</h2><article>x</article><h2>v</h2><p>out</p>") == "t\nu\nx"
+    assert text("<h1>site</h1><nav>n</nav><article>x</article>") == "x"
+    assert text(f"<article>teaser</article><div>{long}</div>") == f"teaser\n{long}"
+    assert text(f"<article>{long} {long}</article><div>{long}</div>") == f"{long} {long}"
+    page = ("<body><div class=top>Welcome</div><h1>Title {0}</h1><article><p>Story {0} in some words.</p></article>"
+            "<div class=more>More {0}.</div><div class=bottom>All rights reserved</div></body>")
+    want = "Title {0}\nStory {0} in some words.\nMore {0}."
+    assert _texts(spark, [page.format(i) for i in range(30)]) == {i: want.format(i) for i in range(30)}
+    # The site's own heading is on every page.
+    page = "<body><h1>The site</h1><article>Story {0}.</article></body>"
+    assert _texts(spark, [page.format(i) for i in range(30)]) == {i: f"Story {i}." for i in range(30)}
+
+
 def test_query(spark):
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op1_site_style_tree"](spark, SF).collect():
