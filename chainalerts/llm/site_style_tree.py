@@ -19,7 +19,9 @@ article (`article`, `main`) that counts, with the headings right before it; text
 counts where its node was judged and has importance HIGH, or where one of its blocks is STORY
 characters long and longer than the article, which is a teaser then. A class or id names a role by a whole name, on block
 elements only, and not where it stands around the page's article: an element of role that holds
-the only article counts as a wrapper, and the article and the text outside of roles are kept. A branch is judged from MIN_PAGES pages on; roles are judged on each page.
+the only article counts as a wrapper, and the article and the text outside of roles are kept. A node's importance is shrunk towards 1 by PRIOR pages on which all is content, so few pages
+remove little: what is on every page goes from five pages on. Text outside of an article is added
+from MIN_PAGES pages on. Roles are judged on each page.
 
 A block is a run of text that no block element's start or end interrupts. Character references
 are decoded, white space becomes one space, blocks are joined by a line feed.
@@ -54,6 +56,7 @@ from chainalerts.llm.url_rules import host_of
 
 GAMMA, LEAST, MIN_PAGES, DEPTH = 0.9, 0.2, 10, 24
 HIGH, STORY = 0.5, 80
+PRIOR = 1.1  # pages; not a whole number, so that no number of pages gives just LEAST
 # Elements of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -338,7 +341,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     steady = F.col("content_copies") / F.col("copies") / (F.col("content_once") / F.col("pages"))
     own = nodes.select(
         "host", "path", F.when(F.col("outside") > 0, content * F.least(steady, F.lit(1.0))).alias("outer"), F.col("pages").alias("pages"),
-        F.coalesce("n_content", "n_style").alias("n"), F.coalesce(content, style, F.lit(1.0)).alias("own"))
+        F.coalesce("n_content", "n_style").alias("n"),
+        ((F.coalesce(content, style, F.lit(1.0)) * F.col("pages") + PRIOR) / (F.col("pages") + PRIOR)).alias("own"))
     # Every node gives its share to itself and to the nodes above it.
     depth = F.size(F.split("path", "/"))
     shares = own.select(
@@ -365,9 +369,9 @@ def extract(
     # Text outside all elements has no branch.
     low = F.when(F.col("importance") < least, F.when(
         (F.col("highest") < least) & (F.col("path") != ""), F.concat("path", F.lit("/"))).when(F.col("own") < least, F.col("path")))
-    high = F.when(F.col("outer") >= HIGH, F.col("path"))
-    judged = style_tree(source).filter(F.col("pages") >= min_pages).select("host", low.alias("low"), high.alias("high"))
-    # A host's branches to remove or to add are at most its styles, of which min_pages pages have each one.
+    high = F.when((F.col("outer") >= HIGH) & (F.col("pages") >= min_pages), F.col("path"))
+    judged = style_tree(source).select("host", low.alias("low"), high.alias("high"))
+    # A host's branches to remove or to add are at most its styles, of which several pages have each one.
     judged = judged.filter(F.col("low").isNotNull() | F.col("high").isNotNull()).groupBy("host").agg(
         F.collect_set("low").alias("low"), F.collect_set("high").alias("high"))
     rows = source.join(written(judged, "importance"), "host", "left").select("__id", "__url", "html", "low", "high")

@@ -97,6 +97,18 @@ def test_copies_and_wrappers_keep_the_article(spark):
     assert _texts(spark, [f"Welcome<p>Only {i}</p>" for i in range(30)]) == {i: f"Only {i}" for i in range(30)}
 
 
+def test_few_pages_remove_what_all_of_them_have(spark):
+    story = "Story {0} has its text {1}.\nMore {0}."
+    for n in (2, 4, 5, 9):
+        rest = story if n > 4 else f"Welcome to the site\n{story}\nAll rights reserved"
+        assert _texts(spark, [r[2] for r in _site(n)]) == {i: rest.format(i, i * 7) for i in range(n)}
+    # A template of three pages stays in a branch whose other pages are all alike.
+    page = "<body><div><p>Welcome to {}</p></div></body>"
+    got = _texts(spark, [page.format("the site") + "<i>{}</i>".format(i) for i in range(30)] + [
+        "<body><div><ul><li>Terms</li></ul><p>Welcome to the site</p></div></body>" + f"<i>x{i}</i>" for i in range(3)])
+    assert [got[i] for i in (0, 30)] == ["0", "Terms\nx0"]
+
+
 def test_text_outside_of_the_article(spark):
     long = "The story of the page, told at length in a block of its own that is more than any teaser of it."
     assert text("<h1>t</h1><h2>u</h2><article>x</article><h2>v</h2><p>out</p>") == "t\nu\nx"
