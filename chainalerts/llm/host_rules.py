@@ -15,7 +15,11 @@ below its own limit, else it joins by shuffle and splits a hot host.
 
 Defined cases: null or empty text has no words and fails; a null host has no verdict; hosts are
 compared as they are; repeated rows count each. With no host, or hosts whose rates do not differ
-more than their counts explain, the prior is as strong as `most_prior` documents. Input columns
+more than their counts explain, the prior is as strong as `most_prior` documents. Where the mean over
+all documents reaches `reject_rate` and the hosts are alike, `host_verdicts` rejects each of them,
+good documents included, as op6's SQL does; `accepted` (the pipeline) takes a host only where its
+rate is also more than ABOVE standard errors above the mean, so that such a corpus keeps its good
+documents. Input columns
 with other names are kept by `accepted` and ignored by `measures`.
 """
 
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from chainalerts.llm.common import fenced, table, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+ABOVE = 3.0
 SPACES = " \t\n\x0b\f\r"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -94,9 +99,11 @@ def measures(documents: DataFrame, keep: list[str], text_col: str = "text") -> D
 
 
 def host_verdicts(
-    measured: DataFrame, host_col: str, reject_rate: float = 0.9, most_prior: float = 1000.0
+    measured: DataFrame, host_col: str, reject_rate: float = 0.9, most_prior: float = 1000.0,
+    above: float | None = None,
 ) -> DataFrame:
-    """One row per host: n_docs, n_failed, shrunk_rate and host_rejected.
+    """One row per host: n_docs, n_failed, shrunk_rate and host_rejected. With `above`, a host is
+    rejected only if its own rate is also more than so many standard errors above the mean.
 
     The beta prior has the mean of all documents; its strength a + b follows from how much more
     the hosts' rates vary than binomial counts would (at least 1, at most most_prior)."""
@@ -116,8 +123,12 @@ def host_verdicts(
     prior = total.select(mean.alias("mean"), F.coalesce(strength, F.lit(most_prior)).alias("strength"))
     # One row: a scalar subquery in other words, not a join of rows with rows.
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
+    rejected = shrunk >= reject_rate
+    if above is not None:
+        error = F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n_docs"))
+        rejected &= F.col("n_failed") / F.col("n_docs") - F.col("mean") > above * error
     return hosts.join(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk >= reject_rate).alias("host_rejected"))
+        "host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), rejected.alias("host_rejected"))
 
 
 def judged(measured: DataFrame, host_col: str, **options) -> DataFrame:
@@ -134,7 +145,9 @@ def op6_host_quality(spark, sf_dir: str) -> DataFrame:
     return judged(measured, "source").drop("source")
 
 
-def accepted(documents: DataFrame, text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+def accepted(
+    documents: DataFrame, text_col: str = "text", host_col: str = "source", above: float | None = ABOVE, **options
+) -> DataFrame:
     """The documents that the rules keep, with their own columns. The measures are taken once, of
     rows named by 128 bits of hashes of all their columns; the texts move once, to meet those
     that are rejected."""
@@ -143,7 +156,7 @@ def accepted(documents: DataFrame, text_col: str = "text", host_col: str = "sour
     key = {"__r1": F.xxhash64(*every), "__r2": F.xxhash64(F.lit(1), *every)}
     narrow = documents.select(*[c.alias(k) for k, c in key.items()], F.col(text_col).alias("__body"), F.col(host_col).alias("__of"))
     narrow = measures(narrow, [*key, "__of"], "__body").select(*key, "__of", "base_failed")
-    lost = judged(narrow, "__of", **options).filter(~F.col("kept")).select(*key).distinct()
+    lost = judged(narrow, "__of", above=above, **options).filter(~F.col("kept")).select(*key).distinct()
     # One way at any size, so the plan grows evenly.
     return documents.withColumns(key).join(lost.hint("merge"), [*key], "left_anti").select(*names)
 

@@ -53,6 +53,18 @@ def test_shrinkage_and_verdicts(make_documents):
     assert judged.filter("kept").count() == 294
 
 
+def test_alike_hosts_keep_their_good_documents(make_documents):
+    alike = [(f"host{i}", 1, 19) for i in range(10)]
+    documents = _hosts(make_documents, alike)
+    assert H.accepted(documents).count() == 10
+    # The query's own rule takes them all, as its SQL says.
+    assert H.judged(H.measures(documents, ["doc_id", "source"]), "source").filter("kept").count() == 0
+    # A host that is clearly worse than such a corpus still goes.
+    documents = _hosts(make_documents, [*[(f"host{i}", 15, 85) for i in range(10)], ("farm", 1, 399)])
+    by = {r["source"] for r in H.accepted(documents).select("source").distinct().collect()}
+    assert by == {f"host{i}" for i in range(10)}
+
+
 def test_empty_and_native(make_documents):
     empty = make_documents([])
     assert H.accepted(empty).count() == 0
