@@ -13,7 +13,9 @@ per document; documents are never collected, shuffled with their text or compare
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. They are compared by 64-bit hash.
 Defined cases: null or empty text has no words and is clean; an item without words is no phrase;
-equal phrases count for each of their items; repeated documents are judged alike; an empty
+equal phrases count for each of their items; an item without an id but with a text is left out by
+`contamination` unless `unnamed`, as the query and the pipeline ask: then its windows are hits that
+add no item; repeated documents are judged alike; an empty
 benchmark leaves every document clean. Other input columns are ignored.
 """
 
@@ -47,7 +49,7 @@ def words_of(data: np.ndarray, ends: np.ndarray):
 class Phrases:
     """Distinct phrases of a block of items, as rows of word numbers, right-aligned."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         column = pa.array([text for _, text in items], pa.string())
         hashes, _, _, firsts = words_of(*text_bytes(column)) if items else (np.zeros(0, np.uint64),) * 4
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
@@ -64,7 +66,7 @@ class Phrases:
         pairs = np.unique(np.stack([which.ravel(), np.array(owners, np.int64)], 1), axis=0) if len(rows) else np.zeros((0, 2), int)
         self.first_owner = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
         self.owners = pairs[:, 1]
-        self.names = [str(name) for name, _ in items]
+        self.names = [name for name, _ in items]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
@@ -209,7 +211,8 @@ def _hits(part: pa.RecordBatch, phrases: Phrases):
     np.add.at(change, first + phrases.lengths[found], -1)
     hit = np.cumsum(change[:-1]) > 0
     for row, phrase in np.unique(np.stack([document, found], 1), axis=0).tolist():
-        items[row] += [phrases.names[o] for o in phrases.owners[phrases.first_owner[phrase]:phrases.first_owner[phrase + 1]]]
+        items[row] += [phrases.names[o] for o in phrases.owners[phrases.first_owner[phrase]:phrases.first_owner[phrase + 1]]
+                       if phrases.names[o] is not None]
     for row in np.unique(document).tolist():
         items[row] = sorted(set(items[row]))
         mine = hit[firsts[row]:firsts[row + 1]].astype(np.int8)
@@ -238,16 +241,18 @@ def _merged(hits: list[dict]) -> list[dict]:
 def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",),
     text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    unnamed: bool = False,
 ) -> DataFrame:
     """The columns `keep` and n_words, n_hit (long), `spans` to remove (first and last + 1 word,
-    start and end in code points) and `items` found (sorted) of every document."""
+    start and end in code points) and `items` found (sorted) of every document. With `unnamed`,
+    texts without an item id count as hits too."""
     spark, kept = documents.sparkSession, [f"__k{i}" for i in range(len(keep))]
     text = F.col(text_col).cast("string")
     source = documents.select(
         *[F.col(c).alias(k) for c, k in zip(keep, kept)], text.alias("__text"),
         F.xxhash64(text).alias("__r1"), F.xxhash64(F.lit(1), text).alias("__r2"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
-    items = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = items.filter((F.col("item").isNotNull() | F.lit(unnamed)) & F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + size // block_bytes
     names = [*kept, "__r1", "__r2", "n_words", "spans", "items"]
@@ -296,7 +301,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **
     names = documents.columns
     own = {f"__d{i}": F.col(name) for i, name in enumerate(names)}
     rows = documents.select(*[c.alias(k) for k, c in own.items()], F.col(text_col).alias("__body"))
-    found = contamination(rows, benchmark, keep=tuple(own), text_col="__body", **options)
+    found = contamination(rows, benchmark, keep=tuple(own), text_col="__body", **{"unnamed": True, **options})
     found = found.filter(~contaminated(F.col("n_words"), F.col("n_hit")))
     return found.select(*[F.col(k).alias(name) for k, name in zip(own, names)])
 
@@ -306,7 +311,7 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 
 
 def op5_fm_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),

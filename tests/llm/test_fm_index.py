@@ -92,3 +92,19 @@ def test_clean(spark, make_documents):
     assert kept.columns == documents.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     assert M.clean(make_documents([]), items).count() == 0
     assert M.clean(documents, items.filter("false")).count() == 3
+
+
+def test_items_without_an_id_hit(spark, make_documents):
+    items = spark.createDataFrame([(None, "one two three four"), ("a", "four five"), (None, None)], "item_id string, text string")
+    documents = make_documents([(1, "one two three four"), (2, "x one two three four five"), (3, "x")])
+    for block in (1 << 20, 10):
+        got = M.contamination(documents, items, 3, block_bytes=block, unnamed=True)
+        assert plain(got) == [("1", 4, 4, ""), ("2", 6, 5, "a"), ("3", 1, 0, "")]
+    assert [r["doc_id"] for r in M.clean(documents, items).collect()] == [3]
+
+
+def test_query_counts_items_without_an_id(spark, make_documents, tmp_path):
+    make_documents([(1, "one two three four")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "one two three four")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = QUERIES["op5_fm_decontamination"](spark, str(tmp_path)).first()
+    assert (row["n_hit"], row["n_items"], row["contaminated"]) == (4, 0, True)
