@@ -7,7 +7,7 @@ rank in constant time. All phrases are searched backward at once, a word a step;
 located by walking LF to the nearest sampled suffix position; hit words merge into spans.
 
 Phrases are the `window` consecutive words of each item; a shorter item is one phrase. They are a
-stated query set: the driver holds a block of them (BLOCK_BYTES of text, by item hash) and sends
+stated query set: the driver holds a block of them (BLOCK_BYTES of text, by hash of item and text) and sends
 it with the tasks. More blocks mean more passes over the documents, whose hits are then merged
 per document; documents are never collected, shuffled with their text or compared in pairs.
 
@@ -238,6 +238,11 @@ def _merged(hits: list[dict]) -> list[dict]:
     return out
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a benchmark row: by item and text, so that an id that repeats is spread."""
+    return F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",),
     text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
@@ -262,7 +267,7 @@ def contamination(
         T.StructField("items", T.ArrayType(T.StringType()))])
 
     def one_pass(block: int) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
+        rows = items.filter(block_of(blocks) == block).collect()
         sent = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in rows], window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,3 +108,13 @@ def test_query_counts_items_without_an_id(spark, make_documents, tmp_path):
     spark.createDataFrame([(None, "one two three four")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     row = QUERIES["op5_fm_decontamination"](spark, str(tmp_path)).first()
     assert (row["n_hit"], row["n_items"], row["contaminated"]) == (4, 0, True)
+
+
+def test_a_repeated_id_is_spread_over_blocks(spark, make_documents):
+    rows = [("a", f"one{i} two{i} three{i}") for i in range(400)]
+    items = spark.createDataFrame(rows, "item string, text string")
+    sizes = [r["count"] for r in items.groupBy(M.block_of(8)).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 100
+    documents = make_documents([(1, "one1 two1 three1 x one2 two2 three2"), (2, "x")])
+    got = M.contamination(documents, items, 3, item_col="item", block_bytes=2000)
+    assert plain(got) == [("1", 7, 6, "a"), ("2", 1, 0, "")]
