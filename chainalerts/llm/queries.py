@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from chainalerts.llm import (
-    circulant_minhash, fm_index, host_rules, language_crf, line_runs, packing, prefix_free, secrets,
-    site_style_tree, url_rules,
+    circulant_minhash, filter_audit, fm_index, host_rules, language_crf, line_runs, packing,
+    prefix_free, secrets, site_style_tree, url_rules,
 )
 
 QUERIES = {
@@ -18,9 +18,11 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_circulant_minhash": circulant_minhash.op9_circulant_minhash,
     "op10_url_rules": url_rules.op10_url_rules,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op2_line_runs": line_runs.ORACLE,
     "op6_host_quality": host_rules.ORACLE,
     "op10_url_rules": url_rules.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
