@@ -14,7 +14,8 @@ partitioning), so each left-anti join moves the few columns of one failing table
 shuffled. Ids are row numbers of the written table, so no key is hot; counts are summed in the
 tasks before they move, to one row per part and set. Copies are found by a 256-bit hash of the
 text, grouped with a minimum that is pre-aggregated and joined back as a table, whose hot keys
-Spark can split.
+Spark can split. Nothing is broadcast: these tables grow with the documents, and compress so well
+that the size of their files says little.
 
 Defined cases: null text is empty; a null or empty part is ''; repeated rows are documents each; a
 null id is no copy of a smaller one and has no labels, rows of equal text and equal id are no
@@ -73,7 +74,8 @@ def judged(
     said = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(
         *[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c) for c in ("quality", "toxic")])
     said = written(said.filter("quality OR toxic"), "audit-labels")
-    rows = rows.join(copies, F.col("hash") == F.col("of"), "left").join(said, F.col("id") == F.col("labelled"), "left")
+    rows = rows.join(copies.hint("merge"), F.col("hash") == F.col("of"), "left")
+    rows = rows.join(said.hint("merge"), F.col("id") == F.col("labelled"), "left")
     copy = F.when(F.col("id") > F.col("least"), F.array(F.lit("E"))).otherwise(F.array().cast("array<string>"))
     return written(rows.select(
         "rid", "part", F.coalesce("quality", F.lit(False)).alias("good"),
@@ -108,7 +110,8 @@ class FailingIds:
         for name in self.filters:
             both = F.when(F.col("filter") == name, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
             left = left.select("*", F.explode(both).alias("taken"))
-            left = left.join(self.of(name), (F.col("rid") == F.col("failing")) & F.col("taken"), "left_anti")
+            left = left.join(
+                self.of(name).hint("merge"), (F.col("rid") == F.col("failing")) & F.col("taken"), "left_anti")
             left = left.withColumn("prefix", F.when(F.col("taken"), F.concat("prefix", F.lit(name))).otherwise(
                 F.col("prefix"))).drop("taken")
         return left
@@ -121,7 +124,8 @@ class FailingIds:
         own = own.filter(~F.col("prefix").contains(F.col("filter")))
         other = self.all().select(F.col("rid").alias("failing"), F.col("filter").alias("earlier"))
         return own.join(
-            other, (F.col("rid") == F.col("failing")) & F.col("prefix").contains(F.col("earlier")), "left_semi")
+            other.hint("merge"), (F.col("rid") == F.col("failing")) & F.col("prefix").contains(F.col("earlier")),
+            "left_semi")
 
     def cells(self) -> DataFrame:
         """(part, filter, prefix) with n, good, toxic (of survivors) and redundant."""
