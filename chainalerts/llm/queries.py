@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chainalerts.llm import (
     circulant_minhash, filter_audit, fm_index, host_rules, language_crf, line_runs, packing,
-    prefix_free, secrets, site_style_tree, url_rules,
+    prefix_free, secrets, site_style_tree, url_rules, vector_codes,
 )
 
 QUERIES = {
@@ -19,10 +19,12 @@ QUERIES = {
     "op9_circulant_minhash": circulant_minhash.op9_circulant_minhash,
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 ORACLES = {
     "op2_line_runs": line_runs.ORACLE,
     "op6_host_quality": host_rules.ORACLE,
     "op10_url_rules": url_rules.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
