@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chainalerts.llm import (
     circulant_minhash, filter_audit, fm_index, host_rules, language_crf, line_runs, packing,
-    prefix_free, secrets, site_style_tree, url_rules, vector_codes,
+    pairwise_quality, prefix_free, secrets, site_style_tree, url_rules, vector_codes,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_pairwise_quality": pairwise_quality.op13_pairwise_quality,
 }
 ORACLES = {
     "op2_line_runs": line_runs.ORACLE,
