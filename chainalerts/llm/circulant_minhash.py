@@ -39,7 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import LOWER, SPACE, chunks, mix, shingles, span_hashes, table, text_bytes, word_spans, written
+from chainalerts.llm.common import (
+    LOWER, SPACE, chunks, mix, row_key, shingles, span_hashes, table, text_bytes, word_spans, written,
+)
 from chainalerts.llm.components import components
 
 POINTS, ROWS, MISS, BLOCK = 1 << 20, 6, 1e-6, 256
@@ -196,9 +198,10 @@ def _block_links(size: int, percent: int):
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row's key (r1, r2: id and text) and its text's (t1, t2)."""
-    one, text, id_ = F.lit(1), F.col(text_col), F.col(id_col)
+    one, text = F.lit(1), F.col(text_col)
+    r1, r2 = row_key(id_col, text_col)
     return documents.select(
-        id_.alias("__id"), F.xxhash64(id_, text).alias("__r1"), F.xxhash64(one, text, id_).alias("__r2"),
+        F.col(id_col).alias("__id"), r1.alias("__r1"), r2.alias("__r2"),
         F.xxhash64(text).alias("__t1"), F.xxhash64(one, text).alias("__t2"), text.alias("__body"))
 
 
@@ -276,8 +279,7 @@ def deduplicated(
     again = again.select("*", F.lit(False).alias("__lost"))
     marks = lost.unionAll(again).groupBy("__r1", "__r2").agg(F.max("__lost").alias("__lost"))
     marks = written(marks, "marks").withColumnsRenamed({"__r1": "__m1", "__r2": "__m2"})
-    id_, text = F.col(id_col), F.col(text_col)
-    keyed = documents.withColumns({"__r1": F.xxhash64(id_, text), "__r2": F.xxhash64(F.lit(1), text, id_)})
+    keyed = documents.withColumns(dict(zip(("__r1", "__r2"), row_key(id_col, text_col))))
     # One way at any size: the texts move once, to meet their marks.
     marked = keyed.join(marks.hint("merge"), (F.col("__r1") == F.col("__m1")) & (F.col("__r2") == F.col("__m2")), "left")
     kept = marked.filter(F.col("__lost").isNull()).drop("__r1", "__r2", "__m1", "__m2", "__lost")

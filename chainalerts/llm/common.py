@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20  # text that a task holds as arrays at a time; one longer document is alone
 
@@ -19,10 +21,8 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_rng = np.random.default_rng(20240101)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+LONG_SPAN = 64  # bytes; longer spans are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,19 +78,26 @@ def word_spans(data: np.ndarray, ends: np.ndarray, inside: np.ndarray):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one rolling prefix sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    power = np.empty(n, np.uint64)
-    power[0], power[1:] = 1, _BASE
-    np.cumprod(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power, out=total[1:])
-    power[0], power[1:] = 1, _INVERSE
-    np.cumprod(power, out=power)
-    raw = (total[stops] - total[starts]) * power[starts]
-    return mix(raw ^ mix((stops - starts).astype(np.uint64)))
+    """64-bit hashes of byte spans: eight bytes at a time, each mixed into what the earlier ones
+    gave. A step is a bijection, so spans of up to eight bytes and equal length never meet, and no
+    sum or product of bytes makes longer ones meet. The few long spans go one by one."""
+    size = stops - starts
+    result = mix(size.astype(np.uint64) + _BASE)
+    short = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))  # from every byte on
+    at, left, value = starts[short], size[short], result[short]
+    while len(short):
+        last = left < 8
+        taken = eight[at]
+        taken[last] &= (np.uint64(1) << (left[last] * 8).astype(np.uint64)) - np.uint64(1)
+        value = mix((value ^ taken) * _BASE)
+        result[short] = value
+        more = left > 8
+        short, at, left, value = short[more], at[more] + 8, left[more] - 8, value[more]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        result[i] = xxhash.xxh3_64_intdigest(data[starts[i]:stops[i]].tobytes(), LONG_SPAN)
+    return result
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +117,21 @@ def shingles(words: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarr
     return result, out
 
 
+def row_key(*columns: Column | str, of: DataFrame | None = None) -> tuple[Column, Column]:
+    """128 bits that name a row by these columns. Hashes of Spark pass over nulls, so each column
+    goes with a mark of being null. Columns of `of` that are no plain values (maps are not
+    hashable, and nulls within arrays would be passed over) go as JSON."""
+    parts: list[Column] = []
+    for column in columns:
+        value = F.col(column) if isinstance(column, str) else column
+        if of is not None and isinstance(column, str):
+            kind = of.schema[column].dataType
+            if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+                value = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+        parts += [value.isNull(), value]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

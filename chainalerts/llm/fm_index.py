@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import LOWER, chunks, span_hashes, table, text_bytes, word_spans
+from chainalerts.llm.common import LOWER, chunks, row_key, span_hashes, table, text_bytes, word_spans, written
 
 WINDOW, SAMPLE, BLOCK_BYTES = 13, 16, 16 << 20
 HIT = ("first", "last", "start", "end")
@@ -280,35 +280,39 @@ def contamination(
 
         return source.mapInArrow(run, schema)
 
-    if blocks == 1:
-        result = one_pass(0)
-    else:
-        every = reduce(DataFrame.unionAll, [one_pass(b) for b in range(blocks)])
-        merged = every.groupBy(*kept, "__r1", "__r2").agg(
-            F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.expr(f"count(*) div {blocks}").cast("int").alias("__copies"))
-        # Equal rows came as one group: as many go out.
-        merged = merged.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                spans = [_merged(x) for x in batch.column("spans").to_pylist()]
-                yield batch.set_column(names.index("spans"), "spans", pa.array(spans, ARROW_HITS))
-
-        result = merged.mapInArrow(join, schema)
+    # One plan for any number of blocks. Equal rows become one with their number, in the tasks
+    # already; then a row has at most one line per block to merge, and goes out as often as it came.
+    each = [one_pass(b).withColumn("__block", F.lit(b)) for b in range(blocks)]
+    rows = [*kept, "__r1", "__r2"]
+    every = reduce(DataFrame.unionAll, each).groupBy(*rows, "__block").agg(
+        F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"),
+        F.count("*").alias("__copies"))
+    merged = every.groupBy(*rows).agg(
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.first("__copies").cast("int").alias("__copies"))
+    merged = merged.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merged(x) for x in batch.column("spans").to_pylist()]
+            yield batch.set_column(names.index("spans"), "spans", pa.array(spans, ARROW_HITS))
+
+    result = merged.mapInArrow(join, schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return result.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that the contamination rule leaves, as they are."""
+    """The documents that the contamination rule leaves, as they are. Rows are judged under the
+    128 bits that name them; their columns move only to lose the contaminated ones, and not at all
+    where those are so few that Spark broadcasts their table."""
     names = documents.columns
-    own = {f"__d{i}": F.col(name) for i, name in enumerate(names)}
-    rows = documents.select(*[c.alias(k) for k, c in own.items()], F.col(text_col).alias("__body"))
-    found = contamination(rows, benchmark, keep=tuple(own), text_col="__body", **{"unnamed": True, **options})
-    found = found.filter(~contaminated(F.col("n_words"), F.col("n_hit")))
-    return found.select(*[F.col(k).alias(name) for k, name in zip(own, names)])
+    key = dict(zip(("__d1", "__d2"), row_key(*names, of=documents)))
+    rows = documents.select(*[c.alias(k) for k, c in key.items()], F.col(text_col).alias("__body"))
+    found = contamination(rows, benchmark, keep=tuple(key), text_col="__body", **{"unnamed": True, **options})
+    dirty = found.filter(contaminated(F.col("n_words"), F.col("n_hit"))).select(*key).distinct()
+    return documents.withColumns(key).join(written(dirty, "contaminated"), [*key], "left_anti").select(*names)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:

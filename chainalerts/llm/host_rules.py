@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainalerts.llm.common import fenced, table, written
+from chainalerts.llm.common import fenced, row_key, table, written
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 ABOVE = 3.0
@@ -152,8 +152,7 @@ def accepted(
     rows named by 128 bits of hashes of all their columns; the texts move once, to meet those
     that are rejected."""
     names = documents.columns
-    every = [F.col(name) for name in names]
-    key = {"__r1": F.xxhash64(*every), "__r2": F.xxhash64(F.lit(1), *every)}
+    key = dict(zip(("__r1", "__r2"), row_key(*names, of=documents)))
     narrow = documents.select(*[c.alias(k) for k, c in key.items()], F.col(text_col).alias("__body"), F.col(host_col).alias("__of"))
     narrow = measures(narrow, [*key, "__of"], "__body").select(*key, "__of", "base_failed")
     lost = judged(narrow, "__of", above=above, **options).filter(~F.col("kept")).select(*key).distinct()

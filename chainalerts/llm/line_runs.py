@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import table, work_folder, written
+from chainalerts.llm.common import row_key, table, work_folder, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -123,8 +123,7 @@ def drop_lines(documents: DataFrame, frequent: DataFrame, text_col: str = "text"
     """The documents with `text_col` shortened, and n_lines, n_dropped (long), which replace
     columns of that name."""
     documents = documents.drop("n_lines", "n_dropped")
-    row = (F.xxhash64(F.col(id_col), F.col(text_col)).alias("__r1"),
-           F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("__r2"))
+    row = [c.alias(name) for c, name in zip(row_key(id_col, text_col), ("__r1", "__r2"))]
     lines = documents.select(*row, F.posexplode(lines_of(F.col(text_col))).alias("__at", "__line"))
     lines = lines.select("__r1", "__r2", "__at", line_key(F.col("__line")).alias("__key")).filter(F.col("__key") != "")
     lines = lines.select("__r1", "__r2", "__at", _hash(F.col("__key")).alias("h")).select("__r1", "__r2", "__at", "h.*")

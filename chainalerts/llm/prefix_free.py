@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import chunks, mix, table, text_bytes, written
+from chainalerts.llm.common import chunks, mix, row_key, table, text_bytes, written
 
 LENGTH, REACH, GRAM, GROUP = 200, 128, 8, 256
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -102,8 +102,8 @@ def runs_of(data: np.ndarray, length: int = LENGTH, reach: int = REACH):
 
 def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
     """80 bits that name a row: r1, and r2 of 16."""
-    other = F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), other.bitwiseAND(F.lit(0xFFFF)).alias("r2")
+    one, other = row_key(id_col, text_col)
+    return one.alias("r1"), other.bitwiseAND(F.lit(0xFFFF)).alias("r2")
 
 
 # A place in one number: r2 (16 bits), lead (8: the trigger, from the run's first start on),
