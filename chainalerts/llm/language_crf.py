@@ -8,8 +8,9 @@ within a line. A document's language has the largest mean posterior, which is it
 A chain is a line, cut after CHAIN words; every word of every text is labelled. Chains of a chunk
 run in step, longest first, so a step is one array operation over all chains still going.
 
-Learning: the driver takes at most `per_label` documents of each label (those with the lowest id
-hash) and CHARS characters of each: a bounded sample whatever the table's size. Pieces of documents
+Learning: the driver takes at most `per_label` documents (those with the lowest hash of id and
+text, equal ones once) of each of the MOST_LABELS most frequent labels, and CHARS characters of
+each: a bounded sample whatever the table's size, ids and labels are. Pieces of documents
 of different labels are strung together, so that transitions see switches. Rows whose remainder
 says held out, or whose label is null, are not learned from. The model (BUCKETS x labels numbers)
 is broadcast; its size does not depend on the data.
@@ -26,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import LOWER, chunks, mix, span_hashes, table, text_bytes, word_spans
+from chainalerts.llm.common import LOWER, chunks, mix, row_key, span_hashes, table, text_bytes, word_spans
 
 BUCKETS, CHAIN, CHARS, PER_LABEL = 1 << 17, 256, 3000, 300
+MOST_LABELS = 64  # the most frequent; bounds sample and model whatever the labels are
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -222,23 +224,20 @@ def remainder(id_col: str) -> Column:
 
 
 def training_sample(documents: DataFrame, per_label: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
-    """At most per_label rows of each label, those with the lowest id hash."""
+    """At most per_label texts of each of the MOST_LABELS most frequent labels: those with the
+    lowest hash of id and text. Equal rows count once, so no repeated id or text fills a sample or
+    pushes a label out of it. Only names of rows are ranked, each task sending per_label of a label
+    at most; the texts that are asked for follow."""
     rows = documents.filter((remainder(id_col) != 1) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["label"]: r["n"] for r in rows.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    # Twice as many by the hash's value, then exactly: nothing is ranked in one task.
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col(label_col) == label, F.lit(min(1.0, 2 * per_label / n))).otherwise(share)
-    value = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    chosen = rows.filter(value < share * (1 << 30)).select(
-        F.col(label_col).alias("label"), F.substring(text_col, 1, CHARS).alias("text"), value.alias("v")).collect()
-    taken: dict[str, list] = {}
-    for r in sorted(chosen, key=lambda r: (r["v"], r["text"])):
-        if len(mine := taken.setdefault(r["label"], [])) < per_label:
-            mine.append((r["label"], r["text"]))
-    return [row for label in sorted(taken) for row in taken[label]]
+    rows = rows.select(F.col(label_col).alias("label"), row_key(id_col, text_col)[0].alias("v"),
+                       F.substring(text_col, 1, CHARS).alias("text"))
+    counts = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS)
+    names = rows.select("label", "v").join(F.broadcast(counts.select("label")), "label").distinct()
+    least = Window.partitionBy("label").orderBy("v")
+    names = names.withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= per_label).drop("__n")
+    chosen = rows.join(F.broadcast(names), ["label", "v"]).groupBy("label", "v").agg(F.min("text").alias("text"))
+    found = chosen.collect()  # at most MOST_LABELS * per_label
+    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["label"], r["v"]))]
 
 
 def identify(

@@ -87,3 +87,16 @@ def test_nothing_is_learned_from_held_out_rows(make_documents, trained):
     assert "leak" not in {r["lang_pred"] for r in got}
     sample = L.training_sample(make_documents(trained), 5, "doc_id", "text", "lang")
     assert sorted(label for label, _ in sample) == ["de"] * 5 + ["en"] * 5
+
+
+def test_sample_keeps_labels_of_repeated_ids(make_documents):
+    """One id for all rows of a label, equal rows, and more labels than are learnt."""
+    rows = [(0, f"wort{i} und mehr", "de", None) for i in range(400)] + [(i, "the same text", "en", None) for i in range(40)]
+    rows += [(7, "une ligne", "fr", None)] * 300
+    sample = L.training_sample(make_documents(rows), 30, "doc_id", "text", "lang")
+    counts = {lang: sum(x == lang for x, _ in sample) for lang, _ in sample}
+    held = sum(L.is_held_out(i) for i in range(40))
+    assert not L.is_held_out(0) and not L.is_held_out(7)
+    assert counts == {"de": 30, "en": min(30, 40 - held), "fr": 1}
+    many = [(i, f"text {i}", f"l{i % 100:02d}", None) for i in range(3000)]
+    assert len({lang for lang, _ in L.training_sample(make_documents(many), 5, "doc_id", "text", "lang")}) == L.MOST_LABELS
