@@ -21,7 +21,8 @@ characters long and longer than the article, which is a teaser then. A class or
 elements only, and not where it stands around the page's article: an element of role that holds
 the only article counts as a wrapper, and the article and the text outside of roles are kept. A node's importance is shrunk towards 1 by PRIOR pages on which all is content, so few pages
 remove little: what is on every page goes from five pages on. Text outside of an article is added
-from MIN_PAGES pages on. Roles are judged on each page.
+where its importance, shrunk towards 0 by as many pages, is HIGH: a host's only page has none.
+Both are one rule at any number of pages. Roles are judged on each page.
 
 A block is a run of text that no block element's start or end interrupts. Character references
 are decoded, white space becomes one space, blocks are joined by a line feed.
@@ -54,7 +55,7 @@ from pyspark.sql import types as T
 from chainalerts.llm.common import table, written
 from chainalerts.llm.url_rules import host_of
 
-GAMMA, LEAST, MIN_PAGES, DEPTH = 0.9, 0.2, 10, 24
+GAMMA, LEAST, DEPTH = 0.9, 0.2, 24
 HIGH, STORY = 0.5, 80
 PRIOR = 1.1  # pages; not a whole number, so that no number of pages gives just LEAST
 # Elements of HTML by what they do.
@@ -77,9 +78,13 @@ ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription share sharing social breadcrumb "
     "breadcrumbs sidebar menu nav navbar navigation footer masthead comment comments reply replies respond disqus related "
-    "recommended widget login signup pagination pager toolbar topbar skip".split())
+    "recommended widget login signup pagination pager toolbar topbar skip commentlist".split())
+# Words of place and form: they name no role, and take none from a name that has one.
+PLACE_WORDS = frozenset(
+    "site page main global bar box list section area wrap wrapper container inner outer block slot unit group row column col "
+    "panel item items link links post posts article articles story stories top bottom left right primary secondary".split())
 # Roles that hold articles of their own: other readers' or other pages'.
-LIST_WORDS = frozenset("comment comments reply replies respond disqus related recommended".split())
+LIST_WORDS = frozenset("comment comments commentlist reply replies respond disqus related recommended".split())
 ROLE_ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TAG = re.compile(
@@ -98,8 +103,9 @@ def _role(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 @lru_cache(1 << 14)
 def _names(named: str) -> frozenset[str]:
-    """The role words of classes and ids: of a hyphenated name only if each part is one."""
-    found = [{part for part in re.split("[^a-z]+", name) if part} for name in named.lower().split()]
+    """The role words of classes and ids: of a hyphenated name only if its other parts say where
+    or how (`main-nav`, `comment-list`), not of what (`has-sidebar`, `share-price`)."""
+    found = [{part for part in re.split("[^a-z]+", name) if part} - PLACE_WORDS for name in named.lower().split()]
     return frozenset().union(*[parts for parts in found if parts <= ROLE_WORDS or parts == {"header"}])
 
 
@@ -309,7 +315,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes (host, path) of all hosts with n (their number), pages of different content, importance,
+    """Nodes (host, path) of all hosts with n (their number), importance,
     own (the node's alone), outer (that of text outside of articles, if any) and highest (of all
     nodes' own in the branch). `pages` has host and html."""
     rows = pages.select("host", "html").mapInArrow(
@@ -339,27 +345,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # Texts of a page beside those of one of its copies: text that changes around the same article
     # is not its.
     steady = F.col("content_copies") / F.col("copies") / (F.col("content_once") / F.col("pages"))
+    outer = F.when(F.col("pages") <= 1, 0.0).otherwise(
+        content * F.least(steady, F.lit(1.0)) * F.col("pages") / (F.col("pages") + PRIOR))
     own = nodes.select(
-        "host", "path", F.when(F.col("outside") > 0, content * F.least(steady, F.lit(1.0))).alias("outer"), F.col("pages").alias("pages"),
+        "host", "path", F.when(F.col("outside") > 0, outer).alias("outer"),
         F.coalesce("n_content", "n_style").alias("n"),
         ((F.coalesce(content, style, F.lit(1.0)) * F.col("pages") + PRIOR) / (F.col("pages") + PRIOR)).alias("own"))
     # Every node gives its share to itself and to the nodes above it.
     depth = F.size(F.split("path", "/"))
     shares = own.select(
-        "host", "path", "n", "own", "outer", "pages", F.explode(F.sequence(F.lit(2), depth)).alias("d"))
+        "host", "path", "n", "own", "outer", F.explode(F.sequence(F.lit(2), depth)).alias("d"))
     above = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("d")), "/")
     weight = F.col("n") * F.pow(F.lit(GAMMA), depth - F.col("d"))
     return shares.select(
         "host", above.alias("path"), weight.alias("w"), (weight * F.col("own")).alias("x"), F.col("own").alias("highest"),
         F.when(depth == F.col("d"), F.col("own")).alias("own"), F.when(depth == F.col("d"), F.col("outer")).alias("outer"),
-        F.when(depth == F.col("d"), F.col("pages")).alias("pages"), F.when(depth == F.col("d"), F.col("n")).alias("n"),
+        F.when(depth == F.col("d"), F.col("n")).alias("n"),
     ).groupBy("host", "path").agg(
-        F.max("n").alias("n"), F.max("pages").alias("pages"), F.max("own").alias("own"),
+        F.max("n").alias("n"), F.max("own").alias("own"),
         F.max("outer").alias("outer"), F.max("highest").alias("highest"), (F.sum("x") / F.sum("w")).alias("importance"))
 
 
 def extract(
-    pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES,
+    pages: DataFrame, least: float = LEAST,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """id, url and text (empty if none) of every page."""
@@ -369,7 +377,7 @@ def extract(
     # Text outside all elements has no branch.
     low = F.when(F.col("importance") < least, F.when(
         (F.col("highest") < least) & (F.col("path") != ""), F.concat("path", F.lit("/"))).when(F.col("own") < least, F.col("path")))
-    high = F.when((F.col("outer") >= HIGH) & (F.col("pages") >= min_pages), F.col("path"))
+    high = F.when(F.col("outer") >= HIGH, F.col("path"))
     judged = style_tree(source).select("host", low.alias("low"), high.alias("high"))
     # A host's branches to remove or to add are at most its styles, of which several pages have each one.
     judged = judged.filter(F.col("low").isNotNull() | F.col("high").isNotNull()).groupBy("host").agg(

@@ -131,3 +131,27 @@ def test_query(spark):
         parts = [" ".join(S.entities.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split())
                  for x in re.split("</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("name", "site-header site-footer main-nav cookie-bar related-posts ad-slot comment-list comment-section commentlist".split())
+@pytest.mark.parametrize("marked", [False, True])
+def test_names_of_roles_with_places(name, marked):
+    inside = f"<section class='{name}'><p>not content</p></section>"
+    body = f"<article><p>the story</p>{inside if 'comment' in name or 'ad-' in name else ''}</article>" if marked else "<div><p>the story</p></div>"
+    texts = [t for _, t in S.main_blocks(f"<body><div class='{name}'>words</div>{body}{inside}</body>")]
+    assert texts == ["the story"]
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "share-price", "post-content", "main", "page", "section-1", "articles"])
+def test_names_of_no_role(name):
+    assert [t for _, t in S.main_blocks(f"<body><div class='{name}'><p>the story</p></div></body>")] == ["the story"]
+
+
+@pytest.mark.parametrize("n", [2, 9, 10, 30])
+def test_outside_text_by_one_rule(spark, n):
+    """Text beside a marked article that differs from page to page counts from the second page on;
+    what all pages share does not."""
+    pages = [(i, f"http://a.example/{i}", f"<body><div class='lead'>Lead number {i} of its own</div><div class='x'>All pages say so</div>"
+              f"<article><p>Story {i} {'text ' * 20}</p></article></body>") for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert all(got[i].startswith(f"Lead number {i} of its own\nStory {i}") and "All pages" not in got[i] for i in range(n))
