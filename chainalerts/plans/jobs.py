@@ -1,4 +1,4 @@
-"""Batch jobs around the plan: preload of account state, and a full run with sinks."""
+"""Preload of account state."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from chainalerts.operators.hooks import Catalog
 from chainalerts.operators.preferences import preference_log
-from chainalerts.plans.notifications import AlertPlan, changes_of
+from chainalerts.plans.notifications import changes_of
 from chainalerts.sources.op_log import scan_ops
-from chainalerts.sources.sinks import stage, write_notifications
 
 
 def latest_state(changes: DataFrame) -> DataFrame:
@@ -25,15 +24,3 @@ def preload_state(ops: DataFrame, catalog: Catalog, first: int, last: int) -> Da
     """Replay only the preference operations of ``first..last`` (both included)."""
     log = preference_log(scan_ops(ops, first, last), catalog)
     return latest_state(changes_of(log, catalog, preload=True))
-
-
-def run_batch(plan: AlertPlan, path: str) -> None:
-    """Write notifications and rejects of a log.
-
-    The log is parsed once: candidates and preference operations go to the shared folder
-    first, then every later step (and every retry after a lost executor) reads those.
-    """
-    plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
-    resolved = stage(plan.resolved().where("passes OR reason IS NOT NULL"), "resolved")
-    write_notifications(plan.notifications(resolved), f"{path}/notifications")
-    plan.rejects(resolved).write.mode("append").parquet(f"{path}/rejects")

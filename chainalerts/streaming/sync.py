@@ -1,78 +1,32 @@
 """Following the log: micro-batches of final block ranges around the batch plan.
 
-Layout below ``out``:
-  opening/state, opening/done             what a preload left, and its range (written last)
-  notifications/batch_id=N/created_date=D rows of micro-batch N
-  rejects/batch_id=N
-  state/batch_id=N                        account state changed by N (all of it where N was
-                                          compacted)
-  progress/batch_id=N                     block range of N; written last
-
-Ranges have to follow each other without a gap. A replay of N reads the state up to N-1 and
-overwrites the directories of N, so it changes nothing. No file is shared between batches.
-Days older than the retention are dropped as whole directories.
+The source's offsets are block numbers (``chainalerts.sources.block_source``). Each range, or a few
+of them, is one commit of the alert store below ``out``: rows, rejects, state and progress become
+visible together, so a replay changes nothing. Ranges have to follow each other without a gap. Days older than the retention leave with every batch; staged frames go when a batch
+is done, superseded state when it is compacted.
 """
 
 from __future__ import annotations
 
-import datetime
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from chainalerts import schemas
 from chainalerts.constants import RETENTION_DAYS
 from chainalerts.operators.hooks import Catalog
-from chainalerts.operators.retention import retained_notifications
-from chainalerts.plans.jobs import latest_state, preload_state
-from chainalerts.plans.notifications import AlertPlan, opening_state
+from chainalerts.plans.jobs import preload_state
+from chainalerts.plans.notifications import AlertPlan
 from chainalerts.plans.status import system_status
-from chainalerts.sources.op_log import final_ops, scan_ops
-from chainalerts.sources.sinks import drop_folder, exists, folders, stage, write_notifications
-
-# ``state_from`` is the first batch whose state files are needed to know the state now.
-PROGRESS = (
-    "first_block INT, last_block INT, block_time TIMESTAMP_NTZ, ops BIGINT, state_from BIGINT"
-)
-STATE_ROWS = schemas.STATE + ", written BIGINT"
-
-
-RANGES = "first INT, last INT"
-
-
-def _range_path(landing: str, first: int) -> str:
-    return f"{landing}/data/range={first:012d}"
-
-
-def publish_range(
-    ops: DataFrame, landing: str, first: int, last: int, irreversible_block: int
-) -> int:
-    """Publish the final blocks of ``first..last``; gives the last block published.
-
-    The operations may lie in any number of files. One small file that names the range is
-    written after them; the stream follows those, so it never sees part of a range.
-    Ranges have to be published in order: the stream takes files by their time.
-    """
-    last = min(last, irreversible_block)
-    if last < first:
-        return first - 1
-    columns = [name.split()[0] for name in schemas.OPS.split(", ")]
-    (
-        final_ops(scan_ops(ops, first, last), irreversible_block)
-        .select(*columns)
-        .write.mode("overwrite")
-        .parquet(_range_path(landing, first))
-    )
-    named = ops.sparkSession.createDataFrame([(first, last)], RANGES)
-    named.coalesce(1).write.mode("overwrite").json(f"{landing}/ranges/range={first:012d}")
-    return last
-
+from chainalerts.plans.store import SECONDS_OF_GRACE, AlertStore, follows
+from chainalerts.sources.block_source import BlockSource, landed_ops, publish_range
+from chainalerts.sources.op_log import scan_ops
 
 @dataclass
 class AlertStream:
+    """Follows ``landing`` (see ``publish_range``) into the store ``out``."""
+
     landing: str
     out: str
     checkpoint: str
@@ -84,22 +38,26 @@ class AlertStream:
     compact_every: int = 20
     sync_enabled: bool = True
     preload: bool = False
+    retention_days: int = RETENTION_DAYS
+    grace_seconds: float = SECONDS_OF_GRACE
+
+    def store(self, spark: SparkSession) -> AlertStore:
+        return AlertStore(spark, self.out, self.compact_every, self.retention_days, self.grace_seconds)
 
     def prepare(self, ops: DataFrame, first: int, last: int) -> None:
         """Preload the account state of ``first..last``; the stream then begins after it."""
-        preload_state(ops, self.catalog, first, last).write.mode("overwrite").parquet(
-            f"{self.out}/opening/state"
-        )
-        heads = self._heads(scan_ops(ops, first, last))
-        self._write_row(ops.sparkSession, (first, last, heads["block_time"], heads["ops"], 0), "opening/done")
+        heads = scan_ops(ops, first, last).agg(
+            F.max_by("ts", F.struct("block_num", "op_id")).alias("time"), F.count("*").alias("ops")).first()
+        self.store(ops.sparkSession).open_with(
+            preload_state(ops, self.catalog, first, last), (first, last), heads["time"], heads["ops"])
 
     def status(self, spark: SparkSession, as_of: str, wanted: tuple[int, int]) -> DataFrame:
         """System status of a stream that has to preload ``wanted`` first."""
-        done = self._row(spark, f"{self.out}/opening/done")
+        done = self.store(spark).opened()
         processed = spark.createDataFrame(
-            [] if done is None else [(done["last_block"], done["ops"], done["block_time"])],
-            "block_num INT, op_id BIGINT, ts TIMESTAMP_NTZ",
-        )
+            [] if done is None else [(done["number"], done["ops"], done["block_time"])],
+            "block_num INT, op_id BIGINT, ts STRING",
+        ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         return system_status(processed, as_of, wanted, self.sync_enabled)
 
     def start(self, spark: SparkSession, every: str | None = None) -> StreamingQuery | None:
@@ -108,15 +66,11 @@ class AlertStream:
         Resumes after the last completed batch. Does not start while the gate is shut: if
         syncing is off, or if the state it needs has not been preloaded.
         """
-        loaded = not self.preload or exists(spark, f"{self.out}/opening/done/_SUCCESS")
+        loaded = not self.preload or self.store(spark).opened() is not None
         if not (loaded and self.sync_enabled):
             return None
-        source = (
-            spark.readStream.schema(RANGES)
-            .option("maxFilesPerTrigger", self.ranges_per_batch)
-            .option("recursiveFileLookup", True)
-            .json(f"{self.landing}/ranges")
-        )
+        spark.dataSource.register(BlockSource)
+        source = spark.readStream.format("blocks").option("path", self.landing).load()
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
         return (
             source.writeStream.foreachBatch(self.follow)
@@ -126,129 +80,40 @@ class AlertStream:
         )
 
     def follow(self, ranges: DataFrame, batch_id: int) -> None:
-        """One micro-batch: the operations of the few ranges that were published."""
-        rows = sorted((row["first"], row["last"]) for row in ranges.collect())
-        if not rows:
-            return
-        for (_, last), (first, _) in zip(rows, rows[1:]):
-            _follows(last, first)
-        paths = [_range_path(self.landing, first) for first, _ in rows]
-        ops = ranges.sparkSession.read.schema(schemas.OPS).parquet(*paths)
-        self.process(ops, batch_id, (rows[0][0], rows[-1][1]))
-
-    def process(
-        self, ops: DataFrame, batch_id: int, blocks: tuple[int, int] | None = None
-    ) -> None:
-        """Process the operations of the block range ``blocks`` (else: of their own blocks)."""
-        spark = ops.sparkSession
-        heads = self._heads(ops)
-        if blocks is None:
-            blocks = (heads["first_block"], heads["last_block"])
-        before = self._row(spark, f"{self.out}/progress/batch_id={batch_id - 1}") if batch_id else (
-            self._row(spark, f"{self.out}/opening/done") if self.preload else None)
-        if before is not None:
-            _follows(before["last_block"], blocks[0])
-        earlier = self._earlier_state(spark, batch_id, before)
-        plan = AlertPlan(ops, self.catalog, self._transactions_of(heads), semantics=self.semantics)
-        plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
-        if earlier is not None:
-            # Only what the batch's accounts left behind takes part in it. The accounts are
-            # a table, so Spark knows their size and spreads them where it can.
-            asked = plan.candidates().select(F.col("gate_account").alias("account")).distinct()
-            asked = stage(asked, "accounts")
-            plan.snapshot = latest_state(earlier.join(asked, "account", "left_semi"))
-        resolved = stage(plan.resolved().where("passes OR reason IS NOT NULL"), "resolved")
-        write_notifications(
-            plan.notifications(resolved), f"{self.out}/notifications/batch_id={batch_id}", "overwrite"
-        )
-        self._write(plan.rejects(resolved), "rejects", batch_id)
-        full = (batch_id + 1) % self.compact_every == 0
-        state = plan.own_changes()
-        if full and earlier is not None:
-            state = state.unionByName(opening_state(latest_state(earlier)))
-        self._write(
-            latest_state(state).withColumn("written", F.lit(batch_id).cast("bigint")),
-            "state", batch_id,
-        )
-        time = heads["block_time"] or (before["block_time"] if before else None)
-        if full and time is not None:
-            expire(spark, self.out, str(time))
-        since = batch_id if full else before["state_from"] if before else 0
-        self._write_row(spark, (*blocks, time, heads["ops"], since), f"progress/batch_id={batch_id}")
-
-    def _heads(self, ops: DataFrame):
-        return ops.agg(
-            F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block"),
-            F.max_by("ts", F.struct("block_num", "op_id")).alias("block_time"),
-            F.count("*").alias("ops"),
-        ).first()
-
-    def _transactions_of(self, heads) -> DataFrame | None:
-        if self.transactions is None or not heads["ops"]:
-            return None
-        return scan_ops(self.transactions, heads["first_block"], heads["last_block"])
+        """The landed ranges of a micro-batch, ``ranges_per_batch`` of them a commit of the store.
 
-    def _write(self, frame: DataFrame, table: str, batch_id: int) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.out}/{table}/batch_id={batch_id}")
-
-    def _write_row(self, spark: SparkSession, row: tuple, table: str) -> None:
-        frame = spark.createDataFrame([row], PROGRESS).coalesce(1)
-        frame.write.mode("overwrite").parquet(f"{self.out}/{table}")
-
-    def _row(self, spark: SparkSession, path: str):
-        if not exists(spark, f"{path}/_SUCCESS"):
-            return None
-        return spark.read.schema(PROGRESS).parquet(path).first()
-
-    def _earlier_state(self, spark: SparkSession, batch_id: int, before) -> DataFrame | None:
-        """What earlier batches wrote of account states, as changes with their batch as time:
-        from the last full state on; before there is one, from the opening state on."""
-        columns = ["account", "module", "codes", "opts"]
-        parts = []
-        since = before["state_from"] if before else 0
-        paths = [f"{self.out}/state/batch_id={earlier}" for earlier in range(since, batch_id)]
-        if paths:
-            parts.append(spark.read.schema(STATE_ROWS).parquet(*paths).select(
-                *columns, F.col("written").alias("block_num"), F.lit(0).cast("bigint").alias("op_id")
-            ))
-        if since == 0:
-            opening = [] if self.initial_state is None else [self.initial_state]
-            if self.preload:
-                opening.append(spark.read.schema(schemas.STATE).parquet(f"{self.out}/opening/state"))
-            parts += [
-                frame.select(*columns, F.lit(order - 9).cast("bigint").alias("block_num"),
-                             F.lit(0).cast("bigint").alias("op_id"))
-                for order, frame in enumerate(opening)
-            ]
-        return reduce(DataFrame.unionByName, parts) if parts else None
-
-
-def _follows(last: int, first: int) -> None:
-    if first <= last:
-        raise ValueError(f"block {first} comes after block {last} was processed")
-    if first > last + 1:
-        raise ValueError(f"blocks {last + 1} to {first - 1} are missing")
+        A range that the store has is a replay, and passed over."""
+        spark = ranges.sparkSession
+        rows = sorted((row["first"], row["last"]) for row in ranges.collect())
+        store = self.store(spark)
+        rows = [blocks for blocks in rows if not store.holds(blocks)]
+        for at in range(0, len(rows), self.ranges_per_batch):
+            taken = rows[at:at + self.ranges_per_batch]
+            for (_, last), (first, _) in zip(taken, taken[1:]):
+                follows(last, first)
+            blocks = taken[0][0], taken[-1][1]
+            self.process(landed_ops(spark, self.landing, *blocks), blocks)
+
+    def process(self, ops: DataFrame, blocks: tuple[int, int]) -> bool:
+        """Process the operations of the block range ``blocks``; False if it was done before."""
+        transactions = self.transactions and scan_ops(self.transactions, *blocks)
+        plan = AlertPlan(
+            ops, self.catalog, transactions, snapshot=self.initial_state, semantics=self.semantics)
+        return self.store(ops.sparkSession).append(plan, blocks)
 
 
 def expire(spark: SparkSession, out: str, as_of: str) -> int:
-    """Drop the days of the output that lie wholly before the retention; gives their number."""
-    oldest = datetime.datetime.fromisoformat(as_of) - datetime.timedelta(days=RETENTION_DAYS)
-    old = [
-        path for path in folders(spark, f"{out}/notifications/batch_id=*/created_date=*")
-        if path.rsplit("created_date=", 1)[1] < str(oldest.date())
-    ]
-    for path in old:
-        drop_folder(spark, path)
-    return len(old)
+    """Take the days out that lie wholly before the retention; gives their number."""
+    return AlertStore(spark, out).expire(as_of)
 
 
 def read_progress(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(PROGRESS + ", batch_id BIGINT").parquet(f"{out}/progress")
+    return AlertStore(spark, out).progress()
 
 
 def read_output(spark: SparkSession, out: str, as_of: str | None = None) -> DataFrame:
     """All notifications of a stream; with ``as_of`` those within the retention then."""
-    rows = spark.read.schema(schemas.NOTIFICATIONS + ", batch_id BIGINT").parquet(
-        f"{out}/notifications"
-    ).drop("batch_id")
-    return rows if as_of is None else retained_notifications(rows, as_of)
+    return AlertStore(spark, out).notifications(as_of)
+
+
+__all__ = ["AlertStream", "expire", "publish_range", "read_output", "read_progress"]

@@ -385,6 +385,10 @@ def all_oracles() -> dict[str, str]:
         "preload_core_off": preloaded, "state_preload_escaped": preloaded,
         "hooks_from_files": sql["hook_dispatch"],
         "notifications_written": sql["notifications_all"],
+        "notifications_replayed": sql["notifications_all"],
+        "accounts_stored": sql["accounts_discovered"],
+        "unread_counts_stored": sql["unread_counts"],
+        "verification_stored": sql["verification_applied"],
         "stream_resumed": f"""{NOTIF} SELECT {SHOWN} FROM notif, (SELECT max(block) AS l FROM ev)
             WHERE block_num > l // 3 AND block_num <= l - 7""",
         "stream_retained": sql["notif_retained"],
@@ -412,6 +416,7 @@ def all_oracles() -> dict[str, str]:
             GROUP BY account""",
         "preferences_module_absent": REFERENCED + " SELECT account, NULL::VARCHAR AS prefs, prefs AS all_prefs FROM acc",
     }
+    sql["rejects_replayed"] = sql["rejects"]
     hook_of = {
         "notif_transfer": 4, "notif_delegation": 6, "notif_author_reward": 2,
         "notif_benefactor_reward": 3, "notif_curation_reward": 5, "notif_convert": 7,

@@ -30,14 +30,15 @@ from chainalerts.operators.retention import retained_blocks, retained_notificati
 from chainalerts.operators.verification import apply_verifications, pending_verifications
 from chainalerts.plans import account_queries as ask
 from chainalerts.plans import status as state
-from chainalerts.plans.jobs import preload_state, run_batch
+from chainalerts.plans.jobs import preload_state
 from chainalerts.plans.notifications import AlertPlan, candidates
+from chainalerts.plans.store import AlertStore, run_batch
 from chainalerts.sources import op_log
 from chainalerts.sources.event_log import (
     blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
     read_mark_ops,
 )
-from chainalerts.sources.sinks import read_notifications, shared_folder, write_text
+from chainalerts.sources.sinks import shared_folder, write_text
 from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
 
 LAST_BLOCK = 2**31 - 1
@@ -476,7 +477,52 @@ def notifications_written(spark, sf_dir):
     """The batch job's output, read back from its day directories."""
     folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
     run_batch(_plan(spark, sf_dir), folder)
-    return _shown(read_notifications(spark, f"{folder}/notifications"))
+    return _shown(AlertStore(spark, folder).notifications())
+
+
+def _stored(spark, ops: DataFrame, ranges: int = 2, **options) -> AlertStore:
+    """A store to which the log was committed in block ranges, each of them run twice, after
+    an attempt that wrote its notifications and died."""
+    store = AlertStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    last = _last_block(ops)
+    for n in range(ranges):
+        blocks = (last * n // ranges + (n > 0), last * (n + 1) // ranges)
+        part = op_log.scan_ops(ops, *blocks)
+        dead = AlertPlan(part, **options).notifications()
+        store.log.write("notifications", dead, by_day=True)
+        for _ in range(2):
+            run_batch(AlertPlan(part, **options), store.log.path, blocks)
+    return store
+
+
+@query("notifications_replayed")
+def notifications_replayed(spark, sf_dir):
+    """Ranges that ran again, and attempts that died between their writes, leave each row once."""
+    ops, hashes = event_ops(spark, sf_dir), event_transactions(spark, sf_dir)
+    return _shown(_stored(spark, ops, transactions=hashes).notifications())
+
+
+@query("rejects_replayed")
+def rejects_replayed(spark, sf_dir):
+    """Rejects are committed with their range."""
+    found = _stored(spark, faulty_ops(event_ops(spark, sf_dir))).rejects()
+    return found.select(*_long("block_num", "op_id"), "notif_name", "account", "reason")
+
+
+@query("accounts_stored")
+def accounts_stored(spark, sf_dir):
+    """The account set, to which each range adds those that it refers to first."""
+    found = _stored(spark, event_ops(spark, sf_dir), ranges=3).accounts()
+    return found.select("account", "first_seen", *_long("first_block", "first_op_id"))
+
+
+@query("unread_counts_stored")
+def unread_counts_stored(spark, sf_dir):
+    """Unread counts from the kept counts of days and one day of notifications per account."""
+    store = _stored(spark, event_ops(spark, sf_dir))
+    store.compact()
+    oldest = F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS")
+    return store.unread_counts(store.accounts(), oldest)
 
 
 def faulty_ops(ops: DataFrame) -> DataFrame:
@@ -559,6 +605,24 @@ def verification_applied(spark, sf_dir):
     return apply_verifications(rows, answers).select("notif_key", "account", "verified")
 
 
+@query("verification_stored")
+def verification_stored(spark, sf_dir):
+    """Answers that change stored rows: a round merged on reading, written into its days, and
+    one more round after that; a round that comes again changes nothing."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    run_batch(_token_plan(spark, sf_dir), folder)
+    store = AlertStore(spark, folder)
+    rest = F.split("notif_key", ":")[1].cast("bigint") % 3
+    for number in (0, 1):
+        pending = pending_verifications(store.notifications())
+        answers = pending.select("notif_key", F.when(rest == number, rest == 0).alias("answer"))
+        store.settle(answers, number)
+        store.settle(pending.select("notif_key", F.lit(False).alias("answer")), number)
+        if number == 0:
+            store.compact()
+    return store.notifications().select("notif_key", "account", "verified")
+
+
 @query("verification_repeated")
 def verification_repeated(spark, sf_dir):
     """Answers that come several times: equal ones, and ones that disagree."""
@@ -803,7 +867,8 @@ def stream_resumed(spark, sf_dir):
     half = (loaded + last) // 2
     publish_range(ops, f"{folder}/landing", loaded + 1, half, final)
     stream.start(spark).awaitTermination()
-    stream.process(op_log.scan_ops(ops, loaded + 1, half), 0, (loaded + 1, half))
+    if stream.process(op_log.scan_ops(ops, loaded + 1, half), (loaded + 1, half)):
+        raise RuntimeError("a replay was taken for a new range")
     publish_range(ops, f"{folder}/landing", half + 1, last, final)
     again = _stream(spark, sf_dir, folder, preload=True, compact_every=2)
     again.start(spark).awaitTermination()

@@ -11,12 +11,12 @@ from chainalerts.operators.preferences import preference_log
 from chainalerts.operators.retention import retained_blocks, retained_notifications
 from chainalerts.operators.verification import apply_verifications, pending_verifications
 from chainalerts.plans import account_queries as ask
-from chainalerts.plans.jobs import preload_state, run_batch
+from chainalerts.plans.jobs import preload_state
 from chainalerts.plans.notifications import AlertPlan, candidates
 from chainalerts.plans.status import health, sync_allowed, system_status
 from chainalerts.sources import op_log
 from chainalerts.sources.event_log import event_ops, event_transactions
-from chainalerts.sources.sinks import read_notifications
+from chainalerts.plans.store import AlertStore, run_batch
 from tests.conftest import enabled, preference, transfer
 
 SF = "/root/testdata/sf0.001"
@@ -132,7 +132,7 @@ def test_batch_job_round_trip(spark):
     for way in ("new", "again"):
         plan = AlertPlan(event_ops(spark, SF), transactions=event_transactions(spark, SF))
         run_batch(plan, f"{folder}/{way}")
-        written = read_notifications(spark, f"{folder}/{way}/notifications")
+        written = AlertStore(spark, f"{folder}/{way}").notifications()
         files = written.withColumn("file", F.input_file_name()).groupBy("created_date").agg(
             F.count_distinct("file").alias("n"))
         assert {r["n"] for r in files.collect()} == {1}

@@ -4,7 +4,9 @@ import pytest
 
 from chainalerts.plans.notifications import AlertPlan
 from chainalerts.plans.status import sync_allowed
-from chainalerts.sources.sinks import exists, folders
+from chainalerts.plans.store import AlertStore
+from chainalerts.sources.block_source import BlockReader, BlockSource, landed_ops
+from chainalerts.sources.sinks import folders
 from chainalerts.streaming.sync import (
     AlertStream, expire, publish_range, read_output, read_progress,
 )
@@ -44,16 +46,16 @@ def test_stream_equals_batch(spark, log):
     assert keys(read_output(spark, f"{folder}/out")) == whole
     assert [r["last_block"] for r in read_progress(spark, f"{folder}/out").orderBy("batch_id").collect()
             ] == [2, 4, 6, 9]
-    # A replay of a batch overwrites its own rows and nothing else.
-    stream.process(log.where("block_num BETWEEN 5 AND 6"), 2)
+    # A replay of a range changes nothing.
+    assert not stream.process(log.where("block_num BETWEEN 5 AND 6"), (5, 6))
     assert keys(read_output(spark, f"{folder}/out")) == whole
     # Restarting with nothing new adds nothing; blocks out of order are refused.
     stream.start(spark).awaitTermination()
     assert read_progress(spark, f"{folder}/out").count() == 4
     with pytest.raises(ValueError, match="after block 9"):
-        stream.process(log.where("block_num = 9"), 4)
+        stream.process(log.where("block_num = 9"), (9, 10))
     with pytest.raises(ValueError, match="blocks 10 to 11 are missing"):
-        stream.process(log.where("false"), 4, (12, 13))
+        stream.process(log.where("false"), (12, 13))
 
 
 def test_a_gap_stops_the_stream(spark, log):
@@ -63,7 +65,7 @@ def test_a_gap_stops_the_stream(spark, log):
     stream = AlertStream(f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint", ranges_per_batch=2)
     with pytest.raises(Exception, match="blocks 3 to 4 are missing"):
         stream.start(spark).awaitTermination()
-    assert not exists(spark, f"{folder}/out/notifications")
+    assert [r["last_block"] for r in read_progress(spark, f"{folder}/out").collect()] in ([2], [])
 
 
 def test_empty_ranges_are_no_gap(spark, log):
@@ -104,7 +106,10 @@ def test_old_days_are_dropped(spark, log):
     # Within the oldest day the rows are cut on reading: blocks 1 and 6 to 9, three seconds each.
     assert len(keys(read_output(spark, out, "2024-01-31 00:00:10"))) == 3
     assert expire(spark, out, "2024-02-01 00:00:00") == 1
-    assert not folders(spark, f"{out}/notifications/batch_id=*/created_date=*")
+    assert read_output(spark, out).count() == 0
+    assert folders(spark, f"{out}/notifications/commit=*/created_date=*")
+    AlertStore(spark, out).log.vacuum(0)
+    assert not folders(spark, f"{out}/notifications/commit=*")
 
 
 def test_one_batch_and_gate(spark, log):
@@ -118,4 +123,29 @@ def test_only_final_blocks_are_published(spark, log):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     assert publish_range(log, folder, 1, 9, 3) == 3
     assert publish_range(log, folder, 4, 9, 3) == 3
-    assert spark.read.parquet(f"{folder}/data").count() == 4
+    assert landed_ops(spark, folder, 0, 99).count() == 4
+
+
+def test_offsets_are_blocks(spark, log):
+    """Ranges landed in files of any time and number; the source goes on by block."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    reader = BlockReader(folder, None)
+    assert reader.initialOffset() == reader.latestOffset() == {"block": -1}
+    assert reader.partitions({"block": -1}, {"block": -1}) == []
+    publish_range(log.repartition(3), folder, 1, 4, 6)
+    assert publish_range(log, folder, 1, 4, 6) == 4  # landed before: nothing is doubled
+    publish_range(log, folder, 5, 9, 6)
+    assert reader.initialOffset() == {"block": 0} and reader.latestOffset() == {"block": 6}
+    parts = lambda *ends: [(p.first, p.last) for p in reader.partitions(*[{"block": b} for b in ends])]
+    assert parts(0, 6) == [(1, 4), (5, 6)] and parts(2, 5) == [(3, 4), (5, 5)] and parts(6, 6) == []
+    assert landed_ops(spark, folder, 1, 99).count() == log.where("block_num <= 6").count()
+    assert landed_ops(spark, folder, 5, 6).inputFiles() != landed_ops(spark, folder, 1, 6).inputFiles()
+    spark.dataSource.register(BlockSource)
+    seen = []
+    for _ in range(2):
+        source = spark.readStream.format("blocks").option("path", folder).option("first", 2).load()
+        query = source.writeStream.foreachBatch(lambda df, n: seen.append(sorted(map(tuple, df.collect())))).option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        publish_range(log, folder, 7, 9, 9)
+    assert [x for x in seen if x] == [[(2, 4), (5, 6)], [(7, 9)]]
