@@ -51,10 +51,12 @@ def follows(last: int, first: int) -> None:
 class AlertStore:
     def __init__(
         self, spark: SparkSession, path: str, compact_every: int = 20, retention_days: int = RETENTION_DAYS,
-        grace_seconds: float = SECONDS_OF_GRACE,
+        grace_seconds: float = SECONDS_OF_GRACE, keep_state: bool = True,
     ):
+        """Without ``keep_state`` account state is kept elsewhere, and comes with every plan."""
         self.spark, self.log = spark, CommitLog(spark, path)
         self.compact_every, self.retention_days, self.grace_seconds = compact_every, retention_days, grace_seconds
+        self.keep_state = keep_state
 
     # Writing --------------------------------------------------------------------------
 
@@ -88,7 +90,7 @@ class AlertStore:
         heads = plan.ops.agg(
             F.max_by("ts", F.struct("block_num", "op_id")).alias("time"), F.count("*").alias("ops")).first()
         time = heads["time"] or (before or {}).get("block_time")
-        earlier = self._earlier(now, plan.snapshot)
+        earlier = self._earlier(now, plan.snapshot) if self.keep_state else None
         log = self.log
         with staging(self.spark) as stage:
             plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
@@ -103,10 +105,11 @@ class AlertStore:
             add += log.write("account_days", _counted(written, F.lit(1)), by_day=True)
             add += log.write("rejects", plan.rejects(resolved), day=None if time is None else str(time)[:10])
             add, remove = self._accounts(now, found, add)
-            add, remove = self._state(now, plan, earlier, blocks[1], add, remove)
+            if self.keep_state:
+                add, remove = self._state(now, plan, earlier, blocks[1], add, remove)
             remove += self._expired(now, None if time is None else str(time))
             done = log.commit(LOG, blocks[1], add, remove, _facts(blocks, time, heads["ops"]))
-        if len(now.of("state")) + 1 >= self.compact_every:
+        if len(now.of("accounts")) + 1 >= self.compact_every:
             log.vacuum(self.grace_seconds)
         return done
 

@@ -2,12 +2,15 @@
 
     spark.dataSource.register(BlockSource)
     spark.readStream.format("blocks").option("path", landing).load()      # first INT, last INT
+    spark.readStream.format("blocks").option("path", landing).option("rows", "operations").load()
 
 A landing is a commit log: every commit adds the final operations of a block range and says up to
 which block the chain is irreversible. The stream's latest offset is the last block that is landed
 and irreversible; a batch's rows are the landed ranges between two offsets. A query that starts
 again goes on by the block in its checkpoint, whatever the files' names and times are. The
-operations themselves are read by Spark from the folders of a range.
+operations themselves are read by Spark from the folders of a range; or, with rows "operations",
+by the source, a task per file, with one more row of the type RANGE_MARK for each range (op_id:
+its first block, block_num: its last).
 
 The commit files are read by pyarrow's file systems (local, HDFS, object stores), as a source's
 reader has no session.
@@ -18,6 +21,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -28,7 +34,9 @@ from chainalerts.sources.commits import CommitLog, Entry, Snapshot, commit_name,
 from chainalerts.sources.op_log import final_ops, scan_ops
 
 RANGES = "first INT, last INT"
+RANGE_MARK = -1
 LANDING = "landing"
+_OPS = [name.split()[0] for name in schemas.OPS.split(", ")]
 
 
 def publish_range(
@@ -45,8 +53,7 @@ def publish_range(
     log = CommitLog(ops.sparkSession, landing)
     done = log.snapshot().last(LANDING)
     if done is None or done["number"] < last:
-        columns = [name.split()[0] for name in schemas.OPS.split(", ")]
-        rows = final_ops(scan_ops(ops, first, last), irreversible_block).select(*columns)
+        rows = final_ops(scan_ops(ops, first, last), irreversible_block).select(*_OPS)
         added = log.write("ops", rows.sortWithinPartitions("op_type_id", "block_num", "op_id"), blocks=(first, last))
         log.commit(LANDING, last, added, facts={"irreversible": irreversible_block})
     return last
@@ -66,9 +73,13 @@ class BlockReader(DataSourceStreamReader):
     def __init__(self, path: str, first: int | None):
         self.path, self.first = path, first
 
-    def _snapshot(self) -> Snapshot:
+    def _located(self) -> tuple[fs.FileSystem, str]:
         system, place = fs.FileSystem.from_uri(self.path)
-        folder = f"{place.rstrip('/')}/_commits"
+        return system, place.rstrip("/")
+
+    def _snapshot(self) -> Snapshot:
+        system, place = self._located()
+        folder = f"{place}/_commits"
 
         def load(name: str) -> dict:
             with system.open_input_stream(f"{folder}/{name}") as stream:
@@ -105,16 +116,54 @@ class BlockReader(DataSourceStreamReader):
         yield partition.first, partition.last
 
 
+class _File(_Range):
+    def __init__(self, path: str, first: int, last: int):
+        super().__init__(first, last)
+        self.path = path
+
+
+class OperationReader(BlockReader):
+    """The landed operations of a batch's ranges, and a mark for each of these."""
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        system, place = self._located()
+        ranges = super().partitions(start, end)
+        parts = list(ranges)
+        for e in self._landed():
+            for r in ranges:
+                if e.first <= r.first and r.last <= e.last:
+                    listed = system.get_file_info(fs.FileSelector(f"{place}/{e.path}"))
+                    parts += [_File(f.path, r.first, r.last) for f in listed if f.path.endswith(".parquet")]
+        return parts
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, _File):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([partition.first], pa.int64()), pa.array([RANGE_MARK], pa.int16()),
+                pa.array([partition.last], pa.int32()), pa.array([None], pa.timestamp("us")),
+                pa.array([None], pa.int32()), pa.array([None], pa.string())], _OPS)
+            return
+        system, _ = self._located()
+        with system.open_input_file(partition.path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(columns=_OPS):
+                block = batch.column("block_num")
+                yield batch.select(_OPS).filter(pc.and_(
+                    pc.greater_equal(block, partition.first), pc.less_equal(block, partition.last)))
+
+
 class BlockSource(DataSource):
-    """Options: path (a landing), first (the block to begin with)."""
+    """Options: path (a landing), first (the block to begin with), rows (ranges or operations)."""
 
     @classmethod
     def name(cls) -> str:
         return "blocks"
 
+    def _operations(self) -> bool:
+        return self.options.get("rows", "ranges") == "operations"
+
     def schema(self) -> str:
-        return RANGES
+        return schemas.OPS if self._operations() else RANGES
 
     def streamReader(self, schema: StructType) -> BlockReader:
-        first = self.options.get("first")
-        return BlockReader(self.options["path"], None if first is None else int(first))
+        first, reader = self.options.get("first"), OperationReader if self._operations() else BlockReader
+        return reader(self.options["path"], None if first is None else int(first))

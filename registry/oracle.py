@@ -387,6 +387,7 @@ def all_oracles() -> dict[str, str]:
         "notifications_written": sql["notifications_all"],
         "notifications_replayed": sql["notifications_all"],
         "accounts_stored": sql["accounts_discovered"],
+        "stream_keyed_state": sql["stream_notifications"],
         "unread_counts_stored": sql["unread_counts"],
         "verification_stored": sql["verification_applied"],
         "stream_resumed": f"""{NOTIF} SELECT {SHOWN} FROM notif, (SELECT max(block) AS l FROM ev)

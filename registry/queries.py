@@ -39,6 +39,7 @@ from chainalerts.sources.event_log import (
     read_mark_ops,
 )
 from chainalerts.sources.sinks import shared_folder, write_text
+from chainalerts.streaming.keyed_state import KeyedAlertStream
 from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
 
 LAST_BLOCK = 2**31 - 1
@@ -852,6 +853,22 @@ def stream_notifications(spark, sf_dir):
     return _shown(read_output(spark, f"{folder}/out"))
 
 
+@query("stream_keyed_state")
+def stream_keyed_state(spark, sf_dir):
+    """The log followed in three queries that share a checkpoint, with account state in the
+    state store; the last blocks are landed while it is off."""
+    ops = event_ops(spark, sf_dir)
+    last = _last_block(ops)
+    folder = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    stream = KeyedAlertStream(f"{folder}/landing", f"{folder}/out", f"{folder}/checkpoint",
+                              transactions=event_transactions(spark, sf_dir))
+    ends = [0, last // 3, last // 2, last]
+    for first, end in zip(ends, ends[1:]):
+        publish_range(ops, f"{folder}/landing", first + (first > 0), end, last)
+        stream.start(spark).awaitTermination()
+    return _shown(read_output(spark, f"{folder}/out"))
+
+
 @query("stream_resumed")
 def stream_resumed(spark, sf_dir):
     """Preload, follow, stop, replay a batch, go on with another stream object; blocks that
