@@ -10,7 +10,7 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainalerts import schemas
@@ -165,10 +165,32 @@ PASSES_FILTER = (
 )
 
 
+def filter_index(rules: DataFrame) -> DataFrame:
+    """Rules with the one pair (``on_key``, ``on_value``) of their filter under which they are
+    looked up: that which the fewest rules of their type ask for.
+
+    Without a filter, or one that only asks for fields that are not there, the pair is NULL:
+    such a rule concerns every operation of its type. A filter that is no map passes nothing,
+    and its rule is left out.
+    """
+    wanted = F.from_json("notif_filter", "map<string,string>")
+    wanted = F.when(F.length("notif_filter") == 0, F.create_map().cast("map<string,string>")).otherwise(wanted)
+    asked = F.map_filter(wanted, lambda _, value: value.isNotNull())
+    pairs = rules.where(wanted.isNotNull()).select("*", F.explode_outer(asked).alias("on_key", "on_value"))
+    rarity = F.count("*").over(Window.partitionBy("op_type_id", "on_key", "on_value"))
+    least = Window.partitionBy("hook_ord").orderBy("rarity", "on_key")
+    return (
+        pairs.withColumn("rarity", rarity).withColumn("n", F.row_number().over(least))
+        .where("n = 1").drop("rarity", "n")
+    )
+
+
 def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
     """Parsed operations x hooks of their type whose filter passes.
 
-    The wanted types go into the scan as a list, before anything else happens.
+    The wanted types go into the scan as a list, before anything else happens. Where hooks have
+    filters, an operation meets those that are looked up by one of its fields, and those
+    without a filter: it costs by its matches, however many hooks there are.
     """
     chosen = catalog.notifying_hooks() if hooks is None else hooks
     types = sorted({hook.op_id for _, hook in chosen})
@@ -176,10 +198,42 @@ def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
         "module", "notif_name", "notif_code", "funct", "op_id AS op_type_id", "notif_filter",
         "hook_ord",
     )
-    matched = values.where(F.col("op_type_id").isin(types)).join(rules, "op_type_id")
-    if any(hook.notif_filter for _, hook in chosen):
-        matched = matched.where(PASSES_FILTER)
-    return matched
+    wanted = values.where(F.col("op_type_id").isin(types))
+    keys = _filter_keys(chosen)
+    if not keys and not any(hook.notif_filter for _, hook in chosen):
+        return wanted.join(rules, "op_type_id")
+    known = literal(keys, "map<string,map<string,boolean>>")
+    entry = "STRUCT<on_key: STRING, on_value: STRING>"
+    looked = wanted.selectExpr("*", f"""inline(concat(
+        array(CAST(NULL AS {entry})),
+        coalesce(transform(map_entries(map_filter(v, (k, x) -> x IS NOT NULL
+            AND coalesce({known}[CAST(op_type_id AS STRING)][k], false))),
+            e -> CAST(named_struct('on_key', e.key, 'on_value', e.value) AS {entry})),
+            CAST(array() AS ARRAY<{entry}>))))""")
+    index = filter_index(rules)
+    same = (
+        (looked["op_type_id"] == index["op_type_id"])
+        & looked["on_key"].eqNullSafe(index["on_key"])
+        & looked["on_value"].eqNullSafe(index["on_value"])
+    )
+    found = looked.join(index, same).where(PASSES_FILTER)
+    return found.select(
+        *[looked[name] for name in values.columns],
+        *[index[name] for name in rules.columns if name != "op_type_id"],
+    )
+
+
+def _filter_keys(chosen) -> dict[str, dict[str, bool]]:
+    """The fields that filters ask for, by operation type."""
+    keys: dict[str, dict[str, bool]] = {}
+    for _, hook in chosen:
+        try:
+            asked = json.loads(hook.notif_filter or "{}")
+        except ValueError:
+            continue
+        if isinstance(asked, dict):
+            keys.setdefault(str(hook.op_id), {}).update(dict.fromkeys(asked, True))
+    return {op: asked for op, asked in keys.items() if asked}
 
 
 def upsert_hooks(stored: DataFrame, loaded: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The stored alerts: what every range of the log left, committed together with its progress.
 
 Tables of the store, each a set of committed folders:
-  notifications   by day, sorted by account within files
+  notifications   by day, sorted by account within files, with Bloom filters of accounts
   verdicts        answers for stored pending notifications, by the notification's day
   account_days    notifications of each account and day, counted when they were written
   accounts        accounts with their first reference, one row each
@@ -100,7 +100,8 @@ class AlertStore:
                 # so Spark knows its size and spreads them where it can.
                 plan.snapshot = latest_state(earlier.join(found.select("account"), "account", "left_semi"))
             resolved = stage(plan.resolved().where("passes OR reason IS NOT NULL"), "resolved")
-            add = log.write("notifications", by_day_and_account(plan.notifications(resolved)), by_day=True)
+            add = log.write(
+                "notifications", by_day_and_account(plan.notifications(resolved)), by_day=True, looked_up=["account"])
             written = log.read("notifications", schemas.NOTIFICATIONS, Snapshot(entries={e.path: e for e in add}))
             add += log.write("account_days", _counted(written, F.lit(1)), by_day=True)
             add += log.write("rejects", plan.rejects(resolved), day=None if time is None else str(time)[:10])
@@ -159,7 +160,8 @@ class AlertStore:
         days = sorted({e.day for e in now.of("verdicts")} | {day for day, n in several.items() if n > 1})
         if not days:
             return []
-        add = self.log.write("notifications", by_day_and_account(self._merged(now, days)), by_day=True)
+        add = self.log.write(
+            "notifications", by_day_and_account(self._merged(now, days)), by_day=True, looked_up=["account"])
         counts = self.log.read("account_days", ACCOUNT_DAYS, now, days)
         add += self.log.write("account_days", _counted(counts, F.col("n")), by_day=True)
         gone = [e for table in ("notifications", "account_days", "verdicts") for e in now.of(table, days)]

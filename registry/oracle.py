@@ -277,6 +277,10 @@ def all_oracles() -> dict[str, str]:
             WHERE (notif_name <> 'gns' OR event_id % 10 <> 9)
               AND (notif_name <> 'sm_token_transfer' OR event_id % 10 = 9)
               AND (notif_name <> 'vote' OR k = 50)""",
+        "hook_filter_many": DISPATCHED + """ SELECT event_id AS op_id, module, notif_name FROM hit WHERE op = 2
+            UNION ALL SELECT event_id, 'wide', 'to_' || lpad(CAST(n AS VARCHAR), 5, '0')
+            FROM ev JOIN range(10000) r(n) ON u = 'u' || CAST(1000 + n AS VARCHAR)
+            WHERE op = 2 AND (n % 2 = 0 OR p = 'u' || CAST(1001 + n + n % 100 AS VARCHAR))""",
         "field_filter": "WITH " + EVENTS + """ SELECT event_id AS op_id, 'id' AS kind FROM ev
             WHERE op = 18 AND event_id % 10 <> 9
             UNION ALL SELECT event_id, 'to' FROM ev WHERE op = 2 AND u = 'u1005'""",

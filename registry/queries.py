@@ -38,7 +38,7 @@ from chainalerts.sources.event_log import (
     blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
     read_mark_ops,
 )
-from chainalerts.sources.sinks import shared_folder, write_text
+from chainalerts.sources.sinks import Staging, shared_folder, write_text
 from chainalerts.streaming.keyed_state import KeyedAlertStream
 from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
 
@@ -285,6 +285,21 @@ def hook_filter(spark, sf_dir):
     )
 
 
+@query("hook_filter_many")
+def hook_filter_many(spark, sf_dir):
+    """Ten thousand filtered hooks: one for each recipient, every other of them for one sender."""
+    entries = {
+        f"to_{n:05d}": {
+            "op_id": 2, "description": "Transfers to one", "function": "core_transfer",
+            "notif_code": "one", "options": {},
+            "filter": {"to": f"u{1000 + n}"} | ({"from": f"u{1001 + n + n % 100}"} if n % 2 else {}),
+        } for n in range(10_000)
+    }
+    wide = {"wide": {"enabled": True, "module_category": "Wide"} | entries}
+    return _dispatched(spark, sf_dir, Catalog.default().register(wide)).where(
+        F.col("op_type_id") == 2).select(*_long("op_id"), "module", "notif_name")
+
+
 @query("field_filter")
 def field_filter(spark, sf_dir):
     ops = event_ops(spark, sf_dir)
@@ -640,6 +655,16 @@ def verification_repeated(spark, sf_dir):
 
 # Account questions --------------------------------------------------------------------
 
+def _answers(plan: AlertPlan, created_at=None) -> tuple[DataFrame, DataFrame]:
+    """Notifications and accounts of a log that is read twice: once for the candidates, once for
+    the preference operations. What follows reads those from the shared folder."""
+    stage = Staging(plan.ops.sparkSession)
+    plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
+    everyone = stage(candidates(plan.ops, plan.catalog, texts=False), "everyone") if plan.hooks else plan.candidates()
+    found = discover(everyone, plan.preference_log())
+    return plan.notifications(), current_accounts(found, plan.preference_log(), plan.catalog, created_at)
+
+
 def _ranked(frame: DataFrame) -> DataFrame:
     return frame.select(*_long("rank"), "account", "created", "remark", "link")
 
@@ -665,7 +690,7 @@ def notifications_by_category(spark, sf_dir):
 @query("transfers_filtered")
 def transfers_filtered(spark, sf_dir):
     return _ranked(ask.transfers(
-        _plan(spark, sf_dir).notifications(), _accounts(spark, sf_dir), AS_OF,
+        *_answers(_plan(spark, sf_dir)), AS_OF,
         currency="HBD", min_amount=5_000, max_amount=400_000,
         min_date="2024-01-05 00:00:00", max_date="2024-01-29 00:00:00",
     ))
@@ -674,7 +699,7 @@ def transfers_filtered(spark, sf_dir):
 @query("votes_filtered")
 def votes_filtered(spark, sf_dir):
     return _ranked(ask.votes(
-        _plan(spark, sf_dir).notifications(), _accounts(spark, sf_dir), AS_OF,
+        *_answers(_plan(spark, sf_dir)), AS_OF,
         min_date="2024-01-12 00:00:00", max_date="2024-01-28 12:00:00",
     ))
 
@@ -682,21 +707,20 @@ def votes_filtered(spark, sf_dir):
 @query("token_transfers_filtered")
 def token_transfers_filtered(spark, sf_dir):
     return _ranked(ask.token_transfers(
-        _token_plan(spark, sf_dir).notifications(), _accounts(spark, sf_dir), AS_OF,
+        *_answers(_token_plan(spark, sf_dir)), AS_OF,
         token="DEC", min_amount=5.0, max_amount=100.0,
     ))
 
 
 @query("unread_counts")
 def unread_counts(spark, sf_dir):
-    return ask.unread_counts(
-        _plan(spark, sf_dir).notifications(), _accounts(spark, sf_dir, AS_OF)
-    )
+    return ask.unread_counts(*_answers(_plan(spark, sf_dir), AS_OF))
 
 
-def _marked_accounts(spark, sf_dir) -> DataFrame:
+def _marked_answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     marks = read_marks(read_mark_ops(events(spark, sf_dir)), Catalog.default())
-    return with_read_marks(_accounts(spark, sf_dir, AS_OF), marks)
+    notifications, accounts = _answers(_plan(spark, sf_dir), AS_OF)
+    return notifications, with_read_marks(accounts, marks)
 
 
 @query("read_marks")
@@ -708,17 +732,13 @@ def read_marks_query(spark, sf_dir):
 @query("transfers_unread_by_code")
 def transfers_unread_by_code(spark, sf_dir):
     """Transfers after the account's own read mark of that code, where it has one."""
-    return _ranked(ask.transfers(
-        _plan(spark, sf_dir).notifications(), _marked_accounts(spark, sf_dir), AS_OF,
-    ))
+    return _ranked(ask.transfers(*_marked_answers(spark, sf_dir), AS_OF))
 
 
 @query("unread_counts_marked")
 def unread_counts_marked(spark, sf_dir):
     """Unread counts where some accounts have marked all as read."""
-    return ask.unread_counts(
-        _plan(spark, sf_dir).notifications(), _marked_accounts(spark, sf_dir)
-    )
+    return ask.unread_counts(*_marked_answers(spark, sf_dir))
 
 
 @query("preferences_module_absent")

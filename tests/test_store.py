@@ -203,6 +203,27 @@ def test_counts_read_one_day_of_notifications(spark, ops):
     assert {r["account"]: r["unread"] for r in store.unread_counts(accounts, own).collect()}["bob"] == 2
 
 
+def scanned(frame):
+    """Rows that the file scan of a plan gave out, before any filter on them."""
+    frame.write.format("noop").mode("overwrite").save()
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    while plan.children().nonEmpty() or "Adaptive" in plan.nodeName():
+        plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan.children().head()
+    return plan.metrics().get("numOutputRows").get().value()
+
+
+def test_one_account_reads_its_row_groups(spark, make_ops):
+    """Every day's file spans all names: only the filters in the files tell who is in it."""
+    store = AlertStore(spark, new_folder())
+    ops = make_ops([(n * 28_800, 2, transfer(who)) for n in range(4) for who in ("aaa", f"mmm{n}", "zzz")])
+    store.append(AlertPlan(ops), (0, 4 * 28_800))
+    rows = store.notifications().select("account", "remark")
+    assert scanned(rows) == 12
+    assert scanned(rows.where("account = 'mmm2'")) == 3 and rows.where("account = 'mmm2'").count() == 1
+    assert scanned(rows.where("account = 'mmm7'")) == 0
+
+
 def test_folders_stay_as_many(spark, make_ops):
     """Over many batches: staged frames, state, accounts and old days all go."""
     store = AlertStore(spark, new_folder(), compact_every=3, retention_days=1, grace_seconds=0)
