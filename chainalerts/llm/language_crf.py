@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainalerts.llm.common import LOWER, chunks, mix, row_key, span_hashes, table, text_bytes, word_spans
+from chainalerts.llm.common import LOWER, chunks, mix, row_key, span_hashes, table, text_bytes, word_spans, written
 
 BUCKETS, CHAIN, CHARS, PER_LABEL = 1 << 17, 256, 3000, 300
 MOST_LABELS = 64  # the most frequent; bounds sample and model whatever the labels are
@@ -226,15 +226,17 @@ def remainder(id_col: str) -> Column:
 def training_sample(documents: DataFrame, per_label: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
     """At most per_label texts of each of the MOST_LABELS most frequent labels: those with the
     lowest hash of id and text. Equal rows count once, so no repeated id or text fills a sample or
-    pushes a label out of it. Only names of rows are ranked, each task sending per_label of a label
-    at most; the texts that are asked for follow."""
+    pushes a label out of it. Names of rows are thinned by their hash to about twice as many as are
+    asked for, and only these are ranked; the texts of the chosen ones follow."""
     rows = documents.filter((remainder(id_col) != 1) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(label_col).alias("label"), row_key(id_col, text_col)[0].alias("v"),
                        F.substring(text_col, 1, CHARS).alias("text"))
-    counts = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS)
-    names = rows.select("label", "v").join(F.broadcast(counts.select("label")), "label").distinct()
-    least = Window.partitionBy("label").orderBy("v")
-    names = names.withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= per_label).drop("__n")
+    names = written(rows.select("label", "v").distinct(), "names")
+    counts = names.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS)
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_label) / F.col("count"))
+    few = names.join(F.broadcast(counts), "label").filter(F.pmod("v", F.lit(1 << 30)) < share * (1 << 30))
+    least = Window.partitionBy("label").orderBy(F.pmod("v", F.lit(1 << 30)), "v")
+    names = few.withColumn("__n", F.row_number().over(least)).filter(F.col("__n") <= per_label).select("label", "v")
     chosen = rows.join(F.broadcast(names), ["label", "v"]).groupBy("label", "v").agg(F.min("text").alias("text"))
     found = chosen.collect()  # at most MOST_LABELS * per_label
     return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["label"], r["v"]))]
