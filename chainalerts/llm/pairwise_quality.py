@@ -12,8 +12,8 @@ lines; words that repeat their predecessor; words that end in a symbol. Whole te
 Scale: texts are read once, in map tasks, and their features (some 40 numbers) are written to the
 shared folder; labels are joined to these. A hot id is split by Spark, as both sides are tables.
 The weights are learnt from at most PER_LABEL documents of each label and PAIRS pairs for each
-(documented bounds): the least by a hash of label and features, equal ones taken once, each task
-sending no more than that. The threshold is taken from all labelled training documents, by counts
+(documented bounds): chosen by a hash of label and features, equal ones taken once, all tasks
+together sending about twice that. The threshold is taken from all labelled training documents, by counts
 over BINS score bins. Everything else covers all data, alike at every size.
 
 Defined cases: null text is empty; empty texts have features too and get a score; repeated rows
@@ -222,9 +222,13 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", per_la
     known = written(known, "training")
     once = known.groupBy(F.xxhash64("label", "features").alias("h")).agg(
         F.first("label").alias("label"), F.first("features").alias("features"))
+    n = {r["label"]: r["count"] for r in once.groupBy("label").count().collect()}
     sample = []
     for label in (0, 1):
-        least = once.filter(F.col("label") == label).orderBy("h").limit(per_label).select("features")
+        # About twice as many by the hash's value, then exactly: the tasks send no more together.
+        below = int(min(1.0, 2 * per_label / max(1, n.get(label, 0))) * (1 << 30))
+        few = once.filter((F.col("label") == label) & (F.pmod("h", F.lit(1 << 30)) < below))
+        least = few.orderBy("h").limit(per_label).select("features")
         sample.append(np.array([r["features"] for r in least.collect()], float))
     bad, good = sample
     if not len(bad) or not len(good):
