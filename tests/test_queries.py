@@ -6,8 +6,8 @@ from registry.queries import all_queries
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-# Runs for a minute; tests/test_stream.py covers streams, tools/check.py this query.
-SLOW = {"stream_notifications", "stream_resumed"}
+# They run for a minute; tests of the streams cover them, tools/check.py these queries.
+SLOW = {"stream_notifications", "stream_resumed", "stream_keyed_state"}
 
 
 @pytest.fixture(scope="module")
