@@ -25,7 +25,7 @@ from chainalerts.operators.hooks import Catalog
 def check_account(account: str) -> str:
     """``@name`` -> ``name``."""
     if "@" not in account:
-        raise ValueError("missing '@' in account")
+        raise ValueError(f"an account is asked for as @name, not as {account}")
     return check_name(account.replace("@", ""))
 
 
@@ -37,13 +37,13 @@ def check_name(name: str) -> str:
 
 def check_module(catalog: Catalog, module: str | None) -> str | None:
     if module and module not in catalog.module_list():
-        raise ValueError("the module is not valid or is unavailable at the moment")
+        raise ValueError(f"unknown module: {module}; known: {catalog.module_list()}")
     return module
 
 
 def check_code(code: str | None) -> str | None:
     if code and len(code) != 3:
-        raise ValueError("invalid notif_code, must be a 3 char value")
+        raise ValueError(f"a notification code has three characters, unlike {code}")
     return code
 
 
