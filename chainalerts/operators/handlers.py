@@ -9,15 +9,22 @@ is read and parsed once whatever the number of rules. A handler reads:
   its first declared amount; 2 and 3 likewise;
 * ``nodes.key.field``: a field of a declared JSON node;
 * its own computed columns by name, each of them worked out once.
+
+Handlers need no Python: a rule file may give one as SQL (``sql_handler``), or name an SQL function
+that was created in the session (``function_handler``). Either ends up in the same CASE, as
+Spark puts an SQL function's body in its call's place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from chainalerts.constants import (
     ASSET_IDS, ASSETS, HBD, LINK_BASE, MAX_ACCOUNT, MAX_ASSET, MAX_MEMO, MAX_TEXT,
@@ -31,11 +38,12 @@ from chainalerts.functions.text import (
 # ``gate_account`` is whose preferences decide. The row is dropped when ``limit_value`` is
 # below the account's option ``limit_key``. ``error`` rejects the row at once,
 # ``error_if_sent`` only if the preferences let it through.
-RECIPIENT = (
-    "STRUCT<account: STRING, gate_account: STRING, gate: BOOLEAN, remark: STRING, "
-    "link: STRING, verified: BOOLEAN, limit_key: STRING, limit_value: DOUBLE, "
-    "error: STRING, error_if_sent: STRING>"
-)
+_FIELDS = {
+    "account": "STRING", "gate_account": "STRING", "gate": "BOOLEAN", "remark": "STRING",
+    "link": "STRING", "verified": "BOOLEAN", "limit_key": "STRING", "limit_value": "DOUBLE",
+    "error": "STRING", "error_if_sent": "STRING",
+}
+RECIPIENT = "STRUCT<" + ", ".join(f"{name}: {kind}" for name, kind in _FIELDS.items()) + ">"
 NOBODY = f"CAST(array() AS ARRAY<{RECIPIENT}>)"
 NO_TEXT = "CAST(NULL AS STRING)"
 SEMANTICS = ("reference", "fixed")
@@ -74,6 +82,61 @@ def register_handler(
     )
 
 
+def sql_handler(name: str, parts: dict) -> str:
+    """Register a handler given as SQL; gives the name under which hooks call it.
+
+    ``parts`` holds expressions over what a handler reads: ``account`` and any other field of
+    RECIPIENT; ``each``, an array of which every element, called ``item``, makes a row (without
+    it there is one row); ``where``, a condition on a row. ``amounts``, ``nodes`` and ``computed``
+    are those of ``register_handler``. A row whose condition or ``gate`` is NULL is none, and one
+    whose account is NULL is a reject. Equal definitions share a name, others do not meet.
+    """
+    declared = {key: parts.get(key) for key in ("amounts", "nodes", "computed")}
+    own = {key: value for key, value in parts.items() if key not in declared}
+    unknown = sorted(set(own) - {"each", "where", *_FIELDS})
+    if unknown:
+        raise ValueError(f"handler {name} gives unknown parts: {unknown}")
+    if "account" not in own:
+        raise ValueError(f"handler {name} gives no account")
+    wrong = sorted(key for key, value in own.items() if not isinstance(value, str) or not value.strip())
+    if wrong:
+        raise ValueError(f"handler {name}: {wrong} have to be SQL texts")
+    digest = hashlib.md5(json.dumps([name, parts], sort_keys=True).encode()).hexdigest()
+    key = "".join(c for c in name if c.isalnum() or c == "_") + ":" + digest
+    register_handler(key, lambda semantics: _rows(
+        own.get("each"), own.get("where", "true"), {k: own[k] for k in _FIELDS if k in own}), **declared)
+    return key
+
+
+def function_handler(spark: SparkSession, name: str) -> Handler:
+    """The session's SQL function ``name`` as a handler.
+
+    Its argument is the map ``v``. It returns an array of structs with ``account`` and any other
+    fields of RECIPIENT, or the struct of one row; NULL is no recipient.
+    """
+    shape = spark.sql(f"SELECT {name}(CAST(map() AS MAP<STRING,STRING>)) AS r").schema["r"].dataType
+    many = isinstance(shape, ArrayType)
+    row = shape.elementType if many else shape
+    if not isinstance(row, StructType) or "account" not in row.names or set(row.names) - set(_FIELDS):
+        raise ValueError(f"function {name} returns no recipients: {shape.simpleString()}")
+    fields = {key: f"item.{key}" for key in row.names}
+    called = f"{name}(v)" if many else f"array({name}(v))"
+    return Handler(lambda semantics: _rows(called, "item IS NOT NULL", fields))
+
+
+def _rows(each: str | None, where: str, fields: dict[str, str]) -> str:
+    """Recipients of expressions; each is brought to its field's type."""
+    typed = {
+        key: f"CAST(({value}) AS {_FIELDS[key]})" for key, value in fields.items()
+    }
+    if "gate" in typed:
+        typed["gate"] = f"coalesce({typed['gate']}, false)"
+    row = recipient(**{"remark": NO_TEXT, "link": NO_TEXT} | typed)
+    if each is None:
+        return only_if(f"coalesce({where}, false)", row)
+    return f"transform(filter({each}, item -> coalesce({where}, false)), item -> {row})"
+
+
 def _handler(name: str, **declared):
     def add(function):
         register_handler(name, function, **declared)
@@ -83,10 +146,22 @@ def _handler(name: str, **declared):
 
 
 def _chosen(functions: Iterable[str]) -> dict[str, Handler]:
-    missing = sorted(set(functions) - set(_handlers))
+    chosen, missing = {}, []
+    for name in sorted(set(functions)):
+        handler = _handlers.get(name) or _of_session(name)
+        if handler is None:
+            missing.append(name)
+        else:
+            chosen[name] = handler
     if missing:
         raise ValueError(f"no handler registered for {missing}")
-    return {name: _handlers[name] for name in sorted(set(functions))}
+    return chosen
+
+
+def _of_session(name: str) -> Handler | None:
+    spark = SparkSession.getActiveSession()
+    known = spark is not None and name.isidentifier() and spark.catalog.functionExists(name)
+    return function_handler(spark, name) if known else None
 
 
 def _case(subject: str, branches: dict, otherwise: str = "NULL") -> str:

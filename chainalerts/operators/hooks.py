@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from chainalerts import schemas
 from chainalerts.constants import MODULE_PATTERN, PREFERENCE_FUNCTION, RULES
+from chainalerts.operators.handlers import sql_handler
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,8 @@ class Catalog:
     def register(self, rules: dict[str, dict]) -> Catalog:
         """Insert or update hooks by (module, notif_name).
 
-        An update of a known module changes its flag and its hooks, not its category.
+        An update of a known module changes its flag and its hooks, not its category. A hook
+        names its handler as ``function``; with ``sql`` it brings the handler along.
         """
         modules = dict(self.modules)
         hooks = {(hook.module, hook.notif_name): hook for hook in self.hooks}
@@ -65,13 +67,21 @@ class Catalog:
             for name, entry in entries.items():
                 if name in ("enabled", "module_category"):
                     continue
+                function = entry["function"].rsplit(".", 1)[-1]
+                if "sql" in entry:
+                    function = sql_handler(function, entry["sql"])
                 hooks[module, name] = Hook(
                     module, name, entry["notif_code"], entry["description"],
-                    entry["function"].rsplit(".", 1)[-1], int(entry["op_id"]),
+                    function, int(entry["op_id"]),
                     _filter_text(entry.get("filter", "")), dict(entry.get("options", {})),
                 )
         return Catalog(modules, tuple(hooks[key] for key in sorted(hooks)))
 
+    def merged(self, other: Catalog) -> Catalog:
+        """Both catalogs' modules and hooks; of equal keys those of ``other``."""
+        hooks = {(hook.module, hook.notif_name): hook for hook in self.hooks + other.hooks}
+        return Catalog(self.modules | other.modules, tuple(hooks[key] for key in sorted(hooks)))
+
     def set_enabled(self, module: str, enabled: bool) -> Catalog:
         if module not in self.modules:
             raise ValueError(f"unknown module: {module}")

@@ -422,6 +422,14 @@ def all_oracles() -> dict[str, str]:
         "preferences_module_absent": REFERENCED + " SELECT account, NULL::VARCHAR AS prefs, prefs AS all_prefs FROM acc",
     }
     sql["rejects_replayed"] = sql["rejects"]
+    sql["handler_sql_file"] = sql["custom_handler"]
+    sql["handler_sql_function"] = "WITH " + EVENTS + """, ends AS (
+        SELECT *, p AS account, 'given to ' || u AS remark FROM ev WHERE op = 72 AND k >= 90
+        UNION ALL SELECT *, u, 'got from ' || p FROM ev WHERE op = 72 AND k >= 90)
+        SELECT block || ':' || event_id || ':8:' || account AS notif_key, block AS block_num, event_id AS op_id,
+            8::BIGINT AS hook_ord, NULL::VARCHAR AS trx_id, account, 'custom' AS module_name, 'str' AS notif_code,
+            ts AS created, remark, k::VARCHAR AS link, true AS verified FROM ends
+        WHERE account IN (SELECT u FROM ev)"""
     hook_of = {
         "notif_transfer": 4, "notif_delegation": 6, "notif_author_reward": 2,
         "notif_benefactor_reward": 3, "notif_curation_reward": 5, "notif_convert": 7,

@@ -581,6 +581,46 @@ def custom_handler(spark, sf_dir):
     return _shown(plan.notifications())
 
 
+STRONG_VOTE = {
+    "enabled": True, "module_category": "Custom",
+    "strong": {"op_id": 72, "description": "Strong votes", "function": "custom.strong_vote",
+               "notif_code": "str", "filter": "", "options": {}},
+}
+
+
+def _of_rule_file(spark, sf_dir, module: str, rule: dict) -> DataFrame:
+    """What the hooks of a rule file lead to, for accounts that have its module on."""
+    folder = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    write_text(spark, f"{folder}/{module}/hooks.json", json.dumps(rule))
+    catalog = Catalog.default().merged(Catalog.read(spark, folder))
+    chosen = [item for item in catalog.notifying_hooks() if item[1].module == module]
+    plan = _plan(spark, sf_dir, catalog=catalog, hooks=chosen,
+                 snapshot=_all_codes_state(spark, sf_dir, module))
+    return _shown(plan.notifications())
+
+
+@query("handler_sql_file")
+def handler_sql_file(spark, sf_dir):
+    """A rule file whose hook brings its handler along as SQL."""
+    sql = {
+        "where": "try_cast(v['weight'] AS INT) >= 90", "account": "v['voter']", "gate_account": "v['author']",
+        "remark": "concat('you voted with ', v['weight'])", "link": "concat('https://hive.blog/@', v['author'])",
+    }
+    return _of_rule_file(spark, sf_dir, "custom", STRONG_VOTE | {"strong": STRONG_VOTE["strong"] | {"sql": sql}})
+
+
+@query("handler_sql_function")
+def handler_sql_function(spark, sf_dir):
+    """A rule file whose hook names an SQL function: voter and author of a strong vote."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION strong_vote_ends(v MAP<STRING,STRING>)
+        RETURNS ARRAY<STRUCT<account: STRING, remark: STRING, link: STRING>>
+        RETURN IF(try_cast(v['weight'] AS INT) >= 90, array(
+            named_struct('account', v['voter'], 'remark', concat('given to ', v['author']), 'link', v['weight']),
+            named_struct('account', v['author'], 'remark', concat('got from ', v['voter']), 'link', v['weight'])), NULL)""")
+    hook = STRONG_VOTE["strong"] | {"function": "custom.strong_vote_ends"}
+    return _of_rule_file(spark, sf_dir, "custom", STRONG_VOTE | {"strong": hook})
+
+
 @query("notifications_fixed")
 def notifications_fixed(spark, sf_dir):
     """Corrected semantics: conversion labels and the recipient of a reply."""
