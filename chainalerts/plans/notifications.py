@@ -2,7 +2,9 @@
 
     ops -> parse once -> x hooks -> recipients -> as-of state -> gates -> x transactions
 
-The transactions are joined last: only rows that became notifications need a hash.
+The transactions are joined last: only rows that became notifications need a hash. Where both
+logs lie in the same buckets (``chainalerts.sources.colocated``) they are joined first: that takes
+no exchange, and spares the notifications theirs.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from chainalerts.operators.asof import BUCKET_OPS, asof_state
 from chainalerts.operators.handlers import parse_declared, recipients
 from chainalerts.operators.hooks import Catalog, dispatch, literal
 from chainalerts.operators.preferences import preference_log, state_changes
-from chainalerts.sources.op_log import parse_values
+from chainalerts.sources.op_log import parse_values, with_transactions
 
 NOTIF_COLUMNS = [
     "notif_key", "block_num", "op_id", "hook_ord", "trx_id", "account", "module_name",
@@ -39,7 +41,7 @@ def candidates(
     functions = [hook.funct for _, hook in chosen]
     matched = parse_declared(dispatch(parse_values(ops), catalog, chosen), functions)
     names = ["block_num", "op_id", "hook_ord", "module", "notif_name", "notif_code", "ts",
-             "trx_in_block", "body"]
+             "trx_in_block", "body", *(["trx_hash"] if "trx_hash" in ops.columns else [])]
     rows = (
         matched.select(*names, recipients(functions, semantics, texts).alias("who"))
         # The outer form keeps the optimizer from testing the array's size below the
@@ -109,6 +111,7 @@ class AlertPlan:
     semantics: str = "reference"
     bucket_ops: int = BUCKET_OPS
     hooks: list | None = None
+    hashes_first: bool = False
 
     def __post_init__(self):
         self._candidates: DataFrame | None = None
@@ -121,7 +124,10 @@ class AlertPlan:
     def candidates(self) -> DataFrame:
         if self._candidates is not None:
             return self._candidates
-        return candidates(self.ops, self.catalog, self.semantics, self.hooks)
+        ops = self.ops
+        if self.hashes_first and self.transactions is not None:
+            ops = with_transactions(ops, self.transactions)
+        return candidates(ops, self.catalog, self.semantics, self.hooks)
 
     def places(self) -> DataFrame:
         """Whose state is asked for and where: the candidates without their texts."""
@@ -154,7 +160,10 @@ class AlertPlan:
             f"{NOTIFICATION_KEY} AS notif_key", "block_num", "op_id", "hook_ord",
             "trx_in_block", "account", "module AS module_name", "notif_code", "ts AS created",
             "remark", "body AS payload", "link", "verified", "to_date(ts) AS created_date",
+            *(["trx_hash AS trx_id"] if "trx_hash" in rows.columns else []),
         )
+        if "trx_id" in sent.columns:
+            return sent.select(*NOTIF_COLUMNS)
         if self.transactions is None:
             sent = sent.withColumn("trx_id", F.lit(None).cast("binary"))
         else:

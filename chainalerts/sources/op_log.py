@@ -20,10 +20,8 @@ def write_ops(ops: DataFrame, path: str, bucket: int = BLOCK_BUCKET) -> None:
     A directory is named by its bucket's first and last block, so a reader needs to know
     nothing of ``bucket``, and logs landed with different sizes can lie side by side.
     """
-    first = F.floor(F.col("block_num") / F.lit(bucket)) * bucket
     (
-        ops.withColumn("bucket_first", first.cast("int"))
-        .withColumn("bucket_last", (first + (bucket - 1)).cast("int"))
+        in_directories(ops, bucket)
         .hint("rebalance", "bucket_first")
         .sortWithinPartitions("bucket_first", "op_type_id", "block_num", "op_id")
         .write.partitionBy("bucket_first", "bucket_last")
@@ -32,6 +30,13 @@ def write_ops(ops: DataFrame, path: str, bucket: int = BLOCK_BUCKET) -> None:
     )
 
 
+def in_directories(rows: DataFrame, bucket: int) -> DataFrame:
+    """Add the first and last block of each row's block bucket, by which directories are named."""
+    first = F.floor(F.col("block_num") / F.lit(bucket)) * bucket
+    return rows.withColumn("bucket_first", first.cast("int")).withColumn(
+        "bucket_last", (first + (bucket - 1)).cast("int"))
+
+
 def read_ops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.OPS + ", bucket_first INT, bucket_last INT").parquet(path)
 

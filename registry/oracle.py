@@ -422,6 +422,8 @@ def all_oracles() -> dict[str, str]:
         "preferences_module_absent": REFERENCED + " SELECT account, NULL::VARCHAR AS prefs, prefs AS all_prefs FROM acc",
     }
     sql["rejects_replayed"] = sql["rejects"]
+    sql["ops_with_trx_colocated"] = sql["ops_with_trx"] + " WHERE block BETWEEN 20 AND 61"
+    sql["notifications_colocated"] = sql["notifications_all"]
     sql["handler_sql_file"] = sql["custom_handler"]
     sql["handler_sql_function"] = "WITH " + EVENTS + """, ends AS (
         SELECT *, p AS account, 'given to ' || u AS remark FROM ev WHERE op = 72 AND k >= 90

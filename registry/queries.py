@@ -34,6 +34,7 @@ from chainalerts.plans.jobs import preload_state
 from chainalerts.plans.notifications import AlertPlan, candidates
 from chainalerts.plans.store import AlertStore, run_batch
 from chainalerts.sources import op_log
+from chainalerts.sources.colocated import ColocatedLog
 from chainalerts.sources.event_log import (
     blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
     read_mark_ops,
@@ -65,6 +66,13 @@ def _joined(codes) -> F.Column:
     return F.array_join(F.array_sort(codes), ",")
 
 
+def _colocated(spark, sf_dir) -> ColocatedLog:
+    """The log and its transactions, landed in the same buckets."""
+    log = ColocatedLog(spark, f"{shared_folder(spark)}/colocated-{uuid.uuid4().hex}", buckets=8, block_bucket=2000)
+    log.land(event_ops(spark, sf_dir), event_transactions(spark, sf_dir))
+    return log
+
+
 def _long(*names: str) -> list:
     return [F.col(name).cast("bigint").alias(name) for name in names]
 
@@ -188,6 +196,13 @@ def ops_with_trx(spark, sf_dir):
     )
 
 
+@query("ops_with_trx_colocated")
+def ops_with_trx_colocated(spark, sf_dir):
+    """A block range of both logs, joined bucket by bucket."""
+    joined = _colocated(spark, sf_dir).joined(20, 61)
+    return joined.select(*_long("op_id", "block_num"), F.lower(F.hex("trx_hash")).alias("trx_hash"))
+
+
 @query("range_split")
 def range_split(spark, sf_dir):
     """Block ranges of the whole log with the operations each of them holds."""
@@ -621,6 +636,12 @@ def handler_sql_function(spark, sf_dir):
     return _of_rule_file(spark, sf_dir, "custom", STRONG_VOTE | {"strong": hook})
 
 
+@query("notifications_colocated")
+def notifications_colocated(spark, sf_dir):
+    """A log that lies in the same buckets as its transactions: hashes are joined in place."""
+    return _shown(_colocated(spark, sf_dir).alert_plan(0, LAST_BLOCK).notifications())
+
+
 @query("notifications_fixed")
 def notifications_fixed(spark, sf_dir):
     """Corrected semantics: conversion labels and the recipient of a reply."""
