@@ -74,12 +74,14 @@ class AlertStore:
         last = self.log.snapshot().last(LOG)
         return last is not None and blocks[1] <= last["number"]
 
-    def append(self, plan: AlertPlan, blocks: tuple[int, int]) -> bool:
+    def append(self, plan: AlertPlan, blocks: tuple[int, int], heads: dict | None = None) -> bool:
         """Commit what the operations of ``blocks`` lead to; False if they were committed before.
 
         The log is parsed once: candidates and preference operations are staged, and every later
         step (and every retry after a lost executor) reads those. ``plan.snapshot`` is what
-        was before the store's first range. Other ranges have to go on where the log ended."""
+        was before the store's first range. Other ranges have to go on where the log ended.
+        ``heads`` gives the number of operations (``ops``) and the last one's ``time`` where they are
+        known from the landing; otherwise these two columns are read."""
         now = self.log.snapshot()
         last = now.last(LOG)
         if last is not None and blocks[1] <= last["number"]:
@@ -87,8 +89,9 @@ class AlertStore:
         before = last or now.last(OPENING)
         if before is not None:
             follows(before["number"], blocks[0])
-        heads = plan.ops.agg(
-            F.max_by("ts", F.struct("block_num", "op_id")).alias("time"), F.count("*").alias("ops")).first()
+        if heads is None:
+            heads = plan.ops.agg(
+                F.max_by("ts", F.struct("block_num", "op_id")).alias("time"), F.count("*").alias("ops")).first()
         time = heads["time"] or (before or {}).get("block_time")
         earlier = self._earlier(now, plan.snapshot) if self.keep_state else None
         log = self.log

@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -54,7 +56,12 @@ def publish_range(
     done = log.snapshot().last(LANDING)
     if done is None or done["number"] < last:
         rows = final_ops(scan_ops(ops, first, last), irreversible_block).select(*_OPS)
-        added = log.write("ops", rows.sortWithinPartitions("op_type_id", "block_num", "op_id"), blocks=(first, last))
+        # Counted by the tasks that write the files, so nothing is read for it.
+        seen = Observation()
+        rows = rows.sortWithinPartitions("op_type_id", "block_num", "op_id").observe(
+            seen, F.count("*").alias("rows"), F.max("op_id").alias("head_op"),
+            F.max_by("ts", F.struct("block_num", "op_id")).cast("string").alias("head_time"))
+        added = [replace(e, **seen.get) for e in log.write("ops", rows, blocks=(first, last))]
         log.commit(LANDING, last, added, facts={"irreversible": irreversible_block})
     return last
 
@@ -64,6 +71,24 @@ def landed_ops(spark: SparkSession, landing: str, first: int, last: int) -> Data
     return scan_ops(CommitLog(spark, landing).read("ops", schemas.OPS, blocks=(first, last)), first, last)
 
 
+def landed_heads(spark: SparkSession, landing: str, first: int, last: int) -> dict | None:
+    """Number (``ops``), greatest id (``head_op``) and last time (``time``) of the operations of
+    ``first..last``, as observed when they were landed. No operation is read.
+
+    None if these blocks are no whole number of landed ranges.
+    """
+    held = CommitLog(spark, landing).snapshot().of("ops")
+    inside = sorted((e for e in held if first <= e.first and e.last <= last), key=lambda e: e.first)
+    ends = [first - 1] + [e.last for e in inside]
+    whole = [e.first for e in inside] == [end + 1 for end in ends[:-1]] and ends[-1] == last
+    if not whole or any(e.rows is None for e in inside):
+        return None
+    times = [e.head_time for e in inside if e.head_time is not None]
+    heads = [e.head_op for e in inside if e.head_op is not None]
+    return {"ops": sum(e.rows for e in inside), "head_op": max(heads, default=None),
+            "time": times[-1] if times else None}
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last

@@ -20,7 +20,7 @@ from chainalerts.plans.jobs import preload_state
 from chainalerts.plans.notifications import AlertPlan
 from chainalerts.plans.status import system_status
 from chainalerts.plans.store import SECONDS_OF_GRACE, AlertStore, follows
-from chainalerts.sources.block_source import BlockSource, landed_ops, publish_range
+from chainalerts.sources.block_source import BlockSource, landed_heads, landed_ops, publish_range
 from chainalerts.sources.op_log import scan_ops
 
 @dataclass
@@ -92,14 +92,16 @@ class AlertStream:
             for (_, last), (first, _) in zip(taken, taken[1:]):
                 follows(last, first)
             blocks = taken[0][0], taken[-1][1]
-            self.process(landed_ops(spark, self.landing, *blocks), blocks)
+            heads = landed_heads(spark, self.landing, *blocks)
+            self.process(landed_ops(spark, self.landing, *blocks), blocks, heads)
 
-    def process(self, ops: DataFrame, blocks: tuple[int, int]) -> bool:
-        """Process the operations of the block range ``blocks``; False if it was done before."""
+    def process(self, ops: DataFrame, blocks: tuple[int, int], heads: dict | None = None) -> bool:
+        """Process the operations of the block range ``blocks``; False if it was done before.
+        ``heads`` are those observed when they were landed, if they were."""
         transactions = self.transactions and scan_ops(self.transactions, *blocks)
         plan = AlertPlan(
             ops, self.catalog, transactions, snapshot=self.initial_state, semantics=self.semantics)
-        return self.store(ops.sparkSession).append(plan, blocks)
+        return self.store(ops.sparkSession).append(plan, blocks, heads)
 
 
 def expire(spark: SparkSession, out: str, as_of: str) -> int:

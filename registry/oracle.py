@@ -422,6 +422,13 @@ def all_oracles() -> dict[str, str]:
         "preferences_module_absent": REFERENCED + " SELECT account, NULL::VARCHAR AS prefs, prefs AS all_prefs FROM acc",
     }
     sql["rejects_replayed"] = sql["rejects"]
+    sql["landed_heads"] = "WITH " + EVENTS + """, l AS (SELECT max(block) AS last, max(block) // 4 + 1 AS size FROM ev),
+        ends AS (SELECT unnest(range(0, last + 1, size)) AS first_block, size, last FROM l),
+        ranges AS (SELECT first_block, least(first_block + size - 1, last) AS last_block FROM ends
+            UNION ALL SELECT 0, last FROM l)
+        SELECT first_block, last_block, count(*) AS ops, max(event_id) AS head_op_id,
+            arg_max(ts, event_id) AS block_time
+        FROM ranges JOIN ev ON block BETWEEN first_block AND last_block GROUP BY first_block, last_block"""
     sql["ops_with_trx_colocated"] = sql["ops_with_trx"] + " WHERE block BETWEEN 20 AND 61"
     sql["notifications_colocated"] = sql["notifications_all"]
     sql["handler_sql_file"] = sql["custom_handler"]

@@ -33,7 +33,7 @@ from chainalerts.plans import status as state
 from chainalerts.plans.jobs import preload_state
 from chainalerts.plans.notifications import AlertPlan, candidates
 from chainalerts.plans.store import AlertStore, run_batch
-from chainalerts.sources import op_log
+from chainalerts.sources import block_source, op_log
 from chainalerts.sources.colocated import ColocatedLog
 from chainalerts.sources.event_log import (
     blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
@@ -934,6 +934,23 @@ def stream_notifications(spark, sf_dir):
     return _shown(read_output(spark, f"{folder}/out"))
 
 
+@query("landed_heads")
+def landed_heads(spark, sf_dir):
+    """Heads of ranges of the log, observed by the write that landed them."""
+    ops = event_ops(spark, sf_dir)
+    last = _last_block(ops)
+    landing, size = f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}", last // 4 + 1
+    starts = range(0, last + 1, size)
+    for first in starts:
+        publish_range(ops, landing, first, first + size - 1, last)
+    ends = [(first, min(first + size - 1, last)) for first in starts] + [(0, last)]
+    found = [block_source.landed_heads(spark, landing, *blocks) for blocks in ends]
+    return spark.createDataFrame(
+        [(*blocks, heads["ops"], heads["head_op"], heads["time"]) for blocks, heads in zip(ends, found)],
+        "first_block BIGINT, last_block BIGINT, ops BIGINT, head_op_id BIGINT, block_time STRING",
+    ).withColumn("block_time", F.col("block_time").cast("timestamp_ntz"))
+
+
 @query("stream_keyed_state")
 def stream_keyed_state(spark, sf_dir):
     """The log followed in three queries that share a checkpoint, with account state in the

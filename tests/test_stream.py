@@ -1,11 +1,12 @@
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from chainalerts.plans.notifications import AlertPlan
 from chainalerts.plans.status import sync_allowed
 from chainalerts.plans.store import AlertStore
-from chainalerts.sources.block_source import BlockReader, BlockSource, landed_ops
+from chainalerts.sources.block_source import BlockReader, BlockSource, landed_heads, landed_ops
 from chainalerts.sources.sinks import folders
 from chainalerts.streaming.sync import (
     AlertStream, expire, publish_range, read_output, read_progress,
@@ -58,6 +59,19 @@ def test_stream_equals_batch(spark, log):
         stream.process(log.where("false"), (12, 13))
 
 
+def test_progress_of_a_stream_is_what_was_landed(spark, log, monkeypatch):
+    """Nothing is read for it: the store gets its heads with each range."""
+    given = []
+    append = AlertStore.append
+    monkeypatch.setattr(AlertStore, "append", lambda store, plan, blocks, heads=None: (
+        given.append(heads), append(store, plan, blocks, heads))[1])
+    folder, _ = follow(spark, log, [(1, 3), (4, 9)])
+    assert [h["ops"] for h in given] == [4, log.count() - 4]
+    done = read_progress(spark, f"{folder}/out").orderBy("batch_id").collect()
+    want = [log.where(where).agg(F.count("*"), F.max("ts")).first() for where in ("block_num < 4", "block_num > 3")]
+    assert [(r["ops"], r["block_time"]) for r in done] == [tuple(w) for w in want]
+
+
 def test_a_gap_stops_the_stream(spark, log):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     for first, last in ((1, 2), (5, 6)):
@@ -126,6 +140,21 @@ def test_only_final_blocks_are_published(spark, log):
     assert landed_ops(spark, folder, 0, 99).count() == 4
 
 
+def test_heads_come_from_the_landing(spark, log):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    publish_range(log.repartition(3), folder, 1, 4, 9)
+    publish_range(log.where("false"), folder, 5, 5, 9)
+    publish_range(log, folder, 6, 9, 9)
+    for first, last in [(1, 4), (6, 9), (1, 9), (5, 9)]:
+        rows = log.where(F.col("block_num").between(first, last) & (F.col("block_num") != 5))
+        want = rows.agg(F.count("*"), F.max("op_id"), F.max("ts").cast("string")).first()
+        heads = landed_heads(spark, folder, first, last)
+        assert (heads["ops"], heads["head_op"], heads["time"]) == tuple(want)
+    assert landed_heads(spark, folder, 5, 5) == {"ops": 0, "head_op": None, "time": None}
+    for cut in [(1, 3), (2, 4), (4, 9), (1, 10)]:  # no whole ranges: the operations have to be read
+        assert landed_heads(spark, folder, *cut) is None
+
+
 def test_offsets_are_blocks(spark, log):
     """Ranges landed in files of any time and number; the source goes on by block."""
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
