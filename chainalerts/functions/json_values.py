@@ -6,6 +6,8 @@ reaches Spark as one expression instead of hundreds of calls.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 from chainalerts.schemas import BODY
@@ -16,6 +18,28 @@ def value_map(body: str = "body") -> str:
     return f"from_json({body}, '{BODY}').value"
 
 
+def value_field(name: str, kind: str) -> str:
+    """A field of a landed value (``chainalerts.sources.shredded``), read as ``kind``."""
+    path = "$['" + name + "']"
+    return f"""try_variant_get(val, "{path}", '{kind}')"""
+
+
+def value_fields(names: Iterable[str] | None) -> str:
+    """``value_map`` of a landed value: of the fields that are named, or of all.
+
+    A name that cannot be put into a path makes it all of them.
+    """
+    if names is None or any(set(name) & set("'\"\\") for name in names):
+        return "try_variant_get(val, '$', 'map<string,string>')"
+    entries = ", ".join(f"'{name}', {value_field(name, 'string')}" for name in sorted(names))
+    return f"map({entries})" if entries else "CAST(map() AS MAP<STRING,STRING>)"
+
+
+def from_text(value: str, kind: str) -> str:
+    """JSON text read as ``kind``, where a field of a landed value is not of that kind."""
+    return f"try_variant_get(try_parse_json({value}), '$', '{kind}')"
+
+
 def node(value: str, key: str) -> str:
     """Member ``key`` of a JSON text, whether it was a node or JSON inside a string."""
     return f"get_json_object({value}, '$.{key}')"

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ from chainalerts.constants import (
     ASSET_IDS, ASSETS, HBD, LINK_BASE, MAX_ACCOUNT, MAX_ASSET, MAX_MEMO, MAX_TEXT,
     TOKEN_TRANSFER_ID,
 )
-from chainalerts.functions.json_values import first_element, struct
+from chainalerts.functions.json_values import first_element, from_text, struct
 from chainalerts.functions.text import (
     amount_text, cents_of_float, float_text, mentioned_names, text,
 )
@@ -50,6 +51,8 @@ SEMANTICS = ("reference", "fixed")
 AMOUNT = "amount STRING, nai STRING"
 # Divisor of an amount that is printed in its own asset.
 BY_ASSET = 0
+# How a handler names a field of the value.
+FIELD = r"\bv\['(\w+)'\]"
 
 
 @dataclass(frozen=True)
@@ -164,6 +167,42 @@ def _of_session(name: str) -> Handler | None:
     return function_handler(spark, name) if known else None
 
 
+def fields_read(functions: Iterable[str], semantics: str) -> set[str] | None:
+    """The fields of a value that the handlers name; None if one may look at any field."""
+    names: set[str] = set()
+    for handler in _chosen(functions).values():
+        names |= {*handler.amounts, *handler.nodes}
+        for expression in (handler.function(semantics), *handler.computed.values()):
+            names |= set(re.findall(FIELD, expression))
+            if re.search(r"\bv\b", re.sub(FIELD, "", expression), re.IGNORECASE):
+                return None
+    return names
+
+
+def shapes_read(functions: Iterable[str]) -> dict[str, str]:
+    """The types of the fields that the handlers declare as amounts or nodes.
+
+    A field that is declared in two ways has none, and is read from its text.
+    """
+    declared: dict[str, set[str]] = {}
+    for handler in _chosen(functions).values():
+        for key, ddl in {**dict.fromkeys(handler.amounts, AMOUNT), **handler.nodes}.items():
+            declared.setdefault(key, set()).add(_shape(ddl))
+    return {key: min(kinds) for key, kinds in declared.items() if len(kinds) == 1}
+
+
+def _shape(ddl: str) -> str:
+    return StructType.fromDDL(ddl).simpleString()
+
+
+def _parsed(key: str, ddl: str, shaped: set[str] | None) -> str:
+    """A declared field: from the columns of a landed value as far as there are any, or from its text."""
+    if shaped is None:
+        return f"v['{key}']"
+    read = from_text(f"v['{key}']", _shape(ddl))
+    return f"coalesce(shaped.`{key}`, {read})" if key in shaped else read
+
+
 def _case(subject: str, branches: dict, otherwise: str = "NULL") -> str:
     """CASE over a column; ``otherwise`` alone when there is no branch."""
     if not branches:
@@ -176,8 +215,11 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
     """Add what the chosen handlers declared: amounts with their texts, and nodes.
 
     The n-th amounts of all handlers share one column, so there is one parse and one
-    text per amount however many handlers there are.
+    text per amount however many handlers there are. Where the log was landed as VARIANT
+    (``shaped`` tells), they are read instead of parsed.
     """
+    shaped = set(matched.schema["shaped"].dataType.names) if "shaped" in matched.columns else None
+    read = "{}" if shaped is not None else "from_json({}, '{}')"
     handlers = _chosen(functions)
     nodes: dict[str, str] = {}
     for name, handler in handlers.items():
@@ -187,8 +229,8 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
     parsed, divisors, texts = {}, {}, {}
     if nodes:
         parsed["nodes"] = struct(**{
-            key: "from_json({}, '{}')".format(
-                _case("funct", {n: f"v['{key}']" for n, h in handlers.items() if key in h.nodes}),
+            key: read.format(
+                _case("funct", {n: _parsed(key, ddl, shaped) for n, h in handlers.items() if key in h.nodes}),
                 ddl,
             )
             for key, ddl in sorted(nodes.items())
@@ -201,8 +243,8 @@ def parse_declared(matched: DataFrame, functions: Iterable[str]) -> DataFrame:
         }
         column = f"amount{slot}"
         by_asset = _case(f"{column}.nai", {nai: divisor for nai, (_, divisor) in ASSETS.items()})
-        parsed[column] = "from_json({}, '{}')".format(
-            _case("funct", {name: f"v['{key}']" for name, (key, _) in held.items()}), AMOUNT
+        parsed[column] = read.format(
+            _case("funct", {name: _parsed(key, AMOUNT, shaped) for name, (key, _) in held.items()}), AMOUNT
         )
         divisors[f"divisor{slot}"] = _case("funct", {
             name: divisor if divisor != BY_ASSET else by_asset

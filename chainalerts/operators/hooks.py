@@ -209,7 +209,7 @@ def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
         "hook_ord",
     )
     wanted = values.where(F.col("op_type_id").isin(types))
-    keys = _filter_keys(chosen)
+    keys = filter_keys(chosen)
     if not keys and not any(hook.notif_filter for _, hook in chosen):
         return wanted.join(rules, "op_type_id")
     known = literal(keys, "map<string,map<string,boolean>>")
@@ -233,7 +233,7 @@ def dispatch(values: DataFrame, catalog: Catalog, hooks=None) -> DataFrame:
     )
 
 
-def _filter_keys(chosen) -> dict[str, dict[str, bool]]:
+def filter_keys(chosen) -> dict[str, dict[str, bool]]:
     """The fields that filters ask for, by operation type."""
     keys: dict[str, dict[str, bool]] = {}
     for _, hook in chosen:

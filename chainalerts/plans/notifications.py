@@ -18,8 +18,8 @@ from chainalerts.constants import (
     ALL_CODES, DEFAULT_PREFS, MAX_ACCOUNT, MAX_TEXT, PREFERENCE_ID,
 )
 from chainalerts.operators.asof import BUCKET_OPS, asof_state
-from chainalerts.operators.handlers import parse_declared, recipients
-from chainalerts.operators.hooks import Catalog, dispatch, literal
+from chainalerts.operators.handlers import fields_read, parse_declared, recipients, shapes_read
+from chainalerts.operators.hooks import Catalog, dispatch, filter_keys, literal
 from chainalerts.operators.preferences import preference_log, state_changes
 from chainalerts.sources.op_log import parse_values, with_transactions
 
@@ -39,7 +39,13 @@ def candidates(
     """
     chosen = catalog.notifying_hooks() if hooks is None else hooks
     functions = [hook.funct for _, hook in chosen]
-    matched = parse_declared(dispatch(parse_values(ops), catalog, chosen), functions)
+    fields = shapes = None
+    if "val" in ops.columns:  # landed as VARIANT: what the rules name is read
+        fields, shapes = fields_read(functions, semantics), shapes_read(functions)
+        if fields is not None:
+            fields |= {key for asked in filter_keys(chosen).values() for key in asked}
+    values = parse_values(ops, fields, shapes)
+    matched = parse_declared(dispatch(values, catalog, chosen), functions)
     names = ["block_num", "op_id", "hook_ord", "module", "notif_name", "notif_code", "ts",
              "trx_in_block", "body", *(["trx_hash"] if "trx_hash" in ops.columns else [])]
     rows = (

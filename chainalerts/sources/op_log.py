@@ -6,10 +6,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from chainalerts import schemas
 from chainalerts.constants import OP_CUSTOM_JSON, OP_TRANSFER, START_DISTANCE_BLOCKS
-from chainalerts.functions.json_values import fenced, node, value_map
+from chainalerts.functions.json_values import (
+    fenced, from_text, node, value_field, value_fields, value_map,
+)
 
 BLOCK_BUCKET = 100_000
 
@@ -74,20 +77,31 @@ def final_ops(ops: DataFrame, irreversible_block: int) -> DataFrame:
 def typed_ops(ops: DataFrame, op_type_id: int) -> DataFrame:
     """Operations of one documented type with the body's fields as typed columns.
 
-    A malformed body or one of another shape gives NULL fields.
+    A malformed body or one of another shape gives NULL fields. Of a log that was landed as
+    VARIANT, the columns of the fields are read, and a number or a node that was
+    written as a string counts as what it says.
     """
     name, value_schema = schemas.OPERATIONS[op_type_id]
+    places = ["op_id", "block_num", "ts", "trx_in_block"]
+    if "val" in ops.columns:
+        fields = [f"{_typed(field.name, field.dataType)} AS `{field.name}`" for field in StructType.fromDDL(value_schema)]
+        return ops.where(F.col("op_type_id") == op_type_id).selectExpr(
+            *places, f"'{name}' AS op_name", *fields)
     parsed = F.from_json("body", f"type STRING, value STRUCT<{_as_struct(value_schema)}>")
     return (
         ops.where(F.col("op_type_id") == op_type_id)
         .withColumn("parsed", parsed)
-        .select(
-            "op_id", "block_num", "ts", "trx_in_block",
-            F.lit(name).alias("op_name"), F.col("parsed.value.*"),
-        )
+        .select(*places, F.lit(name).alias("op_name"), F.col("parsed.value.*"))
     )
 
 
+def _typed(name: str, kind: DataType) -> str:
+    read = value_field(name, kind.simpleString())
+    if not isinstance(kind, (ArrayType, StructType)):
+        return read
+    return f"coalesce({read}, {from_text(value_field(name, 'string'), kind.simpleString())})"
+
+
 def documented_ops(ops: DataFrame, shown: dict[int, tuple[str, str | None]]) -> DataFrame:
     """Operations of many documented types in one scan, each body parsed once.
 
@@ -108,7 +122,7 @@ def documented_ops(ops: DataFrame, shown: dict[int, tuple[str, str | None]]) ->
         names[op], keys[op] = f"'{name}'", f"array({fields})"
         actors[op] = f"v['{actor}']"
         amounts[op] = f"v['{amount}']" if amount else None
-    picked = fenced(ops.where(F.col("op_type_id").isin(list(shown))), v=value_map())
+    picked = _with_values(ops.where(F.col("op_type_id").isin(list(shown))))
     found = f"size(map_filter(v, (k, x) -> x IS NOT NULL AND array_contains({by_type(keys, 'ARRAY<STRING>')}, k)))"
     return picked.selectExpr(
         "op_id", "block_num", f"{by_type(names, 'STRING')} AS op_name",
@@ -118,15 +132,11 @@ def documented_ops(ops: DataFrame, shown: dict[int, tuple[str, str | None]]) ->
 
 
 def _field_names(ddl: str) -> list[str]:
-    from pyspark.sql.types import StructType
-
     return StructType.fromDDL(ddl).names
 
 
 def _as_struct(ddl: str) -> str:
     """``a INT, b STRING`` as the inside of ``STRUCT<...>``."""
-    from pyspark.sql.types import StructType
-
     return ", ".join(
         f"`{field.name}`: {field.dataType.simpleString()}" for field in StructType.fromDDL(ddl)
     )
@@ -137,9 +147,27 @@ def with_transactions(ops: DataFrame, transactions: DataFrame) -> DataFrame:
     return ops.join(transactions, ["block_num", "trx_in_block"], "left")
 
 
-def parse_values(ops: DataFrame) -> DataFrame:
-    """Parse each body once; handlers read the map ``v``."""
-    return ops.withColumn("v", F.expr(value_map()))
+def parse_values(
+    ops: DataFrame, fields: Iterable[str] | None = None, shapes: dict[str, str] | None = None,
+) -> DataFrame:
+    """Parse each body once; handlers read the map ``v``.
+
+    Of a log that was landed as VARIANT nothing is parsed: ``v`` holds ``fields`` (all, if None), and
+    ``shaped`` those fields that ``shapes`` gives a type.
+    """
+    if "val" not in ops.columns:
+        return ops.withColumn("v", F.expr(value_map()))
+    read = {"v": value_fields(fields)}
+    if shapes:
+        members = ", ".join(f"'{name}', {value_field(name, kind)}" for name, kind in sorted(shapes.items()))
+        read["shaped"] = f"named_struct({members})"
+    return ops.selectExpr(
+        *[name for name in ops.columns if name != "val"], *[f"{value} AS {name}" for name, value in read.items()])
+
+
+def _with_values(ops: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """Add ``v`` for filters; bodies that have to be parsed are parsed once for all of them."""
+    return parse_values(ops, fields) if "val" in ops.columns else fenced(ops, v=value_map())
 
 
 def preference_ops(ops: DataFrame, preference_id: str) -> DataFrame:
@@ -147,7 +175,8 @@ def preference_ops(ops: DataFrame, preference_id: str) -> DataFrame:
 
     The id is compared after parsing: in the raw text it may be written with escapes.
     """
-    return fenced(ops.where(F.col("op_type_id") == OP_CUSTOM_JSON), v=value_map()).where(
+    fields = ("id", "json", "required_posting_auths")
+    return _with_values(ops.where(F.col("op_type_id") == OP_CUSTOM_JSON), fields).where(
         F.col("v")["id"] == preference_id
     )
 
@@ -158,7 +187,7 @@ def filter_operations(ops: DataFrame, first: int, last: int, wanted: dict[str, s
     Transfers take ``from`` or else ``to``; custom_json takes ``id``.
     """
     kinds = []
-    value = F.expr(value_map())
+    value = F.expr(value_fields(("from", "to", "id")) if "val" in ops.columns else value_map())
     sender_or_recipient = next((key for key in ("from", "to") if key in wanted), None)
     if sender_or_recipient:
         kinds.append(

@@ -431,6 +431,8 @@ def all_oracles() -> dict[str, str]:
         FROM ranges JOIN ev ON block BETWEEN first_block AND last_block GROUP BY first_block, last_block"""
     sql["ops_with_trx_colocated"] = sql["ops_with_trx"] + " WHERE block BETWEEN 20 AND 61"
     sql["notifications_colocated"] = sql["notifications_all"]
+    sql["notifications_shredded"] = sql["notifications_all"]
+    sql["typed_ops_shredded"] = sql["typed_ops_documented"]
     sql["handler_sql_file"] = sql["custom_handler"]
     sql["handler_sql_function"] = "WITH " + EVENTS + """, ends AS (
         SELECT *, p AS account, 'given to ' || u AS remark FROM ev WHERE op = 72 AND k >= 90

@@ -39,6 +39,7 @@ from chainalerts.sources.event_log import (
     blocks_from_events, documented_ops_from_events, event_ops, event_transactions, events,
     read_mark_ops,
 )
+from chainalerts.sources.shredded import read_shredded, write_shredded
 from chainalerts.sources.sinks import Staging, shared_folder, write_text
 from chainalerts.streaming.keyed_state import KeyedAlertStream
 from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
@@ -73,6 +74,13 @@ def _colocated(spark, sf_dir) -> ColocatedLog:
     return log
 
 
+def _shredded(spark, ops: DataFrame) -> DataFrame:
+    """A log landed as shredded VARIANT, read back."""
+    path = f"{shared_folder(spark)}/shredded-{uuid.uuid4().hex}"
+    write_shredded(ops, path, bucket=2000)
+    return read_shredded(spark, path)
+
+
 def _long(*names: str) -> list:
     return [F.col(name).cast("bigint").alias(name) for name in names]
 
@@ -167,7 +175,16 @@ def typed_ops(spark, sf_dir):
 @query("typed_ops_documented")
 def typed_ops_documented(spark, sf_dir):
     """Every documented operation type, in one scan."""
-    ops = documented_ops_from_events(events(spark, sf_dir))
+    return _documented(documented_ops_from_events(events(spark, sf_dir)))
+
+
+@query("typed_ops_shredded")
+def typed_ops_shredded(spark, sf_dir):
+    """The same of a log whose bodies are landed as shredded VARIANT."""
+    return _documented(_shredded(spark, documented_ops_from_events(events(spark, sf_dir))))
+
+
+def _documented(ops: DataFrame) -> DataFrame:
     shown = {
         op: (next((f.name for f in fields if f.dataType == StringType()), fields.names[0]),
              next((f.name for f in fields if f.dataType.simpleString() == AMOUNT_TYPE), None))
@@ -642,6 +659,13 @@ def notifications_colocated(spark, sf_dir):
     return _shown(_colocated(spark, sf_dir).alert_plan(0, LAST_BLOCK).notifications())
 
 
+@query("notifications_shredded")
+def notifications_shredded(spark, sf_dir):
+    """A log whose bodies are landed as shredded VARIANT: the plan reads columns of the fields its rules name."""
+    ops = _shredded(spark, event_ops(spark, sf_dir))
+    return _shown(AlertPlan(ops, transactions=event_transactions(spark, sf_dir)).notifications())
+
+
 @query("notifications_fixed")
 def notifications_fixed(spark, sf_dir):
     """Corrected semantics: conversion labels and the recipient of a reply."""
