@@ -10,8 +10,11 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from chainalerts import schemas
 from chainalerts.constants import MODULE_PATTERN, PREFERENCE_FUNCTION, RULES
@@ -149,11 +152,25 @@ class Catalog:
              h.notif_filter, h.options, order)
             for order, h in chosen
         ]
-        return spark.createDataFrame(rows, schemas.HOOKS)
+        return local_frame(spark, rows, schemas.HOOKS)
 
     def modules_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(name, entry[0], entry[1]) for name, entry in sorted(self.modules.items())]
-        return spark.createDataFrame(rows, schemas.MODULES)
+        return local_frame(spark, rows, schemas.MODULES)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Driver-held rows as a relation whose size Spark knows.
+
+    Of a frame made from a list it knows nothing and takes it for endless: it would shuffle the
+    whole log by operation type to meet a few rules.
+    """
+    schema = StructType.fromDDL(ddl)
+    columns = [
+        pa.array([list(cell.items()) if isinstance(cell, dict) else cell for cell in cells], to_arrow_type(field.dataType))
+        for field, cells in zip(schema, zip(*rows) if rows else [()] * len(schema), strict=True)
+    ]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
 
 
 def _filter_text(rule) -> str:

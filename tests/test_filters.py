@@ -62,3 +62,26 @@ def test_plan_does_not_grow_with_the_rules(spark, make_ops, n):
     assert found.count() == min(n, 20)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and len(plan) < 6000
+
+
+@pytest.mark.parametrize("filters", [[""], [{"to": f"u{k}"} for k in range(300)]])
+def test_rules_go_to_the_log(spark, make_ops, filters):
+    """Spark knows the rules' size, so the log is not shuffled by its operation types; beyond the threshold it is."""
+    ops = make_ops([(k, 2, {"to": f"u{k}", "from": "x"}) for k in range(20)])
+    catalog, plans, found = catalog_of(filters), [], []
+    for threshold in ("256k", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            met = dispatch(parse_values(ops), catalog)
+            plans.append(met._jdf.queryExecution().executedPlan().toString())
+            found.append(sorted((r["op_id"], r["hook_ord"]) for r in met.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] and len(found[0]) == 20
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
+
+
+def test_frames_of_an_empty_catalog(spark):
+    empty = Catalog({}, ())
+    assert empty.hooks_frame(spark).collect() == [] == empty.modules_frame(spark).collect()
