@@ -120,7 +120,7 @@ class AlertStore:
     def _accounts(self, now: Snapshot, found: DataFrame, add: list[Entry]) -> tuple[list[Entry], list[Entry]]:
         """Accounts that no earlier range referred to; now and then all of them as one folder."""
         known, held = self.log.read("accounts", ACCOUNTS, now), now.of("accounts")
-        fresh = found.join(known.select("account"), "account", "left_anti").select(*known.columns)
+        fresh = unseen(found, known).select(*known.columns)
         if len(held) + 1 < self.compact_every:
             return add + self.log.write("accounts", fresh), []
         return add + self.log.write("accounts", known.unionByName(fresh)), held
@@ -242,6 +242,17 @@ class AlertStore:
             F.col("version").alias("batch_id"))
 
 
+def unseen(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose account is not among the ``known``, where few meet many.
+
+    First what is known of those that were found: found accounts are a table of known size, which Spark sends
+    to where the known ones lie, as long as it is small. These are then shuffled no more, and the
+    anti-join meets at most as many rows as were found.
+    """
+    seen = known.select("account").join(found.select("account"), "account", "left_semi")
+    return found.join(seen, "account", "left_anti")
+
+
 def _facts(blocks: tuple[int, int], block_time, ops: int) -> dict:
     return {"first_block": blocks[0], "block_time": None if block_time is None else str(block_time), "ops": ops}
 

@@ -12,7 +12,7 @@ from chainalerts import schemas
 from chainalerts.operators.verification import pending_verifications
 from chainalerts.plans.account_queries import unread_counts
 from chainalerts.plans.notifications import AlertPlan
-from chainalerts.plans.store import AlertStore, run_batch
+from chainalerts.plans.store import AlertStore, run_batch, unseen
 from chainalerts.sources.commits import CommitLog, Conflict, Entry
 from chainalerts.sources.op_log import scan_ops
 from chainalerts.sources.sinks import folders, shared_folder
@@ -120,7 +120,7 @@ def keys(frame):
 def test_ranges_once_whatever_dies(spark, ops, monkeypatch):
     store = AlertStore(spark, new_folder())
     whole = AlertPlan(ops)
-    write, failed = CommitLog.write, []
+    write, failed, staged = CommitLog.write, [], folders(spark, f"{shared_folder(spark)}/staged-*")
 
     def dies(self, table, frame, **options):
         if table in ("rejects", "state") and len(failed) < 2:
@@ -137,7 +137,7 @@ def test_ranges_once_whatever_dies(spark, ops, monkeypatch):
                 pass
     assert failed == ["rejects", "rejects"]
     assert keys(store.notifications()) == keys(whole.notifications()) != []
-    assert not folders(spark, f"{shared_folder(spark)}/staged-*")
+    assert folders(spark, f"{shared_folder(spark)}/staged-*") == staged
     with pytest.raises(ValueError, match="are missing"):
         store.append(AlertPlan(ops), (400_000, 400_001))
     with pytest.raises(ValueError, match="comes after"):
@@ -247,3 +247,21 @@ def test_schema_of_an_empty_store(spark):
     assert store.unread_counts(store.accounts(), F.current_timestamp()).count() == 0
     assert store.expire("2024-01-01 00:00:00") == 0 and store.compact() == []
     assert Entry("t", "p").day is None
+
+
+@pytest.mark.parametrize("threshold", ["64k", "-1"])
+def test_known_accounts_stay_where_they_lie(spark, tmp_path, threshold):
+    """A batch's accounts go to the known ones, which are not shuffled; a large batch is joined by shuffles."""
+    spark.range(200_000).selectExpr("concat('u', id) AS account").write.parquet(f"{tmp_path}/known")
+    spark.range(199_990, 200_010).selectExpr("concat('u', id) AS account", "id AS n").write.parquet(f"{tmp_path}/found")
+    known, found = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("known", "found"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        fresh = unseen(found, known)
+        assert {r["n"] for r in fresh.collect()} == set(range(200_000, 200_010))
+        tree = fresh._jdf.queryExecution().optimizedPlan().toString()
+        plan = fresh._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join LeftSemi" in tree and "Join LeftAnti" in tree
+    assert ("LeftSemi, BuildRight" in plan) == (threshold == "64k")
