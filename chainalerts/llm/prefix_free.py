@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 from chainalerts.llm.common import chunks, mix, row_key, table, text_bytes, written
 
 LENGTH, REACH, GRAM, GROUP = 200, 128, 8, 256
+PARSED_BYTES = 1 << 19  # a task holds about 50 bytes of numbers for each byte of text that it parses
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -123,15 +124,11 @@ def _repeated_within(row: np.ndarray, context: np.ndarray, phrase: np.ndarray) -
     return {at[0]: at[1:] for at in groups.values()}
 
 
-def parse(documents: DataFrame, length: int, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """(context, phrase, r1, place, more) of every phrase of every document; `more` has the other
-    places of a phrase that the document has several times, so periodic text is one row."""
-    source = documents.filter(F.octet_length(text_col) >= length).select(
-        *_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
-
+def _phrases(length: int, reach: int):
+    """The phrases of a batch of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text"):
+            for part in chunks(batch, "__text", PARSED_BYTES):
                 data, ends = text_bytes(part.column("__text"))
                 found, rows = [], []
                 for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
@@ -159,7 +156,15 @@ def parse(documents: DataFrame, length: int, reach: int, id_col: str, text_col:
                      part.column("r1").take(pa.array(rows[stays], pa.int64())), pa.array(place[stays].view(np.int64)), more],
                     ["context", "phrase", "r1", "place", "more"])
 
-    return source.mapInArrow(run, "context long, phrase long, r1 long, place long, more array<long>")
+    return run
+
+
+def parse(documents: DataFrame, length: int, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(context, phrase, r1, place, more) of every phrase of every document; `more` has the other
+    places of a phrase that the document has several times, so periodic text is one row."""
+    source = documents.filter(F.octet_length(text_col) >= length).select(
+        *_key(id_col, text_col), F.col(text_col).cast("string").alias("__text"))
+    return source.mapInArrow(_phrases(length, reach), "context long, phrase long, r1 long, place long, more array<long>")
 
 
 def _packed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chainalerts.llm import prefix_free as P
@@ -73,3 +75,15 @@ def test_runs_cover_all_starts():
     starts = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n)])
     assert starts.tolist() == list(range(len(data) - 199))
     assert ((trigger >= first + n - 1) & (trigger - first < P.REACH)).all()
+
+
+def test_parse_holds_little_of_a_batch_at_a_time():
+    text = "".join(random.Random(5).choices("abcdefgh ", k=40_000))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(100), pa.int64()), pa.array([7] * 100, pa.int64()), pa.array([text] * 100)], ["r1", "r2", "__text"])
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in P._phrases(P.LENGTH, P.REACH)(iter([batch])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert rows > 100 * 40_000 / 128
+    assert peak < 60e6
