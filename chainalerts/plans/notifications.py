@@ -9,6 +9,7 @@ no exchange, and spares the notifications theirs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -127,6 +128,12 @@ class AlertPlan:
         """Use candidates and a preference log kept earlier, so ops are parsed only once."""
         self._candidates, self._log = candidates_frame, log
 
+    def staged(self, stage: Callable[[DataFrame, str], DataFrame]) -> AlertPlan:
+        """Compute the candidates and the preference log now, once, by ``stage`` (see
+        ``chainalerts.sources.sinks``). Otherwise each frame of the plan makes them twice."""
+        self.use(stage(self.candidates(), "candidates"), stage(self.preference_log(), "preferences"))
+        return self
+
     def candidates(self) -> DataFrame:
         if self._candidates is not None:
             return self._candidates

@@ -96,7 +96,7 @@ class AlertStore:
         earlier = self._earlier(now, plan.snapshot) if self.keep_state else None
         log = self.log
         with staging(self.spark) as stage:
-            plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
+            plan.staged(stage)
             found = stage(discover(plan.candidates(), plan.preference_log()), "accounts")
             if earlier is not None:
                 # Only what the range's accounts left behind takes part in it. They are a table,

@@ -40,7 +40,7 @@ from chainalerts.sources.event_log import (
     read_mark_ops,
 )
 from chainalerts.sources.shredded import read_shredded, write_shredded
-from chainalerts.sources.sinks import Staging, shared_folder, write_text
+from chainalerts.sources.sinks import Staging, shared_folder, staging, write_text
 from chainalerts.streaming.keyed_state import KeyedAlertStream
 from chainalerts.streaming.sync import AlertStream, expire, publish_range, read_output
 
@@ -91,6 +91,11 @@ def _plan(spark, sf_dir, **options) -> AlertPlan:
     )
 
 
+def _staged(plan: AlertPlan) -> AlertPlan:
+    """The plan over candidates and preference operations that are in the shared folder."""
+    return plan.staged(Staging(plan.ops.sparkSession))
+
+
 def _all_codes_state(spark, sf_dir, module: str) -> DataFrame:
     """Accounts that switched a module on before the log begins."""
     users = events(spark, sf_dir).select(
@@ -517,7 +522,7 @@ def notifications_all(spark, sf_dir):
 @query("notifications_shuffled")
 def notifications_shuffled(spark, sf_dir):
     """The same rows with small buckets of the as-of lookup, so that much is carried."""
-    return _shown(_plan(spark, sf_dir, bucket_ops=500).notifications())
+    return _shown(_staged(_plan(spark, sf_dir, bucket_ops=500)).notifications())
 
 
 @query("notifications_written")
@@ -536,8 +541,9 @@ def _stored(spark, ops: DataFrame, ranges: int = 2, **options) -> AlertStore:
     for n in range(ranges):
         blocks = (last * n // ranges + (n > 0), last * (n + 1) // ranges)
         part = op_log.scan_ops(ops, *blocks)
-        dead = AlertPlan(part, **options).notifications()
-        store.log.write("notifications", dead, by_day=True)
+        with staging(spark) as stage:
+            dead = AlertPlan(part, **options).staged(stage).notifications()
+            store.log.write("notifications", dead, by_day=True)
         for _ in range(2):
             run_batch(AlertPlan(part, **options), store.log.path, blocks)
     return store
@@ -586,7 +592,7 @@ def faulty_ops(ops: DataFrame) -> DataFrame:
 
 @query("rejects")
 def rejects(spark, sf_dir):
-    plan = AlertPlan(faulty_ops(event_ops(spark, sf_dir)))
+    plan = _staged(AlertPlan(faulty_ops(event_ops(spark, sf_dir))))
     return plan.rejects().select(*_long("block_num", "op_id"), "notif_name", "account", "reason")
 
 
@@ -656,14 +662,14 @@ def handler_sql_function(spark, sf_dir):
 @query("notifications_colocated")
 def notifications_colocated(spark, sf_dir):
     """A log that lies in the same buckets as its transactions: hashes are joined in place."""
-    return _shown(_colocated(spark, sf_dir).alert_plan(0, LAST_BLOCK).notifications())
+    return _shown(_staged(_colocated(spark, sf_dir).alert_plan(0, LAST_BLOCK)).notifications())
 
 
 @query("notifications_shredded")
 def notifications_shredded(spark, sf_dir):
     """A log whose bodies are landed as shredded VARIANT: the plan reads columns of the fields its rules name."""
     ops = _shredded(spark, event_ops(spark, sf_dir))
-    return _shown(AlertPlan(ops, transactions=event_transactions(spark, sf_dir)).notifications())
+    return _shown(_staged(AlertPlan(ops, transactions=event_transactions(spark, sf_dir))).notifications())
 
 
 @query("notifications_fixed")
@@ -744,7 +750,7 @@ def _answers(plan: AlertPlan, created_at=None) -> tuple[DataFrame, DataFrame]:
     """Notifications and accounts of a log that is read twice: once for the candidates, once for
     the preference operations. What follows reads those from the shared folder."""
     stage = Staging(plan.ops.sparkSession)
-    plan.use(stage(plan.candidates(), "candidates"), stage(plan.preference_log(), "preferences"))
+    plan.staged(stage)
     everyone = stage(candidates(plan.ops, plan.catalog, texts=False), "everyone") if plan.hooks else plan.candidates()
     found = discover(everyone, plan.preference_log())
     return plan.notifications(), current_accounts(found, plan.preference_log(), plan.catalog, created_at)

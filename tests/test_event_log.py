@@ -2,8 +2,12 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from chainalerts.plans.notifications import AlertPlan
 from chainalerts.sources.event_log import READ_TASKS, event_ops
 from chainalerts.sources.op_log import scan_ops
+from chainalerts.sources.sinks import staging
+from registry.queries import all_queries
+from tests.conftest import enabled, transfer
 
 COLUMNS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -29,3 +33,22 @@ def test_block_range_of_one_file_is_dealt_to_many_tasks(spark, tmp_path):
         spark.conf.set(least, before)
     assert sum(counts) == 1_000
     assert len(counts) > 1 and max(counts) < 500
+
+
+def test_queries_that_use_a_plan_twice_read_its_log_once(spark, tmp_path):
+    sf_dir = _events(spark, tmp_path, 200)
+    rejects = all_queries()["rejects"](spark, sf_dir)
+    assert rejects.inputFiles() and not any("events.parquet" in path for path in rejects.inputFiles())
+
+
+def test_staged_plan_gives_the_same_rows(spark, make_ops):
+    ops = make_ops([
+        (1, 18, enabled("ann", {"currency": ["trn"]})), (2, 2, transfer("ann")), (3, 2, transfer("x" * 20)),
+        (4, 18, enabled("ann", {"currency": []})), (5, 2, transfer("ann")), (6, 18, enabled("ann", 3)),
+    ])
+    plain = AlertPlan(ops)
+    with staging(spark) as stage:
+        staged = AlertPlan(ops).staged(stage)
+        for frame in ("notifications", "rejects"):
+            found = [sorted(map(str, getattr(plan, frame)().collect())) for plan in (plain, staged)]
+            assert found[0] and found[0] == found[1]
